@@ -39,7 +39,7 @@ class Settings:
     least_updates: int = 1000
     batch: int = 128
     rate: float = 0.1
-    decay: float = 1e-4
+    decay: float = 0.0
     seed: int = 7
 
 
@@ -132,7 +132,7 @@ def fit(texts: list[str], labels: list[int], s: Settings) -> Model | None:
             d[np.arange(len(pick)), y[pick].astype(int)] -= 1
             d *= weight[pick][:, None] / len(pick)
             d = d.astype(np.float32)
-            by_emb = bag.T @ (d @ soft) + s.decay * emb[used] / len(y)
+            by_emb = bag.T @ (d @ soft) + s.decay * emb[used]
             by_soft = d.T @ mean
             by_bias = d.sum(0)
             g_emb[used] += (by_emb**2).mean(1)
