@@ -1,15 +1,644 @@
-"""The queries of the catalog operators by name, with their SQL counterparts."""
+"""The catalog operators as registered queries, each with a hand-written SQL counterpart where SQL can express it.
+
+Counterparts never come from our own compiler, so that an error in it can't cancel out.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagloom.functions import scalar
+from tagloom.functions import thresholds as thr
+from tagloom.operators import documents, duplicates, maintenance, metrics, search, stats, tagging
+from tagloom.operators.components import components
+from tagloom.plans import compile as plan
+from tagloom.plans.fixtures import SQL, Relations, catalog
+from tagloom.sinks import export
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+FLAGSHIP = "small_ring | (category:character -blue_bolt) score>=0.8"
+_HAS = "EXISTS (SELECT 1 FROM links l WHERE l.file_id = f.id AND "
+_FALL = "CASE l.category WHEN 0 THEN 0.35 WHEN 4 THEN 0.25 WHEN 3 THEN 0.25 ELSE 0.0 END"
+_FLAG_WHERE = f"({_HAS} l.name = 'small_ring') OR (({_HAS} l.category = 4) AND NOT {_HAS} l.name = 'blue_bolt')) AND {_HAS} l.score >= 0.8)))"
+
+
+def query(name: str, sql: str | None = None, head: bool = True):
+    """Registers a query; ``sql`` goes behind the relations' common head unless ``head`` is false."""
+
+    def add(f: Callable[[Relations, SparkSession, str], DataFrame]) -> Callable:
+        _QUERIES[name] = lambda spark, sf_dir: f(catalog(spark, sf_dir), spark, sf_dir)
+        if sql:
+            _SQL[name] = (SQL if head else "") + sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _QUERIES["q_search_relevance_page"](spark, sf_dir)
+
+
+def _flat(page: DataFrame) -> DataFrame:
+    """A page with its tag list as text, which both engines can compare."""
+    names = F.array_join(F.transform("tags", lambda t: F.concat(t["name"], F.lit(":"), F.coalesce(t["category"], F.lit(-1)).cast("string"))), " ")
+    return page.select("id", "path", "size", "mtime", "width", "height", F.round("relevance", 6).alias("relevance"), F.size("tags").alias("n_tags"), names.alias("tag_list"))
+
+
+def _page_sql(where: str, order: str, limit: int, offset: int = 0, rel: str = "0.0") -> str:
+    return f""", page AS (SELECT f.id, f.path, f.size, f.mtime, f.width, f.height, {rel} AS relevance FROM files f WHERE ({where}) AND f.is_present = 1 ORDER BY {order} LIMIT {limit} OFFSET {offset})
+SELECT p.id, p.path, p.size, p.mtime, p.width, p.height, round(p.relevance, 6) AS relevance, CAST(count(l.name) AS INTEGER) AS n_tags, coalesce(string_agg(l.name || ':' || l.category, ' ' ORDER BY l.score DESC, l.name), '') AS tag_list
+FROM page p LEFT JOIN links l ON l.file_id = p.id GROUP BY ALL"""
+
+
+def _terms(*names: str) -> str:
+    return "coalesce((SELECT sum(l.score) FROM links l WHERE l.file_id = f.id AND l.name IN (" + ", ".join(f"'{n}'" for n in names) + f") AND l.score >= {_FALL}), 0.0)"
+
+
+# ---------------------------------------------------------------- search
+
+
+@query("q_search_relevance_page", _page_sql(_FLAG_WHERE, "relevance DESC, mtime DESC, id", 200, rel=_terms("small_ring")))
+def _(c, spark, sf):
+    return _flat(search.search(c.files, c.file_tags, c.tags, FLAGSHIP, order="relevance"))
+
+
+@query("q_search_flag_set", f"SELECT f.id FROM files f WHERE ({_FLAG_WHERE}) AND f.is_present = 1")
+def _(c, spark, sf):
+    return plan.matching(c.files, c.file_tags, c.tags, FLAGSHIP).select("id")
+
+
+@query("q_search_by_joins", f"SELECT f.id FROM files f WHERE ({_FLAG_WHERE}) AND f.is_present = 1")
+def _(c, spark, sf):
+    return plan.matching_by_joins(c.files, c.file_tags, c.tags, FLAGSHIP).select("id")
+
+
+@query("q_search_not", f"SELECT f.id, f.path FROM files f WHERE NOT {_HAS} l.name = 'small_ring') AND f.is_present = 1")
+def _(c, spark, sf):
+    return search.paths(c.files, c.file_tags, c.tags, "NOT small_ring")
+
+
+@query("q_search_thresholds", f"SELECT f.id FROM files f WHERE {_HAS} l.name = 'small_ring' AND l.score >= {_FALL}) AND f.is_present = 1")
+def _(c, spark, sf):
+    return plan.matching(c.files, c.file_tags, c.tags, "small_ring", {}).select("id")
+
+
+@query("q_search_category_thresholds", f"SELECT f.id FROM files f WHERE {_HAS} l.category = 1 AND l.score >= 0.9) AND NOT {_HAS} l.category = 4 AND l.score >= 0.25) AND f.is_present = 1")
+def _(c, spark, sf):
+    return plan.matching(c.files, c.file_tags, c.tags, "category:artist -category:character", {1: 0.9}).select("id")
+
+
+@query("q_search_score", f"SELECT f.id FROM files f WHERE ({_HAS} l.score = 1.0) OR NOT {_HAS} l.score > 0.1)) AND f.is_present = 1")
+def _(c, spark, sf):
+    return plan.matching(c.files, c.file_tags, c.tags, "score=1.0 | -score>0.1").select("id")
+
+
+@query("q_search_nested", f"SELECT f.id FROM files f WHERE {_HAS} l.category = 2) AND NOT ({_HAS} l.name = 'small_ring') OR ({_HAS} l.name = 'blue_bolt') AND NOT {_HAS} l.score < 0.1))) AND f.is_present = 1")
+def _(c, spark, sf):
+    return plan.matching(c.files, c.file_tags, c.tags, "category:rating AND -(small_ring OR (blue_bolt NOT score<0.1))").select("id")
+
+
+@query("q_search_mtime_offset", _page_sql(f"{_HAS} l.category = 0)", "mtime DESC, id", 50, 50))
+def _(c, spark, sf):
+    return _flat(search.search(c.files, c.file_tags, c.tags, "category:general", limit=50, offset=50))
+
+
+@query("q_search_all_by_path", _page_sql("TRUE", "path", 100))
+def _(c, spark, sf):
+    return _flat(search.search(c.files, c.file_tags, c.tags, "", order_by="f.path ASC", limit=100))
+
+
+@query("q_search_keyset_page", f"SELECT id, mtime FROM files f WHERE {_HAS} l.name = 'small_ring') AND is_present = 1 AND mtime < 8e8 ORDER BY mtime DESC, id LIMIT 40")
+def _(c, spark, sf):
+    return search.after_key(c.files, c.file_tags, c.tags, "small_ring", last=(8e8, 1 << 60), limit=40).select("id", "mtime")
+
+
+@query("q_relevance", f"SELECT file_id, round(sum(score), 6) AS rel FROM links l WHERE name IN ('small_ring', 'blue_bolt') AND score >= {_FALL} GROUP BY 1")
+def _(c, spark, sf):
+    return search.relevance(c.file_tags, c.tags, ["small_ring", "blue_bolt", "small_ring"]).select("file_id", F.round("rel", 6).alias("rel"))
+
+
+@query("q_scope_one_level", "SELECT id, path FROM files WHERE path LIKE '/lib/1-URGENT/3/%' AND NOT substr(path, 17) LIKE '%/%'")
+def _(c, spark, sf):
+    return search.within(c.files, "/lib/1-URGENT/3/", recursive=False).select("id", "path")
+
+
+@query("q_scope_recursive", "SELECT id, path FROM files WHERE starts_with(path, '/lib/1-URGENT/')")
+def _(c, spark, sf):
+    return search.within(c.files, "/lib/1-URGENT").select("id", "path")
+
+
+@query("q_shown_tags", f", page AS (SELECT id FROM files WHERE is_present = 1 ORDER BY id LIMIT 300) SELECT p.id, coalesce(string_agg(l.name, ' ' ORDER BY l.score DESC, l.name) FILTER (WHERE l.score >= {_FALL}), '') AS shown FROM page p LEFT JOIN links l ON l.file_id = p.id GROUP BY 1")
+def _(c, spark, sf):
+    page = search.search(c.files, c.file_tags, c.tags, "", order_by="f.id ASC", limit=300)
+    return page.select("id", F.array_join(F.transform(search.shown_tags(F.col("tags")), lambda t: t["name"]), " ").alias("shown"))
+
+
+@query("q_point_lookup", "SELECT id, path FROM files WHERE path IN (SELECT path FROM files ORDER BY id LIMIT 1)")
+def _(c, spark, sf):
+    first = c.files.orderBy("id").first()
+    return search.by_path(c.files, first.path if first else "").select("id", "path")
+
+
+@query("q_bulk_lookup", "SELECT f.id, f.path, EXISTS (SELECT 1 FROM file_tags t WHERE t.file_id = f.id) AS has_tags FROM files f WHERE f.id % 17 = 0")
+def _(c, spark, sf):
+    listing = c.files.filter("id % 17 = 0").select("path")
+    tagged = c.file_tags.select(F.col("file_id").alias("t")).distinct()
+    return c.files.join(listing, "path", "left_semi").join(tagged, F.col("id") == F.col("t"), "left").select("id", "path", F.col("t").isNotNull().alias("has_tags"))
+
+
+# ---------------------------------------------------------------- statistics, names, completion
+
+_STATS = "SELECT category, name, count(DISTINCT file_id) AS files, round(avg(score), 9) AS avg_score, max(score) AS max_score FROM links l JOIN files f ON f.id = l.file_id WHERE f.is_present = 1 AND "
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("avg_score", F.round("avg_score", 9))
+
+
+@query("q_stats", _STATS + "TRUE GROUP BY 1, 2")
+def _(c, spark, sf):
+    return _rounded(stats.tag_stats(c.tags, c.file_tags, c.files))
+
+
+@query("q_stats_thresholds", _STATS + f"l.score >= {_FALL} GROUP BY 1, 2")
+def _(c, spark, sf):
+    return _rounded(stats.tag_stats(c.tags, c.file_tags, c.files, thresholds=thr.for_stats()))
+
+
+@query("q_stats_stored_thresholds", _STATS + "l.score >= CASE l.category WHEN 0 THEN 0.7 WHEN 2 THEN 0.5 WHEN 3 THEN 0.25 WHEN 4 THEN 0.25 ELSE 0.0 END AND lower(name) LIKE '%\\_b%' ESCAPE '\\' GROUP BY 1, 2 ORDER BY avg_score DESC, name LIMIT 20")
+def _(c, spark, sf):
+    limits = thr.for_stats([("0", 0.7), (2, "0.5"), ("general", 0.9), (1, "x")])
+    return _rounded(stats.tag_stats(c.tags, c.file_tags, c.files, thresholds=limits, contains="_B", sort=3, limit=20))
+
+
+@query("q_stats_category_by_name", _STATS + "l.category = 4 GROUP BY 1, 2 ORDER BY name LIMIT 5")
+def _(c, spark, sf):
+    return _rounded(stats.tag_stats(c.tags, c.file_tags, c.files, category=4, sort=1, ascending=True, limit=5))
+
+
+@query("q_tag_names", "SELECT name FROM tags ORDER BY name LIMIT 25")
+def _(c, spark, sf):
+    return stats.tag_names(c.tags, 25)
+
+
+@query("q_untagged", "SELECT id, path FROM files f WHERE is_present = 1 AND path ILIKE '/LIB/1-%' AND NOT EXISTS (SELECT 1 FROM file_tags t WHERE t.file_id = f.id)")
+def _(c, spark, sf):
+    return stats.untagged(c.files, c.file_tags, "/LIB/1-%")
+
+
+@query("q_category_counts", "SELECT category, count(*) AS labels FROM tags GROUP BY 1")
+def _(c, spark, sf):
+    return stats.category_counts(c.tags)
+
+
+_LABELS = ", labels AS (SELECT name, category, CAST(id % 1000 AS BIGINT) AS count, CASE WHEN category = 4 THEN ['Series_' || (id % 3), 'series_' || (id % 2)] ELSE [] END AS ips FROM tags)"
+
+
+def _labels(c: Relations) -> DataFrame:
+    ips = F.when(F.col("category") == 4, F.array(F.concat(F.lit("Series_"), (F.col("id") % 3).cast("string")), F.concat(F.lit("series_"), (F.col("id") % 2).cast("string")))).otherwise(F.array().cast("array<string>"))
+    return c.tags.select("name", "category", (F.col("id") % 1000).alias("count"), ips.alias("ips"))
+
+
+@query("q_ip_popularity", _LABELS + " SELECT ip AS name, CAST(sum(count) AS BIGINT) AS count FROM (SELECT unnest(ips) AS ip, count FROM labels) GROUP BY 1")
+def _(c, spark, sf):
+    return stats.ip_popularity(_labels(c))
+
+
+@query("q_completion", _LABELS + """, cand AS (SELECT name, count, 0 AS rank FROM labels UNION ALL SELECT ip, CAST(sum(count) AS BIGINT), 1 FROM (SELECT unnest(ips) AS ip, count FROM labels) GROUP BY 1),
+one AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY count DESC NULLS LAST, rank, name) AS n FROM cand)
+SELECT name, count, rank FROM one WHERE n = 1 AND starts_with(lower(name), 's') ORDER BY count DESC NULLS LAST, lower(name), name LIMIT 50""")
+def _(c, spark, sf):
+    labels = _labels(c)
+    return stats.complete(stats.candidates(labels, stats.ip_popularity(labels)), "S")
+
+
+# ---------------------------------------------------------------- documents
+
+
+def _docs_sql(k: int) -> str:
+    return f", ranked AS (SELECT l.file_id, trim(l.name) AS name, row_number() OVER (PARTITION BY l.file_id ORDER BY l.score DESC, l.name) AS rank FROM links l JOIN files f ON f.id = l.file_id WHERE f.is_present = 1 AND trim(l.name) <> ''), docs AS (SELECT file_id, string_agg(name, ' ' ORDER BY rank) AS text FROM ranked WHERE rank <= {k} GROUP BY 1)"
+
+
+@query("q_documents_top16", _docs_sql(16) + " SELECT file_id, text FROM docs")
+def _(c, spark, sf):
+    return documents.rebuild(c.files, c.file_tags, c.tags)
+
+
+@query("q_documents_top2", _docs_sql(2) + " SELECT file_id, text FROM docs")
+def _(c, spark, sf):
+    return documents.rebuild(c.files, c.file_tags, c.tags, k=2)
+
+
+@query("q_documents_none", _docs_sql(0) + " SELECT file_id, text FROM docs")
+def _(c, spark, sf):
+    return documents.rebuild(c.files, c.file_tags, c.tags, k=0)
+
+
+@query("q_phrase", _docs_sql(16) + " SELECT file_id, text FROM docs WHERE ' ' || replace(text, '_', ' ') || ' ' LIKE '% ring blue %'")
+def _(c, spark, sf):
+    return documents.phrase(documents.rebuild(c.files, c.file_tags, c.tags), "Ring blue")
+
+
+@query("q_documents_update", _docs_sql(16) + f", few AS (SELECT file_id, name, score FROM links WHERE file_id % 5 = 0 AND category < 3), made AS (SELECT file_id, string_agg(name, ' ' ORDER BY r) AS text FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, name) AS r FROM few) WHERE r <= 3 GROUP BY 1) SELECT file_id, text FROM docs WHERE file_id NOT IN (SELECT file_id FROM few) UNION ALL SELECT file_id, text FROM made")
+def _(c, spark, sf):
+    few = plan.links(c.file_tags, c.tags).filter("file_id % 5 = 0 and category < 3").select("file_id", "name", "score")
+    return documents.update(documents.rebuild(c.files, c.file_tags, c.tags), few, 3)
+
+
+# ---------------------------------------------------------------- near duplicates
+
+_PAIRS = """, s AS (SELECT f.id, f.size, g.phash_u64 AS p FROM files f JOIN signatures g ON g.file_id = f.id WHERE f.is_present = 1),
+b AS (SELECT id, size, p, k, (p >> (16 * k)) & 65535 AS key FROM s, (SELECT CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS k)),
+pairs AS (SELECT DISTINCT x.id AS a, y.id AS b, CAST(bit_count(xor(x.p, y.p)) AS INTEGER) AS hamming, x.size AS sa, y.size AS sb FROM b x JOIN b y ON x.k = y.k AND x.key = y.key AND x.id < y.id)"""
+
+
+def _dup_files(c: Relations) -> DataFrame:
+    return duplicates.listing(c.files, c.signatures)
+
+
+@query("q_dup_listing", "SELECT f.id, f.path, f.size, f.width, f.height, g.phash_u64 AS phash, g.dhash_u64 AS dhash FROM files f LEFT JOIN signatures g ON g.file_id = f.id WHERE f.is_present = 1 AND path ILIKE '/lib/%URGENT/%'")
+def _(c, spark, sf):
+    return duplicates.listing(c.files, c.signatures, "/lib/%URGENT/%")
+
+
+@query("q_dup_edges", _PAIRS + " SELECT a, b, hamming FROM pairs WHERE hamming <= 4")
+def _(c, spark, sf):
+    return duplicates.edges(_dup_files(c), limit=4)
+
+
+@query("q_dup_edges_ratio", _PAIRS + " SELECT a, b, hamming FROM pairs WHERE hamming <= 8 AND (sa <= 0 OR sb <= 0 OR least(sa, sb) / greatest(sa, sb) >= 0.5)")
+def _(c, spark, sf):
+    return duplicates.edges(_dup_files(c), limit=8, ratio=0.5)
+
+
+@query("q_dup_bucket_cap", """, s AS (SELECT f.id, g.phash_u64 AS p FROM files f JOIN signatures g ON g.file_id = f.id WHERE f.is_present = 1),
+b AS (SELECT id, p, k, (p >> (8 * k)) & 255 AS key FROM s, (SELECT CAST(unnest([0, 1]) AS INTEGER) AS k)), ok AS (SELECT k, key FROM b GROUP BY 1, 2 HAVING count(*) * (count(*) - 1) / 2 <= 1500)
+SELECT DISTINCT x.id AS a, y.id AS b FROM b x JOIN b y ON x.k = y.k AND x.key = y.key AND x.id < y.id JOIN ok ON ok.k = x.k AND ok.key = x.key WHERE bit_count(xor(x.p, y.p)) <= 10""")
+def _(c, spark, sf):
+    return duplicates.edges(_dup_files(c), limit=10, ratio=1e-9, count=2, bits=8, pair_cap=1500).select("a", "b")
+
+
+@query("q_dup_cosine", """ SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id % 50 = y.vec_id % 50 AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding, y.embedding) >= 0.2""")
+def _(c, spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", (F.col("vec_id") % 50).alias("phash"), F.lit(1).alias("size"))
+    return duplicates.edges(e, limit=64, least_cosine=0.2, count=1, bits=16).select("a", "b")
+
+
+_LINKED = """, e AS (SELECT a, b FROM pairs WHERE hamming <= 4), both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+root AS (SELECT v AS id, min(r) AS root FROM (SELECT a AS v, least(a, min(b)) AS r FROM both_ways GROUP BY a) GROUP BY 1)"""
+
+
+@query("q_dup_components", _PAIRS + _LINKED + " SELECT id, root FROM root")
+def _(c, spark, sf):
+    return components(duplicates.edges(_dup_files(c), limit=4))
+
+
+@query("q_components_chain", "SELECT id, (id // 40) * 40 AS root FROM (SELECT o_orderkey AS id FROM orders WHERE o_orderkey BETWEEN 40 AND 39 + 40 * (SELECT max(o_orderkey) // 40 - 1 FROM orders)) WHERE (SELECT count(*) FROM orders) = (SELECT max(o_orderkey) FROM orders) - (SELECT min(o_orderkey) FROM orders) + 1", head=False)
+def _(c, spark, sf):
+    ids = c.files.select("id")
+    low, high, n = ids.agg(F.min("id"), F.max("id"), F.count("*")).first()
+    edges = ids.filter((F.col("id") >= 40) & (F.col("id") <= 39 + 40 * (high // 40 - 1)) & (F.col("id") % 40 != 39)).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    return components(edges if n == high - low + 1 else edges.limit(0))
+
+
+_CLUSTERS = _PAIRS + _LINKED + """, best AS (SELECT id, min(hamming) AS best_hamming FROM (SELECT a AS id, hamming FROM pairs WHERE hamming <= 4 UNION ALL SELECT b, hamming FROM pairs WHERE hamming <= 4) GROUP BY 1),
+m AS (SELECT r.root AS cluster, f.id, f.path, f.size, f.width, f.height, b.best_hamming, coalesce(CAST(f.width AS BIGINT) * f.height, 0) AS res, regexp_extract(f.path, '([^/]*)$', 1) AS base, regexp_extract(f.path, '\\.([a-z]+)$', 1) AS ext,
+  CASE regexp_extract(f.path, '\\.([a-z]+)$', 1) WHEN 'png' THEN 4 WHEN 'webp' THEN 3 WHEN 'tiff' THEN 2 WHEN 'bmp' THEN 1 ELSE 0 END AS fmt FROM root r JOIN files f ON f.id = r.id JOIN best b ON b.id = r.id),
+k AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY cluster ORDER BY size DESC, res DESC, fmt DESC, ext, base, id) = 1 THEN 1 ELSE 0 END AS is_keeper, count(*) OVER (PARTITION BY cluster) AS n FROM m),
+p AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY is_keeper DESC, size DESC, res DESC, fmt DESC, lower(base), id) AS position FROM k WHERE n > 1),
+g AS (SELECT cluster, row_number() OVER (ORDER BY max(size) DESC, min(CASE WHEN position = 1 THEN lower(path) END), cluster) AS grp FROM p GROUP BY 1)"""
+
+
+def _clusters(c: Relations) -> DataFrame:
+    return duplicates.clusters(_dup_files(c), limit=4)
+
+
+@query("q_dup_clusters", _CLUSTERS + ' SELECT grp AS "group", CAST(position AS INTEGER) AS position, cluster, id, is_keeper, best_hamming FROM p JOIN g USING (cluster)')
+def _(c, spark, sf):
+    return _clusters(c).select("group", "position", "cluster", "id", "is_keeper", "best_hamming")
+
+
+@query("q_dup_export", _CLUSTERS + ' SELECT grp AS "group", id AS file_id, path, size, width, height, is_keeper AS keeper, best_hamming AS hamming FROM p JOIN g USING (cluster)')
+def _(c, spark, sf):
+    return export.cluster_rows(_clusters(c))
+
+
+@query("q_dup_scores", _CLUSTERS + " SELECT cluster, coalesce(max(CASE WHEN is_keeper = 0 THEN best_hamming END), -1) AS score FROM p GROUP BY 1")
+def _(c, spark, sf):
+    return duplicates.cluster_scores(_clusters(c))
+
+
+@query("q_dup_totals", _CLUSTERS + ' SELECT count(DISTINCT cluster) AS groups, count(*) AS files FROM p')
+def _(c, spark, sf):
+    return duplicates.totals(_clusters(c))
+
+
+@query("q_dup_checked", _CLUSTERS + " SELECT id FROM p WHERE is_keeper = 0")
+def _(c, spark, sf):
+    return duplicates.checked(_clusters(c)).select("id")
+
+
+@query("q_dup_after_removal", _CLUSTERS + """, q AS (SELECT * EXCLUDE (is_keeper, n, position) FROM p WHERE id % 4 <> 0), q2 AS (SELECT *, count(*) OVER (PARTITION BY cluster) AS n, CASE WHEN row_number() OVER (PARTITION BY cluster ORDER BY size DESC, res DESC, fmt DESC, ext, base, id) = 1 THEN 1 ELSE 0 END AS is_keeper FROM q)
+SELECT cluster, id, is_keeper FROM q2 WHERE n > 1""")
+def _(c, spark, sf):
+    found = _clusters(c)
+    return duplicates.without(found, found.filter("id % 4 = 0")).select("cluster", "id", "is_keeper")
+
+
+@query("q_match_clusters", ", e AS (SELECT id - id % 10 AS a, id AS b FROM files WHERE id % 10 IN (1, 2, 3)) SELECT a AS cluster, CAST(count(DISTINCT b) + 1 AS INTEGER) AS members, CAST(count(*) AS INTEGER) AS matches FROM e GROUP BY 1")
+def _(c, spark, sf):
+    m = c.files.filter("id % 10 in (1, 2, 3, 7)").select((F.col("id") - F.col("id") % 10).alias("a"), F.col("id").alias("b"), (F.col("id") % 10 != 7).alias("is_duplicate"))
+    return duplicates.match_clusters(m).select("cluster", F.size("members").alias("members"), F.size("matches").alias("matches"))
+
+
+@query("q_parse_hash", "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey * 1000003 WHEN 1 THEN o_orderkey WHEN 2 THEN o_orderkey + 10 END AS hash FROM orders", head=False)
+def _(c, spark, sf):
+    k = F.col("id")
+    text = F.when(k % 4 == 0, (k * 1000003).cast("string")).when(k % 4 == 1, F.concat(F.lit("0x"), F.hex(k))).when(k % 4 == 2, F.concat(F.lit("0X"), F.lower(F.hex(k + 10)))).otherwise("not a hash")
+    return c.files.select("id", duplicates.parse_hash(text).alias("hash"))
+
+
+# ---------------------------------------------------------------- tag post-processing
+
+_PRED = ", pred AS (SELECT l_orderkey AS file_id, CAST(l_linenumber AS INTEGER) AS position, name, l_quantity / 50.0 AS score, category FROM lineitem JOIN part_tag ON p_partkey = l_partkey JOIN tags ON id = tag_id WHERE l_linenumber <= 7 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY tag_id, l_quantity DESC) = 1)"
+
+
+def _predictions(spark: SparkSession, sf: str, c: Relations) -> DataFrame:
+    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.regexp_replace("p_name", " ", "_").alias("name"))
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").filter("l_linenumber <= 7").join(part, F.col("p_partkey") == F.col("l_partkey")).join(c.tags, "name")
+    one = rows.groupBy(F.col("l_orderkey").alias("file_id"), F.col("l_linenumber").cast("int").alias("position")).agg(F.min_by(F.struct("name", (F.col("l_quantity") / 50.0).alias("score"), "category"), F.struct("id", -F.col("l_quantity"))).alias("t"))
+    return one.select("file_id", "position", "t.name", "t.score", "t.category")
+
+
+@query("q_tags_merged", _PRED + " SELECT file_id, name, score, category FROM pred QUALIFY row_number() OVER (PARTITION BY file_id, name ORDER BY score DESC, position) = 1")
+def _(c, spark, sf):
+    return tagging.merged(_predictions(spark, sf, c))
+
+
+@query("q_tags_capped", _PRED + """, hit AS (SELECT * FROM pred WHERE score >= greatest(0.1, CASE category WHEN 0 THEN 0.5 WHEN 4 THEN 0.4 ELSE 0.0 END) QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY score DESC, position) <= 3)
+SELECT file_id, position, name, score, category FROM hit QUALIFY row_number() OVER (PARTITION BY file_id, category ORDER BY score DESC, position) <= CASE category WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 1000 END""")
+def _(c, spark, sf):
+    return tagging.capped(_predictions(spark, sf, c), thresholds={0: 0.5, 4: 0.4}, caps={0: 1, 1: 2}, base_cap=3)
+
+
+@query("q_tags_series", _PRED + _LABELS + """, passed AS (SELECT * FROM pred WHERE score >= CASE category WHEN 0 THEN 0.4 WHEN 4 THEN 0.8 WHEN 3 THEN 0.8 ELSE 0.0 END),
+carried AS (SELECT p.file_id, unnest(l.ips) AS name, p.score, 3 AS category FROM passed p JOIN labels l ON l.name = p.name WHERE p.category = 4),
+every AS (SELECT file_id, name, score, category FROM passed UNION ALL SELECT file_id, name, score, category FROM carried),
+best AS (SELECT file_id, name, max(score) AS score, arg_max(category, score * 100 + category) AS category FROM every GROUP BY 1, 2)
+SELECT file_id, name, score, category FROM best WHERE score >= CASE category WHEN 0 THEN 0.4 WHEN 4 THEN 0.8 WHEN 3 THEN 0.8 ELSE 0.0 END
+QUALIFY row_number() OVER (PARTITION BY file_id, category ORDER BY score DESC, name) <= CASE category WHEN 0 THEN 128 WHEN 4 THEN 10 WHEN 3 THEN 10 ELSE 1000000 END""")
+def _(c, spark, sf):
+    return tagging.with_series(_predictions(spark, sf, c), _labels(c))
+
+
+# ---------------------------------------------------------------- catalog maintenance
+
+
+@query("q_upsert_files", """, inc AS (SELECT CASE WHEN id % 2 = 0 THEN path ELSE '/new' || path END AS path, size + 1 AS size, CAST(NULL AS INTEGER) AS width FROM files WHERE id % 7 = 0),
+top AS (SELECT max(id) AS m FROM files), met AS (SELECT f.id, f.path, i.size, f.width, 1 AS is_present FROM inc i JOIN files f ON f.path = i.path),
+fresh AS (SELECT m + row_number() OVER (ORDER BY path) AS id, path, size, width, 1 AS is_present FROM inc, top WHERE path NOT IN (SELECT path FROM files))
+SELECT id, path, size, width, is_present FROM files WHERE path NOT IN (SELECT path FROM inc) UNION ALL SELECT * FROM met UNION ALL SELECT * FROM fresh""")
+def _(c, spark, sf):
+    new = c.files.filter("id % 7 = 0").select(F.when(F.col("id") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("/new"), F.col("path"))).alias("path"), (F.col("size") + 1).alias("size"))
+    return maintenance.upsert_files(c.files, new).select("id", "path", "size", "width", "is_present")
+
+
+_META = ", m AS (SELECT id AS mid, CAST(CASE WHEN id % 4 = 0 THEN 7 END AS INTEGER) AS w, CASE WHEN id % 6 = 0 THEN 'sig-x' END AS s FROM files WHERE id % 2 = 0)"
+
+
+def _meta(c: Relations) -> DataFrame:
+    return c.files.filter("id % 2 = 0").select("id", F.when(F.col("id") % 4 == 0, 7).alias("width"), F.when(F.col("id") % 6 == 0, "sig-x").alias("tagger_sig"))
+
+
+@query("q_update_meta", _META + " SELECT id, coalesce(w, width) AS width, coalesce(s, tagger_sig) AS tagger_sig, CASE WHEN mid IS NOT NULL THEN 1 ELSE is_present END AS is_present FROM files LEFT JOIN m ON mid = id")
+def _(c, spark, sf):
+    return maintenance.update_meta(c.files, _meta(c)).select("id", "width", "tagger_sig", "is_present")
+
+
+@query("q_update_meta_overwrite", _META + " SELECT id, coalesce(w, width) AS width, CASE WHEN mid IS NOT NULL THEN s ELSE tagger_sig END AS tagger_sig FROM files LEFT JOIN m ON mid = id")
+def _(c, spark, sf):
+    return maintenance.update_meta(c.files, _meta(c), coalesce=("width", "height")).select("id", "width", "tagger_sig")
+
+
+@query("q_upsert_meta_insert", _META + " SELECT id, path FROM files UNION ALL SELECT -id, 'placeholder:' || -id FROM files WHERE id % 50 = 0 AND id > 0")
+def _(c, spark, sf):
+    return maintenance.update_meta(c.files, c.files.filter("id % 50 = 0 and id > 0").select((-F.col("id")).alias("id"), F.lit(1).alias("width")), insert=True).select("id", "path")
+
+
+@query("q_upsert_tags", """, inc AS (SELECT trim(name) AS name, CAST((category + 1) % 6 AS INTEGER) AS category FROM tags WHERE id % 2 = 0 UNION ALL SELECT 'fresh_' || name, category FROM tags WHERE id % 3 = 0)
+SELECT id, name, category FROM tags WHERE name NOT IN (SELECT name FROM inc) UNION ALL SELECT t.id, t.name, i.category FROM inc i JOIN tags t ON t.name = i.name
+UNION ALL SELECT (SELECT max(id) FROM tags) + row_number() OVER (ORDER BY name), name, category FROM inc WHERE name NOT IN (SELECT name FROM tags)""")
+def _(c, spark, sf):
+    old = c.tags.filter("id % 2 = 0").select(F.concat(F.lit(" "), "name", F.lit(" ")).alias("name"), ((F.col("category") + 1) % 6).cast("int").alias("category"))
+    return maintenance.upsert_tags(c.tags, old.unionByName(c.tags.filter("id % 3 = 0").select(F.concat(F.lit("fresh_"), "name").alias("name"), "category")))
+
+
+@query("q_replace_links", "SELECT file_id, tag_id, score FROM file_tags WHERE file_id % 3 <> 0 UNION ALL SELECT file_id, tag_id, score / 2 FROM file_tags WHERE file_id % 6 = 0")
+def _(c, spark, sf):
+    return maintenance.replace_links(c.file_tags, c.file_tags.filter("file_id % 6 = 0").withColumn("score", F.col("score") / 2), c.files.filter("id % 3 = 0").select(F.col("id").alias("file_id")))
+
+
+@query("q_upsert_signatures", "SELECT file_id, CASE WHEN file_id % 5 = 0 THEN 42 ELSE phash_u64 END AS phash_u64, dhash_u64 FROM signatures")
+def _(c, spark, sf):
+    return maintenance.upsert_signatures(c.signatures, c.signatures.filter("file_id % 5 = 0").withColumn("phash_u64", F.lit(42).cast("bigint")))
+
+
+_ITEMS_SQL = ", links2 AS (SELECT file_id, name || '_v2' AS name, max(score) AS score FROM links WHERE file_id % 8 = 0 AND file_id % 16 <> 0 GROUP BY 1, 2), fresh AS (SELECT (SELECT max(id) FROM tags) + row_number() OVER (ORDER BY name) AS id, name FROM (SELECT DISTINCT name FROM links2))"
+
+
+def _batch(c: Relations) -> dict[str, DataFrame]:
+    flat = plan.links(c.file_tags, c.tags).filter("file_id % 8 = 0")
+    lists = flat.groupBy("file_id").agg(F.collect_list(F.when(F.col("file_id") % 16 != 0, F.struct(F.concat("name", F.lit("_v2")).alias("name"), "score", "category"))).alias("tags"))
+    items = lists.select("file_id", F.filter("tags", lambda t: t.isNotNull()).alias("tags"), F.lit(None).cast("int").alias("width"), F.lit(5).alias("height"), F.lit("sig-n").alias("tagger_sig"), F.lit(2000.0).alias("tagged_at"))
+    return maintenance.write_batch(c.files, c.tags, c.file_tags, documents.rebuild(c.files, c.file_tags, c.tags), items, k=2)
+
+
+@query("q_write_batch_links", _ITEMS_SQL + " SELECT file_id, tag_id, score FROM file_tags WHERE file_id % 8 <> 0 UNION ALL SELECT l.file_id, f.id, l.score FROM links2 l JOIN fresh f USING (name)")
+def _(c, spark, sf):
+    return _batch(c)["file_tags"]
+
+
+@query("q_write_batch_documents", _docs_sql(16) + _ITEMS_SQL.replace(", links2", ", links2", 1) + " SELECT file_id, text FROM docs WHERE file_id % 8 <> 0 UNION ALL SELECT file_id, string_agg(name, ' ' ORDER BY r) FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, name) AS r FROM links2) WHERE r <= 2 GROUP BY 1")
+def _(c, spark, sf):
+    return _batch(c)["fts_files"]
+
+
+@query("q_write_batch_files", "SELECT id, width, CASE WHEN t THEN 5 ELSE height END AS height, CASE WHEN t THEN 'sig-n' ELSE tagger_sig END AS tagger_sig, CASE WHEN t THEN 2000.0 ELSE last_tagged_at END AS last_tagged_at FROM (SELECT *, id % 8 = 0 AND EXISTS (SELECT 1 FROM file_tags x WHERE x.file_id = id) AS t FROM files)")
+def _(c, spark, sf):
+    return _batch(c)["files"].select("id", "width", "height", "tagger_sig", "last_tagged_at")
+
+
+@query("q_soft_delete", "SELECT id, CASE WHEN id % 9 = 0 THEN 0 ELSE is_present END AS is_present, CASE WHEN id % 9 = 0 THEN '2024-06-01 00:00:00' ELSE deleted_at END AS deleted_at FROM files")
+def _(c, spark, sf):
+    ids = c.files.filter("id % 9 = 0").select(F.col("id").alias("file_id"))
+    return maintenance.soft_delete(c.files, documents.rebuild(c.files, c.file_tags, c.tags), ids, "2024-06-01 00:00:00")[0].select("id", "is_present", "deleted_at")
+
+
+@query("q_soft_delete_documents", _docs_sql(16) + " SELECT file_id, text FROM docs WHERE file_id % 9 <> 0")
+def _(c, spark, sf):
+    ids = c.files.filter("id % 9 = 0").select(F.col("id").alias("file_id"))
+    return maintenance.soft_delete(c.files, documents.rebuild(c.files, c.file_tags, c.tags), ids, "x")[1]
+
+
+@query("q_hard_delete", "SELECT 'files' AS relation, count(*) AS n FROM files WHERE id % 9 <> 0 UNION ALL SELECT 'file_tags', count(*) FROM file_tags WHERE file_id % 9 <> 0 UNION ALL SELECT 'signatures', count(*) FROM signatures WHERE file_id % 9 <> 0")
+def _(c, spark, sf):
+    left = maintenance.hard_delete({"files": c.files, "file_tags": c.file_tags, "signatures": c.signatures}, c.files.filter("id % 9 = 0").select(F.col("id").alias("file_id")))
+    one = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("relation"), "n") for k, df in left.items()]
+    return one[0].unionByName(one[1]).unionByName(one[2])
+
+
+@query("q_retag_query", f"SELECT f.id, CASE WHEN {_HAS} l.name = 'small_ring') THEN NULL ELSE tagger_sig END AS tagger_sig FROM files f")
+def _(c, spark, sf):
+    return maintenance.retag_query(c.files, c.file_tags, c.tags, "small_ring")[0].select("id", "tagger_sig")
+
+
+@query("q_retag_all", "SELECT id FROM files WHERE tagger_sig = 'sig-a'")
+def _(c, spark, sf):
+    return maintenance.retag_all(c.files, "sig-a", force=False)[1]
+
+
+@query("q_retag_scan", "SELECT id, path, TRUE AS needs_tagging FROM files WHERE is_present = 1 AND id % 13 = 0 AND id > 0")
+def _(c, spark, sf):
+    ids = c.files.filter("id % 13 = 0").select("id")
+    return maintenance.retag_scan(c.files, ids.union(ids).union(ids.select(-F.col("id"))))
+
+
+@query("q_mark_indexed", "SELECT id, CASE WHEN id % 4 = 1 THEN 77.0 ELSE indexed_at END AS indexed_at FROM files")
+def _(c, spark, sf):
+    return maintenance.mark_indexed(c.files, c.files.filter("id % 4 = 1").select("id"), 77.0).select("id", "indexed_at")
+
+
+_SCAN = """, stored AS (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN 'h' || id ELSE 'k' || id END AS sha256) FROM files), listing AS (SELECT CASE WHEN id % 19 = 0 THEN '/new' || path ELSE path END AS path, CASE WHEN id % 5 = 0 THEN size + 1 ELSE size END AS size, mtime, 'h' || id AS sha256 FROM stored WHERE id % 23 <> 0),
+found AS (SELECT coalesce(l.path, k.path) AS path, k.id, k.id IS NULL AS is_new, k.id IS NOT NULL AND l.path IS NOT NULL AND (l.size <> k.size) AND l.sha256 <> k.sha256 AS is_changed, l.path IS NULL AS is_missing,
+  l.path IS NOT NULL AND (k.id IS NULL OR ((l.size <> k.size) AND l.sha256 <> k.sha256) OR NOT EXISTS (SELECT 1 FROM file_tags t WHERE t.file_id = k.id) OR k.tagger_sig IS DISTINCT FROM 'sig-a') AS needs_tagging
+  FROM listing l FULL JOIN stored k ON l.path = k.path WHERE l.path IS NOT NULL OR k.is_present = 1)"""
+
+
+def _scan(c: Relations) -> DataFrame:
+    stored = c.files.withColumn("sha256", F.concat(F.when(F.col("id") % 2 == 0, "h").otherwise("k"), F.col("id").cast("string")))
+    listing = stored.filter("id % 23 <> 0").select(F.when(F.col("id") % 19 == 0, F.concat(F.lit("/new"), "path")).otherwise(F.col("path")).alias("path"), F.when(F.col("id") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "mtime", F.concat(F.lit("h"), F.col("id").cast("string")).alias("sha256"))
+    return maintenance.changes(listing, stored, c.file_tags, "sig-a")
+
+
+@query("q_scan_changes", _SCAN + " SELECT path, id, is_new, is_changed, is_missing, needs_tagging FROM found")
+def _(c, spark, sf):
+    return _scan(c).select("path", "id", "is_new", "is_changed", "is_missing", "needs_tagging")
+
+
+@query("q_scan_counters", _SCAN + " SELECT count(*) FILTER (NOT is_missing) AS scanned, count(*) FILTER (is_new) AS new, count(*) FILTER (is_changed) AS changed, count(*) FILTER (is_missing) AS missing, count(*) FILTER (needs_tagging) AS queued FROM found")
+def _(c, spark, sf):
+    return maintenance.counters(_scan(c))
+
+
+@query("q_refresh_queue", "SELECT path FROM files WHERE id % 6 = 0 OR id % 10 = 0")
+def _(c, spark, sf):
+    return maintenance.queue(c.files.filter("id % 6 = 0"), c.files.filter("id % 10 = 0"))
+
+
+@query("q_refresh_missing", "SELECT id FROM files WHERE id % 6 <> 0")
+def _(c, spark, sf):
+    return maintenance.missing(c.files, c.files.filter("id % 6 = 0")).select("id")
+
+
+# ---------------------------------------------------------------- functions, exports, measures
+
+
+@query("q_stats_export", _STATS.replace("SELECT category, name", "SELECT CASE category WHEN 0 THEN 'general' WHEN 1 THEN 'artist' WHEN 2 THEN 'rating' WHEN 3 THEN 'copyright' WHEN 4 THEN 'character' ELSE 'meta' END AS \"Category\", name AS \"Tag\"").replace("AS files, round(avg(score), 9) AS avg_score, max(score) AS max_score", "AS \"Files\", count(*) AS n, printf('%.3f', max(score)) AS \"MaxScore\"") + "TRUE GROUP BY 1, 2")
+def _(c, spark, sf):
+    return export.stats_rows(stats.tag_stats(c.tags, c.file_tags, c.files)).drop("AvgScore").withColumn("n", F.col("Files"))
+
+
+@query("q_scalars", "SELECT id, CASE WHEN size >= 1048576 THEN printf('%.1f MB', size / 1048576) WHEN size >= 1024 THEN printf('%.1f KB', size / 1024) ELSE size || ' B' END AS human, CASE WHEN width IS NULL THEN '-' ELSE width || ' x ' || height END AS dims, regexp_extract(path, '\\.([a-z]+)$', 1) AS ext, sha256(path) AS digest, coalesce(CAST(width AS BIGINT) * height, 0) AS res FROM files")
+def _(c, spark, sf):
+    return c.files.select("id", scalar.human_size(F.col("size")).alias("human"), scalar.dimensions(F.col("width"), F.col("height")).alias("dims"), scalar.suffix(F.col("path")).alias("ext"), F.sha2(F.col("path").cast("binary"), 256).alias("digest"), scalar.resolution(F.col("width"), F.col("height")).cast("bigint").alias("res"))
+
+
+@query("q_category_normalise", "SELECT o_orderkey AS id, CAST(CASE o_orderkey % 5 WHEN 0 THEN 4 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN NULL ELSE 7 END AS INTEGER) AS category FROM orders", head=False)
+def _(c, spark, sf):
+    k = F.col("id") % 5
+    text = F.when(k == 0, " Character ").when(k == 1, "3").when(k == 2, "2.9").when(k == 3, "nothing").otherwise("7")
+    return c.files.select("id", thr.category_id_column(text).alias("category"))
+
+
+@query("q_compact_counts", "SELECT id, CASE WHEN size >= 1000000 THEN regexp_replace(printf('%.1f', size / 1000000.0), '\\.0$', '') || 'M' WHEN size >= 1000 THEN regexp_replace(printf('%.1f', size / 1000.0), '\\.0$', '') || 'k' ELSE CAST(size AS VARCHAR) END AS text FROM files")
+def _(c, spark, sf):
+    return c.files.select("id", scalar.compact_count(F.col("size")).alias("text"))
+
+
+@query("q_string_lists", "SELECT id, CASE id % 3 WHEN 0 THEN 'a' || id || '|b' WHEN 1 THEN 'solo' || id ELSE '' END AS items FROM files")
+def _(c, spark, sf):
+    k = F.col("id").cast("string")
+    text = F.when(F.col("id") % 3 == 0, F.concat(F.lit('[" a'), k, F.lit('", "", "b "]'))).when(F.col("id") % 3 == 1, F.concat(F.lit('"solo'), k, F.lit('"'))).otherwise("{bad")
+    return c.files.select("id", F.array_join(scalar.string_list(text), "|").alias("items"))
+
+
+@query("q_export_targets", ", t AS (SELECT id, path, 'f' || (id % 100) || '.png' AS base FROM files WHERE id % 3 = 0) SELECT id, '/out/' || CASE WHEN n = 1 THEN base ELSE replace(base, '.png', '_' || n || '.png') END AS target FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM t)")
+def _(c, spark, sf):
+    same = c.files.filter("id % 3 = 0").select("id", F.concat(F.lpad(F.col("id").cast("string"), 12, "0"), F.lit("/f"), (F.col("id") % 100).cast("string"), F.lit(".png")).alias("path"))
+    return export.destinations(same, "/out").select("id", "target")
+
+
+@query("q_nearest_rank", "SELECT l_returnflag, round(avg(l_quantity), 6) AS mean, min(l_quantity) FILTER (r >= ceil(0.5 * n)) AS p50, min(l_quantity) FILTER (r >= ceil(0.95 * n)) AS p95 FROM (SELECT l_returnflag, l_quantity, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) GROUP BY 1", head=False)
+def _(c, spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_returnflag", "l_quantity")
+    return metrics.nearest_rank(rows, "l_quantity", by=("l_returnflag",)).withColumn("mean", F.round("mean", 6))
+
+
+@query("q_calibrate", """WITH s AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, l_quantity AS x FROM lineitem), t AS (SELECT sum(y) AS p, sum(1 - y) AS n FROM s),
+c AS (SELECT x, sum(y) AS y, sum(1 - y) AS z FROM s GROUP BY 1), w AS (SELECT x, y, z, sum(y) OVER (ORDER BY x DESC) AS tp, sum(z) OVER (ORDER BY x DESC) AS fp FROM c)
+SELECT (SELECT x FROM w, t ORDER BY round(tp / p - fp / n, 12) DESC, x DESC LIMIT 1) AS threshold, round(sum(z * (tp - y / 2.0)) / max(p * n), 6) AS auc, round(sum(CAST(y AS DOUBLE) / p * tp / (tp + fp)), 6) AS average_precision FROM w, t""", head=False)
+def _(c, spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("label"), F.col("l_quantity").alias("ssim"))
+    return metrics.calibrate(rows, "ssim").select("threshold", F.round("auc", 6).alias("auc"), F.round("average_precision", 6).alias("average_precision"))
+
+
+@query("q_content_digest", "SELECT sha256(text) AS digest, count(*) AS n FROM documents GROUP BY 1", head=False)
+def _(c, spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.count("*").alias("n"))
+
+
+@query("q_load_metrics", "SELECT event_type AS route, count(*) AS count, round(sum(value), 4) AS seconds FROM events GROUP BY 1", head=False)
+def _(c, spark, sf):
+    from tagloom.sources.listing import load_metrics
+
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(F.concat(F.lit("/x/"), F.col("event_id").cast("string"), F.lit(".png")).alias("path"), F.col("event_type").alias("route"), F.col("value").alias("seconds"))
+    return load_metrics(rows)[0].withColumn("seconds", F.round("seconds", 4))
+
+
+@query("q_dummy_tagging")
+def _(c, spark, sf):
+    """The tagger protocol over every file: the fixed tag of the dummy, merged as links."""
+    rows = c.files.select(F.col("id").alias("file_id"), F.col("path").cast("binary").alias("content"))
+    tagged = tagging.tag(rows, tagging.DummyTagger)
+    return tagged.select("file_id", F.posexplode("tags").alias("position", "t")).select("file_id", "t.name", "t.score", "t.category")
+
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+@query("q_image_signatures")
+def _(c, spark, sf):
+    """pHash and dHash of a small PNG made of each page's id."""
+    from tagloom.functions import images
 
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("file_id"))
 
-def queries() -> dict:
-    return {}
+    def draw(frames):
+        import numpy as np
+        import pandas as pd
 
+        for f in frames:
+            yield pd.DataFrame({"file_id": f["file_id"], "content": [images.encode_png((np.random.default_rng(int(i) // 2).random((24, 24, 3)) * 255).astype(np.uint8)) for i in f["file_id"]]})
 
-def oracle_sql() -> dict:
-    return {}
+    return images.signatures(pages.mapInPandas(draw, "file_id bigint, content binary"))
