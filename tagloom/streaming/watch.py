@@ -21,9 +21,13 @@ from tagloom.sources.catalog import Catalog
 from tagloom.sources.listing import suffixes
 
 
+# Fixed value: the schema of Spark's binary file source.
+BINARY = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def arrivals(spark: SparkSession, folder: str, *, extensions: Iterable[str] | None = None, per_trigger: int = 1000) -> DataFrame:
     """A stream of path, size, mtime, content of image files that come into a folder or below it."""
-    rows = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(folder)
+    rows = spark.readStream.format("binaryFile").schema(BINARY).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", per_trigger).load(folder)
     kinds = "(" + "|".join("\\" + s for s in suffixes(extensions)) + ")$"
     path = F.regexp_replace("path", "^file:(//)?(?=/)", "")
     return rows.filter(F.lower("path").rlike(kinds)).select(path.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), "content")
