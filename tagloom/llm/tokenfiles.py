@@ -9,7 +9,7 @@ counts of the parts before it. Documents ascend by doc_id over the parts (null i
 Parts are cut by range, so no part holds more than its share, and a task writes under a name of its own and renames,
 so that a task that runs again or twice leaves one whole file. Words between white space are encoded once per worker
 process and batch, which is exact: the tokenizer drops white space, and neither its normaliser nor its pattern reaches
-across white space.
+across white space (and words of plain characters are cut at marks, see ``Pieces``).
 
 Defined results: a null or empty text has the end id alone; an empty table gives a data set without documents;
 repeated ids keep a row each; further columns are ignored.
@@ -17,7 +17,9 @@ repeated ids keep a row each; further columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import shutil
 import tempfile
 import zlib
@@ -32,56 +34,114 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words whose ids a worker process remembers; beyond that it starts afresh.
-MEMORY_WORDS = 400_000
+#: Pieces whose ids a worker process remembers; beyond that it starts afresh.
+MEMORY_PIECES = 600_000
+#: Pieces joined into one text for the tokenizer.
+JOINED = 4000
+#: Characters that are letters or digits in every version of Unicode that a library may carry and stay one when lower-cased, and marks other than the apostrophe.
+LETTERS, DIGITS, MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f", "0-9", "!-&(-/:-@\\[-`{-~"
 
 _state: dict = {}
 
 
-def _tokenizer(path: str):
-    if _state.get("path") != path:
+class Pieces:
+    """The tokenizer of a file with the ids of the pieces met so far.
+
+    A piece is a word between white space, or, in a word of plain letters, digits and marks (no apostrophes), a run of
+    marks or what stands between such runs: the pattern never matches across these borders. A run of letters or of
+    marks is one match, and the last token of a match bears the end-of-word suffix, so many are encoded as one text and
+    told apart by it; any other piece is encoded by itself.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # the strings of special tokens are ordinary text in a document
-        _state.clear()
-        _state.update(path=path, tokenizer=t, known={}, kind=np.dtype("<u2") if t.get_vocab_size() <= 1 << 16 else np.dtype("<u4"))
-    return _state
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text in a document
+        vocab = self.tokenizer.get_vocab()
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or None
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        if suffix:
+            self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.single = re.compile(f"[{LETTERS}]+|[{MARKS}]+") if suffix else None
+        self.kind = np.dtype("<u2") if len(self.last) <= 1 << 16 else np.dtype("<u4")
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.lens, self.ids = np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def learn(self, pieces: list[str]) -> None:
+        lens, ids = [self.lens], [self.ids]
+        whole = [p for p in pieces if self.single and self.single.fullmatch(p)]
+        rest = [p for p in pieces if not (self.single and self.single.fullmatch(p))]
+        for i in range(0, len(whole), JOINED):
+            some = whole[i : i + JOINED]
+            got = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, self.kind)
+            ends = np.flatnonzero(self.last[got]) + 1
+            if len(ends) != len(some) or (len(ends) and ends[-1] != len(got)):
+                rest += some
+                continue
+            self.index.update(zip(some, range(len(self.index), len(self.index) + len(some)), strict=True))
+            lens.append(np.diff(ends, prepend=0))
+            ids.append(got)
+        for i in range(0, len(rest), JOINED):
+            for p, e in zip(rest[i : i + JOINED], self.tokenizer.encode_batch_fast(rest[i : i + JOINED], add_special_tokens=False), strict=True):
+                self.index[p] = len(self.index)
+                lens.append(np.array([len(e.ids)]))
+                ids.append(np.array(e.ids, self.kind))
+        self.lens, self.ids = np.concatenate(lens), np.concatenate(ids)
+
+    def of(self, pieces: list[str]) -> pa.ListArray:
+        """The ids of each piece."""
+        new = [p for p in pieces if p not in self.index]
+        if len(self.index) + len(new) > MEMORY_PIECES:
+            self.forget()
+            new = pieces
+        if new:
+            self.learn(new)
+        at = np.fromiter((self.index[p] for p in pieces), np.int64, len(pieces))
+        known = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(self.lens)]).astype(np.int32)), pa.array(self.ids))
+        return known.take(pa.array(at))
+
+
+def _pieces(path: str) -> Pieces:
+    if _state.get("path") != path:
+        _state.update(path=path, pieces=Pieces(path))
+    return _state["pieces"]
+
+
+def _split(words: pa.Array) -> pa.ListArray:
+    """The pieces of each word."""
+    plain = pc.match_substring_regex(words, f"^[{LETTERS}{DIGITS}{MARKS}]*$")
+    return pc.ascii_split_whitespace(pc.if_else(plain, pc.replace_substring_regex(words, f"([{MARKS}]+)", r" \1 "), words))
 
 
 def encode_texts(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of the texts, with the end id after each."""
-    s = _tokenizer(path)
-    flat_parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    flat = flat_parts.flatten()
-    off = flat_parts.offsets.to_numpy().astype(np.int64)
-    off = off - off[0]
-    enc = flat.dictionary_encode()
-    codes = enc.indices.to_numpy(zero_copy_only=False)
-    words = enc.dictionary.to_pylist()
-    known: dict[str, np.ndarray] = s["known"]
-    new = [w for w in words if w not in known]
-    if len(known) + len(new) > MEMORY_WORDS:
-        known.clear()
-        new = words
-    for i in range(0, len(new), 20_000):
-        some = new[i : i + 20_000]
-        for w, e in zip(some, s["tokenizer"].encode_batch_fast(some, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, s["kind"])
-    of = [known[w] for w in words]
-    lens = np.fromiter((len(x) for x in of), np.int64, len(of))
-    starts = np.concatenate([[0], np.cumsum(lens)])[:-1] if len(of) else np.zeros(0, np.int64)
-    pool = np.concatenate(of) if of else np.zeros(0, s["kind"])
-    n = lens[codes] if len(codes) else np.zeros(0, np.int64)
-    ends = np.cumsum(n)
-    total = int(ends[-1]) if len(n) else 0
-    ids = pool[np.repeat(starts[codes] - (ends - n), n) + np.arange(total)] if total else np.zeros(0, s["kind"])
-    doc = np.concatenate([[0], ends])[off]
-    if end_id is not None:
-        ids = np.insert(ids, doc[1:], end_id)
-        doc = doc + np.arange(len(doc))
-    return ids.astype(s["kind"], copy=False), doc
+    tok = _pieces(path)
+    codes, off, words = common.tokens(texts)  # lower-casing A-Z first is what the tokenizer would do
+    parts = _split(words)
+    flat = parts.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)
+    ends = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[parts.offsets.to_numpy() - parts.offsets[0].as_py()] if len(words) else np.zeros(1, np.int64)
+    enc = flat.filter(full).dictionary_encode()
+    by_piece = tok.of(enc.dictionary.to_pylist())
+    pooled = by_piece.take(enc.indices.cast(pa.int64()))
+    # ids of each distinct word: those of its pieces one after another; the end of a text is a word of its own
+    starts = pooled.offsets.to_numpy()[ends].astype(np.int64)
+    values = pooled.values.to_numpy()
+    tail = [end_id] if end_id is not None else []
+    by_word = pa.ListArray.from_arrays(pa.array(np.append(starts, starts[-1] + len(tail)).astype(np.int32)), pa.array(np.append(values[: starts[-1]], np.array(tail, tok.kind)).astype(tok.kind)))
+    count = len(off) - 1
+    at = np.full(len(codes) + count, len(words), np.int64)
+    inner = np.ones(len(at), bool)
+    inner[off[1:] + np.arange(count)] = False
+    at[inner] = codes
+    out = by_word.take(pa.array(at))
+    where = out.offsets.to_numpy().astype(np.int64)
+    return out.values.to_numpy()[where[0] : where[-1]], (where - where[0])[np.concatenate([[0], off[1:] + np.arange(1, count + 1)])]
 
 
 def _local(uri: str) -> str | None:
