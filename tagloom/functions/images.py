@@ -7,6 +7,7 @@ with or without interlacing off) from bytes itself; other formats go through Pil
 
 from __future__ import annotations
 
+import hashlib
 import io
 import struct
 import zlib
@@ -311,6 +312,11 @@ def missing_signatures(contents: DataFrame, stored: DataFrame, *, force: bool =
     return signatures(contents if force else contents.join(stored.select("file_id"), "file_id", "left_anti"))
 
 
+def thumbnail_key(path: str, size: int, mtime: float, side: int, mode: str = "RGB", kind: str = "png") -> str:
+    """The name under which a picture's thumbnail is cached; another size, time or form gives another."""
+    return hashlib.sha1(f"{path}|{size}|{mtime:.6f}|{side}x{side}|{mode}|{kind}".encode()).hexdigest()
+
+
 def thumbnails(contents: DataFrame, side: int = 256) -> DataFrame:
     """file_id and a PNG no side of which exceeds ``side``."""
 

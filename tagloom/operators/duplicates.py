@@ -197,3 +197,30 @@ def parse_hash(c: Column) -> Column:
 def hash_of_bytes(c: Column) -> Column:
     """A 64-bit hash from up to 8 bytes, most significant first."""
     return F.when(F.octet_length(c).between(1, 8), parse_hash(F.concat(F.lit("0x"), F.hex(c))))
+
+
+def from_rows(rows: DataFrame, names: tuple[str, ...] = ("phash", "phash_u64", "phash64", "hash")) -> DataFrame:
+    """rows with ``phash`` parsed from the first of these columns that holds a hash (text, number or bytes); rows without one go."""
+    found = []
+    for n in names:
+        if n in rows.columns:
+            kind = dict(rows.dtypes)[n]
+            found.append(hash_of_bytes(F.col(n)) if kind == "binary" else F.col(n).cast("bigint") if kind in ("bigint", "int", "smallint", "tinyint") else parse_hash(F.col(n)))
+    if not found:
+        raise ValueError("no column holds a hash")
+    return rows.withColumn("phash", F.coalesce(*found)).filter("phash is not null")
+
+
+def patched(files: DataFrame, computed: DataFrame) -> DataFrame:
+    """files with missing phash and dhash filled from computed signatures (file_id, phash_u64, dhash_u64)."""
+    j = files.join(computed.select(F.col("file_id").alias("__f"), "phash_u64", "dhash_u64"), F.col("id") == F.col("__f"), "left")
+    return j.withColumn("phash", F.coalesce("phash", "phash_u64")).withColumn("dhash", F.coalesce("dhash", "dhash_u64")).drop("__f", "phash_u64", "dhash_u64")
+
+
+def trash(relations: dict[str, DataFrame], clustered: DataFrame, outcome: DataFrame, at: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Relations and clusters after files were moved to the trash: outcome (id, ok). Those that failed stay."""
+    from tagloom.operators.maintenance import soft_delete
+
+    gone = outcome.filter("ok").select("id")
+    files, documents = soft_delete(relations["files"], relations["fts_files"], gone.select(F.col("id").alias("file_id")), at)
+    return {**relations, "files": files, "fts_files": documents}, without(clustered, gone)

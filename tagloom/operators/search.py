@@ -108,14 +108,26 @@ def by_path(files: DataFrame, path: str) -> DataFrame:
     return files.filter(F.col("path") == path)
 
 
+def by_paths(files: DataFrame, file_tags: DataFrame, paths: DataFrame) -> DataFrame:
+    """The stored rows of many paths (path) at once, with ``has_tags``: one join each, whatever their number."""
+    tagged = file_tags.select(F.col("file_id").alias("__t")).distinct()
+    rows = files.join(paths.select("path"), "path", "left_semi").join(tagged, F.col("id") == F.col("__t"), "left")
+    return rows.withColumn("has_tags", F.col("__t").isNotNull()).drop("__t")
+
+
+def with_stored(files: DataFrame, file_tags: DataFrame, tags: DataFrame, query: str, stored: DataFrame) -> DataFrame:
+    """Matching files under the thresholds of the relation (category, threshold)."""
+    return matching(files, file_tags, tags, query, thr.load(stored))
+
+
 def any_files(files: DataFrame) -> bool:
     return not files.limit(1).isEmpty()
 
 
-def shown_tags(tags: Column, thresholds: Mapping | None = None) -> Column:
-    """Of an array of tag structs those that reach their category's threshold."""
+def shown_tags(tags: Column, thresholds: Mapping | None = None, floor: float | None = None) -> Column:
+    """Of an array of tag structs those that reach their category's threshold, or ``floor`` where one is given (0.1 when copying)."""
     limits = thr.for_relevance(thresholds)
-    return F.filter(tags, lambda t: t["score"] >= thr.by_category(t["category"], limits))
+    return F.filter(tags, lambda t: t["score"] >= (F.lit(float(floor)) if floor is not None else thr.by_category(t["category"], limits)))
 
 
 def within(files: DataFrame, root: str, *, recursive: bool = True) -> DataFrame:

@@ -155,6 +155,21 @@ class OnnxTagger:
         return [[(self.labels[i][0], s, self.labels[i][1]) for i, s in row] for row in post_process(scores, kinds, **self.how)]
 
 
+def resolve(name: str, model: str | None = None, tags_csv: str | None = None, **how) -> Callable[[], Tagger]:
+    """A factory for the named tagger, called once a task: ``dummy``, or an ONNX model with its label file."""
+    if name == "dummy":
+        return DummyTagger
+    if not model:
+        raise ValueError(f"the tagger {name!r} needs a model")
+    from tagloom.sources import labels
+
+    found = labels.discover(model, tags_csv)
+    if found is None:
+        raise FileNotFoundError(f"no label file for {model}")
+    names = [(x.name, x.category) for x in labels.load(found)]
+    return lambda: OnnxTagger(model, names, providers=labels.providers(), **how)
+
+
 def _halving(infer: Callable, batch: list, failed: list) -> list:
     """Results of a batch; where it fails, of its halves; None for single images that fail."""
     try:

@@ -155,9 +155,19 @@ def _(c, spark, sf):
 
 @query("q_bulk_lookup", "SELECT f.id, f.path, EXISTS (SELECT 1 FROM file_tags t WHERE t.file_id = f.id) AS has_tags FROM files f WHERE f.id % 17 = 0")
 def _(c, spark, sf):
-    listing = c.files.filter("id % 17 = 0").select("path")
-    tagged = c.file_tags.select(F.col("file_id").alias("t")).distinct()
-    return c.files.join(listing, "path", "left_semi").join(tagged, F.col("id") == F.col("t"), "left").select("id", "path", F.col("t").isNotNull().alias("has_tags"))
+    return search.by_paths(c.files, c.file_tags, c.files.filter("id % 17 = 0").select("path")).select("id", "path", "has_tags")
+
+
+@query("q_stored_thresholds", f"SELECT f.id FROM files f WHERE {_HAS} l.name = 'small_ring' AND l.score >= CASE l.category WHEN 0 THEN 0.35 WHEN 3 THEN 0.25 WHEN 4 THEN 0.6 ELSE 0.0 END) AND f.is_present = 1")
+def _(c, spark, sf):
+    stored = spark.createDataFrame([("character", 0.6), ("4.5x", 0.1)], "category string, threshold double")
+    return search.with_stored(c.files, c.file_tags, c.tags, "small_ring", stored).select("id")
+
+
+@query("q_copied_tags", ", page AS (SELECT id FROM files WHERE is_present = 1 ORDER BY id LIMIT 300) SELECT p.id, count(l.name) FILTER (WHERE l.score >= 0.1) AS n FROM page p LEFT JOIN links l ON l.file_id = p.id GROUP BY 1")
+def _(c, spark, sf):
+    page = search.search(c.files, c.file_tags, c.tags, "", order_by="f.id ASC", limit=300)
+    return page.select("id", F.size(search.shown_tags(F.col("tags"), floor=0.1)).cast("bigint").alias("n"))
 
 
 # ---------------------------------------------------------------- statistics, names, completion
@@ -359,6 +369,19 @@ def _(c, spark, sf):
     return duplicates.without(found, found.filter("id % 4 = 0")).select("cluster", "id", "is_keeper")
 
 
+@query("q_dup_patched", "SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE phash_u64 END AS phash FROM files JOIN signatures ON file_id = id WHERE is_present = 1")
+def _(c, spark, sf):
+    bare = duplicates.listing(c.files, c.signatures.limit(0))
+    return duplicates.patched(bare, c.signatures.filter("file_id % 3 <> 0")).select("id", "phash")
+
+
+@query("q_dup_trash", _CLUSTERS + ", gone AS (SELECT id FROM p WHERE is_keeper = 0 AND id % 2 = 0) SELECT f.id, CASE WHEN g.id IS NULL THEN f.is_present ELSE 0 END AS is_present FROM files f LEFT JOIN gone g USING (id)")
+def _(c, spark, sf):
+    found = _clusters(c)
+    outcome = duplicates.checked(found).select("id", (F.col("id") % 2 == 0).alias("ok"))
+    return duplicates.trash({"files": c.files, "fts_files": documents.rebuild(c.files, c.file_tags, c.tags)}, found, outcome, "2024-06-01 00:00:00")[0]["files"].select("id", "is_present")
+
+
 @query("q_match_clusters", ", e AS (SELECT id - id % 10 AS a, id AS b FROM files WHERE id % 10 IN (1, 2, 3)) SELECT a AS cluster, CAST(count(DISTINCT b) + 1 AS INTEGER) AS members, CAST(count(*) AS INTEGER) AS matches FROM e GROUP BY 1")
 def _(c, spark, sf):
     m = c.files.filter("id % 10 in (1, 2, 3, 7)").select((F.col("id") - F.col("id") % 10).alias("a"), F.col("id").alias("b"), (F.col("id") % 10 != 7).alias("is_duplicate"))

@@ -89,6 +89,17 @@ def test_parse_hash(spark):
     assert spark.createDataFrame([(bytearray(b"\0" * 7 + b"{"),)], "b binary").select(duplicates.hash_of_bytes(F.col("b"))).first()[0] == 123
 
 
+def test_hash_columns(spark):
+    rows = spark.createDataFrame([(1, "0x10", None), (2, None, bytearray(b"{")), (3, "nope!", None)], "id long, phash string, hash binary")
+    assert [(r.id, r.phash) for r in duplicates.from_rows(rows).orderBy("id").collect()] == [(1, 16), (2, 123)]
+    with pytest.raises(ValueError):
+        duplicates.from_rows(rows.select("id"))
+    assert tagging.resolve("dummy") is tagging.DummyTagger
+    with pytest.raises(ValueError):
+        tagging.resolve("wd")
+    assert images.thumbnail_key("/a", 1, 2.0, 64) != images.thumbnail_key("/a", 1, 2.5, 64)
+
+
 def test_match_clusters(spark):
     m = spark.createDataFrame([(1, 2, True), (2, 3, True), (4, 5, True), (3, 5, False)], "a long, b long, is_duplicate boolean")
     assert {r.cluster: r.members for r in duplicates.match_clusters(m).collect()} == {1: [1, 2, 3], 4: [4, 5]}
