@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 #: Bytes of text that one chunk of documents holds before it is worked on; a single longer text is a chunk.
 CHUNK_BYTES = 8 << 20
+#: The same for work whose results don't depend on how texts are grouped.
+SMALL_CHUNK = 3 << 20
 #: Documents that one chunk holds at most: their place in it fits in 13 bits.
 CHUNK_DOCS = 1 << 13
 
@@ -76,6 +78,12 @@ def crc_mod(n: int, col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def steady(df: DataFrame, what: str) -> DataFrame:
+    """df, written first if its rows come out of a shuffle: then a task that runs again meets its rows in the same order."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return written(df, what) if "Exchange" in plan or "Scan ExistingRDD" in plan else df
+
+
 # ---------------------------------------------------------------- tokens
 
 
@@ -124,8 +132,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- chunks
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Batches dealt anew so that each holds about CHUNK_BYTES of text and CHUNK_DOCS rows at most."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches dealt anew so that each holds about ``most`` bytes of text and CHUNK_DOCS rows at most."""
     held: list[pa.RecordBatch] = []
     size = rows = 0
 
@@ -140,13 +148,13 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         start = 0
         while start < b.num_rows:
             base = ends[start - 1] if start else 0
-            stop = int(np.searchsorted(ends, base + CHUNK_BYTES - size, side="left")) + 1
+            stop = int(np.searchsorted(ends, base + most - size, side="left")) + 1
             stop = min(max(stop, start + 1), b.num_rows, start + CHUNK_DOCS - rows)
             held.append(b.slice(start, stop - start))
             size += int(ends[stop - 1] - base)
             rows += stop - start
             start = stop
-            if size >= CHUNK_BYTES or rows >= CHUNK_DOCS:
+            if size >= most or rows >= CHUNK_DOCS:
                 yield out()
                 held, size, rows = [], 0, 0
     if held:
@@ -169,6 +177,11 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def sent(carried: str, text: str = "text") -> str:
+    """Under which name a carried column is sent to Python: the text goes there once, as what is worked on."""
+    return "__text" if carried == text else f"kept_{carried}"
+
+
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     """The part that a hash falls into when the range of hashes is cut into equal parts: rising with the hash."""
     return (((h >> U64(32)) * U64(parts)) >> U64(32)).astype(np.int64)

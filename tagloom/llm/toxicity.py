@@ -1,7 +1,8 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the bag of its hashed character n-grams and of itself; a stretch of text is the average of its words; a
-linear softmax over the average gives the probability of label 1. Embeddings and softmax are trained together. As
+A word is the bag of its hashed character n-grams; a stretch of text is the average of its words; a linear softmax over
+the average gives the probability of label 1. Embeddings and softmax are trained together, and training leaves out each
+n-gram half of the time without making up for it, so that part of a word's n-grams suffice to know it when misspelt. As
 averaging and softmax weights are linear, a word has one number, its logit, and a stretch the average of those: scoring
 looks every distinct word up once. A text is read as overlapping windows of ``window`` words and scored by its most
 toxic window, so that length doesn't dilute; training takes, of each text, the window that scores highest just then.
@@ -30,16 +31,17 @@ from . import common
 
 @dataclass(frozen=True)
 class Settings:
-    per_class: int = 4000
+    per_class: int = 2000
     buckets: int = 1 << 17
     dim: int = 8
     sizes: tuple[int, ...] = (3, 4, 5)
-    window: int = 3
+    window: int = 2
     epochs: int = 15
     least_updates: int = 1000
     batch: int = 128
     rate: float = 0.1
     decay: float = 0.0
+    keep: float = 0.5
     seed: int = 7
 
 
@@ -52,10 +54,15 @@ class Model:
     sizes: tuple[int, ...]
     window: int
 
-    def words(self, words: pa.Array) -> np.ndarray:
-        ids, of = common.char_grams(words, self.sizes, len(self.logit))
-        n = len(words)
-        return np.bincount(of, self.logit[ids], n) / np.maximum(1, np.bincount(of, minlength=n))
+    def words(self, words: pa.Array, step: int = 50_000) -> np.ndarray:
+        """The logit of each distinct word, some at a time: n-grams take many times the room of their words."""
+        out = np.zeros(len(words))
+        for i in range(0, len(words), step):
+            some = words.slice(i, step)
+            ids, of = common.char_grams(some, self.sizes, len(self.logit), whole=False)
+            n = len(some)
+            out[i : i + step] = np.bincount(of, self.logit[ids], n) / np.maximum(1, np.bincount(of, minlength=n))
+        return out
 
     def texts(self, texts: pa.Array) -> np.ndarray:
         codes, off, words = common.tokens(texts)
@@ -80,17 +87,25 @@ def best_windows(values: np.ndarray, off: np.ndarray, window: int) -> tuple[np.n
     return best, at
 
 
+def by_word(words: pa.Array, s: Settings, step: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, numbers of them) of the words in order, some words at a time to keep the driver's memory low."""
+    ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for i in range(0, len(words), step):
+        some = words.slice(i, step)
+        g, of = common.char_grams(some, s.sizes, s.buckets, whole=False)
+        ids.append(g[np.argsort(of, kind="stable")].astype(np.int32))
+        counts.append(np.bincount(of, minlength=len(some)))
+    return np.concatenate(ids), np.concatenate(counts)
+
+
 def fit(texts: list[str], labels: list[int], s: Settings) -> Model | None:
     """Adagrad on the cross entropy of each text's highest window, all texts weighing so that both labels weigh alike."""
     y = np.asarray(labels, np.float64)
     if not len(y) or y.min() == y.max():
         return None
     codes, off, words = common.tokens(pa.array(texts, pa.string()))
-    ids, of = common.char_grams(words, s.sizes, s.buckets)
-    order = np.argsort(of, kind="stable")
-    ids = ids[order]
-    first = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(words)))])
-    grams = np.diff(first)
+    ids, grams = by_word(words, s)
+    first = np.concatenate([[0], np.cumsum(grams)])
     rng = np.random.default_rng(s.seed)
     emb = rng.normal(0, 1 / s.dim, (s.buckets, s.dim)).astype(np.float32)
     soft = rng.normal(0, 1, (2, s.dim)).astype(np.float32)
@@ -121,6 +136,9 @@ def fit(texts: list[str], labels: list[int], s: Settings) -> Model | None:
             gram = ids[np.repeat(first[word], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
             row_g = np.repeat(row, k)
             part = np.repeat(1.0 / (m[row] * k), k).astype(np.float32)
+            if s.keep < 1:
+                kept = rng.random(len(gram)) < s.keep
+                gram, row_g, part = gram[kept], row_g[kept], part[kept]
             used, at = np.unique(gram, return_inverse=True)
             bag = np.zeros((len(pick), len(used)), np.float32)
             np.add.at(bag, (row_g, at), part)
@@ -167,19 +185,19 @@ def learn(docs: DataFrame, labels: DataFrame, who: Column, *, label: str = "toxi
 
 
 def score(docs: DataFrame, model: Model | None, *, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score and the columns ``carry`` of every row."""
+    """doc_id, score and the columns ``carry`` (as kept_<name>) of every row."""
     common.ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets x 4 bytes, a setting
-    kept = [c for c in carry if c not in ("doc_id", "score")]
-    frame = docs.select("doc_id", docs["text"].cast("string").alias("__text"), *(F.col(c).alias(f"kept_{c}") for c in kept))
+    kept = list(carry)
+    frame = docs.select("doc_id", docs["text"].cast("string").alias("__text"), *(F.col(c).alias(f"kept_{c}") for c in kept if c != "text"))
     schema = docs.sparkSession.createDataFrame([], "doc_id bigint, score double").schema
     for c in kept:
-        schema = schema.add(f"kept_{c}", frame.schema[f"kept_{c}"].dataType, True)
+        schema = schema.add(f"kept_{c}", frame.schema[common.sent(c)].dataType, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in common.chunks(batches, "__text"):
+        for b in common.chunks(batches, "__text", common.SMALL_CHUNK):
             got = m.texts(common.column(b, "__text")) if m else np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([common.column(b, "doc_id"), pa.array(got, pa.float64()), *(common.column(b, f"kept_{c}") for c in kept)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([common.column(b, "doc_id"), pa.array(got, pa.float64()), *(common.column(b, common.sent(c)) for c in kept)], names=schema.names)
 
     return frame.mapInArrow(run, schema)
