@@ -102,10 +102,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, block_
     common.ship(spark)
     sent = [spark.sparkContext.broadcast(b) for b in blocks_of(items.select(item_id, item_text).toLocalIterator(), window, block_bytes)]
     kept = [f"kept_{c}" for c in carry]
-    frame = docs.select("doc_id", docs[text].cast("string").alias("__text"), *(docs[c].alias(f"kept_{c}") for c in carry))
+    frame = docs.select("doc_id", docs[text].cast("string").alias("__text"), *(docs[c].alias(f"kept_{c}") for c in carry if c != text))
     schema = frame.sparkSession.createDataFrame([], SCHEMA).schema
-    for c in kept:
-        schema = schema.add(c, frame.schema[c].dataType, True)
+    for c in carry:
+        schema = schema.add(f"kept_{c}", frame.schema[common.sent(c, text)].dataType, True)
     arrow_fields = pa.schema([
         ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())),
         ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("contaminated", pa.bool_()),
@@ -113,7 +113,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, block_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = automaton(sent[0].value) if len(sent) == 1 else None
-        for b in common.chunks(batches, "__text"):
+        for b in common.chunks(batches, "__text", common.SMALL_CHUNK):
             texts = common.column(b, "__text").to_pylist()
             normal = []
             for t in texts:
@@ -133,6 +133,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, block_
                 pa.array([spans_of(t, h) if k else [] for t, h, k in zip(texts, hits, n_hit, strict=True)], arrow_fields.field("spans").type), pa.array([k > 0 for k in n_hit]),
             ]
             names = arrow_fields.names + kept
-            yield pa.RecordBatch.from_arrays(out + [common.column(b, c) for c in kept], names=names)
+            yield pa.RecordBatch.from_arrays(out + [common.column(b, common.sent(c, text)) for c in carry], names=names)
 
     return frame.mapInArrow(run, schema)

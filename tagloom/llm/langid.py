@@ -114,13 +114,15 @@ class Model:
     trans: np.ndarray
     settings: Settings
 
-    def emissions(self, words: pa.Array) -> np.ndarray:
-        ids, of = features(words, self.settings)
-        n = len(words)
-        out = np.empty((n, len(self.langs)), np.float32)
-        for j in range(len(self.langs)):
-            out[:, j] = np.bincount(of, self.weight[ids, j], n)
-        return np.exp(out - out.max(1, keepdims=True)) + 1e-6 if n else out
+    def emissions(self, words: pa.Array, step: int = 30_000) -> np.ndarray:
+        """Potentials of distinct words, some at a time: features take many times the room of their words."""
+        out = np.empty((len(words), len(self.langs)), np.float32)
+        for i in range(0, len(words), step):
+            some = words.slice(i, step)
+            ids, of = features(some, self.settings)
+            for j in range(len(self.langs)):
+                out[i : i + step, j] = np.bincount(of, self.weight[ids, j], len(some))
+        return np.exp(out - out.max(1, keepdims=True)) + np.float32(1e-6) if len(out) else out
 
     def words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
         """Posteriors of all words; with the words' codes, offsets, dictionary, and whether they hold a letter."""
@@ -236,16 +238,16 @@ def predict(docs: DataFrame, model: Model | None, *, carry: tuple[str, ...] = ()
     """doc_id, lang_pred, score and the columns ``carry`` (as kept_<name>) of every row."""
     common.ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages x 4 bytes
-    frame = docs.select("doc_id", docs["text"].cast("string").alias("__text"), *(F.col(c).alias(f"kept_{c}") for c in carry))
+    frame = docs.select("doc_id", docs["text"].cast("string").alias("__text"), *(F.col(c).alias(f"kept_{c}") for c in carry if c != "text"))
     schema = docs.sparkSession.createDataFrame([], "doc_id bigint, lang_pred string, score double").schema
     for c in carry:
-        schema = schema.add(f"kept_{c}", frame.schema[f"kept_{c}"].dataType, True)
+        schema = schema.add(f"kept_{c}", frame.schema[common.sent(c)].dataType, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in common.chunks(batches, "__text"):
+        for b in common.chunks(batches, "__text", common.SMALL_CHUNK):
             langs, got = m.texts(common.column(b, "__text")) if m else (["und"] * b.num_rows, np.zeros(b.num_rows))
-            yield pa.RecordBatch.from_arrays([common.column(b, "doc_id"), pa.array(langs, pa.string()), pa.array(got, pa.float64()), *(common.column(b, f"kept_{c}") for c in carry)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([common.column(b, "doc_id"), pa.array(langs, pa.string()), pa.array(got, pa.float64()), *(common.column(b, common.sent(c)) for c in carry)], names=schema.names)
 
     return frame.mapInArrow(run, schema)
 
