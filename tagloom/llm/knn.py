@@ -14,7 +14,7 @@ Results are exact whatever the pivots are; pivots only decide how much is sent.
 
 Query groups are cut into blocks of at most ``block`` queries and data groups into splits, so neither a hot group nor
 equal vectors land in one task. Integer products are exact in double precision while |q| |x| < 2^52, which is checked;
-beyond that Python's integers are used, and a score that a long cannot hold raises.
+beyond that Python's integers are used, and a result's score that a long cannot hold raises.
 
 Defined results: vectors that are null, empty, of another length than the most frequent one, or that hold null or
 non-finite components take no part; rows without an id take no part; ties go to the smaller id; of queries with equal
@@ -61,14 +61,13 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
         return np.zeros((len(q), len(x)), np.int64)
     if np.linalg.norm(q, axis=1).max() * np.linalg.norm(x, axis=1).max() < 2.0**52:
         return np.rint(q @ x.T).astype(np.int64)
-    exact = np.array([[int(v) for v in r] for r in q], object) @ np.array([[int(v) for v in r] for r in x], object).T
-    if max(map(abs, exact.reshape(-1))) >= 2**63:
-        raise OverflowError("a score does not fit in 64 bits")
-    return exact.astype(np.int64)
+    return np.array([[int(v) for v in r] for r in q], object) @ np.array([[int(v) for v in r] for r in x], object).T
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to smaller ids."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
     if len(scores) > 4 * k:
         floor = np.partition(scores, len(scores) - k)[len(scores) - k]
         at = np.flatnonzero(scores >= floor)
@@ -76,6 +75,13 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def fitting(scores: np.ndarray) -> np.ndarray:
+    """Scores of results as 64-bit integers."""
+    if scores.dtype == object and any(abs(v) >= 2**63 for v in scores):
+        raise OverflowError("a score does not fit in 64 bits")
+    return scores.astype(np.int64)
+
+
 def nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d = (x**2).sum(1)[:, None] - 2 * (x @ pivots.T) + (pivots**2).sum(1)[None, :]
     g = d.argmin(1)
@@ -163,7 +169,7 @@ def search(df: DataFrame, queries: Column, *, k: int = 10, scale: int = 1024, pi
                 top = other[best(s[i][other], xid[other], k)] if len(other) else other
                 out_q.append(np.full(len(top), one))
                 out_x.append(xid[top])
-                out_s.append(s[i][top])
+                out_s.append(fitting(s[i][top]))
         if out_q:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in (out_q, out_x, out_s)], schema=RESULT)
 
