@@ -293,6 +293,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, block:
     spark = docs.sparkSession
     common.ship(spark)
     parts = common.shuffle_partitions(spark)
+    docs = common.steady(docs.select("doc_id", "text"), "documents")
     dealt = incidences(docs, n, parts).repartitionById(parts, F.col("part"))
     every = common.written(sets(shared_only(dealt), percent), "sets")
 
@@ -310,7 +311,9 @@ def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, block:
     held = held.join(sizes, "family")
     salts = F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     first = held.withColumn("salt", F.explode(salts)).withColumn("blk", F.pmod(F.xxhash64("salt", "rid"), F.col("blocks")))
-    forests = common.written(first.select("family", "salt", "blk", "rid", "size", "shared", F.lit(0).alias("side")).groupBy("family", "salt", "blk").applyInArrow(_solve(percent), "a bigint, b bigint"), "forest")
+    # Dealt by all three columns: a family alone would bring all its blocks into one task.
+    dealt = first.select("family", "salt", "blk", "rid", "size", "shared", F.lit(0).alias("side")).repartition(parts, "family", "salt", "blk")
+    forests = common.written(dealt.groupBy("family", "salt", "blk").applyInArrow(_solve(percent), "a bigint, b bigint"), "forest")
 
     large = held.filter("blocks > 1")
     if not large.isEmpty():
@@ -324,7 +327,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, block:
         ask = both.filter("root <> main").select("family", "out", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("blk"), "rid", "size", "shared", F.lit(0).alias("side"))
         # An outlier is held against its own block of outliers too: both sides of it are among the blocks of the family.
         give = both.select("family", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("out_blocks") - 1)).alias("out"), "blk", "rid", "size", "shared", F.lit(1).alias("side"))
-        more = ask.unionByName(give).groupBy("family", "out", "blk").applyInArrow(_solve(percent), "a bigint, b bigint")
+        more = ask.unionByName(give).repartition(parts, "family", "out", "blk").groupBy("family", "out", "blk").applyInArrow(_solve(percent), "a bigint, b bigint")
         forests = forests.union(common.written(more, "forest"))
     roots = components(forests)
     named = classes.join(roots.withColumnRenamed("v", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
