@@ -4,7 +4,8 @@ A data set is a folder of parts. ``part-NNNNN.bin`` holds the ids of a part's do
 little-endian unsigned integers of 16 bits, or 32 where the vocabulary needs it; ``part-NNNNN.idx`` holds, as
 little-endian signed 64-bit integers, the number of documents, their ids, a byte each telling whether the id is null
 (padded to 8), and n + 1 offsets counted in ids from the start of the part. ``base`` of a part is the prefix sum of the
-counts of the parts before it. Documents ascend by doc_id over the parts (null ids first; equal ids by text).
+counts of the parts before it. Documents ascend by doc_id over the parts (null ids first; equal ids by a hash of
+the text).
 
 Parts are cut by range, so no part holds more than its share, and a task writes under a name of its own and renames,
 so that a task that runs again or twice leaves one whole file. Words between white space are encoded once per worker
@@ -187,8 +188,10 @@ def write(docs: DataFrame, uri: str, *, path: str, end_id: int | None) -> list[d
     if place is not None:
         os.makedirs(place, exist_ok=True)
     parts = common.shuffle_partitions(spark)
-    frame = docs.select("doc_id", docs["text"].cast("string").alias("text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    frame = frame.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # Cut by id and a hash of the text, not by the text: the sample that sets the cuts stays small.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("key")]
+    frame = docs.select("doc_id", docs["text"].cast("string").alias("text")).withColumn("key", F.xxhash64("text")).repartitionByRange(parts, *order)
+    frame = frame.sortWithinPartitions(*order, F.col("text").asc_nulls_first()).drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -199,7 +202,7 @@ def write(docs: DataFrame, uri: str, *, path: str, end_id: int | None) -> list[d
         temp = os.path.join(folder, f".{part:05d}-{c.taskAttemptId()}")
         ids, nulls, offs, total = [], [], [np.zeros(1, "<i8")], 0
         with open(temp + ".bin", "wb") as out:
-            for b in common.chunks(batches):
+            for b in common.chunks(batches, most=common.SMALL_CHUNK):
                 got, off = encode_texts(common.column(b, "text"), path, end_id)
                 out.write(got.tobytes())
                 col = common.column(b, "doc_id")
