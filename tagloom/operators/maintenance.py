@@ -168,7 +168,7 @@ def retag_query(files: DataFrame, file_tags: DataFrame, tags: DataFrame, query:
 
 
 def retag_all(files: DataFrame, signature: str, *, force: bool) -> tuple[DataFrame, DataFrame]:
-    """All files with ``force``; otherwise those whose signature equals the given one, as the reference's code has it."""
+    """All files with ``force``; otherwise those whose signature equals the given one, as the catalog's rules have it."""
     ids = (files if force else files.filter(F.col("tagger_sig") == signature)).select("id")
     return mark_retag(files, ids), ids
 
