@@ -305,10 +305,10 @@ def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, block:
     lists = prefix.groupBy("h").agg(F.min("rid").alias("m"), F.max("rid").alias("x")).filter("m < x")
     stars = prefix.join(lists, "h").filter("rid <> m").select(F.col("m").alias("a"), F.col("rid").alias("b")).distinct()
     family = components(stars)
-    held = reps.join(family.withColumnRenamed("v", "rid").withColumnRenamed("root", "family"), "rid").select("rid", "size", "shared", "n_shared", "family")
-    held = common.written(held, "families")
-    sizes = held.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shared").alias("w")).select("family", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("w") / (block << 13))).cast("bigint").alias("blocks"))
-    held = held.join(sizes, "family")
+    # Sizes of families are joined to bare ids; the sets themselves are dealt by row, then by block.
+    named = reps.select("rid", "n_shared").join(family.select(F.col("v").alias("rid"), F.col("root").alias("family")), "rid")
+    sizes = named.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shared").alias("w")).select("family", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("w") / (block << 13))).cast("bigint").alias("blocks"))
+    held = common.written(reps.select("rid", "size", "shared").join(named.join(sizes, "family").select("rid", "family", "blocks"), "rid"), "families")
     salts = F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     first = held.withColumn("salt", F.explode(salts)).withColumn("blk", F.pmod(F.xxhash64("salt", "rid"), F.col("blocks")))
     # Dealt by all three columns: a family alone would bring all its blocks into one task.
