@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -55,6 +57,26 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files that no plan needs any more: Spark removes them once the JVM has collected what refers to them.
+
+    Twice, as the first round frees what holds the references that the second one clears.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``written`` made, once nothing that is still to run reads it."""
+    sc = df.sparkSession.sparkContext
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/tagloom-" in folder:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once a session, so that workers import it wherever they run."""
     sc = spark.sparkContext

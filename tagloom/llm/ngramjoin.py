@@ -294,12 +294,12 @@ def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, block:
     common.ship(spark)
     parts = common.shuffle_partitions(spark)
     docs = common.steady(docs.select("doc_id", "text"), "documents")
-    dealt = incidences(docs, n, parts).repartitionById(parts, F.col("part"))
-    every = common.written(sets(shared_only(dealt), percent), "sets")
+    every = common.written(sets(shared_only(incidences(docs, n, parts).repartitionById(parts, F.col("part"))), percent), "sets")
+    common.release(spark)
 
     classes = every.filter("live").groupBy("size", "sig_a", "sig_b").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"))
     classes = common.written(classes, "classes")
-    reps = common.written(every.select("rid", "shared", "n_shared", "prefix").join(classes.select("rid", "size", "least"), "rid"), "reps")
+    reps = common.written(every.filter("live").select("rid", "shared", "n_shared", "prefix").join(classes.select("rid", "size", "least"), "rid"), "reps")
 
     prefix = reps.select("rid", F.explode("prefix").alias("h"))
     lists = prefix.groupBy("h").agg(F.min("rid").alias("m"), F.max("rid").alias("x")).filter("m < x")
@@ -309,6 +309,8 @@ def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, block:
     named = reps.select("rid", "n_shared").join(family.select(F.col("v").alias("rid"), F.col("root").alias("family")), "rid")
     sizes = named.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shared").alias("w")).select("family", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("w") / (block << 13))).cast("bigint").alias("blocks"))
     held = common.written(reps.select("rid", "size", "shared").join(named.join(sizes, "family").select("rid", "family", "blocks"), "rid"), "families")
+    common.discard(reps)  # what follows reads the families alone
+    common.release(spark)
     salts = F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     first = held.withColumn("salt", F.explode(salts)).withColumn("blk", F.pmod(F.xxhash64("salt", "rid"), F.col("blocks")))
     # Dealt by all three columns: a family alone would bring all its blocks into one task.
