@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -181,6 +182,18 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 held, size, rows = [], 0, 0
     if held:
         yield out()
+        held = []
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that a task has freed back to the system: workers live on, and their executor's memory is counted whole."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def chunk_ids() -> Iterator[int]:

@@ -198,6 +198,7 @@ def sets(rows: DataFrame, percent: int) -> DataFrame:
 
     def whole(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
+        common.trim()
 
     return rows.groupBy("chunk").applyInArrow(whole, SETS)
 
