@@ -14,6 +14,8 @@ from tagloom.llm.queries import TOXIC_AT
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document goes if its language is undetermined or has less than this share of its words.
 LEAST_SHARE = 0.3
+#: Documents are near duplicates from this Jaccard similarity, in percent, of their sets of this many words a shingle.
+SHINGLE, PERCENT = 5, 80
 
 
 def _documents(got: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group that links connect, the document with the smallest id. Documents without words and those without an id stay."""
-    gone = ngramjoin.jaccard_components(docs).filter("doc_id <> component_id").select("doc_id")
+    gone = ngramjoin.jaccard_components(docs, n=SHINGLE, percent=PERCENT).filter("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -1,5 +1,7 @@
 """The queries on the driver's smallest tables, against SQL and brute force; the pipeline stage by stage."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -62,3 +64,26 @@ def test_stages_take_odd_documents(spark, sf, docs_of):
         assert stage(spark, odd, sf).count() >= 0
         assert stage(spark, odd.limit(0), sf).count() == 0
     assert bpe.LEAF > 0
+
+
+def test_near_duplicates_link_at_five_words_and_four_fifths(spark, sf, docs_of):
+    """The stage against brute force, with copies whose similarity lies between 0.7 and 0.95."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(8):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        texts += [" ".join(base + [f"x{rng.randrange(10**6)}" for _ in range(k)]) for k in (0, 11, 30, 40, 48, 52, 80)]
+
+    def shingles(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs_of(texts), sf).collect()}
+    assert kept == set(root)
