@@ -1,9 +1,8 @@
 """Language-model scoring by a hierarchical Pitman-Yor model with Gibbs-sampled Chinese-restaurant seating.
 
 The model. Tokens are lower-cased words and one end a document. A token's context is the token before it (the end, for
-the first), hashed into one of ``contexts`` restaurants: feature hashing bounds the restaurants at every size of the
-corpus, and rare contexts that fall together share one. Every context restaurant is a child of one root restaurant,
-whose base is a fixed share for the unknown token and an even share for each known one. With c customers and t tables
+the first), as its 64-bit hash: each context has a restaurant of its own, so their number grows with the corpus.
+Every context restaurant is a child of one root restaurant, whose base is a fixed share for the unknown token and an even share for each known one. With c customers and t tables
 of a dish w, C and T over all dishes, a restaurant predicts
 
     p(w) = (c - d t) / (theta + C) + (theta + d T) / (theta + C) * p_parent(w),
@@ -17,9 +16,10 @@ predictive probabilities of ``samples`` states are averaged, and logarithms of t
 
 The distribution. Occurrences are dealt by the hash of the predicted token, so all dishes of a token, its count and its
 root seating are in one task; tokens that make up more than a share of 1 / (2 * parts) of all are dealt by (token,
-context), and their totals, at most a few per part, are sent out. Totals of context restaurants are two arrays of fixed
-length. Two passes are made: the first seats what training documents hold and yields these totals, V, N and the root's
-sizes; the second seats again with them and scores all documents. As each task works on the totals of the first pass
+context), and their totals, at most a few per part, are sent out. Totals of context restaurants are added up by ranges
+of the contexts' hashes and go back to the parts in which the context occurs; no task holds them all. Two passes are
+made: the first seats what training documents hold and yields these totals, V, N and the root's sizes; the second
+repeats that seating, goes on with the totals and scores all documents. As each task works on the totals of the first pass
 plus its own changes, seating is sampled in parallel across tasks, as is usual for distributed Gibbs sampling.
 
 Defined results: null and empty texts hold the end alone; without training documents every token is unknown and scores
@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,8 @@ END = U64(0xA0761D6478BD642F)
 
 @dataclass(frozen=True)
 class Settings:
-    contexts: int = 1 << 18
+    #: A power of two hashes contexts into so many restaurants; None gives each its own.
+    contexts: int | None = None
     discount: float = 0.75
     strength: float = 1.0
     root_discount: float = 0.7
@@ -59,7 +60,8 @@ class Settings:
 
 @dataclass
 class Totals:
-    """What the first pass yields. hot: hash -> (count, root customers, root tables)."""
+    """What the first pass yields. hot: hash -> (count, root customers, root tables); c_ctx, t_ctx: of a part's contexts;
+    escape: the share that contexts leave to the root, over all of them."""
 
     c_ctx: np.ndarray
     t_ctx: np.ndarray
@@ -69,16 +71,22 @@ class Totals:
     root_c: float
     root_t: float
     hot: dict[int, tuple[float, float, float]]
+    escape: float | None = None
 
     def unknown_share(self, s: Settings) -> float:
         """The base's share for the unknown token: such that the model expects it as often as tokens occurred once (Good and Turing)."""
         if not self.tokens:
             return 0.5
-        escape = float(((s.strength + s.discount * self.t_ctx) / (s.strength + self.c_ctx) * self.c_ctx).sum() / max(1.0, self.c_ctx.sum()))
+        escape = left_over(self.c_ctx, self.t_ctx, s) / max(1.0, float(self.c_ctx.sum())) if self.escape is None else self.escape
         root = (s.root_strength + s.root_discount * self.root_t) / (s.root_strength + self.root_c)
         return float(np.clip(max(self.once, 1) / self.tokens / max(escape * root, 1e-12), 0.05, 0.95))
 
 
+def left_over(c: np.ndarray, t: np.ndarray, s: Settings) -> float:
+    """Customers of contexts times the share that each context leaves to the root."""
+    return float(((s.strength + s.discount * t) / (s.strength + c) * c).sum())
+
+
 # ---------------------------------------------------------------- seating
 
 
@@ -160,12 +168,14 @@ def tables(c: np.ndarray, alpha: np.ndarray, d: float, rng: np.random.Generator)
 
 @dataclass
 class Dishes:
-    """Of one part: pairs (token, context) in order, with training counts; tokens with their pairs' first places."""
+    """Of one part: pairs (token, context) in order, with training counts; tokens with their pairs' first places;
+    names: the contexts' hashes in order, to whose places ``ctx`` points."""
 
     word: np.ndarray
     first: np.ndarray
     ctx: np.ndarray
     count: np.ndarray
+    names: np.ndarray
 
 
 def dishes(w: np.ndarray, u: np.ndarray, n: np.ndarray) -> tuple[Dishes, np.ndarray]:
@@ -175,7 +185,8 @@ def dishes(w: np.ndarray, u: np.ndarray, n: np.ndarray) -> tuple[Dishes, np.ndar
     count = np.add.reduceat(n, start) if len(start) else np.zeros(0, np.int64)
     pw = w[start]
     first, _ = common.runs(pw)
-    return Dishes(pw[first], first, u[start].astype(np.int64), count.astype(np.int64)), np.cumsum(new) - 1
+    names, ctx = np.unique(u[start], return_inverse=True)
+    return Dishes(pw[first], first, ctx.astype(np.int64), count.astype(np.int64), names), np.cumsum(new) - 1
 
 
 class Part:
@@ -190,7 +201,7 @@ class Part:
         self.c_word = np.bincount(of_word, x.count, len(x.word))
         self.is_hot = np.array([int(h) in hot for h in x.word.tolist()], bool) if hot else np.zeros(len(x.word), bool)
         self.scale = np.where(self.is_hot, parts, 1)
-        self.t_ctx = totals.t_ctx.astype(np.float64).copy() if totals else np.bincount(x.ctx[self.known], minlength=s.contexts).astype(np.float64) * parts
+        self.t_ctx = totals.t_ctx.astype(np.float64).copy() if totals else np.bincount(x.ctx[self.known], minlength=len(x.names)).astype(np.float64) * parts
         if totals:
             self.hot_c = np.array([totals.hot.get(int(h), (0, 0, 0)) if z else (0, 0, 0) for h, z in zip(x.word.tolist(), self.is_hot.tolist(), strict=True)], float).reshape(-1, 3)
             self.types, self.unk = totals.types, totals.unknown_share(s)
@@ -260,7 +271,7 @@ def held(ids: pa.Array, mod: int, rest: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(b"" if i is None else str(i).encode()) % mod == rest for i in ids.to_pylist()), bool, len(ids))
 
 
-def occurrences(texts: pa.Array, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def occurrences(texts: pa.Array, contexts: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token hash, context, text) of every token, ends included, text by text."""
     codes, off, words = common.tokens(texts)
     h = common.hash_words(words)
@@ -273,7 +284,7 @@ def occurrences(texts: pa.Array, contexts: int) -> tuple[np.ndarray, np.ndarray,
     w[inner] = h[codes] if len(codes) else np.zeros(0, U64)
     doc = np.repeat(np.arange(count), np.diff(off) + 1)
     before = np.concatenate([[END], w[:-1]])  # what stands before a text's first token is an end, too
-    u = (common.mix(before) & U64(contexts - 1)).astype(np.uint32)
+    u = before if contexts is None else common.mix(before) & U64(contexts - 1)
     return w, u, doc
 
 
@@ -281,11 +292,11 @@ def _route(w: np.ndarray, u: np.ndarray, parts: int, hot: np.ndarray) -> np.ndar
     p = common.part_of(w, parts)
     if len(hot):
         is_hot = hot[np.minimum(np.searchsorted(hot, w), len(hot) - 1)] == w
-        p[is_hot] = common.part_of(common.mix(w[is_hot] ^ (u[is_hot].astype(U64) * U64(0x9E3779B97F4A7C15))), parts)
+        p[is_hot] = common.part_of(common.mix(w[is_hot] ^ (u[is_hot] * U64(0x9E3779B97F4A7C15))), parts)
     return p
 
 
-def hot_tokens(docs: DataFrame, parts: int, contexts: int) -> np.ndarray:
+def hot_tokens(docs: DataFrame, parts: int) -> np.ndarray:
     """Hashes of tokens that make up more than 1 / (2 * parts) of some chunk: a superset of those that do of the corpus,
     of which the 4 * parts most frequent are taken. Which they are decides where rows go, never a result."""
 
@@ -304,23 +315,17 @@ def hot_tokens(docs: DataFrame, parts: int, contexts: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in top], np.int64).view(U64))
 
 
-#: Contexts of a block in which the first pass hands on totals.
-BLOCK = 1 << 12
-
+def first_pass(docs: DataFrame, parts: int, hot: np.ndarray, s: Settings, mod: int, rest: int) -> tuple[Totals, DataFrame]:
+    """Totals without those of contexts, and rows (part, data): hashes, customers and tables of the contexts of each part."""
 
-def first_pass(docs: DataFrame, parts: int, hot: np.ndarray, s: Settings, mod: int, rest: int) -> Totals:
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.chunks(batches, "__text"):
             w, u, doc = occurrences(common.column(b, "__text"), s.contexts)
             train = ~held(common.column(b, "doc_id"), mod, rest)
-            keep = train[doc]
-            w, u = w[keep], u[keep]
-            if not len(w):
-                continue
             by = np.lexsort((u, w))
-            w, u = w[by], u[by]
+            w, u, n = w[by], u[by], train[doc[by]]
             start = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (u[1:] != u[:-1])]))
-            n = np.diff(np.append(start, len(w)))
+            n = np.add.reduceat(n.astype(np.uint32), start)  # 0 where held-out documents alone ask for the pair
             w, u = w[start], u[start]
             part = _route(w, u, parts, hot)
             by = np.argsort(part, kind="stable")
@@ -338,31 +343,34 @@ def first_pass(docs: DataFrame, parts: int, hot: np.ndarray, s: Settings, mod: i
         if not got:
             return
         w, u, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
         by = np.lexsort((u, w))
         x, _ = dishes(w[by], u[by], n[by].astype(np.int64))
+        del w, u, n, by
         p = Part(x, s, parts, None, part, set(hot.tolist()))
         p.sweep()
+        c = np.bincount(x.ctx, x.count, len(x.names)).astype(np.uint32)
+        t = np.bincount(p.seats.ctx, p.seats.t, len(x.names)).astype(np.uint32)
         block, data = [], []
-        ctx, back = np.unique(x.ctx, return_inverse=True)
-        c, t = np.bincount(back, x.count), np.bincount(back, p.seats.t)
-        cut = np.searchsorted(ctx, np.arange(0, s.contexts + 1, BLOCK))
+        cut = np.searchsorted(common.part_of(x.names, parts), np.arange(parts + 1)) if s.contexts is None else np.searchsorted(x.names, np.linspace(0, s.contexts, parts + 1).astype(U64))
         for i in np.flatnonzero(np.diff(cut)):
-            a, e = cut[i], cut[i + 1]
             block.append(int(i))
-            data.append(common.pack((ctx[a:e] - i * BLOCK).astype(np.uint16), c[a:e].astype(np.float64), t[a:e].astype(np.float64)))
+            data.append(_pack_contexts(x.names[cut[i] : cut[i + 1]], c[cut[i] : cut[i + 1]], t[cut[i] : cut[i + 1]]))
         cold = ~p.is_hot
         local = np.bincount(p.word_of, p.seats.t, len(x.word))
-        one = np.array([cold.sum(), p.c_word.sum(), (p.c_word[cold] == 1).sum(), local.sum(), p.t_root[cold].sum()])
+        one = np.array([(p.c_word[cold] > 0).sum(), p.c_word.sum(), (p.c_word[cold] == 1).sum(), local.sum(), p.t_root[cold].sum()], float)
         block.append(-1)
         data.append(common.pack(one, x.word[p.is_hot], p.c_word[p.is_hot], local[p.is_hot]))
-        yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(data, pa.binary())], names=["block", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array([part] * len(block), pa.int32()), pa.array(block, pa.int32()), pa.array(data, pa.binary())], names=["part", "block", "data"])
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = key[0].as_py()
-        rows = (x for b in batches for x in common.column(b, "data").to_pylist())
-        if block < 0:
+        to, rows = [], []
+        for b in batches:
+            to += common.column(b, "part").to_pylist()
+            rows += common.column(b, "data").to_pylist()
+        if key[0].as_py() < 0:
             total, by = np.zeros(5), {}
-            for data in rows:
+            for _, data in sorted(zip(to, rows, strict=True)):
                 one, h, c, r = common.unpack(data, "<f8", "<u8", "<f8", "<f8")
                 total += one
                 for k, a, e in zip(h.tolist(), c.tolist(), r.tolist(), strict=True):
@@ -370,47 +378,63 @@ def first_pass(docs: DataFrame, parts: int, hot: np.ndarray, s: Settings, mod: i
                     x[0] += a
                     x[1] += e
             h = np.array(sorted(by), np.uint64)
-            out = common.pack(total, h, np.array([by[k][0] for k in h.tolist()], float), np.array([by[k][1] for k in h.tolist()], float))
+            to, out = [-1], [common.pack(total, h, np.array([by[k][0] for k in h.tolist()], float), np.array([by[k][1] for k in h.tolist()], float))]
         else:
-            c, t = np.zeros(BLOCK), np.zeros(BLOCK)
-            for data in rows:
-                at, a, e = common.unpack(data, "<u2", "<f8", "<f8")
-                c[at] += a
-                t[at] += e
-            out = common.pack(c, t)
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([out], pa.binary())], names=["block", "data"])
+            got = [_unpack_contexts(data, "<u4") for data in rows]
+            names, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
+            c, t = (np.bincount(at, np.concatenate([g[i] for g in got])) for i in (1, 2))
+            out, end = [], 0
+            for g in got:
+                mine = at[end : end + len(g[0])]
+                end += len(mine)
+                out.append(_pack_contexts(g[0], c[mine].astype(np.uint64), t[mine].astype(np.uint64)))
+            to, out = [*to, -2], [*out, common.pack(np.array([left_over(c, t, s), c.sum()]))]
+        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(out, pa.binary())], names=["part", "data"])
 
     frame = docs.select("doc_id", docs["text"].cast("string").alias("__text"))
-    rows = frame.mapInArrow(pairs, "part int, data binary").repartitionById(parts, F.col("part")).mapInArrow(seat, "block int, data binary").groupBy("block").applyInArrow(add, "block int, data binary").collect()
-    width = max(1, -(-s.contexts // BLOCK)) * BLOCK
-    c_ctx, t_ctx, total, by = np.zeros(width), np.zeros(width), np.zeros(5), {}
-    for r in rows:
-        if r.block < 0:
+    seated = frame.mapInArrow(pairs, "part int, data binary").repartitionById(parts, F.col("part")).mapInArrow(seat, "part int, block int, data binary")
+    rows = common.written(seated.groupBy("block").applyInArrow(add, "part int, data binary"), "contexts")
+    total, by, left = np.zeros(5), {}, np.zeros(2)
+    for r in sorted(rows.filter("part < 0").collect()):
+        if r.part == -1:
             total, h, c, k = common.unpack(bytes(r.data), "<f8", "<u8", "<f8", "<f8")
             alpha = np.full(len(h), 0.5)
             t = tables(k, alpha, s.root_discount, np.random.default_rng(s.seed))
             by = {int(x): (float(a), float(e), float(f)) for x, a, e, f in zip(h, c, k, t, strict=True)}
         else:
-            c_ctx[r.block * BLOCK : (r.block + 1) * BLOCK], t_ctx[r.block * BLOCK : (r.block + 1) * BLOCK] = common.unpack(bytes(r.data), "<f8", "<f8")
+            left += common.unpack(bytes(r.data), "<f8")[0]
     known = sum(x[0] > 0 for x in by.values())
     once = sum(x[0] == 1 for x in by.values())
-    return Totals(c_ctx.astype(np.float32) if c_ctx.max(initial=0) < 2**24 else c_ctx, t_ctx.astype(np.float32) if t_ctx.max(initial=0) < 2**24 else t_ctx, int(total[0]) + known, int(total[1]), int(total[2]) + once, float(total[3]), float(total[4]) + sum(x[2] for x in by.values()), by)
+    none = np.zeros(0)
+    return Totals(none, none, int(total[0]) + known, int(total[1]), int(total[2]) + once, float(total[3]), float(total[4]) + sum(x[2] for x in by.values()), by, left[0] / max(1.0, left[1])), rows.filter("part >= 0")
+
+
+def _pack_contexts(names: np.ndarray, c: np.ndarray, t: np.ndarray) -> bytes:
+    head = common.pack_sorted(names)
+    return np.array([len(head)], "<u4").tobytes() + head + common.pack(c, t)
+
+
+def _unpack_contexts(data: bytes, kind: str) -> list[np.ndarray]:
+    k = int(np.frombuffer(data, "<u4", 1)[0])
+    return [common.unpack_sorted(data[4 : 4 + k]), *common.unpack(data[4 + k :], kind, kind)]
 
 
 def _pack_pairs(w: np.ndarray, u: np.ndarray, v: np.ndarray) -> bytes:
-    """Rows sorted by (w, u): each distinct w once, with the length of its run."""
+    """Rows sorted by (w, u): each distinct w once, with the length of its run, and each distinct u once, with its places."""
     by = np.argsort(w, kind="stable")
     w, u, v = w[by], u[by], v[by]
     start, length = common.runs(w)
-    head = common.pack_sorted(w[start])
-    return np.array([len(head)], "<u4").tobytes() + head + common.pack(length.astype(np.uint32), u.astype(np.uint32), v)
+    names, code = np.unique(u, return_inverse=True)
+    head, names = common.pack_sorted(w[start]), common.pack_sorted(names)
+    code = code.astype(np.uint16 if code.max(initial=0) < 1 << 16 else np.uint32)
+    return np.array([len(head), len(names), code.itemsize], "<u4").tobytes() + head + names + common.pack(length.astype(np.uint32), code, v)
 
 
 def _unpack_pairs(data: bytes, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k = int(np.frombuffer(data, "<u4", 1)[0])
-    w = common.unpack_sorted(data[4 : 4 + k])
-    n, u, v = common.unpack(data[4 + k :], "<u4", "<u4", kind)
-    return np.repeat(w, n), u, v
+    k, m, wide = (int(x) for x in np.frombuffer(data, "<u4", 3))
+    w, names = common.unpack_sorted(data[12 : 12 + k]), common.unpack_sorted(data[12 + k : 12 + k + m])
+    n, code, v = common.unpack(data[12 + k + m :], "<u4", f"<u{wide}", kind)
+    return np.repeat(w, n), names[code], v
 
 
 def score(docs: DataFrame, *, settings: Settings = Settings(), mod: int = 5, rest: int = 1) -> DataFrame:
@@ -422,9 +446,9 @@ def score(docs: DataFrame, *, settings: Settings = Settings(), mod: int = 5, res
     common.ship(spark)
     parts = common.shuffle_partitions(spark)
     docs = common.steady(docs.select("doc_id", "text"), "documents")
-    hot = hot_tokens(docs, parts, s.contexts)
-    totals = first_pass(docs, parts, hot, s, mod, rest)
-    sent = spark.sparkContext.broadcast(totals)  # contexts x 8 bytes and 4 * parts tokens
+    hot = hot_tokens(docs, parts)
+    totals, contexts = first_pass(docs, parts, hot, s, mod, rest)
+    sent = spark.sparkContext.broadcast(totals)  # 4 * parts tokens
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, b in zip(common.chunk_ids(), common.chunks(batches, "__text"), strict=False):
@@ -447,10 +471,12 @@ def score(docs: DataFrame, *, settings: Settings = Settings(), mod: int = 5, res
         def out(chunk: list, kind: int, data: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([kind] * len(chunk), pa.int32()), pa.array(data, pa.binary())], names=["chunk", "kind", "data"])
 
-        got, names, part = [], [], 0
+        got, names, ctx, part = [], [], [], 0
         for b in batches:
             for p, chunk, kind, data in zip(*(common.column(b, c).to_pylist() for c in ("part", "chunk", "kind", "data")), strict=True):
-                if kind:
+                if kind == 2:
+                    ctx.append(_unpack_contexts(data, "<u8"))
+                elif kind:
                     yield out([chunk], 1, [data])
                 else:
                     part = p
@@ -468,7 +494,12 @@ def score(docs: DataFrame, *, settings: Settings = Settings(), mod: int = 5, res
         w, u, tag, src = w[by], u[by], tag[by], src[by]
         x, pair = dishes(w, u, (tag & 1).astype(np.int64))
         del w, u, by
-        t = sent.value
+        of, c, t = (np.concatenate(y) for y in zip(*ctx, strict=True))
+        by = np.argsort(of)
+        if not np.array_equal(of[by], x.names):
+            raise RuntimeError("contexts of the two passes differ")
+        t = replace(sent.value, c_ctx=c[by].astype(np.float64), t_ctx=t[by].astype(np.float64))
+        del of, c, by, ctx
         p = Part(x, s, parts, t, part, set(hot.tolist()))
         count = np.where(p.is_hot, p.hot_c[:, 0], p.c_word)
         logs = np.log10(np.maximum(p.predictive(), 1e-300))
@@ -504,6 +535,7 @@ def score(docs: DataFrame, *, settings: Settings = Settings(), mod: int = 5, res
         )
 
     frame = docs.select("doc_id", docs["text"].cast("string").alias("__text"))
-    dealt = frame.mapInArrow(rows, "part int, chunk bigint, kind int, data binary").repartitionById(parts, F.col("part"))
+    back = contexts.select("part", F.lit(0).cast("bigint").alias("chunk"), F.lit(2).alias("kind"), "data")
+    dealt = frame.mapInArrow(rows, "part int, chunk bigint, kind int, data binary").unionByName(back).repartitionById(parts, F.col("part"))
     summed = dealt.mapInArrow(solve, "chunk bigint, kind int, data binary")
     return summed.groupBy("chunk").applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

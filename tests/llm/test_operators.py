@@ -181,6 +181,32 @@ def test_hpylm_probabilities_sum_to_one():
     assert np.bincount(x.ctx, p) == pytest.approx(np.ones(4), abs=1e-9)
 
 
+def test_hpylm_contexts_have_restaurants_of_their_own():
+    """More contexts than any table of a fixed size that small corpora would fill: each stays apart, in the rows' packing too."""
+    n = 300_000
+    w, u, _ = hpylm.occurrences(pa.array([" ".join(f"w{i}" for i in range(n))]), hpylm.Settings().contexts)
+    assert len(np.unique(u)) == n + 1
+    back = hpylm._unpack_pairs(hpylm._pack_pairs(w, u, np.arange(len(w), dtype=np.uint32)), "<u4")
+    by = np.argsort(w, kind="stable")
+    assert all((x == y).all() for x, y in zip(back, (w[by], u[by], by), strict=True))
+
+
+def test_hpylm_totals_of_contexts_reach_their_parts(spark, docs_of):
+    """What goes back to the parts holds each context's customers in all parts, for held-out documents' contexts too."""
+    texts = [" ".join(random.Random(i).choices([f"w{k}" for k in range(300)], k=60)) for i in range(40)]
+    docs = docs_of(texts, parts=3).select("doc_id", "text")
+    totals, rows = hpylm.first_pass(docs, 4, hpylm.hot_tokens(docs, 4), hpylm.Settings(), 5, 1)
+    w, u, doc = hpylm.occurrences(pa.array(texts), None)
+    train = np.array([zlib.crc32(str(i).encode()) % 5 != 1 for i in range(40)])[doc]
+    want = Counter(u[train].tolist())
+    seen = set()
+    for r in rows.collect():
+        names, c, t = hpylm._unpack_contexts(bytes(r.data), "<u8")
+        seen |= set(names.tolist())
+        assert all(want[x] == k and (0 < m <= k or k == m == 0) for x, k, m in zip(names.tolist(), c.tolist(), t.tolist(), strict=True))
+    assert seen == set(u.tolist()) and totals.tokens == train.sum()
+
+
 # ---------------------------------------------------------------- 5
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
