@@ -9,10 +9,9 @@ of a dish w, C and T over all dishes, a restaurant predicts
 
 and each table of a context restaurant is a customer of the root.
 
-The sampler. Occurrences in training documents are customers. Tables start from the sequential seating process, in
-rounds that double the seated; then Gibbs steps take a random customer of every dish from its table and seat it anew:
-at a table with weight (its customers - d), at a new one with weight (theta + d T) p_root(w). After burn-in, the
-predictive probabilities of ``samples`` states are averaged, and logarithms of the averages add up to scores.
+The sampler. Occurrences in training documents are customers, those of a dish at one table to start with. A Gibbs
+sweep draws the number of tables of every dish anew, given those of the restaurant's other dishes: seatings of all c customers at t tables are summed over, by generalized Stirling numbers, so
+that each customer is seated anew however many a dish has. After burn-in, the predictive probabilities of ``samples`` states are averaged, and logarithms of the averages add up to scores.
 
 The distribution. Occurrences are dealt by the hash of the predicted token, so all dishes of a token, its count and its
 root seating are in one task; tokens that make up more than a share of 1 / (2 * parts) of all are dealt by (token,
@@ -28,9 +27,11 @@ the base; repeated rows count and are kept; an empty table gives none; further c
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,68 +91,137 @@ def left_over(c: np.ndarray, t: np.ndarray, s: Settings) -> float:
 # ---------------------------------------------------------------- seating
 
 
+#: Up to so many customers of a dish, numbers of tables are drawn from all their weights.
+SMALL = 128
+
+
+@cache
+def small_seatings(d: float) -> np.ndarray:
+    """[c, t]: log of the weight of all seatings of c customers at t tables, a generalized Stirling number, up to SMALL."""
+    out = np.full((SMALL + 1, SMALL + 1), -np.inf)
+    out[1, 1] = 0
+    for c in range(1, SMALL):
+        join = np.log(c - d * np.arange(1, c + 1))
+        out[c + 1, 1 : c + 1] = np.logaddexp(out[c, :c], out[c, 1 : c + 1] + join)
+        out[c + 1, c + 1] = 0
+    return out
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    x = np.asarray(x, float)
+    low = np.zeros(x.shape)
+    for i in range(8):
+        low += np.log(x + i)
+    x = x + 8
+    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - low
+
+
+def log_seatings(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """The log of the same weight for more than SMALL customers: c!/t! d^-t times the coefficient of z^c in (1 - (1 - z)^d)^t,
+    which is the sum over powers of (1 - z)^d for few tables and a saddle point's value for many."""
+    c, t = np.asarray(c, float), np.asarray(t, float)
+    out = np.zeros(len(c))
+    few = t <= 2 ** (4 * (1 - d)) * c**d
+    if few.any():
+        j = np.arange(1, 65)
+        sign = np.array([0.0 if (d * k) % 1 == 0 else (-1) ** k / math.gamma(-d * k) for k in j.tolist()])
+        a, n = c[few][:, None], t[few][:, None]
+        size = np.cumsum(np.log(np.maximum(n - j + 1, 1e-300)) - np.log(j), axis=1) + log_gamma(a - d * j) - log_gamma(a - d)
+        out[few] = np.log(np.maximum((sign * np.exp(size)).sum(1), 1e-300)) + log_gamma(c[few] - d) - log_gamma(c[few] + 1)
+    many = ~few
+    if many.any():
+        a, n = c[many], t[many]
+        low, high = np.full(len(a), -80.0), np.full(len(a), -1e-12)
+        for _ in range(40):
+            mid = (low + high) / 2
+            y = np.exp(mid)
+            over = n * d * -np.expm1(mid) * np.exp((d - 1) * mid) / -np.expm1(d * mid) > a
+            low, high = np.where(over, mid, low), np.where(over, high, mid)
+        z, y, g = -np.expm1(mid), np.exp(mid), -np.expm1(d * mid)
+        mean = d * z * np.exp((d - 1) * mid) / g
+        spread = n * mean * (1 + (1 - d) * z / y - mean)
+        out[many] = np.where(n >= a, a * math.log(d), n * np.log(g) - a * np.log(z) - 0.5 * np.log(2 * np.pi * np.maximum(spread, 1e-3)))
+    return out + log_gamma(c + 1) - log_gamma(t + 1) - t * math.log(d)
+
+
+def resample(c: np.ndarray, t: np.ndarray, others: np.ndarray, base: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables of dishes given the tables of the restaurant's other dishes: all seatings of all c customers count.
+
+    The weight of t tables is that of the seatings of c customers at t tables times, for each table j from 0,
+    (theta + d (others + j)) * base. Up to SMALL customers the draw is direct; beyond, it is by Metropolis steps.
+    """
+    out = t.copy()
+    order = np.argsort(c, kind="stable")
+    log_s = small_seatings(d)
+    start, length = common.runs(c[order])
+    for a, m in zip(start.tolist(), length.tolist(), strict=True):
+        k = int(c[order[a]])
+        if k < 2 or k > SMALL:
+            continue
+        width = max(1, (1 << 19) // k)
+        for i in range(a, a + m, width):
+            at = order[i : min(i + width, a + m)]
+            w = np.cumsum(np.log((theta + d * (others[at][:, None] + np.arange(k))) * base[at][:, None]), axis=1) + log_s[k, 1 : k + 1]
+            w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), axis=1)
+            out[at] = 1 + (w < (rng.random(len(at)) * w[:, -1])[:, None]).sum(1)
+    large = np.flatnonzero(c > SMALL)
+    for i in range(0, len(large), 4096):
+        at = large[i : i + 4096]
+        n, o, b = c[at].astype(float), others[at].astype(float), base[at]
+
+        def weight(x: np.ndarray, n=n, o=o, b=b) -> np.ndarray:
+            return log_seatings(n, x, d) + x * np.log(d * b) + log_gamma(theta / d + o + x) - log_gamma(theta / d + o)
+
+        # The mode, by halving, and the curvature there give proposals that don't depend on the present number.
+        low, high = np.ones(len(at)), n.copy()
+        while (low < high).any():
+            mid = np.floor((low + high) / 2)
+            up = weight(np.minimum(mid + 1, n)) > weight(mid)
+            low, high = np.where(up, np.minimum(mid + 1, high), low), np.where(up, high, mid)
+        h = np.floor(np.sqrt(low) / 2) + 1
+        mid = np.clip(low, 1 + h, n - h)
+        bend = (2 * weight(mid) - weight(mid + h) - weight(mid - h)) / h**2
+        width = 1.3 / np.sqrt(np.clip(bend, 1 / n, 4))
+
+        def share(x: np.ndarray, low=low, width=width) -> np.ndarray:
+            return np.arctan((x - low + 0.5) / width) - np.arctan((x - low - 0.5) / width)
+
+        x = out[at].astype(float)
+        w = weight(x)
+        for j in range(8):
+            own = j % 2 == 0  # in turn a proposal around the mode, and a step from the present number
+            y = np.rint(low + width * rng.standard_cauchy(len(at)) if own else x + width * rng.standard_normal(len(at)))
+            inside = (y >= 1) & (y <= n)
+            y = np.where(inside, y, x)
+            v = weight(y)
+            gain = v - w + (np.log(share(x) / share(y)) if own else 0)
+            take = inside & (np.log(rng.random(len(at))) < gain)
+            x, w = np.where(take, y, x), np.where(take, v, w)
+        out[at] = x.astype(np.int64)
+    return out
+
+
 class Seating:
-    """Tables of many dishes: customers of dish i have places first[i] .. first[i] + c[i] - 1; table[place] is the
-    place, within the dish, that names the customer's table; size[place] counts the customers of the table it names."""
+    """Numbers of tables t of dishes with c customers each, one to start with; which customers share a table is summed over."""
 
     def __init__(self, c: np.ndarray, ctx: np.ndarray, rng: np.random.Generator, discount: float, strength: float):
         self.c, self.ctx, self.rng, self.d, self.theta = c, ctx, rng, discount, strength
         self.first = np.cumsum(c) - c
-        total = int(c.sum())
-        self.table = np.zeros(total, np.int32)
-        self.size = np.zeros(total, np.int32)
         self.t = np.ones(len(c), np.int64)
 
-    def start(self, base: np.ndarray, t_ctx: np.ndarray) -> None:
-        """Seats everyone: the first customer alone, then in each round as many as sit already."""
-        alpha = (self.theta + self.d * t_ctx[self.ctx]) * base
-        self.size[self.first] = 1
-        live, k = np.flatnonzero(self.c > 1), 1
-        while len(live):
-            n = np.minimum(k, self.c[live] - k)
-            dish = np.repeat(live, n)
-            place = k + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = self.first[dish]
-            own = self.rng.random(len(dish)) * (alpha[dish] + np.maximum(k - self.d * self.t[dish], 1e-9)) < alpha[dish]
-            other = (self.rng.random(len(dish)) * k).astype(np.int64)
-            name = np.where(own, place, self.table[at + other])
-            self.table[at + place] = name
-            self.size += np.bincount(at + name, minlength=len(self.size)).astype(np.int32) if len(dish) > len(self.size) // 8 else 0
-            if len(dish) <= len(self.size) // 8:
-                np.add.at(self.size, at + name, 1)
-            self.t += np.bincount(dish, own, len(self.t)).astype(np.int64)
-            k *= 2
-            live = live[self.c[live] > k]
-
-    def step(self, base: np.ndarray, t_ctx: np.ndarray) -> None:
-        """One customer of each dish of several is taken out and seated anew."""
-        dish = np.flatnonzero(self.c > 1)
-        if not len(dish):
-            return
-        at, c = self.first[dish], self.c[dish]
-        who = (self.rng.random(len(dish)) * c).astype(np.int64)
-        old = self.table[at + who].astype(np.int64)
-        self.size[at + old] -= 1
-        empty = self.size[at + old] == 0
-        t = self.t[dish] - empty
-        alpha = (self.theta + self.d * np.maximum(t_ctx[self.ctx[dish]] - empty, 0)) * base[dish]
-        seated = np.maximum(c - 1 - self.d * t, 0)
-        new = self.rng.random(len(dish)) * (alpha + seated) < alpha
-        name = np.where(empty, old, who)
-        ask = np.flatnonzero(new & ~empty)
-        ask = ask[self.size[at[ask] + name[ask]] > 0]
-        while len(ask):  # a free name exists: there are fewer tables than customers
-            name[ask] = (self.rng.random(len(ask)) * c[ask]).astype(np.int64)
-            ask = ask[self.size[at[ask] + name[ask]] > 0]
-        ask = np.flatnonzero(~new)
-        while len(ask):  # a table by its customers, refused with probability d / size
-            other = (self.rng.random(len(ask)) * (c[ask] - 1)).astype(np.int64)
-            other += other >= who[ask]
-            name[ask] = self.table[at[ask] + other]
-            ask = ask[self.rng.random(len(ask)) * self.size[at[ask] + name[ask]] < self.d]
-        self.table[at + who] = name
-        self.size[at + name] += 1
-        self.t[dish] = t + new
+    @property
+    def size(self) -> np.ndarray:
+        """Customers of each table in one of the seatings that count: dish i has places first[i] .. first[i] + c[i] - 1."""
+        out = np.zeros(int(self.c.sum()), np.int64)
+        place = np.arange(len(out)) - np.repeat(self.first, self.c)
+        out[place < np.repeat(self.t, self.c)] = 1
+        out[self.first] += self.c - self.t
+        return out
+
+    def step(self, dish: np.ndarray, base: np.ndarray, t_ctx: np.ndarray) -> None:
+        """The tables of some dishes drawn anew."""
+        others = np.maximum(t_ctx[self.ctx[dish]] - self.t[dish], 0)
+        self.t[dish] = resample(self.c[dish], self.t[dish], others, base[dish], self.d, self.theta, self.rng)
 
 
 def tables(c: np.ndarray, alpha: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
@@ -193,7 +263,7 @@ class Part:
     """The seating of one part of the tokens."""
 
     def __init__(self, x: Dishes, s: Settings, parts: int, totals: Totals | None, seed: int, hot: set[int]):
-        self.x, self.s, self.totals = x, s, totals
+        self.x, self.s = x, s
         self.rng = np.random.default_rng([s.seed, seed])
         of_word = np.repeat(np.arange(len(x.word)), np.diff(np.append(x.first, len(x.ctx))))
         self.of_word = of_word
@@ -201,36 +271,52 @@ class Part:
         self.c_word = np.bincount(of_word, x.count, len(x.word))
         self.is_hot = np.array([int(h) in hot for h in x.word.tolist()], bool) if hot else np.zeros(len(x.word), bool)
         self.scale = np.where(self.is_hot, parts, 1)
-        self.t_ctx = totals.t_ctx.astype(np.float64).copy() if totals else np.bincount(x.ctx[self.known], minlength=len(x.names)).astype(np.float64) * parts
-        if totals:
-            self.hot_c = np.array([totals.hot.get(int(h), (0, 0, 0)) if z else (0, 0, 0) for h, z in zip(x.word.tolist(), self.is_hot.tolist(), strict=True)], float).reshape(-1, 3)
-            self.types, self.unk = totals.types, totals.unknown_share(s)
-            self.root_c, self.root_t = totals.root_c, totals.root_t
-        else:
-            self.types, self.unk = max(1, int((self.c_word > 0).sum()) * parts), 0.5
-            self.root_c, self.root_t = float(self.known.sum()) * parts, float((self.c_word > 0).sum()) * parts
-        self.even = (1 - self.unk) / max(1, self.types)
+        self.parts, self.totals = parts, None
+        self.types, self.unk = max(1, int((self.c_word > 0).sum()) * parts), 0.5
+        self.even = (1 - self.unk) / self.types
+        self.root_c, self.root_t = float(self.known.sum()) * parts, float((self.c_word > 0).sum()) * parts
         self.seats = Seating(x.count[self.known], x.ctx[self.known], self.rng, s.discount, s.strength)
         self.word_of = of_word[self.known]
+        self.c_root = self.t_root = np.zeros(len(x.word))
+        self.mine = np.bincount(self.seats.ctx, minlength=len(x.names))
+        self.moved(self.seats.t)
         self.root()
-        before = self.seats.t.copy()
-        self.seats.start(self.base()[self.word_of], self.t_ctx)
-        if not totals:  # totals hold the tables already
-            self.moved(before)
-        self.root()
+        for _ in range(2):
+            self.sweep()
+        if totals:  # they hold what every part has seated so far, this one too
+            self.totals, self.t_ctx = totals, totals.t_ctx.astype(np.float64).copy()
+            self.hot_c = np.array([totals.hot.get(int(h), (0, 0, 0)) if z else (0, 0, 0) for h, z in zip(x.word.tolist(), self.is_hot.tolist(), strict=True)], float).reshape(-1, 3)
+            self.types, self.unk = totals.types, totals.unknown_share(s)
+            self.even = (1 - self.unk) / max(1, self.types)
+            self.root_c, self.root_t = totals.root_c, totals.root_t
+            self.c_root, self.t_root = np.where(self.is_hot, self.hot_c[:, 1], self.c_root), np.where(self.is_hot, self.hot_c[:, 2], self.t_root)
 
     def moved(self, before: np.ndarray) -> None:
+        if not self.totals:  # till they are known, a context's dishes beyond its first in this part stand for as many in each other one
+            t = np.bincount(self.seats.ctx, self.seats.t, len(self.x.names))
+            self.t_ctx = t + t * (1 - 1 / np.maximum(self.mine, 1)) * (self.parts - 1)
+            return
         changed = np.flatnonzero(self.seats.t != before)
         np.add.at(self.t_ctx, self.seats.ctx[changed], self.seats.t[changed] - before[changed])
 
     def root(self) -> None:
-        """The root's customers of each token, and their tables sampled anew."""
-        c = np.bincount(self.word_of, self.seats.t, len(self.x.word)) * self.scale
+        """The root's customers of each token, and their tables drawn anew; its totals move along."""
+        s = self.s
+        c = np.rint(np.bincount(self.word_of, self.seats.t, len(self.x.word)) * self.scale).astype(np.int64)
         if self.totals:
-            c = np.where(self.is_hot, self.hot_c[:, 1], c)
-        self.c_root = c
-        alpha = np.full(len(c), (self.s.root_strength + self.s.root_discount * self.root_t) * self.even)
-        self.t_root = tables(np.rint(c), alpha, self.s.root_discount, self.rng)
+            c = np.where(self.is_hot, self.c_root, c).astype(np.int64)
+        held = np.clip(self.t_root, np.minimum(c, 1), c).astype(np.int64)
+        others = np.maximum(self.root_t - held, 0)
+        fresh = np.flatnonzero(~self.is_hot if self.totals else c > 0)
+        t = held.copy()
+        t[fresh] = resample(c[fresh], held[fresh], others[fresh], np.full(len(fresh), self.even), s.root_discount, s.root_strength, self.rng)
+        if self.totals:
+            self.root_c += float(c.sum() - self.c_root.sum())
+            self.root_t += float(t.sum() - self.t_root.sum())
+        else:
+            share = np.where(self.is_hot, 1, self.parts)
+            self.root_c, self.root_t = float((c * share).sum()), float((t * share).sum())
+        self.c_root, self.t_root = c, t
 
     def base(self) -> np.ndarray:
         """The root's prediction of each token; of one without customers, the unknown token's."""
@@ -240,10 +326,12 @@ class Part:
         return np.where(self.c_root > 0, seen, escape * self.unk)
 
     def sweep(self) -> None:
+        """The tables of every dish, and so all its customers, drawn anew once: ``steps`` random groups, one after another."""
         base = self.base()[self.word_of]
-        for _ in range(self.s.steps):
+        group = self.rng.integers(0, self.s.steps, len(self.seats.c))
+        for i in range(self.s.steps):
             before = self.seats.t.copy()
-            self.seats.step(base, self.t_ctx)
+            self.seats.step(np.flatnonzero((group == i) & (self.seats.c > 1)), base, self.t_ctx)
             self.moved(before)
         self.root()
 
@@ -348,7 +436,6 @@ def first_pass(docs: DataFrame, parts: int, hot: np.ndarray, s: Settings, mod: i
         x, _ = dishes(w[by], u[by], n[by].astype(np.int64))
         del w, u, n, by
         p = Part(x, s, parts, None, part, set(hot.tolist()))
-        p.sweep()
         c = np.bincount(x.ctx, x.count, len(x.names)).astype(np.uint32)
         t = np.bincount(p.seats.ctx, p.seats.t, len(x.names)).astype(np.uint32)
         block, data = [], []

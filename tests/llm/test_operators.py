@@ -207,6 +207,54 @@ def test_hpylm_totals_of_contexts_reach_their_parts(spark, docs_of):
     assert seen == set(u.tolist()) and totals.tokens == train.sum()
 
 
+def exact_table_weights(c, others, base, d, theta):
+    """Weights of 1 .. c tables, by the recurrence that seats one customer after another."""
+    row = np.full(c + 2, -np.inf)
+    row[1] = 0
+    for k in range(1, c):
+        t = np.arange(1, k + 1)
+        new = np.full(c + 2, -np.inf)
+        new[1 : k + 1] = np.logaddexp(row[:k], row[1 : k + 1] + np.log(k - d * t))
+        new[k + 1] = 0
+        row = new
+    w = row[1 : c + 1] + np.cumsum(np.log((theta + d * (others + np.arange(c))) * base))
+    w = np.exp(w - w.max())
+    return w / w.sum()
+
+
+@pytest.mark.parametrize(("c", "others", "base"), [(2, 0, 0.5), (40, 30, 0.02), (128, 500, 0.1), (300, 5, 0.001), (300, 2000, 0.05), (1000, 4000, 0.3), (2000, 3000, 0.02)])
+def test_hpylm_tables_follow_their_conditional(c, others, base):
+    """Sweeps from one table forget the start, whatever the number of customers, and draw from the exact conditional."""
+    n, rng, want = 4000, np.random.default_rng(1), exact_table_weights(c, others, base, 0.75, 1.0)
+    t = np.ones(n, np.int64)
+    for _ in range(4):
+        t = hpylm.resample(np.full(n, c), t, np.full(n, others), np.full(n, base), 0.75, 1.0, rng)
+    got = np.bincount(t - 1, minlength=c)[:c] / n
+    x = np.arange(1, c + 1)
+    mean = (x * want).sum()
+    sd = math.sqrt(((x - mean) ** 2 * want).sum())
+    assert abs(t.mean() - mean) < 0.1 * sd + 1e-9 and np.abs(np.cumsum(got) - np.cumsum(want)).max() < 0.05
+
+
+def test_hpylm_sweeps_keep_probabilities_normalised():
+    """With every pair in one part, through both passes and with the first one's own totals."""
+    s = hpylm.Settings()
+    rng = np.random.default_rng(2)
+    w, u = np.repeat(np.arange(1, 10, dtype=np.uint64), 4), np.tile(np.arange(4, dtype=np.uint64), 9)
+    n = np.where(w < 9, rng.integers(1, 5000, 36), 0)  # token 9 is unknown
+    x, _ = hpylm.dishes(w, u, n)
+    first = hpylm.Part(x, s, 1, None, 0, set())
+    c, t = np.bincount(x.ctx, x.count, 4), np.bincount(first.seats.ctx, first.seats.t, 4)
+    part = hpylm.Part(x, s, 1, hpylm.Totals(c, t, 8, int(n.sum()), 1, float(first.c_root.sum()), float(first.t_root.sum()), {}), 0, set())
+    assert (part.seats.t == first.seats.t).all()
+    for _ in range(3):
+        part.sweep()
+        p = (s.strength + s.discount * part.t_ctx[x.ctx]) / (s.strength + c[x.ctx]) * part.base()[part.of_word]
+        p[part.known] += (x.count[part.known] - s.discount * part.seats.t) / (s.strength + c[x.ctx][part.known])
+        assert part.base().sum() == pytest.approx(1, abs=1e-9) and np.bincount(x.ctx, p) == pytest.approx(np.ones(4), abs=1e-9)
+    assert (part.seats.t[n[n > 0] > 1000] != first.seats.t[n[n > 0] > 1000]).any()
+
+
 # ---------------------------------------------------------------- 5
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
