@@ -35,9 +35,19 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group that links connect, the document with the smallest id. Documents without words and those without an id stay."""
-    gone = ngramjoin.jaccard_components(docs, n=SHINGLE, percent=PERCENT).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps, of each group of rows that links connect, the row with the smallest id; of rows that share it, the first.
+
+    Rows are told apart even where ids repeat: of equal rows one stays, and a row with a text of its own stays whatever
+    becomes of others with its id. Rows without words and those without an id stay.
+    """
+    rows = common.steady(docs, "documents").withColumn("__row", F.monotonically_increasing_id())
+    found = ngramjoin.jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"), n=SHINGLE, percent=PERCENT)
+    found = found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
+    linked = common.written(found.join(found.filter("__row <> __group").select("__group").distinct(), "__group", "left_semi"), "linked")
+    linked = rows.select("__row", "doc_id").filter("doc_id is not null").join(linked, "__row")
+    first = linked.groupBy("__group").agg(F.min(F.struct("doc_id", "__row")).alias("first"))
+    gone = linked.join(first, "__group").filter("__row <> first.__row").select("__row")
+    return rows.join(gone, "__row", "left_anti").select(*COLUMNS)
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The queries on the driver's smallest tables, against SQL and brute force; the pipeline stage by stage."""
 
 import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -87,3 +88,11 @@ def test_near_duplicates_link_at_five_words_and_four_fifths(spark, sf, docs_of):
                 root = [a if r == b else r for r in root]
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs_of(texts), sf).collect()}
     assert kept == set(root)
+
+
+def test_near_duplicates_decide_by_row(spark, sf, docs_of):
+    """Ids that repeat: equal rows leave one, a row with a text of its own stays though its id's other row goes."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    docs = docs_of([a, a, b, b, c, a, "", "", None, c], ids=[7, 7, 2, 5, 5, 9, 3, 3, 4, None])
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()]
+    assert Counter(kept) == Counter([(7, a), (2, b), (5, c), (3, ""), (3, ""), (4, None), (None, c)])
