@@ -6,7 +6,8 @@ ranges of offsets: a node of level k + 1 hashes, in order, the digests of up to
 k, up to one root a file. ``audit`` compares the roots of two replicas and descends level by level only where digests
 differ, so equal files cost one comparison and a damaged record fanout * depth.
 
-A file takes the pages of one range of ids, so its size is bounded; each level is one aggregation by (file, range). A missing or surplus record changes its leaf's range on one side and is reported as such.
+A file takes the pages of one range of ids, so its size is bounded; each level is one aggregation by (file, range). A missing or surplus record changes its leaf's range on one side and is reported as such,
+surplus ones by ``verdicts`` where it is asked for them.
 
 Defined results: null urls and bodies are empty; pages without an id take no part; pages with equal ids are records of
 their own, in the order of url and body; an empty replica is all missing; further columns are ignored.
@@ -88,10 +89,17 @@ def audit(left: list[DataFrame], right: list[DataFrame], fanout: int = 16) -> Da
     return bad.select("file", F.col("node").cast("int").alias("place"))
 
 
-def verdicts(left: DataFrame, right: DataFrame, *, per_file: int = 512, fanout: int = 16) -> DataFrame:
-    """page_id, file, place, record_offset, record_length, record_sha256 and damaged of every record of ``left``, audited against ``right``."""
+def verdicts(left: DataFrame, right: DataFrame, *, per_file: int = 512, fanout: int = 16, surplus: bool = False) -> DataFrame:
+    """page_id, file, place, record_offset, record_length, record_sha256 and damaged of every record of ``left``, audited against ``right``.
+
+    surplus: also, as damaged, the records of ``right`` at places that ``left`` lacks.
+    """
     levels = depth(per_file, fanout)
     a, b = (common.written(records(x, per_file=per_file), "records") for x in (left, right))
     bad = audit(tree(a, levels=levels, fanout=fanout), tree(b, levels=levels, fanout=fanout), fanout)
+    bad = common.written(bad, "places") if surplus else bad
     got = a.join(bad.withColumn("damaged", F.lit(True)), ["file", "place"], "left")
+    if surplus:
+        extra = bad.join(a.select("file", "place"), ["file", "place"], "left_anti")
+        got = got.unionByName(b.join(extra, ["file", "place"]).withColumn("damaged", F.lit(True)))
     return got.select("page_id", F.col("file").alias("warc_file"), "place", F.col("offset").alias("record_offset"), F.col("length").alias("record_length"), F.col("digest").alias("record_sha256"), F.coalesce("damaged", F.lit(False)).alias("damaged"))

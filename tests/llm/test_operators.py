@@ -430,6 +430,17 @@ def test_warc_audit(spark):
     assert head.startswith(b"WARC/1.1\r\n") and b"Content-Length: 3" in head and body == b"<p>\r\n\r\n"
 
 
+def test_warc_audit_reports_surplus_records(spark):
+    """Appended at a file's end, and in a file of their own; a missing record stays reported beside them."""
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "<p>") for i in range(60)], "page_id bigint, url string, html string")
+    more = pages.filter("page_id <> 59").unionByName(spark.createDataFrame([(i, "http://y", "<b>") for i in (62, 63, 700)], pages.schema))
+    got = warc.verdicts(pages, more, per_file=64, fanout=4, surplus=True).collect()
+    assert {(r.page_id, r.warc_file, r.place) for r in got if r.damaged} == {(59, 0, 59), (63, 0, 60), (700, 10, 0)}
+    assert len(got) == 62 and len({(r.warc_file, r.place) for r in got}) == 62
+    alone = warc.verdicts(pages.limit(0), pages, per_file=64, fanout=4, surplus=True)
+    assert alone.filter("damaged").count() == alone.count() == 60
+
+
 # ---------------------------------------------------------------- 10
 
 
