@@ -445,26 +445,48 @@ def test_warc_audit_reports_surplus_records(spark):
 
 
 def brute_top(rows, k=10):
-    ok = {i: np.floor(1024 * np.asarray(v, float)).astype(object) for i, v in rows if i is not None and v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v)}
-    size = Counter(len(v) for v in ok.values()).most_common(1)[0][0] if ok else 0
-    ok = {i: v for i, v in ok.items() if len(v) == size}
+    """Keyed by row, shorter vectors padded by zeros, in whole numbers of any size."""
+    whole = lambda v: [int(x) * 1024 if abs(x) >= 2**53 else math.floor(1024 * x) for x in v]
+    ok = [(i, whole(v)) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in ok:
-        if q % 100 == 0:
-            top = sorted(((-int(np.dot(ok[q], v)), i) for i, v in ok.items() if i != q))[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(top)]
-    return sorted(out)
+    for at, (q, a) in enumerate(ok):
+        if q is not None and q % 100 == 0:
+            top = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i is None, i or 0) for n, (i, b) in enumerate(ok) if n != at)[:k]
+            out += [(q, r + 1, None if null else i, -s) for r, (s, null, i) in enumerate(top)]
+    return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("pivots,block", [(1, 512), (16, 3)])
-def test_knn(spark, pivots, block):
-    rng = np.random.default_rng(pivots)
+def knn_rows(df, **kw):
+    return sorted((tuple(r) for r in knn.search(df, F.col("vec_id") % 100 == 0, **kw).collect()), key=str)
+
+
+@pytest.mark.parametrize("pivots,block,rows", [(1, 512, 1 << 16), (16, 3, 100), (None, 4096, 1 << 16)])
+def test_knn(spark, pivots, block, rows):
+    rng = np.random.default_rng(pivots or 0)
     centre = rng.normal(0, 3, (5, 8))
-    rows = [(i, (centre[i % 5] + rng.normal(0, 0.2, 8)).tolist()) for i in range(800)]
-    rows += [(900, None), (1000, []), (1100, [float("nan")] * 8), (1200, [None] * 8), (1300, [1.0]), (None, [1.0] * 8), (1400, [0.0] * 8), (1500, rows[3][1]), (1501, rows[3][1]), (1600, [1e9] * 8)]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("v", F.lit(1)).withColumn("grp", F.lit("x"))
-    got = sorted(tuple(r) for r in knn.search(df, F.col("vec_id") % 100 == 0, pivots=pivots, block=block).collect())
-    assert got == brute_top(rows)
+    data = [(i, (centre[i % 5] + rng.normal(0, 0.2, 8)).tolist()) for i in range(800)]
+    data += [(900, None), (1000, []), (1100, [float("nan")] * 8), (1200, [None] * 8), (1250, [float("inf")] + [0.0] * 7), (1300, [1.0]), (None, [1.0] * 8), (1400, [0.0] * 8), (1500, data[3][1]), (1501, data[3][1]), (1500, data[7][1]), (1600, [1e9] * 8), (1601, [1.0] * 11)]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").withColumn("v", F.lit(1)).withColumn("grp", F.lit("x")).withColumn("rid", F.lit(1)).withColumn("CELL", F.lit(1))
+    assert knn_rows(df, pivots=pivots, block=block, rows=rows) == brute_top(data)
     assert knn.search(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
-    few = spark.createDataFrame(rows[:3], "vec_id bigint, embedding array<double>")
-    assert sorted(tuple(r) for r in knn.search(few, F.col("vec_id") % 100 == 0).collect()) == brute_top(rows[:3])
+    few = spark.createDataFrame(data[:3], "vec_id bigint, embedding array<double>")
+    assert knn_rows(few) == brute_top(data[:3])
+
+
+def test_knn_counts_large_components_and_equal_ids(spark):
+    of = lambda rows: spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    rows = [(0, [1.0, 0.0]), (1, [2e12, 0.0]), (2, [5.0, 1.0]), (3, [-1e12, 2.0]), (100, [1.0, 3e4]), (4, [3e4, -1e4])]
+    assert knn_rows(of(rows)) == brute_top(rows) and knn_rows(of(rows))[0] == (0, 1, 1, 1024 * 1024 * 2 * 10**12)
+    rows = [(0, [1.0, 0.0]), (0, [5.0, 0.0]), (1, [2.0, 0.0])]
+    assert knn_rows(of(rows)) == brute_top(rows) and len(brute_top(rows)) == 4
+    with pytest.raises(Exception, match="64 bits"):
+        knn_rows(of([(0, [1e300]), (1, [1e300])]))
+
+
+def test_knn_rules_out_most_of_clustered_data(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(0, 1, (40, 16))
+    data = [(i, (centre[rng.integers(40)] + rng.normal(0, 0.05, 16)).tolist()) for i in range(3000)]
+    said = {}
+    assert knn_rows(spark.createDataFrame(data, "vec_id bigint, embedding array<double>"), report=said, block=1) == brute_top(data)
+    assert 0 < said["share"] < 0.25
