@@ -9,10 +9,12 @@ are joined by encoding the text around the seam anew. Two facts prove everything
   match of the whole.
 
 The window starts at the end of the last match that the first fact protects and grows match by match until the second
-fact holds, or to the end of the right half. Decoding concatenates the bytes of the ids up the same kind of tree.
+fact holds, or to the end of the right half. How far a match reads beyond its end is known of the public pattern only,
+so any other is refused. Decoding concatenates the bytes of the ids up the same kind of tree.
 
-Defined results: null counts as empty; an empty text has no ids; texts of any length; rows are kept as they are, with
-their further columns only where ``carry`` names them.
+Defined results: null counts as empty; an empty text has no ids; texts of any length; repeated rows and ids keep a row
+each; an empty table gives none; further columns are kept only where ``carry`` names them, those whose names clash with
+a result's, in any case, are replaced by it.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from pyspark.sql import DataFrame
 
 from . import common
 
-#: Characters of a leaf.
-LEAF = 1 << 16
+#: Characters of a leaf: ordinary documents go through several levels of the tree.
+LEAF = 512
+#: Matches whose ids a worker process remembers; beyond that it starts afresh.
+MEMORY = 200_000
 #: White space of the rank files' library: the Unicode property, without the separators U+001C to U+001F.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -39,42 +43,65 @@ class Coder:
     """The ranks of one file with one pattern."""
 
     def __init__(self, path: str, pattern: str, leaf: int = LEAF):
+        import public_tokenizers
         import regex
         import tiktoken
 
+        if pattern != public_tokenizers.PATTERN:
+            raise ValueError("the seams of the tree are proven for the public pattern only")
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         inside = re.sub(r"(\[\^?[^\]]*)\\s", lambda m: m[1] + SPACE, pattern)
         self.match = regex.compile(inside.replace("\\s", f"[{SPACE}]").replace("\\S", f"[^{SPACE}]"))
         self.space = regex.compile(f"[{SPACE}]*")
-        self.leaf = max(1, leaf)
+        self.leaf, self.joins = max(1, leaf), 0
+        self.known: dict[str, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= self.leaf:
-            return self.encoding.encode_ordinary(text)
-        return [i for _, ids in self._tree(text, 0, len(text)) for i in ids]
+        out: list[int] = []
+        for _, ids in self._tree(text, 0, len(text)):
+            out += ids
+        return out
+
+    def _ids(self, match: str) -> list[int]:
+        ids = self.known.get(match)
+        if ids is None:
+            if len(self.known) >= MEMORY:
+                self.known.clear()
+            ids = self.encoding.encode_ordinary(match)
+            if len(match) <= 64:
+                self.known[match] = ids
+        return ids
 
     def _tree(self, text: str, a: int, b: int) -> list[tuple[int, list[int]]]:
         """(end, ids) of each match of text[a:b]."""
         if b - a <= self.leaf:
-            return [(f.end(), self.encoding.encode_ordinary(f.group())) for f in self.match.finditer(text, a, b)]
+            return [(f.end(), self._ids(f.group())) for f in self.match.finditer(text, a, b)]
         m = (a + b) // 2
         return self._join(text, a, m, b, self._tree(text, a, m), self._tree(text, m, b))
 
     def _join(self, text: str, a: int, m: int, b: int, left: list, right: list) -> list:
+        self.joins += 1
         keep = len(left)
         while keep and self._read(text, left[keep - 1][0], m) >= m:
             keep -= 1
         start = left[keep - 1][0] if keep else a
-        after = {m: 0} | {end: i + 1 for i, (end, _) in enumerate(right)}
-        seam, drop = [], len(right)
+        seam, drop = [], 0
         for f in self.match.finditer(text, start, b):
-            seam.append((f.end(), self.encoding.encode_ordinary(f.group())))
-            if f.end() in after:
-                drop = after[f.end()]
+            end = f.end()
+            seam.append((end, self._ids(f.group())))
+            while drop < len(right) and right[drop][0] < end:
+                drop += 1
+            if end == m:
                 break
-        return left[:keep] + seam + right[drop:]
+            if drop < len(right) and right[drop][0] == end:
+                drop += 1
+                break
+        del left[keep:]
+        left += seam
+        left += right[drop:] if drop else right
+        return left
 
     def _read(self, text: str, end: int, m: int) -> int:
         """A place that matching up to ``end`` didn't read beyond: the first character after white space, two more for a suffix such as 're."""
@@ -98,7 +125,8 @@ def coder(path: str, pattern: str) -> Coder:
 def encode(docs: DataFrame, *, path: str, pattern: str, digest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id and ids (array<int>) of each text, or with ``digest`` n_tokens and the digests of ids and decoded bytes."""
     common.ship(docs.sparkSession)
-    kept = [c for c in carry if c not in ("doc_id", "text")]
+    own = {"doc_id", "text", "ids", "n_tokens", "ids_sha256", "decoded_sha256"}
+    kept = [c for c in carry if c.lower() not in own]
     frame = docs.select("doc_id", docs["text"].cast("string").alias("__text"), *kept)
     tail = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>"
     schema = docs.sparkSession.createDataFrame([], f"doc_id bigint, {tail}").schema

@@ -35,11 +35,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all run in one
+    process, a temporary one. On a cluster without that setting there is none, which is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         d = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = d.get() if d.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="tagloom-shared-")
         spark.sparkContext.setCheckpointDir(found)

@@ -7,7 +7,7 @@ table of ``slots`` rows, a size that is a parameter and doesn't grow with the da
 and taking a shard away moves few keys besides its own.
 
 Defined results: a null key is placed as the empty text; equal keys share a shard; an empty table gives none; further
-columns are kept, and a column that clashes with ``slot`` or ``shard`` is replaced.
+columns are kept, and a column that clashes with ``slot`` or ``shard``, in any case, is replaced.
 """
 
 from __future__ import annotations
@@ -53,5 +53,5 @@ def place(df: DataFrame, shards: list[str], *, slots: int = 65537, key: str = "d
     names = F.array(*(F.lit(s) for s in shards))
     claimed = ",".join(map(str, fill(shards, slots)))
     table = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(claimed), ",")).alias("slot", "__at")).select("slot", F.element_at(names, F.col("__at").cast("int") + 1).alias("shard"))
-    keep = [c for c in df.columns if c not in ("slot", "shard")]
+    keep = [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in ("slot", "shard")]
     return df.select(*keep, slot_of(F.col(key), slots).alias("slot")).join(F.broadcast(table), "slot", "left").select(*keep, "slot", "shard")

@@ -118,6 +118,8 @@ def test_shard(spark, docs_of):
     for bad in (100, 5):
         with pytest.raises(ValueError):
             shard.fill(names, bad)
+    clash = spark.createDataFrame([(1, "a", "b", "c")], "doc_id bigint, Slot string, SHARD string, `a.b` string")
+    assert shard.place(clash, names, slots=101).columns == ["doc_id", "a.b", "slot", "shard"]
 
 
 # ---------------------------------------------------------------- 4
@@ -322,6 +324,26 @@ def test_byte_bpe(spark, docs_of):
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs_of(texts), path=RANKS, pattern=public_tokenizers.PATTERN), path=RANKS, pattern=public_tokenizers.PATTERN).collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(texts))
     assert bpe.encode(docs_of([]), path=RANKS, pattern=public_tokenizers.PATTERN).count() == 0
+    with pytest.raises(ValueError):
+        bpe.Coder(RANKS, r"\w+|\W+")
+    clash = spark.createDataFrame([(1, "a b", 5, "x")], "doc_id bigint, text string, N_Tokens bigint, Text2 string")
+    assert bpe.encode(clash, path=RANKS, pattern=public_tokenizers.PATTERN, digest=True, carry=("N_Tokens", "Text2")).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "Text2"]
+
+
+def test_byte_bpe_equals_the_library_on_the_whole_table(spark, sf):
+    """Every document of the table, most of them over seams of the tree."""
+    from tagloom.llm import queries
+
+    enc, tree, texts = bpe.coder(RANKS, public_tokenizers.PATTERN).encoding, bpe.Coder(RANKS, public_tokenizers.PATTERN), {r.doc_id: r.text or "" for r in common.table(spark, sf, "documents").collect()}
+    for r in queries.op6_byte_bpe(spark, sf).collect():
+        ids = enc.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+    joined = 0
+    for t in texts.values():
+        tree.joins = 0
+        tree.encode(t)
+        joined += tree.joins > 0
+    assert joined > 0.5 * len(texts)
 
 
 # ---------------------------------------------------------------- 7
