@@ -260,15 +260,13 @@ def test_hpylm_sweeps_keep_probabilities_normalised():
 # ---------------------------------------------------------------- 5
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-TRICKY = ["don't .'s it's'' 'twas été é áb <|endoftext|> x", "日本語 テスト。foo", "A.B.C... 3.14 x1y2 $5 it's!' '!s", "'s's 're", "ﬁ ﬁne İstanbul İ.x ß.y ΣΑΣ", "a\tb\nc\rd\x0be\x0cf", "“q”.x …a' .…"]
+TRICKY = ["a <|endoftext|> b", "<|ENDOFTEXT|>é́<|EndOfText|> x", "x<|startoftext|>'s", "don't .'s it's'' 'twas été é áb <|endoftext|> x", "日本語 テスト。foo", "A.B.C... 3.14 x1y2 $5 it's!' '!s", "'s's 're", "ﬁ ﬁne İstanbul İ.x ß.y ΣΑΣ", "a\tb\nc\rd\x0be\x0cf", "“q”.x …a' .…"]
 
 
 def word_tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(WORD_BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORD_BPE)
 
 
 @settings(max_examples=60, deadline=None)
@@ -294,6 +292,31 @@ def test_token_files(spark, docs_of):
         want[r.doc_id].remove((r.n_tokens, r.ids_crc32))
     assert not any(want.values())
     assert tokenfiles.round_trip(docs_of([]), path=WORD_BPE, end_id=2).count() == 0
+    assert tokenfiles.id_kind(WORD_BPE, 2) == "<u2" and tokenfiles.id_kind(WORD_BPE, 1 << 16) == "<u4"
+    wide = tokenfiles.round_trip(docs_of(["a"]), path=WORD_BPE, end_id=70_000).first()
+    assert (wide.n_tokens, wide.ids_crc32) == (2, zlib.crc32(np.array([320, 70_000], "<u4").tobytes()))
+
+
+def test_token_files_equal_the_library_on_the_whole_table(spark, sf):
+    from tagloom.llm import queries
+
+    t, start = word_tokenizer(), 0
+    got = {r.doc_id: r for r in queries.op5_token_files(spark, sf).collect()}
+    rows = sorted(common.table(spark, sf, "documents").select("doc_id", "text").collect())
+    assert len(got) == len(rows)
+    for i, text in rows:
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_token_files_in_another_store():
+    """A store that is no folder: the same files through Arrow's file systems."""
+    s = tokenfiles.Store("mock:///")
+    with s.create(".t") as f:
+        f.write(np.arange(9, dtype="<u2").tobytes())
+    s.rename(".t", "a.bin")
+    assert s.folder is None and s.items("a.bin", "<u2", 2, 5).tolist() == [2, 3, 4] and s.text("a.bin")[0] == "\0"
 
 
 # ---------------------------------------------------------------- 6
