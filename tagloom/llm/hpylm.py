@@ -1,25 +1,28 @@
 """Language-model scoring by a hierarchical Pitman-Yor model with Gibbs-sampled Chinese-restaurant seating.
 
 The model. Tokens are lower-cased words and one end a document. A token's context is the token before it (the end, for
-the first), as its 64-bit hash: each context has a restaurant of its own, so their number grows with the corpus.
-Every context restaurant is a child of one root restaurant, whose base is a fixed share for the unknown token and an even share for each known one. With c customers and t tables
-of a dish w, C and T over all dishes, a restaurant predicts
+the first), as its 64-bit hash: each context has a restaurant of its own, so their number grows with the corpus. Every
+context restaurant is a child of one root restaurant, whose base is a fixed share for the unknown token and an even
+share for each known one. With c customers and t tables of a dish w, C and T over all dishes, a restaurant predicts
 
     p(w) = (c - d t) / (theta + C) + (theta + d T) / (theta + C) * p_parent(w),
 
 and each table of a context restaurant is a customer of the root.
 
-The sampler. Occurrences in training documents are customers, those of a dish at one table to start with. A Gibbs
-sweep draws the number of tables of every dish anew, given those of the restaurant's other dishes: seatings of all c customers at t tables are summed over, by generalized Stirling numbers, so
-that each customer is seated anew however many a dish has. After burn-in, the predictive probabilities of ``samples`` states are averaged, and logarithms of the averages add up to scores.
-
-The distribution. Occurrences are dealt by the hash of the predicted token, so all dishes of a token, its count and its
-root seating are in one task; tokens that make up more than a share of 1 / (2 * parts) of all are dealt by (token,
-context), and their totals, at most a few per part, are sent out. Totals of context restaurants are added up by ranges
-of the contexts' hashes and go back to the parts in which the context occurs; no task holds them all. Two passes are
-made: the first seats what training documents hold and yields these totals, V, N and the root's sizes; the second
-repeats that seating, goes on with the totals and scores all documents. As each task works on the totals of the first pass
-plus its own changes, seating is sampled in parallel across tasks, as is usual for distributed Gibbs sampling.
+The sampler. Occurrences in training documents are customers. Seatings of c customers at t tables are summed over, by
+generalized Stirling numbers S, so a sweep seats every customer of every dish anew. With an auxiliary variable
+lambda ~ Gamma(theta / d + T) for each restaurant, the rising factorial of its tables falls apart, and the tables of its
+dishes are independent given lambda, each with weight S(c, t) (d lambda p_parent(w))^t. So a sweep is exact however the
+dishes are dealt to tasks, and its draws, seeded by dish, are the same for any number of partitions. A block of the
+sampler draws the root given the contexts' tables (one a dish to start with), the next one sweeps the contexts given the
+root, the last one the root again; burn-in sweeps are left out and the predictions of ``samples`` sweeps averaged.
+Averages of tables leave the predictions of each context summing to 1 over the known tokens and the unknown one.
+
+The distribution. Pairs are dealt by the hash of their context, so a restaurant is in one task; contexts of more than a
+share of 1 / (2 * parts) of the tokens are dealt by pair, and of those, at most a few per part, the totals are gathered
+for each sweep and sent out. Root customers of a token are added up by ranges of the tokens' hashes and go back to the
+parts that hold the token. The first pass over the texts sends counts of pairs, the second the places of all tokens,
+which get their probabilities where the pair's restaurant is and are summed by document.
 
 Defined results: null and empty texts hold the end alone; without training documents every token is unknown and scores
 the base; repeated rows count and are kept; an empty table gives none; further columns are ignored.
@@ -30,7 +33,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
@@ -43,52 +46,50 @@ from .common import U64
 
 #: The end of a document, as a hash.
 END = U64(0xA0761D6478BD642F)
+_ODD = U64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: A power of two hashes contexts into so many restaurants; None gives each its own.
-    contexts: int | None = None
     discount: float = 0.75
     strength: float = 1.0
     root_discount: float = 0.7
     root_strength: float = 1.0
     burn_in: int = 1
     samples: int = 3
-    steps: int = 3
     seed: int = 5
 
 
-@dataclass
-class Totals:
-    """What the first pass yields. hot: hash -> (count, root customers, root tables); c_ctx, t_ctx: of a part's contexts;
-    escape: the share that contexts leave to the root, over all of them."""
+# ---------------------------------------------------------------- draws
 
-    c_ctx: np.ndarray
-    t_ctx: np.ndarray
-    types: int
-    tokens: int
-    once: int
-    root_c: float
-    root_t: float
-    hot: dict[int, tuple[float, float, float]]
-    escape: float | None = None
 
-    def unknown_share(self, s: Settings) -> float:
-        """The base's share for the unknown token: such that the model expects it as often as tokens occurred once (Good and Turing)."""
-        if not self.tokens:
-            return 0.5
-        escape = left_over(self.c_ctx, self.t_ctx, s) / max(1.0, float(self.c_ctx.sum())) if self.escape is None else self.escape
-        root = (s.root_strength + s.root_discount * self.root_t) / (s.root_strength + self.root_c)
-        return float(np.clip(max(self.once, 1) / self.tokens / max(escape * root, 1e-12), 0.05, 0.95))
+def salted(key: np.ndarray, *salt: int) -> np.ndarray:
+    """A hash of each key and the salt."""
+    h = key
+    for x in salt:
+        h = common.mix(h ^ common.mix(np.array([x + 1], U64) * _ODD))
+    return h
 
 
-def left_over(c: np.ndarray, t: np.ndarray, s: Settings) -> float:
-    """Customers of contexts times the share that each context leaves to the root."""
-    return float(((s.strength + s.discount * t) / (s.strength + c) * c).sum())
+def uniform(key: np.ndarray, *salt: int) -> np.ndarray:
+    """A number between 0 and 1 for each key."""
+    return ((salted(key, *salt) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-# ---------------------------------------------------------------- seating
+def gammas(shape: np.ndarray, key: np.ndarray, *salt: int) -> np.ndarray:
+    """Gamma draws of shapes above 1 (Marsaglia and Tsang), by the keys' hashes alone."""
+    d = shape - 1 / 3
+    c = 1 / np.sqrt(9 * d)
+    out, left, k = np.zeros(len(shape)), np.arange(len(shape)), 0
+    while len(left):
+        a, b, u = (uniform(key[left], *salt, k, i) for i in range(3))
+        x = np.sqrt(-2 * np.log(a)) * np.cos(2 * math.pi * b)
+        v = (1 + c[left] * x) ** 3
+        fine = v > 0
+        take = fine & (np.log(u) < 0.5 * x * x + d[left] * (1 - v + np.log(np.where(fine, v, 1))))
+        out[left[take]] = (d[left] * v)[take]
+        left, k = left[~take], k + 1
+    return out
 
 
 #: Up to so many customers of a dish, numbers of tables are drawn from all their weights.
@@ -144,211 +145,149 @@ def log_seatings(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
     return out + log_gamma(c + 1) - log_gamma(t + 1) - t * math.log(d)
 
 
-def resample(c: np.ndarray, t: np.ndarray, others: np.ndarray, base: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
-    """Numbers of tables of dishes given the tables of the restaurant's other dishes: all seatings of all c customers count.
+#: Numbers of tables that are weighed for a dish of more customers: all that matter, or evenly spaced ones.
+GRID = 64
+
+
+def draw(c: np.ndarray, x: np.ndarray, key: np.ndarray, d: float, *salt: int) -> np.ndarray:
+    """Numbers of tables of dishes with c customers, t with weight S(c, t) x^t, by the keys' hashes alone.
 
-    The weight of t tables is that of the seatings of c customers at t tables times, for each table j from 0,
-    (theta + d (others + j)) * base. Up to SMALL customers the draw is direct; beyond, it is by Metropolis steps.
+    Up to SMALL customers all weights are summed. Beyond, those around the mode are: it lies near (x / d) (1 - y^d) with
+    (1 - y) x y^(d - 1) = c, the saddle point of the sum over t.
     """
-    out = t.copy()
+    out = np.minimum(c, 1).astype(np.int64)
+    u = uniform(key, *salt)
+    log_s, log_x = small_seatings(d), np.log(x)
     order = np.argsort(c, kind="stable")
-    log_s = small_seatings(d)
+    order = order[np.searchsorted(c[order], 2) :]
     start, length = common.runs(c[order])
     for a, m in zip(start.tolist(), length.tolist(), strict=True):
         k = int(c[order[a]])
-        if k < 2 or k > SMALL:
-            continue
-        width = max(1, (1 << 19) // k)
-        for i in range(a, a + m, width):
-            at = order[i : min(i + width, a + m)]
-            w = np.cumsum(np.log((theta + d * (others[at][:, None] + np.arange(k))) * base[at][:, None]), axis=1) + log_s[k, 1 : k + 1]
+        if k > SMALL:
+            break
+        step = max(1, (1 << 19) // k)
+        for i in range(a, a + m, step):
+            at = order[i : min(i + step, a + m)]
+            w = log_s[k, 1 : k + 1] + log_x[at][:, None] * np.arange(1, k + 1)
             w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), axis=1)
-            out[at] = 1 + (w < (rng.random(len(at)) * w[:, -1])[:, None]).sum(1)
+            out[at] = 1 + (w < (u[at] * w[:, -1])[:, None]).sum(1)
     large = np.flatnonzero(c > SMALL)
-    for i in range(0, len(large), 4096):
-        at = large[i : i + 4096]
-        n, o, b = c[at].astype(float), others[at].astype(float), base[at]
-
-        def weight(x: np.ndarray, n=n, o=o, b=b) -> np.ndarray:
-            return log_seatings(n, x, d) + x * np.log(d * b) + log_gamma(theta / d + o + x) - log_gamma(theta / d + o)
-
-        # The mode, by halving, and the curvature there give proposals that don't depend on the present number.
-        low, high = np.ones(len(at)), n.copy()
-        while (low < high).any():
-            mid = np.floor((low + high) / 2)
-            up = weight(np.minimum(mid + 1, n)) > weight(mid)
-            low, high = np.where(up, np.minimum(mid + 1, high), low), np.where(up, high, mid)
-        h = np.floor(np.sqrt(low) / 2) + 1
-        mid = np.clip(low, 1 + h, n - h)
-        bend = (2 * weight(mid) - weight(mid + h) - weight(mid - h)) / h**2
-        width = 1.3 / np.sqrt(np.clip(bend, 1 / n, 4))
-
-        def share(x: np.ndarray, low=low, width=width) -> np.ndarray:
-            return np.arctan((x - low + 0.5) / width) - np.arctan((x - low - 0.5) / width)
-
-        x = out[at].astype(float)
-        w = weight(x)
-        for j in range(8):
-            own = j % 2 == 0  # in turn a proposal around the mode, and a step from the present number
-            y = np.rint(low + width * rng.standard_cauchy(len(at)) if own else x + width * rng.standard_normal(len(at)))
-            inside = (y >= 1) & (y <= n)
-            y = np.where(inside, y, x)
-            v = weight(y)
-            gain = v - w + (np.log(share(x) / share(y)) if own else 0)
-            take = inside & (np.log(rng.random(len(at))) < gain)
-            x, w = np.where(take, y, x), np.where(take, v, w)
-        out[at] = x.astype(np.int64)
+    for i in range(0, len(large), 2048):
+        at = large[i : i + 2048]
+        n, lx = c[at].astype(float), log_x[at]
+        low, high = np.full(len(at), -300.0), np.full(len(at), -1e-12)
+        for _ in range(60):
+            mid = (low + high) / 2
+            over = np.log(-np.expm1(mid)) + lx + (d - 1) * mid > np.log(n)
+            low, high = np.where(over, mid, low), np.where(over, high, mid)
+        y = np.exp(mid)
+        centre = np.clip(x[at] / d * -np.expm1(d * mid), 1, n)
+        spread = np.sqrt(np.clip(centre - n / (1 + (1 - d) * (1 - y) / np.maximum(y, 1e-300)), 1, None))
+        first = np.maximum(1, np.floor(centre - 7 * spread - 2))
+        step = np.maximum(1, np.ceil((np.minimum(n, centre + 7 * spread + 12) - first + 1) / GRID))
+        t = first[:, None] + step[:, None] * np.arange(GRID) + (step[:, None] - 1) / 2
+        inside = t <= n[:, None]
+        t = np.where(inside, t, n[:, None])
+        w = log_seatings(np.repeat(n, GRID), t.reshape(-1), d).reshape(t.shape) + t * lx[:, None]
+        w = np.where(inside, w, -np.inf)
+        w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), axis=1)
+        v = u[at] * w[:, -1]
+        j = (w < v[:, None]).sum(1)
+        rows = np.arange(len(at))
+        before = np.where(j > 0, w[rows, j - 1], 0)
+        part = (v - before) / np.maximum(w[rows, j] - before, 1e-300)
+        out[at] = np.clip(first + step * j + np.floor(part * step), 1, n).astype(np.int64)
     return out
 
 
-class Seating:
-    """Numbers of tables t of dishes with c customers each, one to start with; which customers share a table is summed over."""
+# ---------------------------------------------------------------- state
+
 
-    def __init__(self, c: np.ndarray, ctx: np.ndarray, rng: np.random.Generator, discount: float, strength: float):
-        self.c, self.ctx, self.rng, self.d, self.theta = c, ctx, rng, discount, strength
-        self.first = np.cumsum(c) - c
-        self.t = np.ones(len(c), np.int64)
+@dataclass
+class Root:
+    """The root restaurant over its samples: even and unknown shares of the base, customers C, tables T of all samples,
+    and the auxiliary variable of each."""
 
-    @property
-    def size(self) -> np.ndarray:
-        """Customers of each table in one of the seatings that count: dish i has places first[i] .. first[i] + c[i] - 1."""
-        out = np.zeros(int(self.c.sum()), np.int64)
-        place = np.arange(len(out)) - np.repeat(self.first, self.c)
-        out[place < np.repeat(self.t, self.c)] = 1
-        out[self.first] += self.c - self.t
-        return out
+    even: float
+    unknown: float
+    customers: int
+    tables: int = 0
+    lambdas: list[float] = field(default_factory=list)
 
-    def step(self, dish: np.ndarray, base: np.ndarray, t_ctx: np.ndarray) -> None:
-        """The tables of some dishes drawn anew."""
-        others = np.maximum(t_ctx[self.ctx[dish]] - self.t[dish], 0)
-        self.t[dish] = resample(self.c[dish], self.t[dish], others, base[dish], self.d, self.theta, self.rng)
+    def share(self, k: np.ndarray, st: np.ndarray, s: Settings) -> np.ndarray:
+        """Predictions of tokens with k customers and st tables in all samples; for k = 0 the unknown token's."""
+        escape = (s.root_strength + s.root_discount * self.tables / s.samples) / (s.root_strength + self.customers)
+        seen = (k - s.root_discount * st / s.samples) / (s.root_strength + self.customers) + escape * self.even
+        return np.where(k > 0, seen, escape * self.unknown)
 
 
-def tables(c: np.ndarray, alpha: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Numbers of tables after the seating process of c customers, for a new-table weight of alpha: in doubling rounds."""
-    t, k = np.minimum(c, 1).astype(np.float64), 1
-    live = np.flatnonzero(c > 1)
-    while len(live):
-        n = np.minimum(k, c[live] - k).astype(np.int64)
-        t[live] += rng.binomial(n, alpha[live] / (alpha[live] + np.maximum(k - d * t[live], 1e-9)))
-        k *= 2
-        live = live[c[live] > k]
-    return t
+@dataclass
+class Hot:
+    """Contexts whose pairs are dealt apart, in the order of their hashes: customers, dishes of one customer, tables of all
+    samples, and the auxiliary variables of each sweep."""
+
+    names: np.ndarray
+    customers: np.ndarray
+    single: np.ndarray
+    tables: np.ndarray
+    lambdas: list[np.ndarray] = field(default_factory=list)
+
+    def place(self, u: np.ndarray) -> np.ndarray:
+        """Places of contexts among these, -1 for others."""
+        if not len(self.names):
+            return np.full(len(u), -1)
+        at = np.minimum(np.searchsorted(self.names, u), len(self.names) - 1)
+        return np.where(self.names[at] == u, at, -1)
+
+
+def dish(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A hash of each pair of context and token."""
+    with np.errstate(over="ignore"):
+        return common.mix(common.mix(u) + w * _ODD)
 
 
 @dataclass
 class Dishes:
-    """Of one part: pairs (token, context) in order, with training counts; tokens with their pairs' first places;
-    names: the contexts' hashes in order, to whose places ``ctx`` points."""
+    """Of one part, in the order of their hashes: pairs with training counts; the tokens' names and the contexts' in order,
+    to whose places ``wi`` and ``ui`` point."""
 
-    word: np.ndarray
-    first: np.ndarray
-    ctx: np.ndarray
-    count: np.ndarray
+    key: np.ndarray
+    n: np.ndarray
     names: np.ndarray
+    wi: np.ndarray
+    contexts: np.ndarray
+    ui: np.ndarray
 
 
-def dishes(w: np.ndarray, u: np.ndarray, n: np.ndarray) -> tuple[Dishes, np.ndarray]:
-    """w, u sorted by (w, u); n: training customers of each row. Returns the pairs and, for each row, its pair."""
-    new = np.concatenate([[True], (w[1:] != w[:-1]) | (u[1:] != u[:-1])]) if len(w) else np.zeros(0, bool)
-    start = np.flatnonzero(new)
-    count = np.add.reduceat(n, start) if len(start) else np.zeros(0, np.int64)
-    pw = w[start]
-    first, _ = common.runs(pw)
-    names, ctx = np.unique(u[start], return_inverse=True)
-    return Dishes(pw[first], first, ctx.astype(np.int64), count.astype(np.int64), names), np.cumsum(new) - 1
-
-
-class Part:
-    """The seating of one part of the tokens."""
-
-    def __init__(self, x: Dishes, s: Settings, parts: int, totals: Totals | None, seed: int, hot: set[int]):
-        self.x, self.s = x, s
-        self.rng = np.random.default_rng([s.seed, seed])
-        of_word = np.repeat(np.arange(len(x.word)), np.diff(np.append(x.first, len(x.ctx))))
-        self.of_word = of_word
-        self.known = x.count > 0
-        self.c_word = np.bincount(of_word, x.count, len(x.word))
-        self.is_hot = np.array([int(h) in hot for h in x.word.tolist()], bool) if hot else np.zeros(len(x.word), bool)
-        self.scale = np.where(self.is_hot, parts, 1)
-        self.parts, self.totals = parts, None
-        self.types, self.unk = max(1, int((self.c_word > 0).sum()) * parts), 0.5
-        self.even = (1 - self.unk) / self.types
-        self.root_c, self.root_t = float(self.known.sum()) * parts, float((self.c_word > 0).sum()) * parts
-        self.seats = Seating(x.count[self.known], x.ctx[self.known], self.rng, s.discount, s.strength)
-        self.word_of = of_word[self.known]
-        self.c_root = self.t_root = np.zeros(len(x.word))
-        self.mine = np.bincount(self.seats.ctx, minlength=len(x.names))
-        self.moved(self.seats.t)
-        self.root()
-        for _ in range(2):
-            self.sweep()
-        if totals:  # they hold what every part has seated so far, this one too
-            self.totals, self.t_ctx = totals, totals.t_ctx.astype(np.float64).copy()
-            self.hot_c = np.array([totals.hot.get(int(h), (0, 0, 0)) if z else (0, 0, 0) for h, z in zip(x.word.tolist(), self.is_hot.tolist(), strict=True)], float).reshape(-1, 3)
-            self.types, self.unk = totals.types, totals.unknown_share(s)
-            self.even = (1 - self.unk) / max(1, self.types)
-            self.root_c, self.root_t = totals.root_c, totals.root_t
-            self.c_root, self.t_root = np.where(self.is_hot, self.hot_c[:, 1], self.c_root), np.where(self.is_hot, self.hot_c[:, 2], self.t_root)
-
-    def moved(self, before: np.ndarray) -> None:
-        if not self.totals:  # till they are known, a context's dishes beyond its first in this part stand for as many in each other one
-            t = np.bincount(self.seats.ctx, self.seats.t, len(self.x.names))
-            self.t_ctx = t + t * (1 - 1 / np.maximum(self.mine, 1)) * (self.parts - 1)
-            return
-        changed = np.flatnonzero(self.seats.t != before)
-        np.add.at(self.t_ctx, self.seats.ctx[changed], self.seats.t[changed] - before[changed])
-
-    def root(self) -> None:
-        """The root's customers of each token, and their tables drawn anew; its totals move along."""
-        s = self.s
-        c = np.rint(np.bincount(self.word_of, self.seats.t, len(self.x.word)) * self.scale).astype(np.int64)
-        if self.totals:
-            c = np.where(self.is_hot, self.c_root, c).astype(np.int64)
-        held = np.clip(self.t_root, np.minimum(c, 1), c).astype(np.int64)
-        others = np.maximum(self.root_t - held, 0)
-        fresh = np.flatnonzero(~self.is_hot if self.totals else c > 0)
-        t = held.copy()
-        t[fresh] = resample(c[fresh], held[fresh], others[fresh], np.full(len(fresh), self.even), s.root_discount, s.root_strength, self.rng)
-        if self.totals:
-            self.root_c += float(c.sum() - self.c_root.sum())
-            self.root_t += float(t.sum() - self.t_root.sum())
-        else:
-            share = np.where(self.is_hot, 1, self.parts)
-            self.root_c, self.root_t = float((c * share).sum()), float((t * share).sum())
-        self.c_root, self.t_root = c, t
-
-    def base(self) -> np.ndarray:
-        """The root's prediction of each token; of one without customers, the unknown token's."""
-        s = self.s
-        escape = (s.root_strength + s.root_discount * self.root_t) / (s.root_strength + self.root_c)
-        seen = (self.c_root - s.root_discount * self.t_root) / (s.root_strength + self.root_c) + escape * self.even
-        return np.where(self.c_root > 0, seen, escape * self.unk)
-
-    def sweep(self) -> None:
-        """The tables of every dish, and so all its customers, drawn anew once: ``steps`` random groups, one after another."""
-        base = self.base()[self.word_of]
-        group = self.rng.integers(0, self.s.steps, len(self.seats.c))
-        for i in range(self.s.steps):
-            before = self.seats.t.copy()
-            self.seats.step(np.flatnonzero((group == i) & (self.seats.c > 1)), base, self.t_ctx)
-            self.moved(before)
-        self.root()
-
-    def predictive(self) -> np.ndarray:
-        """Of each pair, averaged over samples."""
-        s, x = self.s, self.x
-        c_ctx = self.totals.c_ctx[x.ctx].astype(np.float64)
-        out = np.zeros(len(x.ctx))
-        for _ in range(s.burn_in):
-            self.sweep()
-        for _ in range(s.samples):
-            self.sweep()
-            p = (s.strength + s.discount * self.t_ctx[x.ctx]) / (s.strength + c_ctx) * self.base()[self.of_word]
-            p[c_ctx == 0] = self.base()[self.of_word][c_ctx == 0]
-            p[self.known] += (x.count[self.known] - s.discount * self.seats.t) / (s.strength + c_ctx[self.known])
-            out += p
-        return out / s.samples
+def dishes(u: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[Dishes, np.ndarray]:
+    """The pairs of rows (u, w) with n training customers each, and each row's pair."""
+    key, first, row = np.unique(dish(u, w), return_index=True, return_inverse=True)
+    names, wi = np.unique(w[first], return_inverse=True)
+    contexts, ui = np.unique(u[first], return_inverse=True)
+    return Dishes(key, np.bincount(row, n, len(key)).astype(np.int64), names, wi.astype(np.int32), contexts, ui.astype(np.int32)), row
+
+
+#: What a context leaves to the root is added up in whole numbers of this, so that sums don't depend on their order.
+UNIT = 1 << 16
+
+
+def left_over(c: np.ndarray, t: np.ndarray, s: Settings) -> int:
+    """Customers of contexts times the share that each context leaves to the root, in 1 / UNIT."""
+    return int(np.rint((s.strength + s.discount * t) / (s.strength + c) * c * UNIT).sum())
+
+
+def sweeps(n: np.ndarray, ui: np.ndarray, single: np.ndarray, contexts: np.ndarray, base: np.ndarray, key: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(tables of all samples, of the last sweep) of dishes of several customers; single: of each context, its other dishes."""
+    total = single + np.bincount(ui, minlength=len(contexts))
+    out = np.zeros(len(n), np.int64)
+    t = np.ones(len(n), np.int64)
+    for j in range(s.burn_in + s.samples):
+        lam = gammas(s.strength / s.discount + total, contexts, s.seed, j)
+        t = draw(n, s.discount * lam[ui] * base, key, s.discount, s.seed, j)
+        total = single + np.bincount(ui, t, len(contexts))
+        if j >= s.burn_in:
+            out += t
+    return out, t
 
 
 # ---------------------------------------------------------------- rows
@@ -359,7 +298,7 @@ def held(ids: pa.Array, mod: int, rest: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(b"" if i is None else str(i).encode()) % mod == rest for i in ids.to_pylist()), bool, len(ids))
 
 
-def occurrences(texts: pa.Array, contexts: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def occurrences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token hash, context, text) of every token, ends included, text by text."""
     codes, off, words = common.tokens(texts)
     h = common.hash_words(words)
@@ -371,22 +310,20 @@ def occurrences(texts: pa.Array, contexts: int | None) -> tuple[np.ndarray, np.n
     inner[ends] = False
     w[inner] = h[codes] if len(codes) else np.zeros(0, U64)
     doc = np.repeat(np.arange(count), np.diff(off) + 1)
-    before = np.concatenate([[END], w[:-1]])  # what stands before a text's first token is an end, too
-    u = before if contexts is None else common.mix(before) & U64(contexts - 1)
-    return w, u, doc
+    return w, np.concatenate([[END], w[:-1]]), doc  # what stands before a text's first token is an end, too
 
 
-def _route(w: np.ndarray, u: np.ndarray, parts: int, hot: np.ndarray) -> np.ndarray:
-    p = common.part_of(w, parts)
+def _route(u: np.ndarray, w: np.ndarray, parts: int, hot: np.ndarray) -> np.ndarray:
+    p = common.part_of(u, parts)
     if len(hot):
-        is_hot = hot[np.minimum(np.searchsorted(hot, w), len(hot) - 1)] == w
-        p[is_hot] = common.part_of(common.mix(w[is_hot] ^ (u[is_hot] * U64(0x9E3779B97F4A7C15))), parts)
+        at = hot[np.minimum(np.searchsorted(hot, u), len(hot) - 1)] == u
+        p[at] = common.part_of(dish(u[at], w[at]), parts)
     return p
 
 
 def hot_tokens(docs: DataFrame, parts: int) -> np.ndarray:
     """Hashes of tokens that make up more than 1 / (2 * parts) of some chunk: a superset of those that do of the corpus,
-    of which the 4 * parts most frequent are taken. Which they are decides where rows go, never a result."""
+    of which the 4 * parts most frequent are taken. Which they are decides where pairs go, never a result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.chunks(batches, "__text"):
@@ -403,125 +340,367 @@ def hot_tokens(docs: DataFrame, parts: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in top], np.int64).view(U64))
 
 
-def first_pass(docs: DataFrame, parts: int, hot: np.ndarray, s: Settings, mod: int, rest: int) -> tuple[Totals, DataFrame]:
-    """Totals without those of contexts, and rows (part, data): hashes, customers and tables of the contexts of each part."""
+def _pack_pairs(w: np.ndarray, u: np.ndarray, v: np.ndarray) -> bytes:
+    """Rows sorted by (w, u): each distinct w once, with the length of its run, and each distinct u once, with its places."""
+    by = np.argsort(w, kind="stable")
+    w, u, v = w[by], u[by], v[by]
+    start, length = common.runs(w)
+    names, code = np.unique(u, return_inverse=True)
+    head, names = common.pack_sorted(w[start]), common.pack_sorted(names)
+    code = code.astype(np.uint16 if code.max(initial=0) < 1 << 16 else np.uint32)
+    return np.array([len(head), len(names), code.itemsize], "<u4").tobytes() + head + names + common.pack(length.astype(np.uint32), code, v)
+
+
+def _unpack_pairs(data: bytes, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    k, m, wide = (int(x) for x in np.frombuffer(data, "<u4", 3))
+    w, names = common.unpack_sorted(data[12 : 12 + k]), common.unpack_sorted(data[12 + k : 12 + k + m])
+    n, code, v = common.unpack(data[12 + k + m :], "<u4", f"<u{wide}", kind)
+    return np.repeat(w, n), names[code], v
+
+
+def _tables(spark, df: DataFrame, what: str) -> DataFrame:
+    """df as a table in the shared folder, in folders by its column ``kind``, so that kinds are read apart."""
+    path = common.new_path(spark, what)
+    df.write.partitionBy("kind").parquet(path)
+    common.release(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows between the steps. kind: what the row is; part, block: where it belongs; a, b: numbers; data: packed arrays.
+ROWS = "kind int, part int, block bigint, a bigint, b bigint, data binary"
+_ROWS = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("data", pa.binary())])
+ROWS_COLUMNS = [f.name for f in _ROWS]
+#: Kinds: a part's tokens (with their customers in the root, and training counts), more customers for tokens of a part, pairs of
+#: several customers, a hot context's totals, pairs of hot contexts, tables of such pairs, occurrences, documents, replies.
+ASK, MORE, STATIC, TOTAL, HOT, TABLES, OCCUR, HEAD, REPLY = range(9)
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ROWS)], schema=_ROWS)
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple]]:
+    """Rows by kind, in the order of (block, a)."""
+    out: dict[int, list[tuple]] = {}
+    for b in batches:
+        for r in zip(*(common.column(b, f.name).to_pylist() for f in _ROWS), strict=True):
+            out.setdefault(r[0], []).append(r)
+    return {k: sorted(v, key=lambda r: (r[2], r[3])) for k, v in out.items()}
+
+
+def _asks(part: int, kind: int, names: np.ndarray, k: np.ndarray, c: np.ndarray, parts: int) -> Iterator[tuple]:
+    cut = np.searchsorted(common.part_of(names, parts), np.arange(parts + 1))
+    for i in np.flatnonzero(np.diff(cut)).tolist():
+        yield kind, part, i, 0, 0, _pack_names(names[cut[i] : cut[i + 1]], k[cut[i] : cut[i + 1]], c[cut[i] : cut[i + 1]])
+
+
+def counts(docs: DataFrame, parts: int, hot: np.ndarray, s: Settings, mod: int, rest: int) -> DataFrame:
+    """First pass. Of each part: its tokens with the dishes that they are in and their training counts (ASK), its pairs of
+    several customers (STATIC), and totals: customers, escape and dishes (TOTAL of block -1), or of a hot context."""
+    at_hot = hot
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.chunks(batches, "__text"):
-            w, u, doc = occurrences(common.column(b, "__text"), s.contexts)
+            w, u, doc = occurrences(common.column(b, "__text"))
             train = ~held(common.column(b, "doc_id"), mod, rest)
-            by = np.lexsort((u, w))
-            w, u, n = w[by], u[by], train[doc[by]]
-            start = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (u[1:] != u[:-1])]))
-            n = np.add.reduceat(n.astype(np.uint32), start)  # 0 where held-out documents alone ask for the pair
-            w, u = w[start], u[start]
-            part = _route(w, u, parts, hot)
+            _, first, row = np.unique(dish(u, w), return_index=True, return_inverse=True)
+            n = np.bincount(row, train[doc], len(first)).astype(np.uint32)  # 0 where held-out documents alone ask for the pair
+            w, u = w[first], u[first]
+            part = _route(u, w, parts, at_hot)
             by = np.argsort(part, kind="stable")
-            w, u, n, part = w[by], u[by], n[by], part[by]
-            cut = np.searchsorted(part, np.arange(parts + 1))
-            full = np.flatnonzero(np.diff(cut))
-            data = [_pack_pairs(w[cut[p] : cut[p + 1]], u[cut[p] : cut[p + 1]], n[cut[p] : cut[p + 1]].astype(np.uint32)) for p in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
-
-    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, part = [], 0
-        for b in batches:
-            for part, data in zip(common.column(b, "part").to_pylist(), common.column(b, "data").to_pylist(), strict=True):  # noqa: B007
-                got.append(_unpack_pairs(data, "<u4"))
+            w, u, n = w[by], u[by], n[by]
+            cut = np.searchsorted(part[by], np.arange(parts + 1))
+            yield _rows([(0, p, 0, 0, 0, _pack_pairs(u[cut[p] : cut[p + 1]], w[cut[p] : cut[p + 1]], n[cut[p] : cut[p + 1]])) for p in np.flatnonzero(np.diff(cut)).tolist()])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(r[1], _unpack_pairs(r[5], "<u4")) for r in _gather(batches).get(0, [])]
         if not got:
             return
-        w, u, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        part = got[0][0]
+        u, w, n = (np.concatenate([g[1][i] for g in got]) for i in range(3))
         del got
-        by = np.lexsort((u, w))
-        x, _ = dishes(w[by], u[by], n[by].astype(np.int64))
-        del w, u, n, by
-        p = Part(x, s, parts, None, part, set(hot.tolist()))
-        c = np.bincount(x.ctx, x.count, len(x.names)).astype(np.uint32)
-        t = np.bincount(p.seats.ctx, p.seats.t, len(x.names)).astype(np.uint32)
-        block, data = [], []
-        cut = np.searchsorted(common.part_of(x.names, parts), np.arange(parts + 1)) if s.contexts is None else np.searchsorted(x.names, np.linspace(0, s.contexts, parts + 1).astype(U64))
-        for i in np.flatnonzero(np.diff(cut)):
-            block.append(int(i))
-            data.append(_pack_contexts(x.names[cut[i] : cut[i + 1]], c[cut[i] : cut[i + 1]], t[cut[i] : cut[i + 1]]))
-        cold = ~p.is_hot
-        local = np.bincount(p.word_of, p.seats.t, len(x.word))
-        one = np.array([(p.c_word[cold] > 0).sum(), p.c_word.sum(), (p.c_word[cold] == 1).sum(), local.sum(), p.t_root[cold].sum()], float)
-        block.append(-1)
-        data.append(common.pack(one, x.word[p.is_hot], p.c_word[p.is_hot], local[p.is_hot]))
-        yield pa.RecordBatch.from_arrays([pa.array([part] * len(block), pa.int32()), pa.array(block, pa.int32()), pa.array(data, pa.binary())], names=["part", "block", "data"])
+        x, _ = dishes(u, w, n)
+        del u, w, n
+        known = x.n > 0
+        c_ctx, k_ctx = np.bincount(x.ui, x.n, len(x.contexts)), np.bincount(x.ui[known], minlength=len(x.contexts))
+        out = list(_asks(part, ASK, x.names, np.bincount(x.wi[known], minlength=len(x.names)), np.bincount(x.wi, x.n, len(x.names)).astype(np.int64), parts))
+        many, one = x.n > 1, x.n == 1
+        # Contexts without pairs of several customers need no sampling, their tables are their dishes.
+        used, ui = np.unique(x.ui[many], return_inverse=True)
+        single = np.bincount(x.ui[one], minlength=len(x.contexts))[used]
+        out.append((STATIC, part, 0, 0, 0, common.pack(x.contexts[used], single.astype(np.uint32), ui.astype(np.uint32), x.wi[many].astype(np.uint32), x.n[many].astype(np.uint32), x.key[many], np.bincount(x.wi[one], minlength=len(x.names)).astype(np.uint32))))
+        is_hot = np.isin(x.contexts, at_hot)
+        for i in np.flatnonzero(is_hot & (c_ctx > 0)).tolist():
+            out.append((TOTAL, part, 0, int(x.contexts[i : i + 1].view(np.int64)[0]), 0, common.pack(np.array([c_ctx[i], k_ctx[i], np.count_nonzero(x.ui[one] == i)], np.int64))))
+        cold = ~is_hot & (c_ctx > 0)
+        out.append((TOTAL, part, -1, int(x.n.sum()), left_over(c_ctx[cold], k_ctx[cold], s), b""))
+        yield _rows(out)
+
+    frame = docs.select("doc_id", docs["text"].cast("string").alias("__text"))
+    return _tables(docs.sparkSession, frame.mapInArrow(pairs, ROWS).repartitionById(parts, F.col("part")).mapInArrow(merge, ROWS), "counts")
+
+
+def by_token(rows: DataFrame, counted: bool = False) -> DataFrame:
+    """A row for each range of tokens: block, how many are known, how many occur once, their root customers, and data: names,
+    customers, training counts, and for each part the places of the tokens that it holds.
+
+    counted: whether the rows hold training counts over all parts, not each its part's.
+    """
+    schema = "block bigint, types bigint, once bigint, customers bigint, data binary"
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        to, rows = [], []
+        by = _gather(batches)
+        asks, more = ([(r[1], *_unpack_names(r[5])) for r in sorted(by.get(kind, []))] for kind in (ASK, MORE))
+        names, at = np.unique(np.concatenate([r[1] for r in asks]), return_inverse=True)
+        k, c = (np.zeros(len(names), np.int64) for _ in range(2))
+        out, end = [], 0
+        for part, own, kk, cc in asks:
+            mine = at[end : end + len(own)]
+            end += len(own)
+            k[mine] += kk
+            c[mine] = np.maximum(c[mine], cc) if counted else c[mine] + cc
+            out.append((part, mine.astype(np.uint32)))
+        for _, own, kk, _ in more:
+            np.add.at(k, np.searchsorted(names, own), kk)
+        data = common.pack(names, k, c, np.array([p for p, _ in out], np.int32), np.array([len(m) for _, m in out], np.int64), np.concatenate([m for _, m in out]))
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (key[0].as_py(), int((c > 0).sum()), int((c == 1).sum()), int(k.sum()))] + [pa.array([data], pa.binary())], names=["block", "types", "once", "customers", "data"])
+
+    got = common.written(rows.filter(F.col("kind").isin(ASK, MORE)).select(ROWS_COLUMNS).groupBy("block").applyInArrow(add, schema), "tokens")
+    common.release(rows.sparkSession)
+    return got
+
+
+def root_samples(tokens: DataFrame, root: Root, s: Settings, salt: int) -> Root:
+    """The root's tables swept given its customers: one number a sweep reaches the driver."""
+    total = tokens.agg(F.sum("types")).first()[0] or 0
+    for j in range(s.burn_in + s.samples):
+        lam = float(gammas(np.array([s.root_strength / s.root_discount + total]), np.array([END]), s.seed, salt, j)[0])
+
+        def tables(batches: Iterator[pa.RecordBatch], lam=lam, j=j) -> Iterator[pa.RecordBatch]:
+            n = 0
+            for b in batches:
+                for data in common.column(b, "data").to_pylist():
+                    names, k = common.unpack(data, "<u8", "<i8")
+                    n += int(_root_tables(names, k, root.even, lam, s, salt, j).sum())
+            yield pa.RecordBatch.from_pydict({"t": pa.array([n], pa.int64())})
+
+        total = tokens.select("data").mapInArrow(tables, "t bigint").agg(F.sum("t")).first()[0] or 0
+        if j >= s.burn_in:
+            root.lambdas.append(lam)
+            root.tables += total
+    return root
+
+
+def _root_tables(names: np.ndarray, k: np.ndarray, even: float, lam: float, s: Settings, salt: int, j: int) -> np.ndarray:
+    return draw(k, np.full(len(k), s.root_discount * lam * even), names, s.root_discount, s.seed, salt, j)
+
+
+def replies(tokens: DataFrame, root: Root, s: Settings, salt: int) -> DataFrame:
+    """To each part, in the order of its tokens: training counts, root customers and root tables of all samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            to += common.column(b, "part").to_pylist()
-            rows += common.column(b, "data").to_pylist()
-        if key[0].as_py() < 0:
-            total, by = np.zeros(5), {}
-            for _, data in sorted(zip(to, rows, strict=True)):
-                one, h, c, r = common.unpack(data, "<f8", "<u8", "<f8", "<f8")
-                total += one
-                for k, a, e in zip(h.tolist(), c.tolist(), r.tolist(), strict=True):
-                    x = by.setdefault(k, [0.0, 0.0])
-                    x[0] += a
-                    x[1] += e
-            h = np.array(sorted(by), np.uint64)
-            to, out = [-1], [common.pack(total, h, np.array([by[k][0] for k in h.tolist()], float), np.array([by[k][1] for k in h.tolist()], float))]
-        else:
-            got = [_unpack_contexts(data, "<u4") for data in rows]
-            names, at = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-            c, t = (np.bincount(at, np.concatenate([g[i] for g in got])) for i in (1, 2))
-            out, end = [], 0
-            for g in got:
-                mine = at[end : end + len(g[0])]
-                end += len(mine)
-                out.append(_pack_contexts(g[0], c[mine].astype(np.uint64), t[mine].astype(np.uint64)))
-            to, out = [*to, -2], [*out, common.pack(np.array([left_over(c, t, s), c.sum()]))]
-        yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(out, pa.binary())], names=["part", "data"])
+            for block, data in zip(common.column(b, "block").to_pylist(), common.column(b, "data").to_pylist(), strict=True):
+                names, k, c, to, length, at = common.unpack(data, "<u8", "<i8", "<i8", "<i4", "<i8", "<u4")
+                st = np.zeros(len(k), np.int64)
+                for j, lam in enumerate(root.lambdas):
+                    st += _root_tables(names, k, root.even, lam, s, salt, s.burn_in + j)
+                cut = np.concatenate([[0], np.cumsum(length)])
+                for i in range(0, len(to), 64):
+                    yield _rows([(REPLY, p, block, 0, 0, common.pack(c[m], k[m], st[m])) for p, m in ((int(to[q]), at[cut[q] : cut[q + 1]]) for q in range(i, min(i + 64, len(to))))])
 
-    frame = docs.select("doc_id", docs["text"].cast("string").alias("__text"))
-    seated = frame.mapInArrow(pairs, "part int, data binary").repartitionById(parts, F.col("part")).mapInArrow(seat, "part int, block int, data binary")
-    rows = common.written(seated.groupBy("block").applyInArrow(add, "part int, data binary"), "contexts")
-    total, by, left = np.zeros(5), {}, np.zeros(2)
-    for r in sorted(rows.filter("part < 0").collect()):
-        if r.part == -1:
-            total, h, c, k = common.unpack(bytes(r.data), "<f8", "<u8", "<f8", "<f8")
-            alpha = np.full(len(h), 0.5)
-            t = tables(k, alpha, s.root_discount, np.random.default_rng(s.seed))
-            by = {int(x): (float(a), float(e), float(f)) for x, a, e, f in zip(h, c, k, t, strict=True)}
-        else:
-            left += common.unpack(bytes(r.data), "<f8")[0]
-    known = sum(x[0] > 0 for x in by.values())
-    once = sum(x[0] == 1 for x in by.values())
-    none = np.zeros(0)
-    return Totals(none, none, int(total[0]) + known, int(total[1]), int(total[2]) + once, float(total[3]), float(total[4]) + sum(x[2] for x in by.values()), by, left[0] / max(1.0, left[1])), rows.filter("part >= 0")
-
-
-def _pack_contexts(names: np.ndarray, c: np.ndarray, t: np.ndarray) -> bytes:
+    return tokens.select("block", "data").mapInArrow(run, ROWS)
+
+
+def _replied(rows: list[tuple]) -> list[np.ndarray]:
+    got = [common.unpack(r[5], "<i8", "<i8", "<i8") for r in rows]
+    return [np.concatenate([g[i] for g in got]) for i in range(3)]
+
+
+#: Pairs of hot contexts in one row.
+PIECE = 100_000
+
+
+def contexts_given_root(first: DataFrame, answers: DataFrame, root: Root, hot: Hot, parts: int, s: Settings) -> DataFrame:
+    """Sweeps of the contexts: ASK anew, now with the tables of the last sweep, TABLES of all samples of a part's pairs of
+    several customers, and HOT, the pairs of hot contexts, which wait for ``hot_samples``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = _gather(batches)
+        if STATIC not in by:
+            return
+        part = by[STATIC][0][1]
+        contexts, single, ui, wi, n, key, k = common.unpack(by[STATIC][0][5], "<u8", "<u4", "<u4", "<u4", "<u4", "<u8", "<u4")
+        c, k_root, st = _replied(by[REPLY])
+        base = root.share(k_root, st, s)
+        names = np.concatenate([_unpack_names(r[5])[0] for r in by[ASK]])
+        n, single, k = n.astype(np.int64), single.astype(np.int64), k.astype(np.int64)
+        place = hot.place(contexts)[ui]
+        cold = place < 0
+        some, last = sweeps(n[cold], ui[cold], single, contexts, base[wi[cold]], key[cold], s)
+        k += np.bincount(wi[cold], last, len(names)).astype(np.int64)
+        out = [*_asks(part, ASK, names, k, c, parts), (TABLES, part, 0, 0, 0, common.pack(some.astype(np.uint32)))]
+        warm = np.flatnonzero(~cold)
+        for i in range(0, len(warm), PIECE):
+            at = warm[i : i + PIECE]
+            out.append((HOT, part, i // PIECE, 0, 0, common.pack(place[at].astype(np.uint32), n[at].astype(np.uint32), key[at], names[wi[at]], base[wi[at]])))
+        yield _rows(out)
+
+    dealt = first.filter(F.col("kind").isin(ASK, STATIC)).select(ROWS_COLUMNS).unionByName(answers).repartitionById(parts, F.col("part"))
+    return _tables(first.sparkSession, dealt.mapInArrow(run, ROWS), "contexts")
+
+
+def hot_samples(rows: DataFrame, hot: Hot, parts: int, s: Settings) -> DataFrame | None:
+    """Sweeps of hot contexts, whose totals reach the driver after each; MORE root customers and TABLES of their pairs."""
+    if not len(hot.names):
+        return None
+    pieces, several = rows.filter(F.col("kind") == HOT).select("part", "block", "data"), hot.tables - hot.single
+    for j in range(s.burn_in + s.samples):
+        lam = gammas(s.strength / s.discount + hot.single + several, hot.names, s.seed, j)
+        hot.lambdas.append(lam)
+
+        def tables(batches: Iterator[pa.RecordBatch], lam=lam, j=j) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(lam), np.int64)
+            for b in batches:
+                for data in common.column(b, "data").to_pylist():
+                    at, n, key, _, base = common.unpack(data, "<u4", "<u4", "<u8", "<u8", "<f8")
+                    total += np.bincount(at, draw(n.astype(np.int64), s.discount * lam[at] * base, key, s.discount, s.seed, j), len(lam)).astype(np.int64)
+            i = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(total[i])], names=["i", "t"])
+
+        several = np.zeros(len(lam), np.int64)
+        for r in pieces.mapInArrow(tables, "i int, t bigint").groupBy("i").agg(F.sum("t").alias("t")).collect():
+            several[r.i] = r.t
+        if j == s.burn_in:
+            hot.tables = np.zeros(len(lam), np.int64)
+        if j >= s.burn_in:
+            hot.tables = hot.tables + hot.single + several
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, piece, data in zip(common.column(b, "part").to_pylist(), common.column(b, "block").to_pylist(), common.column(b, "data").to_pylist(), strict=True):
+                at, n, key, w, base = common.unpack(data, "<u4", "<u4", "<u8", "<u8", "<f8")
+                some = np.zeros(len(at), np.int64)
+                for j, lam in enumerate(hot.lambdas):
+                    t = draw(n.astype(np.int64), s.discount * lam[at] * base, key, s.discount, s.seed, j)
+                    some += t if j >= s.burn_in else 0
+                names, to = np.unique(w, return_inverse=True)
+                k = np.bincount(to, t, len(names)).astype(np.int64)
+                yield _rows([*_asks(part, MORE, names, k, np.zeros(len(names), np.int64), parts), (TABLES, part, piece, 1, 0, common.pack(some.astype(np.uint32)))])
+
+    return _tables(rows.sparkSession, pieces.mapInArrow(finish, ROWS), "hot")
+
+
+def _pack_names(names: np.ndarray, k: np.ndarray, c: np.ndarray) -> bytes:
     head = common.pack_sorted(names)
-    return np.array([len(head)], "<u4").tobytes() + head + common.pack(c, t)
+    return np.array([len(head)], "<u4").tobytes() + head + common.pack(k.astype(np.int64), c.astype(np.int64))
 
 
-def _unpack_contexts(data: bytes, kind: str) -> list[np.ndarray]:
-    k = int(np.frombuffer(data, "<u4", 1)[0])
-    return [common.unpack_sorted(data[4 : 4 + k]), *common.unpack(data[4 + k :], kind, kind)]
+def _unpack_names(data: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    return [common.unpack_sorted(data[4 : 4 + n]), *common.unpack(data[4 + n :], "<i8", "<i8")]
 
 
-def _pack_pairs(w: np.ndarray, u: np.ndarray, v: np.ndarray) -> bytes:
-    """Rows sorted by (w, u): each distinct w once, with the length of its run, and each distinct u once, with its places."""
-    by = np.argsort(w, kind="stable")
-    w, u, v = w[by], u[by], v[by]
-    start, length = common.runs(w)
-    names, code = np.unique(u, return_inverse=True)
-    head, names = common.pack_sorted(w[start]), common.pack_sorted(names)
-    code = code.astype(np.uint16 if code.max(initial=0) < 1 << 16 else np.uint32)
-    return np.array([len(head), len(names), code.itemsize], "<u4").tobytes() + head + names + common.pack(length.astype(np.uint32), code, v)
+def probabilities(x: Dishes, tables: np.ndarray, hot: Hot, base: np.ndarray, s: Settings) -> np.ndarray:
+    """Predictions of a part's pairs, averaged over samples. tables: of all samples, of its pairs of several customers."""
+    t = np.where(x.n > 0, s.samples, 0)
+    t[x.n > 1] = tables
+    c_ctx, t_ctx = (np.bincount(x.ui, v, len(x.contexts)) for v in (x.n, t))
+    place = hot.place(x.contexts)
+    warm = place >= 0
+    c_ctx[warm], t_ctx[warm] = hot.customers[place[warm]], hot.tables[place[warm]]
+    seen = np.where(x.n > 0, (x.n - s.discount * t / s.samples) / (s.strength + c_ctx[x.ui]), 0)
+    return seen + ((s.strength + s.discount * t_ctx / s.samples) / (s.strength + c_ctx))[x.ui] * base[x.wi]
 
 
-def _unpack_pairs(data: bytes, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k, m, wide = (int(x) for x in np.frombuffer(data, "<u4", 3))
-    w, names = common.unpack_sorted(data[12 : 12 + k]), common.unpack_sorted(data[12 + k : 12 + k + m])
-    n, code, v = common.unpack(data[12 + k + m :], "<u4", f"<u{wide}", kind)
-    return np.repeat(w, n), names[code], v
+@dataclass
+class Model:
+    """What scoring takes: shares and totals to send out, and the rows that go to the parts."""
+
+    root: Root
+    hot: Hot
+    tokens: int
+    types: int
+    rows: DataFrame
+
+
+def fit(docs: DataFrame, parts: int, at_hot: np.ndarray, s: Settings, mod: int, rest: int) -> Model:
+    """Blocks of the sampler: root, contexts, root."""
+    spark = docs.sparkSession
+    first = counts(docs, parts, at_hot, s, mod, rest)
+    sums = first.filter((F.col("kind") == TOTAL) & (F.col("block") == -1)).agg(F.sum("a").alias("n"), F.sum("b").alias("left")).first()
+    n, left = sums["n"] or 0, sums["left"] or 0
+    totals: dict[int, np.ndarray] = {}
+    for r in first.filter((F.col("kind") == TOTAL) & (F.col("block") == 0)).groupBy("a").agg(F.collect_list("data").alias("data")).collect():  # a few contexts per part
+        totals[r.a] = sum(common.unpack(bytes(d), "<i8")[0] for d in r["data"])
+    names = np.sort(np.array(list(totals), np.int64).view(U64))
+    of = np.array([totals[int(h)] for h in names.view(np.int64)], np.int64).reshape(-1, 3)
+    hot = Hot(names, of[:, 0], of[:, 2], of[:, 1])
+    left += left_over(hot.customers, hot.tables, s)
+
+    tokens = by_token(first)
+    sums = tokens.agg(F.sum("types").alias("types"), F.sum("once").alias("once"), F.sum("customers").alias("customers")).first()
+    types, once, customers = (sums[c] or 0 for c in ("types", "once", "customers"))
+    unknown = 0.5
+    if n:
+        # Such that the model expects the unknown token as often as tokens occurred once (Good and Turing).
+        escape = left / UNIT / n * (s.root_strength + s.root_discount * types) / (s.root_strength + customers)
+        unknown = round(float(np.clip(max(once, 1) / n / max(escape, 1e-12), 0.05, 0.95)), 6)
+    even = (1 - unknown) / max(1, types)
+    root = root_samples(tokens, Root(even, unknown, customers), s, 1000)
+    middle = contexts_given_root(first, replies(tokens, root, s, 1000), root, hot, parts, s)
+    common.discard(first)
+    common.discard(tokens)
+    more = hot_samples(middle, hot, parts, s)
+    kept = middle.filter(F.col("kind") == TABLES).select(ROWS_COLUMNS)
+    asked = middle.filter(F.col("kind") == ASK).select(ROWS_COLUMNS).withColumn("b", F.lit(0).cast("bigint"))
+    if more is not None:
+        kept, asked = kept.unionByName(more.filter(F.col("kind") == TABLES).select(ROWS_COLUMNS)), asked.unionByName(more.filter(F.col("kind") == MORE).select(ROWS_COLUMNS))
+    tokens = by_token(asked, counted=True)
+    root = root_samples(tokens, Root(even, unknown, tokens.agg(F.sum("customers")).first()[0] or 0), s, 2000)
+    return Model(root, hot, n, types, kept.unionByName(replies(tokens, root, s, 2000)))
+
+
+def places(chunk: int, texts: pa.Array, ids: pa.Array, parts: int, hot: np.ndarray, mod: int, rest: int) -> list[tuple]:
+    """Second pass: of a chunk, the places of its pairs in texts for each part (OCCUR), and its documents (HEAD)."""
+    w, u, doc = occurrences(texts)
+    out = held(ids, mod, rest)
+    length = np.bincount(doc, minlength=len(ids)).astype(np.int64)
+    # A pair that a text holds several times is sent once, with their number, up to what fits beside the text's place.
+    _, first, times = np.unique(dish(u, w) ^ common.mix(doc.astype(U64) + U64(1)), return_index=True, return_counts=True)
+    if times.max(initial=0) >= 1 << 18:
+        again = np.repeat(np.arange(len(times)), -(-times // ((1 << 18) - 1)))
+        left = times[again] - ((1 << 18) - 1) * (np.arange(len(again)) - np.searchsorted(again, again))
+        first, times = first[again], np.minimum(left, (1 << 18) - 1)
+    w, u, doc = w[first], u[first], doc[first]
+    part = _route(u, w, parts, hot)
+    by = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[by], np.arange(parts + 1))
+    w, u = w[by], u[by]
+    tag = ((times[by] << 14) | (doc[by] << 1) | (~out)[doc[by]]).astype(np.uint32)
+    data = [(OCCUR, p, chunk, 0, 0, _pack_pairs(u[cut[p] : cut[p + 1]], w[cut[p] : cut[p + 1]], tag[cut[p] : cut[p + 1]])) for p in np.flatnonzero(np.diff(cut)).tolist()]
+    head = common.pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), out.astype(np.uint8), length)
+    return [*data, (HEAD, chunk % parts, chunk, 0, 0, head)]
+
+
+def scored_pairs(got: dict[int, list[tuple]], model: Model, s: Settings) -> tuple[Dishes, np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """Of one part's rows: its pairs, their probabilities, their tokens' training counts, and the places of the rows'
+    occurrences (pair, text, times, row)."""
+    rows = [_unpack_pairs(r[5], "<u4") for r in got[OCCUR]]
+    src = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
+    u, w, tag = (np.concatenate([r[i] for r in rows]) for i in range(3))
+    del rows
+    times = (tag >> 14).astype(np.int64)
+    x, pair = dishes(u, w, times * (tag & 1))
+    c, k, st = _replied(got[REPLY])
+    warm_at = model.hot.place(x.contexts)[x.ui] >= 0
+    many = x.n > 1
+    tables = np.zeros(len(x.n), np.int64)
+    for warm in (0, 1):
+        parts_of = [common.unpack(r[5], "<u4")[0] for r in got.get(TABLES, []) if r[3] == warm]
+        tables[many & (warm_at == bool(warm))] = np.concatenate([*parts_of, np.zeros(0, np.uint32)])
+    p = probabilities(x, tables[many], model.hot, model.root.share(k, st, s), s)
+    return x, p, c, pair, ((tag >> 1) & 8191, times, src)
 
 
 def score(docs: DataFrame, *, settings: Settings = Settings(), mod: int = 5, rest: int = 1) -> DataFrame:
@@ -534,95 +713,52 @@ def score(docs: DataFrame, *, settings: Settings = Settings(), mod: int = 5, res
     parts = common.shuffle_partitions(spark)
     docs = common.steady(docs.select("doc_id", "text"), "documents")
     hot = hot_tokens(docs, parts)
-    totals, contexts = first_pass(docs, parts, hot, s, mod, rest)
-    sent = spark.sparkContext.broadcast(totals)  # 4 * parts tokens
+    model = fit(docs, parts, hot, s, mod, rest)
+    sent = spark.sparkContext.broadcast(Model(model.root, model.hot, model.tokens, model.types, None))  # 4 * parts contexts
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, b in zip(common.chunk_ids(), common.chunks(batches, "__text"), strict=False):
-            w, u, doc = occurrences(common.column(b, "__text"), s.contexts)
-            ids = common.column(b, "doc_id")
-            out = held(ids, mod, rest)
-            part = _route(w, u, parts, hot)
-            by = np.argsort(part, kind="stable")
-            w, u, doc, part = w[by], u[by], doc[by], part[by]
-            cut = np.searchsorted(part, np.arange(parts + 1))
-            full = np.flatnonzero(np.diff(cut))
-            tag = (doc.astype(np.uint16) << 1) | (~out)[doc]
-            data = [_pack_pairs(w[cut[p] : cut[p + 1]], u[cut[p] : cut[p + 1]], tag[cut[p] : cut[p + 1]].astype(np.uint16)) for p in full]
-            head = common.pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), out.astype(np.uint8), np.bincount(doc, minlength=b.num_rows).astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*full, chunk % parts], pa.int32()), pa.array([chunk] * (len(full) + 1), pa.int64()), pa.array([0] * len(full) + [1], pa.int32()), pa.array([*data, head], pa.binary())], names=["part", "chunk", "kind", "data"]
-            )
+            yield _rows(places(chunk, common.column(b, "__text"), common.column(b, "doc_id"), parts, hot, mod, rest))
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(chunk: list, kind: int, data: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array([kind] * len(chunk), pa.int32()), pa.array(data, pa.binary())], names=["chunk", "kind", "data"])
-
-        got, names, ctx, part = [], [], [], 0
-        for b in batches:
-            for p, chunk, kind, data in zip(*(common.column(b, c).to_pylist() for c in ("part", "chunk", "kind", "data")), strict=True):
-                if kind == 2:
-                    ctx.append(_unpack_contexts(data, "<u8"))
-                elif kind:
-                    yield out([chunk], 1, [data])
-                else:
-                    part = p
-                    got.append(_unpack_pairs(data, "<u2"))
-                    names.append(chunk)
-        if not got:
+        m, got = sent.value, _gather(batches)
+        heads = got.pop(HEAD, [])
+        if heads:
+            yield _rows(heads)
+        if OCCUR not in got:
             return
-        order = np.argsort(np.array(names), kind="stable")
-        names = np.array(names)[order]
-        got = [got[i] for i in order]
-        src = np.repeat(np.arange(len(got), dtype=np.int32), [len(g[0]) for g in got])
-        w, u, tag = (np.concatenate(x) for x in zip(*got, strict=True))
+        x, p, c, pair, (doc, times, src) = scored_pairs(got, m, s)
+        chunks = [r[2] for r in got[OCCUR]]
         del got
-        by = np.lexsort((u, w))
-        w, u, tag, src = w[by], u[by], tag[by], src[by]
-        x, pair = dishes(w, u, (tag & 1).astype(np.int64))
-        del w, u, by
-        of, c, t = (np.concatenate(y) for y in zip(*ctx, strict=True))
-        by = np.argsort(of)
-        if not np.array_equal(of[by], x.names):
-            raise RuntimeError("contexts of the two passes differ")
-        t = replace(sent.value, c_ctx=c[by].astype(np.float64), t_ctx=t[by].astype(np.float64))
-        del of, c, by, ctx
-        p = Part(x, s, parts, t, part, set(hot.tolist()))
-        count = np.where(p.is_hot, p.hot_c[:, 0], p.c_word)
-        logs = np.log10(np.maximum(p.predictive(), 1e-300))
-        base = np.log10((count + 0.5) / (t.tokens + 0.5 * (t.types + 1)))[p.of_word]
-        known = (count > 0)[p.of_word]
-        key = (src.astype(np.int64) << 13) | (tag >> 1)
-        size = len(names) << 13
-        n_known = np.bincount(key, known[pair], size)
-        b_sum = np.bincount(key, base[pair], size)
-        m_sum = np.bincount(key, logs[pair], size)
-        any_row = np.bincount(key, minlength=size) > 0
-        for i, chunk in enumerate(names.tolist()):
-            at = np.flatnonzero(any_row[i << 13 : (i + 1) << 13]) + (i << 13)
-            yield out([chunk], 0, [common.pack((at & 8191).astype(np.uint16), n_known[at].astype(np.uint32), b_sum[at], m_sum[at])])
+        logs = np.log10(np.maximum(p, 1e-300))
+        base = np.log10((c + 0.5) / (m.tokens + 0.5 * (m.types + 1)))[x.wi]
+        known = (c > 0)[x.wi]
+        for a, n, chunk in zip(*common.runs(src), chunks, strict=True):
+            at = slice(int(a), int(a + n))
+            texts, to = np.unique(doc[at], return_inverse=True)
+            sums = [np.bincount(to, v[pair[at]] * times[at], len(texts)) for v in (known, base, logs)]
+            yield _rows([(OCCUR, 0, chunk, 0, 0, common.pack(texts.astype(np.uint16), sums[0].astype(np.uint32), sums[1], sums[2]))])
 
     def finish(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, parts_of = None, []
         for b in batches:
             for kind, data in zip(common.column(b, "kind").to_pylist(), common.column(b, "data").to_pylist(), strict=True):
-                if kind:
+                if kind == HEAD:
                     head = common.unpack(data, "<i8", "u1", "u1", "<i8")
                 else:
                     parts_of.append(common.unpack(data, "<u2", "<u4", "<f8", "<f8"))
         ids, null, held_out, n = head
-        known, base, model = np.zeros(len(ids), np.int64), np.zeros(len(ids)), np.zeros(len(ids))
+        known, sums = np.zeros(len(ids), np.int64), [np.zeros(len(ids)) for _ in range(2)]
         for at, k, b1, m1 in parts_of:
             known[at] += k
-            base[at] += b1
-            model[at] += m1
+            sums[0][at] += b1
+            sums[1][at] += m1
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(held_out.astype(bool)), pa.array(n), pa.array(known), pa.array(np.full(len(ids), sent.value.tokens, np.int64)), pa.array(base), pa.array(model)],
+            [pa.array(ids, pa.int64(), mask=null.astype(bool)), pa.array(held_out.astype(bool)), pa.array(n), pa.array(known), pa.array(np.full(len(ids), sent.value.tokens, np.int64)), pa.array(sums[0]), pa.array(sums[1])],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
     frame = docs.select("doc_id", docs["text"].cast("string").alias("__text"))
-    back = contexts.select("part", F.lit(0).cast("bigint").alias("chunk"), F.lit(2).alias("kind"), "data")
-    dealt = frame.mapInArrow(rows, "part int, chunk bigint, kind int, data binary").unionByName(back).repartitionById(parts, F.col("part"))
-    summed = dealt.mapInArrow(solve, "chunk bigint, kind int, data binary")
-    return summed.groupBy("chunk").applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    dealt = frame.mapInArrow(rows, ROWS).unionByName(model.rows).repartitionById(parts, F.col("part"))
+    summed = dealt.mapInArrow(solve, ROWS).select("block", "kind", "data")
+    return summed.groupBy("block").applyInArrow(finish, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
