@@ -110,32 +110,39 @@ def small_seatings(d: float) -> np.ndarray:
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, float)
-    low = np.zeros(x.shape)
-    for i in range(8):
-        low += np.log(x + i)
-    x = x + 8
+    low = 0.0
+    if x.size and x.min() < 16:
+        low = np.log(np.prod([x + i for i in range(8)], axis=0))
+        x = x + 8
     return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - low
 
 
+#: Terms of the sum for few tables.
+TERMS = 64
+
+
 def log_seatings(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
-    """The log of the same weight for more than SMALL customers: c!/t! d^-t times the coefficient of z^c in (1 - (1 - z)^d)^t,
-    which is the sum over powers of (1 - z)^d for few tables and a saddle point's value for many."""
-    c, t = np.asarray(c, float), np.asarray(t, float)
-    out = np.zeros(len(c))
+    """The log of the same weight for each row's c, more than SMALL customers, at its numbers t: c!/t! d^-t times the coefficient
+    of z^c in (1 - (1 - z)^d)^t, which is the sum over powers of (1 - z)^d for few tables and a saddle point's value for many."""
+    c = np.asarray(c, float)[:, None]
+    out = np.zeros(t.shape)
     few = t <= 2 ** (4 * (1 - d)) * c**d
-    if few.any():
-        j = np.arange(1, 65)
+    some = np.flatnonzero(few.any(1))
+    if len(some):
+        j = np.arange(1, TERMS + 1)
         sign = np.array([0.0 if (d * k) % 1 == 0 else (-1) ** k / math.gamma(-d * k) for k in j.tolist()])
-        a, n = c[few][:, None], t[few][:, None]
-        size = np.cumsum(np.log(np.maximum(n - j + 1, 1e-300)) - np.log(j), axis=1) + log_gamma(a - d * j) - log_gamma(a - d)
-        out[few] = np.log(np.maximum((sign * np.exp(size)).sum(1), 1e-300)) + log_gamma(c[few] - d) - log_gamma(c[few] + 1)
+        power = log_gamma(c[some] - d * j) - log_gamma(c[some] - d)
+        size = np.log(np.maximum(t[some][:, :, None] - j + 1, 1e-300)) - np.log(j)
+        size = np.cumsum(size, axis=2, out=size)
+        size += power[:, None, :]
+        total = np.exp(size, out=size) @ sign
+        out[some] = np.log(np.maximum(total, 1e-300)) + log_gamma(c[some] - d) - log_gamma(c[some] + 1)
     many = ~few
     if many.any():
-        a, n = c[many], t[many]
+        a, n = np.broadcast_to(c, t.shape)[many], t[many]
         low, high = np.full(len(a), -80.0), np.full(len(a), -1e-12)
         for _ in range(40):
             mid = (low + high) / 2
-            y = np.exp(mid)
             over = n * d * -np.expm1(mid) * np.exp((d - 1) * mid) / -np.expm1(d * mid) > a
             low, high = np.where(over, mid, low), np.where(over, high, mid)
         z, y, g = -np.expm1(mid), np.exp(mid), -np.expm1(d * mid)
@@ -172,8 +179,8 @@ def draw(c: np.ndarray, x: np.ndarray, key: np.ndarray, d: float, *salt: int) ->
             w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), axis=1)
             out[at] = 1 + (w < (u[at] * w[:, -1])[:, None]).sum(1)
     large = np.flatnonzero(c > SMALL)
-    for i in range(0, len(large), 2048):
-        at = large[i : i + 2048]
+    for i in range(0, len(large), 512):
+        at = large[i : i + 512]
         n, lx = c[at].astype(float), log_x[at]
         low, high = np.full(len(at), -300.0), np.full(len(at), -1e-12)
         for _ in range(60):
@@ -188,7 +195,7 @@ def draw(c: np.ndarray, x: np.ndarray, key: np.ndarray, d: float, *salt: int) ->
         t = first[:, None] + step[:, None] * np.arange(GRID) + (step[:, None] - 1) / 2
         inside = t <= n[:, None]
         t = np.where(inside, t, n[:, None])
-        w = log_seatings(np.repeat(n, GRID), t.reshape(-1), d).reshape(t.shape) + t * lx[:, None]
+        w = log_seatings(n, t, d) + t * lx[:, None]
         w = np.where(inside, w, -np.inf)
         w = np.cumsum(np.exp(w - w.max(1, keepdims=True)), axis=1)
         v = u[at] * w[:, -1]
@@ -240,6 +247,16 @@ class Hot:
         return np.where(self.names[at] == u, at, -1)
 
 
+def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, the place of one of each, each key's place among them)."""
+    by = np.argsort(key)
+    x = key[by]
+    new = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
+    back = np.empty(len(key), np.int64)
+    back[by] = np.cumsum(new) - 1
+    return x[new], by[new], back
+
+
 def dish(u: np.ndarray, w: np.ndarray) -> np.ndarray:
     """A hash of each pair of context and token."""
     with np.errstate(over="ignore"):
@@ -261,9 +278,9 @@ class Dishes:
 
 def dishes(u: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[Dishes, np.ndarray]:
     """The pairs of rows (u, w) with n training customers each, and each row's pair."""
-    key, first, row = np.unique(dish(u, w), return_index=True, return_inverse=True)
-    names, wi = np.unique(w[first], return_inverse=True)
-    contexts, ui = np.unique(u[first], return_inverse=True)
+    key, first, row = grouped(dish(u, w))
+    names, _, wi = grouped(w[first])
+    contexts, _, ui = grouped(u[first])
     return Dishes(key, np.bincount(row, n, len(key)).astype(np.int64), names, wi.astype(np.int32), contexts, ui.astype(np.int32)), row
 
 
@@ -298,27 +315,39 @@ def held(ids: pa.Array, mod: int, rest: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(b"" if i is None else str(i).encode()) % mod == rest for i in ids.to_pylist()), bool, len(ids))
 
 
-def occurrences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token hash, context, text) of every token, ends included, text by text."""
+def occurrences(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the tokens in order; of every token, ends included, text by text: its place among them, its context's, its text)."""
     codes, off, words = common.tokens(texts)
-    h = common.hash_words(words)
+    names, _, place = grouped(np.append(common.hash_words(words), END))
     count = len(off) - 1
-    total = len(codes) + count
-    w = np.full(total, END, U64)
-    ends = off[1:] + np.arange(count)
-    inner = np.ones(total, bool)
-    inner[ends] = False
-    w[inner] = h[codes] if len(codes) else np.zeros(0, U64)
+    w = np.full(len(codes) + count, place[-1])
+    inner = np.ones(len(w), bool)
+    inner[off[1:] + np.arange(count)] = False
+    w[inner] = place[codes]
     doc = np.repeat(np.arange(count), np.diff(off) + 1)
-    return w, np.concatenate([[END], w[:-1]]), doc  # what stands before a text's first token is an end, too
+    return names, w, np.concatenate([place[-1:], w[:-1]]), doc  # what stands before a text's first token is an end, too
 
 
-def _route(u: np.ndarray, w: np.ndarray, parts: int, hot: np.ndarray) -> np.ndarray:
-    p = common.part_of(u, parts)
+def deal(names: np.ndarray, key: np.ndarray, low: int, parts: int, hot: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places in key) of rising keys (context, token, ``low`` more bits): by context, and of hot contexts by pair."""
+    wide = int(len(names)).bit_length()
+    u = key >> (low + wide)
+    part = common.part_of(names, parts)[u]
+    warm = np.zeros(0, np.int64)
     if len(hot):
-        at = hot[np.minimum(np.searchsorted(hot, u), len(hot) - 1)] == u
-        p[at] = common.part_of(dish(u[at], w[at]), parts)
-    return p
+        warm = np.flatnonzero(np.isin(names, hot)[u])
+        w = (key[warm] >> low) & ((1 << wide) - 1)
+        to = common.part_of(dish(names[u[warm]], names[w]), parts)
+        cold = np.delete(np.arange(len(key)), warm)
+        by = np.argsort(to, kind="stable")
+        warm, to = warm[by], to[by]
+        hot_cut = np.searchsorted(to, np.arange(parts + 1))
+    else:
+        cold, hot_cut = np.arange(len(key)), np.zeros(parts + 1, np.int64)
+    cut = np.searchsorted(part[cold], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cut) + np.diff(hot_cut)).tolist():
+        at = cold[cut[p] : cut[p + 1]]
+        yield p, np.sort(np.concatenate([at, warm[hot_cut[p] : hot_cut[p + 1]]])) if hot_cut[p + 1] > hot_cut[p] else at
 
 
 def hot_tokens(docs: DataFrame, parts: int) -> np.ndarray:
@@ -340,15 +369,24 @@ def hot_tokens(docs: DataFrame, parts: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in top], np.int64).view(U64))
 
 
-def _pack_pairs(w: np.ndarray, u: np.ndarray, v: np.ndarray) -> bytes:
-    """Rows sorted by (w, u): each distinct w once, with the length of its run, and each distinct u once, with its places."""
-    by = np.argsort(w, kind="stable")
-    w, u, v = w[by], u[by], v[by]
-    start, length = common.runs(w)
-    names, code = np.unique(u, return_inverse=True)
-    head, names = common.pack_sorted(w[start]), common.pack_sorted(names)
-    code = code.astype(np.uint16 if code.max(initial=0) < 1 << 16 else np.uint32)
-    return np.array([len(head), len(names), code.itemsize], "<u4").tobytes() + head + names + common.pack(length.astype(np.uint32), code, v)
+def packer(names: np.ndarray, low: int):
+    """Packs rows of rising keys (context, token, ``low`` more bits): each distinct context once, with the length of its run, and
+    each distinct token once, with its places."""
+    wide = int(len(names)).bit_length()
+    held, code_of = np.zeros(len(names), bool), np.zeros(len(names), np.uint32)
+
+    def pack(key: np.ndarray, v: np.ndarray) -> bytes:
+        u, w = key >> (low + wide), (key >> low) & ((1 << wide) - 1)
+        start, length = common.runs(u)
+        held[w] = True
+        own = np.flatnonzero(held)
+        held[own] = False
+        code_of[own] = np.arange(len(own))
+        code = code_of[w].astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
+        head, tail = common.pack_sorted(names[u[start]]), common.pack_sorted(names[own])
+        return np.array([len(head), len(tail), code.itemsize], "<u4").tobytes() + head + tail + common.pack(length.astype(np.uint32), code, v)
+
+    return pack
 
 
 def _unpack_pairs(data: bytes, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -401,16 +439,13 @@ def counts(docs: DataFrame, parts: int, hot: np.ndarray, s: Settings, mod: int,
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.chunks(batches, "__text"):
-            w, u, doc = occurrences(common.column(b, "__text"))
-            train = ~held(common.column(b, "doc_id"), mod, rest)
-            _, first, row = np.unique(dish(u, w), return_index=True, return_inverse=True)
-            n = np.bincount(row, train[doc], len(first)).astype(np.uint32)  # 0 where held-out documents alone ask for the pair
-            w, u = w[first], u[first]
-            part = _route(u, w, parts, at_hot)
-            by = np.argsort(part, kind="stable")
-            w, u, n = w[by], u[by], n[by]
-            cut = np.searchsorted(part[by], np.arange(parts + 1))
-            yield _rows([(0, p, 0, 0, 0, _pack_pairs(u[cut[p] : cut[p + 1]], w[cut[p] : cut[p + 1]], n[cut[p] : cut[p + 1]])) for p in np.flatnonzero(np.diff(cut)).tolist()])
+            names, w, u, doc = occurrences(common.column(b, "__text"))
+            train, wide = ~held(common.column(b, "doc_id"), mod, rest), int(len(names)).bit_length()
+            key = np.sort((((u << wide) | w) << 1) | train[doc])
+            start, _ = common.runs(key >> 1)
+            n = np.add.reduceat(key & 1, start).astype(np.uint32) if len(start) else np.zeros(0, np.uint32)  # 0 where held-out documents alone ask for the pair
+            key, pack = key[start] >> 1, packer(names, 0)
+            yield _rows([(0, p, 0, 0, 0, pack(key[at], n[at])) for p, at in deal(names, key, 0, parts, at_hot)])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(r[1], _unpack_pairs(r[5], "<u4")) for r in _gather(batches).get(0, [])]
@@ -426,7 +461,7 @@ def counts(docs: DataFrame, parts: int, hot: np.ndarray, s: Settings, mod: int,
         out = list(_asks(part, ASK, x.names, np.bincount(x.wi[known], minlength=len(x.names)), np.bincount(x.wi, x.n, len(x.names)).astype(np.int64), parts))
         many, one = x.n > 1, x.n == 1
         # Contexts without pairs of several customers need no sampling, their tables are their dishes.
-        used, ui = np.unique(x.ui[many], return_inverse=True)
+        used, _, ui = grouped(x.ui[many])
         single = np.bincount(x.ui[one], minlength=len(x.contexts))[used]
         out.append((STATIC, part, 0, 0, 0, common.pack(x.contexts[used], single.astype(np.uint32), ui.astype(np.uint32), x.wi[many].astype(np.uint32), x.n[many].astype(np.uint32), x.key[many], np.bincount(x.wi[one], minlength=len(x.names)).astype(np.uint32))))
         is_hot = np.isin(x.contexts, at_hot)
@@ -441,17 +476,18 @@ def counts(docs: DataFrame, parts: int, hot: np.ndarray, s: Settings, mod: int,
 
 
 def by_token(rows: DataFrame, counted: bool = False) -> DataFrame:
-    """A row for each range of tokens: block, how many are known, how many occur once, their root customers, and data: names,
-    customers, training counts, and for each part the places of the tokens that it holds.
+    """A row for each range of tokens: block, how many are known, occur once and are the root's customers once, all root
+    customers, several: names and customers of those with more, and data: customers, training counts, and for each part the
+    places of the tokens that it holds.
 
     counted: whether the rows hold training counts over all parts, not each its part's.
     """
-    schema = "block bigint, types bigint, once bigint, customers bigint, data binary"
+    schema = "block bigint, types bigint, once bigint, single bigint, customers bigint, several binary, data binary"
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = _gather(batches)
         asks, more = ([(r[1], *_unpack_names(r[5])) for r in sorted(by.get(kind, []))] for kind in (ASK, MORE))
-        names, at = np.unique(np.concatenate([r[1] for r in asks]), return_inverse=True)
+        names, _, at = grouped(np.concatenate([r[1] for r in asks]))
         k, c = (np.zeros(len(names), np.int64) for _ in range(2))
         out, end = [], 0
         for part, own, kk, cc in asks:
@@ -462,8 +498,10 @@ def by_token(rows: DataFrame, counted: bool = False) -> DataFrame:
             out.append((part, mine.astype(np.uint32)))
         for _, own, kk, _ in more:
             np.add.at(k, np.searchsorted(names, own), kk)
-        data = common.pack(names, k, c, np.array([p for p, _ in out], np.int32), np.array([len(m) for _, m in out], np.int64), np.concatenate([m for _, m in out]))
-        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (key[0].as_py(), int((c > 0).sum()), int((c == 1).sum()), int(k.sum()))] + [pa.array([data], pa.binary())], names=["block", "types", "once", "customers", "data"])
+        data = common.pack(k, c, np.array([p for p, _ in out], np.int32), np.array([len(m) for _, m in out], np.int64), np.concatenate([m for _, m in out]))
+        numbers = (key[0].as_py(), int((c > 0).sum()), int((c == 1).sum()), int((k == 1).sum()), int(k.sum()))
+        blobs = (common.pack(names[k > 1], k[k > 1]), data)
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in numbers] + [pa.array([v], pa.binary()) for v in blobs], names=["block", "types", "once", "single", "customers", "several", "data"])
 
     got = common.written(rows.filter(F.col("kind").isin(ASK, MORE)).select(ROWS_COLUMNS).groupBy("block").applyInArrow(add, schema), "tokens")
     common.release(rows.sparkSession)
@@ -472,19 +510,20 @@ def by_token(rows: DataFrame, counted: bool = False) -> DataFrame:
 
 def root_samples(tokens: DataFrame, root: Root, s: Settings, salt: int) -> Root:
     """The root's tables swept given its customers: one number a sweep reaches the driver."""
-    total = tokens.agg(F.sum("types")).first()[0] or 0
+    first = tokens.agg(F.sum("types").alias("types"), F.sum("single").alias("single")).first()
+    total, single = first["types"] or 0, first["single"] or 0
     for j in range(s.burn_in + s.samples):
         lam = float(gammas(np.array([s.root_strength / s.root_discount + total]), np.array([END]), s.seed, salt, j)[0])
 
         def tables(batches: Iterator[pa.RecordBatch], lam=lam, j=j) -> Iterator[pa.RecordBatch]:
             n = 0
             for b in batches:
-                for data in common.column(b, "data").to_pylist():
+                for data in common.column(b, "several").to_pylist():
                     names, k = common.unpack(data, "<u8", "<i8")
                     n += int(_root_tables(names, k, root.even, lam, s, salt, j).sum())
             yield pa.RecordBatch.from_pydict({"t": pa.array([n], pa.int64())})
 
-        total = tokens.select("data").mapInArrow(tables, "t bigint").agg(F.sum("t")).first()[0] or 0
+        total = single + (tokens.select("several").mapInArrow(tables, "t bigint").agg(F.sum("t")).first()[0] or 0)
         if j >= s.burn_in:
             root.lambdas.append(lam)
             root.tables += total
@@ -500,16 +539,17 @@ def replies(tokens: DataFrame, root: Root, s: Settings, salt: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, data in zip(common.column(b, "block").to_pylist(), common.column(b, "data").to_pylist(), strict=True):
-                names, k, c, to, length, at = common.unpack(data, "<u8", "<i8", "<i8", "<i4", "<i8", "<u4")
-                st = np.zeros(len(k), np.int64)
+            for block, several, data in zip(*(common.column(b, c).to_pylist() for c in ("block", "several", "data")), strict=True):
+                k, c, to, length, at = common.unpack(data, "<i8", "<i8", "<i4", "<i8", "<u4")
+                names, more = common.unpack(several, "<u8", "<i8")
+                st, many = np.where(k == 1, len(root.lambdas), 0), np.flatnonzero(k > 1)
                 for j, lam in enumerate(root.lambdas):
-                    st += _root_tables(names, k, root.even, lam, s, salt, s.burn_in + j)
+                    st[many] += _root_tables(names, more, root.even, lam, s, salt, s.burn_in + j)
                 cut = np.concatenate([[0], np.cumsum(length)])
                 for i in range(0, len(to), 64):
                     yield _rows([(REPLY, p, block, 0, 0, common.pack(c[m], k[m], st[m])) for p, m in ((int(to[q]), at[cut[q] : cut[q + 1]]) for q in range(i, min(i + 64, len(to))))])
 
-    return tokens.select("block", "data").mapInArrow(run, ROWS)
+    return tokens.select("block", "several", "data").mapInArrow(run, ROWS)
 
 
 def _replied(rows: list[tuple]) -> list[np.ndarray]:
@@ -584,7 +624,7 @@ def hot_samples(rows: DataFrame, hot: Hot, parts: int, s: Settings) -> DataFrame
                 for j, lam in enumerate(hot.lambdas):
                     t = draw(n.astype(np.int64), s.discount * lam[at] * base, key, s.discount, s.seed, j)
                     some += t if j >= s.burn_in else 0
-                names, to = np.unique(w, return_inverse=True)
+                names, _, to = grouped(w)
                 k = np.bincount(to, t, len(names)).astype(np.int64)
                 yield _rows([*_asks(part, MORE, names, k, np.zeros(len(names), np.int64), parts), (TABLES, part, piece, 1, 0, common.pack(some.astype(np.uint32)))])
 
@@ -661,24 +701,25 @@ def fit(docs: DataFrame, parts: int, at_hot: np.ndarray, s: Settings, mod: int,
     return Model(root, hot, n, types, kept.unionByName(replies(tokens, root, s, 2000)))
 
 
+#: How often a row of the second pass can hold a pair in a text.
+MOST_TIMES = (1 << 18) - 1
+
+
 def places(chunk: int, texts: pa.Array, ids: pa.Array, parts: int, hot: np.ndarray, mod: int, rest: int) -> list[tuple]:
     """Second pass: of a chunk, the places of its pairs in texts for each part (OCCUR), and its documents (HEAD)."""
-    w, u, doc = occurrences(texts)
-    out = held(ids, mod, rest)
+    names, w, u, doc = occurrences(texts)
+    out, wide = held(ids, mod, rest), int(len(names)).bit_length()
     length = np.bincount(doc, minlength=len(ids)).astype(np.int64)
     # A pair that a text holds several times is sent once, with their number, up to what fits beside the text's place.
-    _, first, times = np.unique(dish(u, w) ^ common.mix(doc.astype(U64) + U64(1)), return_index=True, return_counts=True)
-    if times.max(initial=0) >= 1 << 18:
-        again = np.repeat(np.arange(len(times)), -(-times // ((1 << 18) - 1)))
-        left = times[again] - ((1 << 18) - 1) * (np.arange(len(again)) - np.searchsorted(again, again))
-        first, times = first[again], np.minimum(left, (1 << 18) - 1)
-    w, u, doc = w[first], u[first], doc[first]
-    part = _route(u, w, parts, hot)
-    by = np.argsort(part, kind="stable")
-    cut = np.searchsorted(part[by], np.arange(parts + 1))
-    w, u = w[by], u[by]
-    tag = ((times[by] << 14) | (doc[by] << 1) | (~out)[doc[by]]).astype(np.uint32)
-    data = [(OCCUR, p, chunk, 0, 0, _pack_pairs(u[cut[p] : cut[p + 1]], w[cut[p] : cut[p + 1]], tag[cut[p] : cut[p + 1]])) for p in np.flatnonzero(np.diff(cut)).tolist()]
+    key = np.sort((((u << wide) | w) << 13) | doc)
+    start, times = common.runs(key)
+    key = key[start]
+    if times.max(initial=0) > MOST_TIMES:
+        again = np.repeat(np.arange(len(times)), -(-times // MOST_TIMES))
+        left = times[again] - MOST_TIMES * (np.arange(len(again)) - np.searchsorted(again, again))
+        key, times = key[again], np.minimum(left, MOST_TIMES)
+    tag, pack = ((times << 14) | ((key & 8191) << 1) | (~out)[key & 8191]).astype(np.uint32), packer(names, 13)
+    data = [(OCCUR, p, chunk, 0, 0, pack(key[at], tag[at])) for p, at in deal(names, key, 13, parts, hot)]
     head = common.pack(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), out.astype(np.uint8), length)
     return [*data, (HEAD, chunk % parts, chunk, 0, 0, head)]
 

@@ -215,11 +215,15 @@ def test_hpylm_scores_do_not_depend_on_partitions(spark, docs_of):
 def test_hpylm_contexts_have_restaurants_of_their_own():
     """More contexts than any table of a fixed size that small corpora would fill: each stays apart, in the rows' packing too."""
     n = 300_000
-    w, u, _ = hpylm.occurrences(pa.array([" ".join(f"w{i}" for i in range(n))]))
-    assert len(np.unique(u)) == n + 1
-    back = hpylm._unpack_pairs(hpylm._pack_pairs(u, w, np.arange(len(w), dtype=np.uint32)), "<u4")
-    by = np.argsort(u, kind="stable")
-    assert all((x == y).all() for x, y in zip(back, (u[by], w[by], by), strict=True))
+    names, w, u, _ = hpylm.occurrences(pa.array([" ".join(f"w{i}" for i in range(n))]))
+    assert len(np.unique(u)) == len(names) == n + 1
+    wide = len(names).bit_length()
+    key = np.sort((u << wide) | w)
+    back = hpylm._unpack_pairs(hpylm.packer(names, 0)(key, np.arange(len(w), dtype=np.uint32)), "<u4")
+    assert (back[0] == names[key >> wide]).all() and (back[1] == names[key & ((1 << wide) - 1)]).all() and (back[2] == np.arange(len(w))).all()
+    for hot in (np.zeros(0, np.uint64), names[::1000]):
+        dealt = np.concatenate([at for _, at in hpylm.deal(names, key, 0, 7, hot)])
+        assert (np.sort(dealt) == np.arange(len(key))).all()
 
 
 def exact_table_weights(c, x, d):
