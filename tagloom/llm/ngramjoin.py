@@ -8,12 +8,14 @@ A text's set holds the distinct ``n``-word shingles of its lower-cased words; tw
 2. Size-derived bound, first use: a partner holds at least ceil(percent * size / 100) of a set, so documents that
    link share one of the size - that + 1 rarest hashes of each (the prefix). Documents whose prefix holds only hashes
    of their own are done; of the others only the first by row of each class of equal sets goes on.
-3. Documents that share a prefix hash form families (connected components, by repeated minima and jumps).
-4. A family is cut into blocks; for a pair of blocks the overlap counts are accumulated by products of incidence
-   slabs, size-derived bounds discard pairs, and only a spanning forest of the links leaves the task. A family that
-   fits one block is finished by that. Larger ones go through two random blockings, which connect what is densely
-   linked; then documents outside the family's largest component are held against all of the family, block by block,
-   which leaves no link out. Pairs are never listed.
+3. Near copies first: by ``KEYS`` minima of hashes over its prefix each document joins as many groups, cut into blocks at
+   random. Of a block the overlap counts are accumulated by products of incidence slabs, size-derived bounds discard
+   pairs, and only a spanning forest of the links leaves the task. Pairs are never listed.
+4. What may still be missing lies between different components so far: in prefix hashes whose documents (the posting
+   list) belong to several. Documents that such lists connect and that fit one block are finished by one product. Of
+   larger ones, each distinct list is a group of its own; a list beyond ``LONG`` documents is split by the second and
+   third hash that partners must share (the k-th lies among the size - least overlap + k rarest, for any percent above
+   100 (k - 1) / k), and what is long still is solved by pairs of blocks, which leaves no link out.
 5. Components of the forests give each class, and so each document, its component.
 
 Tables that several steps read are written to the shared folder, so a lost executor repeats its tasks only.
@@ -37,6 +39,8 @@ from .common import U64
 
 #: Documents of one block, and bytes of its dense slabs of incidences.
 BLOCK_DOCS, SLAB = 128, 4096
+#: Groups that a document joins by the minima of its prefix; documents of a posting list that is split no further.
+KEYS, LONG = 2, 1024
 _MULT = U64(0x9E3779B97F4A7C15)
 
 
@@ -155,12 +159,13 @@ def shared_only(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "chunk bigint, kind int, data binary")
 
 
-SETS = "rid bigint, doc_id bigint, size bigint, sig_a bigint, sig_b bigint, live boolean, shared binary, n_shared bigint, prefix array<bigint>"
-_SETS = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("live", pa.bool_()), ("shared", pa.binary()), ("n_shared", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+SETS = "rid bigint, doc_id bigint, size bigint, sig_a bigint, sig_b bigint, live boolean, shared binary, n_shared bigint, quota bigint, prefix array<bigint>"
+_SETS = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("live", pa.bool_()), ("shared", pa.binary()), ("n_shared", pa.int64()), ("quota", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
 
 def sets(rows: DataFrame, percent: int) -> DataFrame:
-    """A row each document: its size and signature, and if it may have partners (live) its shared hashes and prefix."""
+    """A row each document: its size and signature, and if it may have partners (live) its shared hashes and the rarest of them,
+    of which ``quota`` are the prefix and two more serve to split long lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, hs, docs, dfs, chunk = None, [], [], [], 0
@@ -191,7 +196,7 @@ def sets(rows: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array((chunk << 16) + np.arange(lo, hi), pa.int64()), pa.array(ids[lo:hi], pa.int64(), mask=null[lo:hi].astype(bool)), pa.array(size[lo:hi], pa.int64()), pa.array(a[lo:hi], pa.int64()), pa.array(c[lo:hi], pa.int64()), pa.array(live[lo:hi]),
-                    pa.array([np.sort(h[s:e]).tobytes() if x else None for s, e, _, x in some], pa.binary()), pa.array(shared[lo:hi], pa.int64()), pa.array([h[s : min(e, s + q)].view(np.int64) if x else None for s, e, q, x in some], pa.list_(pa.int64())),
+                    pa.array([np.sort(h[s:e]).tobytes() if x else None for s, e, _, x in some], pa.binary()), pa.array(shared[lo:hi], pa.int64()), pa.array(quota[lo:hi], pa.int64()), pa.array([h[s : min(e, s + q + 2)].view(np.int64) if x else None for s, e, q, x in some], pa.list_(pa.int64())),
                 ],
                 schema=_SETS,
             )
@@ -237,13 +242,14 @@ def block_links(h: list[np.ndarray], size: np.ndarray, percent: int, rows: np.nd
     col = np.repeat(np.cumsum(several) - 1, length)
     keep = np.repeat(several, length)
     col, doc = col[keep], doc[keep]
-    over = np.zeros((len(rows), n), np.float32)
+    exact = np.float32 if size.max(initial=0) < 1 << 24 else np.float64
+    over = np.zeros((len(rows), n), exact)
     width = int(col[-1]) + 1 if len(col) else 0
     cut = np.searchsorted(col, np.arange(0, width + SLAB, SLAB))
     for i in range(len(cut) - 1):
-        slab = np.zeros((n, min(SLAB, width - i * SLAB)), np.float32)
+        slab = np.zeros((n, min(SLAB, width - i * SLAB)), exact)
         slab[doc[cut[i] : cut[i + 1]], col[cut[i] : cut[i + 1]] - i * SLAB] = 1
-        over += slab[rows] @ slab.T  # whole numbers below 2^24: exact
+        over += slab[rows] @ slab.T  # whole numbers below 2^24, or 2^53: exact
     both = size[rows][:, None] + size[None, :]
     low, high = np.minimum(size[rows][:, None], size[None, :]), np.maximum(size[rows][:, None], size[None, :])
     over = over.astype(np.int64)
@@ -276,12 +282,9 @@ def _solve(percent: int):
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
         rid = t["rid"].to_numpy()
-        side = t["side"].to_numpy()
-        h = [np.frombuffer(x, U64) for x in t["shared"].to_pylist()]
-        rows = np.flatnonzero(side == 0)
-        if not len(rows) or len(rid) < 2:
+        if len(rid) < 2:
             return
-        found = forest(block_links(h, t["size"].to_numpy(), percent, rows), rows, len(rid))
+        found = forest(block_links([np.frombuffer(x, U64) for x in t["shared"].to_pylist()], t["size"].to_numpy(), percent), np.arange(len(rid)), len(rid))
         if found:
             a, b = (rid[np.array(x)] for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
@@ -289,7 +292,34 @@ def _solve(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, block: int = BLOCK_DOCS) -> DataFrame:
+def _links(groups: DataFrame, held: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Forests of the groups (x, y, rid): sets are joined to the rows of their documents and dealt by group."""
+    rows = groups.join(held.select("rid", "size", "shared"), "rid").select("x", "y", "rid", "size", "shared")
+    # Dealt by both columns, so that a large group's blocks go to different tasks.
+    got = rows.repartition(parts, "x", "y").groupBy("x", "y").applyInArrow(_solve(percent), "a bigint, b bigint")
+    out = common.written(got, "forest")
+    common.release(held.sparkSession)
+    return out
+
+
+def _blocks(groups: DataFrame, block: int) -> DataFrame:
+    """Groups (k, rid) with their number n, as pairs of blocks (x, y): every two documents of a group meet."""
+    blocks = F.ceil(F.col("n") / (block / 2)).cast("bigint")
+    own = F.pmod(F.xxhash64(F.lit("in"), "k", "rid"), blocks)
+    small = groups.filter(F.col("n") <= block).select(F.col("k").alias("x"), F.lit(-1).cast("bigint").alias("y"), "rid")
+    large = groups.filter(F.col("n") > block).select("k", "rid", own.alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("j"))
+    return small.unionByName(large.select(F.col("k").alias("x"), (F.least("i", "j") * (1 << 31) + F.greatest("i", "j")).alias("y"), "rid"))
+
+
+def _mixed(lists: DataFrame) -> DataFrame:
+    """Of lists (k, rid, pos, root): those whose documents belong to several components, with their number n and, of lists
+    that hold the same documents, the one whose hash is the rarest: the first that any two of them share there."""
+    of = lists.groupBy("k").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("rid", "pos")).alias("m"), F.sum(F.xxhash64("rid") % (1 << 40)).alias("u"), F.sum(F.xxhash64(F.lit(1), "rid") % (1 << 40)).alias("v"))
+    of = of.filter("lo <> hi").select("k", "n", "u", "v", F.col("m.rid").alias("m"), F.col("m.pos").alias("first"))
+    return of.groupBy("n", "m", "u", "v").agg(F.min_by("k", F.struct("first", "k")).alias("k")).select("k", "n", "m")
+
+
+def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, block: int = BLOCK_DOCS, long: int = LONG) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
     common.ship(spark)
@@ -298,40 +328,51 @@ def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, block:
     every = common.written(sets(shared_only(incidences(docs, n, parts).repartitionById(parts, F.col("part"))), percent), "sets")
     common.release(spark)
 
-    classes = every.filter("live").groupBy("size", "sig_a", "sig_b").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least"))
-    classes = common.written(classes, "classes")
-    reps = common.written(every.filter("live").select("rid", "shared", "n_shared", "prefix").join(classes.select("rid", "size", "least"), "rid"), "reps")
-
-    prefix = reps.select("rid", F.explode("prefix").alias("h"))
-    lists = prefix.groupBy("h").agg(F.min("rid").alias("m"), F.max("rid").alias("x")).filter("m < x")
-    stars = prefix.join(lists, "h").filter("rid <> m").select(F.col("m").alias("a"), F.col("rid").alias("b")).distinct()
-    family = components(stars)
-    # Sizes of families are joined to bare ids; the sets themselves are dealt by row, then by block.
-    named = reps.select("rid", "n_shared").join(family.select(F.col("v").alias("rid"), F.col("root").alias("family")), "rid")
-    sizes = named.groupBy("family").agg(F.count("*").alias("n"), F.sum("n_shared").alias("w")).select("family", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("w") / (block << 13))).cast("bigint").alias("blocks"))
-    held = common.written(reps.select("rid", "size", "shared").join(named.join(sizes, "family").select("rid", "family", "blocks"), "rid"), "families")
-    common.discard(reps)  # what follows reads the families alone
+    classes = common.written(every.filter("live").groupBy("size", "sig_a", "sig_b").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least")), "classes")
+    # Of each class one document goes on, if one of its prefix hashes is another class's too.
+    lone = every.filter("live").select("rid", "quota", "prefix").join(classes.select("rid"), "rid", "left_semi")
+    at = lone.select("rid", F.posexplode("prefix").alias("pos", "h"), "quota").filter("pos < quota").select("rid", "pos", "h")
+    several = at.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    at = common.written(at.join(several, "h"), "prefixes")
+    held = every.filter("live")
     common.release(spark)
-    salts = F.when(F.col("blocks") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    first = held.withColumn("salt", F.explode(salts)).withColumn("blk", F.pmod(F.xxhash64("salt", "rid"), F.col("blocks")))
-    # Dealt by all three columns: a family alone would bring all its blocks into one task.
-    dealt = first.select("family", "salt", "blk", "rid", "size", "shared", F.lit(0).alias("side")).repartition(parts, "family", "salt", "blk")
-    forests = common.written(dealt.groupBy("family", "salt", "blk").applyInArrow(_solve(percent), "a bigint, b bigint"), "forest")
-
-    large = held.filter("blocks > 1")
-    if not large.isEmpty():
-        so_far = components(forests)
-        large = large.join(so_far.withColumnRenamed("v", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-        large = common.written(large, "large")
-        main = large.groupBy("family", "root").count().groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-        large = large.join(main, "family")
-        left = large.filter("root <> main").groupBy("family").agg(F.ceil(F.count("*") / block).cast("bigint").alias("out_blocks"))
-        both = large.join(left, "family").withColumn("out", F.pmod(F.xxhash64(F.lit("out"), "rid"), F.col("out_blocks"))).withColumn("blk", F.pmod(F.xxhash64(F.lit("in"), "rid"), F.col("blocks")))
-        ask = both.filter("root <> main").select("family", "out", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("blk"), "rid", "size", "shared", F.lit(0).alias("side"))
-        # An outlier is held against its own block of outliers too: both sides of it are among the blocks of the family.
-        give = both.select("family", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("out_blocks") - 1)).alias("out"), "blk", "rid", "size", "shared", F.lit(1).alias("side"))
-        more = ask.unionByName(give).repartition(parts, "family", "out", "blk").groupBy("family", "out", "blk").applyInArrow(_solve(percent), "a bigint, b bigint")
-        forests = forests.union(common.written(more, "forest"))
+
+    minima = at.groupBy("rid").agg(*(F.min(F.xxhash64(F.lit(i), "h")).alias(f"k{i}") for i in range(KEYS)))
+    keys = minima.select("rid", F.explode(F.array(*(F.col(f"k{i}") for i in range(KEYS)))).alias("k"))
+    near = keys.groupBy("k").agg(F.ceil(F.count("*") / block).cast("bigint").alias("blocks"), F.count("*").alias("n")).filter("n > 1")
+    near = keys.join(near, "k").select(F.col("k").alias("x"), F.pmod(F.xxhash64(F.lit("near"), "rid", "k"), F.col("blocks")).alias("y"), "rid")
+    forests = _links(near, held, percent, parts)
+    so_far = components(forests)
+
+    placed = at.join(so_far.select(F.col("v").alias("rid"), "root"), "rid", "left").select("rid", "pos", F.col("h").alias("k"), F.coalesce("root", "rid").alias("root"))
+    lists = common.written(_mixed(placed), "lists")
+    if not lists.isEmpty():
+        placed = common.written(placed.join(lists, "k"), "placed")
+        family = components(placed.filter("rid <> m").select(F.col("m").alias("a"), F.col("rid").alias("b")))
+        family = family.select(F.col("v").alias("rid"), F.col("root").alias("family"))
+        sizes = family.join(every.select("rid", "n_shared"), "rid").groupBy("family").agg(F.count("*").alias("docs"), F.sum("n_shared").alias("w"))
+        sizes = sizes.select("family", ((F.col("docs") <= block) & (F.col("w") <= block << 13)).alias("fits"))
+        family = common.written(family.join(sizes, "family"), "families")
+        fits = family.filter("fits").select(F.col("family").alias("x"), F.lit(-2).cast("bigint").alias("y"), "rid")
+        rows = placed.join(family.filter("not fits").select("rid"), "rid")
+        groups, level, whole = [fits], 1, every.select("rid", "quota", "prefix")
+        while True:
+            level += 1
+            last = level > 3 or percent * level <= 100 * (level - 1)
+            groups.append(_blocks(rows if last else rows.filter(F.col("n") <= long), block))
+            rows = rows.filter(F.col("n") > long)
+            if last or rows.isEmpty():
+                break
+            # The next hash that partners share lies behind this one, among the quota + level - 1 rarest.
+            after = F.expr(f"slice(prefix, pos + 2, greatest(int(quota) + {level - 1} - pos - 1, 0))")
+            deeper = rows.join(whole, "rid").select("k", "rid", "root", "pos", F.posexplode(after).alias("step", "h"))
+            deeper = deeper.select(F.xxhash64("k", "h").alias("k"), "rid", "root", (F.col("pos") + F.col("step") + 1).cast("int").alias("pos"))
+            rows = common.written(deeper.join(_mixed(deeper), "k"), "deeper")
+        more = groups[0]
+        for g in groups[1:]:
+            more = more.unionByName(g)
+        forests = forests.union(_links(more, held, percent, parts))
+        common.discard(placed)
     roots = components(forests)
     named = classes.join(roots.withColumnRenamed("v", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     least = named.groupBy("root").agg(F.min("least").alias("component"))

@@ -64,15 +64,23 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.v = d.doc_id
 """.replace("{U}", _UPPER).replace("{L}", _LOWER)
 
 OP9 = """
-WITH p AS (SELECT page_id, page_id // 512 AS warc_file, coalesce(ascii(html), 0) AS first,
-  encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
-  || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10)
-  || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)) AS data FROM pages WHERE page_id IS NOT NULL),
-q AS (SELECT page_id, warc_file, first, octet_length(data) AS n, sha256(data) AS h FROM p)
-SELECT page_id, warc_file, CAST(row_number() OVER w - 1 AS INTEGER) AS place, CAST(coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS record_offset,
-  CAST(n AS BIGINT) AS record_length, h AS record_sha256,
-  page_id % 97 = 0 AND first BETWEEN 32 AND 125 AS damaged
-FROM q WINDOW w AS (PARTITION BY warc_file ORDER BY page_id, h)
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, coalesce(page_id % 97 = 0 AND ascii(html) BETWEEN 32 AND 125, false) AS other, coalesce(page_id % 101 = 0, false) AS longer,
+  coalesce(page_id % 103 = 0, false) AS lost, coalesce(page_id % 107 = 0, false) AS twice FROM pages),
+v AS (SELECT 0 AS side, page_id, url, html FROM p
+  UNION ALL SELECT 1, page_id, url, CASE WHEN other THEN '~' || substr(html, 2) WHEN longer THEN html || '!' ELSE html END FROM p WHERE NOT lost
+  UNION ALL SELECT 1, page_id, url, 'second' FROM p WHERE twice AND NOT page_id % 97 = 0 AND NOT longer AND NOT lost),
+q AS (SELECT side, page_id, page_id // 512 AS warc_file,
+  encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
+  || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(html)) || chr(13) || chr(10) || chr(13) || chr(10)
+  || html || chr(13) || chr(10) || chr(13) || chr(10)) AS data FROM v),
+h AS (SELECT side, page_id, warc_file, octet_length(data) AS n, sha256(data) AS h FROM q),
+r AS (SELECT side, page_id, warc_file, CAST(0 AS BIGINT) AS shelf, CAST(row_number() OVER w - 1 AS BIGINT) AS place, CAST(coalesce(sum(n) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS record_offset,
+  CAST(n AS BIGINT) AS record_length, h AS record_sha256 FROM h WINDOW w AS (PARTITION BY side, warc_file ORDER BY page_id, h)),
+l AS (SELECT a.* EXCLUDE (side), b.place IS NULL AS damaged, coalesce(a.record_offset <> b.record_offset, false) AS moved
+  FROM (SELECT * FROM r WHERE side = 0) a LEFT JOIN (SELECT * FROM r WHERE side = 1) b ON a.page_id = b.page_id AND a.record_sha256 = b.record_sha256)
+SELECT * FROM l
+UNION ALL SELECT r.* EXCLUDE (side), true, false FROM r JOIN p USING (page_id) WHERE side = 1 AND twice AND NOT page_id % 97 = 0 AND NOT longer AND NOT lost
+  AND NOT EXISTS (SELECT 1 FROM r x WHERE x.side = 0 AND x.page_id = r.page_id AND x.record_sha256 = r.record_sha256)
 """
 
 OP10 = """

@@ -58,11 +58,15 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record of the archive of ``pages``, and any surplus one of the replica, with its verdict against a replica in which a byte of every 97th page is damaged."""
-    pages = common.table(spark, sf_dir, "pages")
-    hurt = (F.col("page_id") % 97 == 0) & F.ascii("html").between(32, 125)
-    damaged = pages.withColumn("html", F.when(hurt, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).otherwise(F.col("html")))
-    return warc.verdicts(pages, damaged, surplus=True)
+    """Every record of the archive of ``pages``, and any surplus one of a replica, with its verdict against that replica: there a
+    byte of every 97th page is another, every 101st page is longer, every 103rd is lost and every 107th has a second record."""
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    of = lambda n: F.coalesce(F.col("page_id") % n == 0, F.lit(False))
+    first = F.coalesce(F.ascii("html").between(32, 125), F.lit(False))
+    html = F.when(of(97) & first, F.concat(F.lit("~"), F.expr("substring(html, 2)"))).when(of(101), F.concat(F.coalesce("html", F.lit("")), F.lit("!"))).otherwise(F.col("html"))
+    replica = pages.filter(~of(103)).withColumn("html", html)
+    second = pages.filter(of(107) & ~of(97) & ~of(101) & ~of(103)).withColumn("html", F.lit("second"))
+    return warc.verdicts(pages, replica.unionByName(second), surplus=True)
 
 
 def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:

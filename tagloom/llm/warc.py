@@ -1,16 +1,20 @@
 """WARC records and a Merkle audit of their fixity.
 
-``records`` makes WARC/1.1 ``resource`` records of pages; a file is a run of records, each at the offset where the
-one before ends. ``tree`` hashes every record (SHA-256 of its bytes, with its offset and length) and then ordered
-ranges of offsets: a node of level k + 1 hashes, in order, the digests of up to ``fanout`` neighbouring nodes of level
-k, up to one root a file. ``audit`` compares the roots of two replicas and descends level by level only where digests
-differ, so equal files cost one comparison and a damaged record fanout * depth.
-
-A file takes the pages of one range of ids, so its size is bounded; each level is one aggregation by (file, range). A missing or surplus record changes its leaf's range on one side and is reported as such,
-surplus ones by ``verdicts`` where it is asked for them.
-
-Defined results: null urls and bodies are empty; pages without an id take no part; pages with equal ids are records of
-their own, in the order of url and body; an empty replica is all missing; further columns are ignored.
+``records`` makes WARC/1.1 ``resource`` records of pages; a file is a run of records, each at the offset where the one
+before ends. A file takes the pages of one range of ids and gives each id a slot, so that a missing or surplus record
+leaves all others in their slots. ``trees`` hashes of every slot its records (id, SHA-256 of the bytes, length, number of
+equal ones) and, apart from that, their ranges of offsets; ordered slots are hashed by ``fanout`` into nodes, level by
+level, up to one root a file. ``audit`` compares the roots of two replicas and descends only where digests differ, for
+contents and for ranges apart; ``verdicts`` compares the records of the slots found: a record that the replica lacks or
+holds with other bytes is damaged, one that it holds at another offset is moved, what it holds beyond that is surplus.
+
+Bounds: an id of more than ``per_file`` different records, in either replica, takes files of its own (shelves), as many as
+its records need, with slots by digest; so a file's records and slots are bounded, whatever repeats. Equal records of one
+id are counted before anything is shuffled, and a tree is one row a file.
+
+Defined results: null urls and bodies are empty; pages without an id are an id of their own (file null, slots by digest, in
+which a changed record is one missing and one surplus); pages of equal ids
+are records of their own, in the order of their digests; an empty replica is all missing; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,41 +26,66 @@ from pyspark.sql.window import Window
 from . import common
 
 CRLF = "\r\n"
+#: Stands for the file of pages without an id in joins; no range of ids has this number.
+NO_FILE = -(1 << 63)
 
 
 def record(url: Column, body: Column, ident: Column) -> Column:
     """The bytes of a WARC resource record, its date fixed so that equal pages give equal records."""
     body = F.coalesce(body, F.lit("")).cast("binary")
     head = F.concat(
-        F.lit(CRLF.join(["WARC/1.1", "WARC-Type: resource", "WARC-Date: 1970-01-01T00:00:00Z", "WARC-Record-ID: <urn:page:"])), ident.cast("string"), F.lit(f">{CRLF}WARC-Target-URI: "), F.coalesce(url, F.lit("")),
+        F.lit(CRLF.join(["WARC/1.1", "WARC-Type: resource", "WARC-Date: 1970-01-01T00:00:00Z", "WARC-Record-ID: <urn:page:"])), F.coalesce(ident.cast("string"), F.lit("")), F.lit(f">{CRLF}WARC-Target-URI: "), F.coalesce(url, F.lit("")),
         F.lit(f"{CRLF}Content-Type: text/html{CRLF}Content-Length: "), F.octet_length(body).cast("string"), F.lit(CRLF * 2),
     )
     return F.concat(head.cast("binary"), body, F.lit(CRLF * 2).cast("binary"))
 
 
-def records(pages: DataFrame, *, per_file: int = 512) -> DataFrame:
-    """page_id, file, place, offset, length, digest. A file holds the pages whose ids lie in one range of ``per_file``.
-
-    Page ids are keys: a range of them never grows with the input.
-    """
-    p = pages.filter("page_id is not null").select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    p = p.select("page_id", "url", record(F.col("url"), F.col("html"), F.col("page_id")).alias("data"))
-    p = p.withColumn("length", F.octet_length("data").cast("bigint")).withColumn("file", F.floor(F.col("page_id") / per_file).cast("bigint"))
-    small = p.select("page_id", "file", "length", F.sha2("data", 256).alias("digest"))
-    w = Window.partitionBy("file").orderBy("page_id", "digest")
-    placed = small.withColumn("place", F.row_number().over(w) - 1).withColumn("offset", F.coalesce(F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return placed.select("page_id", "file", F.col("place").cast("int").alias("place"), F.col("offset").cast("bigint").alias("offset"), "length", "digest")
+def digests(pages: DataFrame, per_file: int) -> DataFrame:
+    """page_id, fk (the file), digest, length and n of the different records; n counts equal ones."""
+    data = pages.select(F.col("page_id").cast("bigint").alias("page_id"), record(F.col("url").cast("string"), F.col("html").cast("string"), F.col("page_id")).alias("data"))
+    small = data.select("page_id", F.sha2("data", 256).alias("digest"), F.octet_length("data").cast("bigint").alias("length"))
+    counted = small.groupBy("page_id", "digest", "length").agg(F.count("*").alias("n"))
+    return counted.withColumn("fk", F.coalesce(F.floor(F.col("page_id") / per_file).cast("bigint"), F.lit(NO_FILE)))
+
+
+def shelves(per_file: int, *sides: DataFrame) -> DataFrame:
+    """page_id and shelves (a power of two) of the ids that need files of their own; the same for all sides."""
+    most = [d.groupBy("page_id").agg(F.count("*").alias("n")).filter(F.col("n") > per_file) for d in sides]
+    every = most[0]
+    for m in most[1:]:
+        every = every.unionByName(m)
+    return every.groupBy("page_id").agg(F.pow(F.lit(2), F.ceil(F.log2(F.max("n") / (per_file / 2)))).cast("bigint").alias("shelves"))
+
+
+def placed(found: DataFrame, big: DataFrame | None, per_file: int) -> DataFrame:
+    """``found`` with shelf, slot, place and offset of the first of equal records."""
+    bits = F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint")
+    own = F.pmod(F.col("page_id"), F.lit(per_file))
+    if big is None:
+        got = found.withColumn("shelf", F.lit(0).cast("bigint")).withColumn("slot", F.coalesce(own, F.pmod(bits, F.lit(per_file))))
+    else:
+        big = big.select(F.col("page_id").alias("big_id"), "shelves")
+        got = found.join(big, F.col("page_id").eqNullSafe(F.col("big_id")), "left").drop("big_id")
+        # Shelf 0 is the range's common file; those of its large ids are numbered behind it, each id's apart.
+        at = 1 + F.coalesce(own, F.lit(0)) * (1 << 40) + F.pmod(bits, F.col("shelves"))
+        got = got.withColumn("slot", F.coalesce(F.when(F.col("shelves").isNull(), own), F.pmod(F.floor(bits / F.coalesce("shelves", F.lit(1))), F.lit(per_file))))
+        got = got.withColumn("shelf", F.when(F.col("shelves").isNull(), 0).otherwise(at)).drop("shelves")
+    w = Window.partitionBy("fk", "shelf").orderBy(F.col("page_id").asc_nulls_first(), "digest")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    return got.withColumn("place", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("offset", F.coalesce(F.sum(F.col("n") * F.col("length")).over(before), F.lit(0)))
 
 
-def leaves(recs: DataFrame) -> DataFrame:
-    """file, level 0, node (the record's place) and hash: of digest, offset and length."""
-    return recs.select("file", F.col("place").cast("bigint").alias("node"), F.sha2(F.concat_ws(":", "digest", "offset", "length"), 256).alias("hash"))
+def records(pages: DataFrame, *, per_file: int = 512) -> DataFrame:
+    """page_id, file, shelf, place, offset, length and digest of every record."""
+    found = common.written(digests(pages, per_file), "digests")
+    big = shelves(per_file, found)
+    return _each(placed(found, None if big.isEmpty() else big, per_file)).select("page_id", F.when(F.col("fk") != NO_FILE, F.col("fk")).alias("file"), "shelf", "place", "offset", "length", "digest")
 
 
-def parents(level: DataFrame, fanout: int) -> DataFrame:
-    """The nodes above: ordered hashes of ``fanout`` neighbours hashed together. A group has ``fanout`` rows at most."""
-    up = level.groupBy("file", F.floor(F.col("node") / fanout).cast("bigint").alias("up")).agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("kids"))
-    return up.select("file", F.col("up").alias("node"), F.sha2(F.concat_ws(",", F.transform("kids", lambda k: F.concat_ws("=", (k["node"] % fanout).cast("string"), k["hash"]))), 256).alias("hash"))
+def _each(recs: DataFrame) -> DataFrame:
+    """A row each of equal records, numbered by ``copy``."""
+    one = recs.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    return one.withColumn("place", F.col("place") + F.col("copy")).withColumn("offset", F.col("offset") + F.col("copy") * F.col("length"))
 
 
 def depth(per_file: int, fanout: int) -> int:
@@ -66,40 +95,97 @@ def depth(per_file: int, fanout: int) -> int:
     return d
 
 
-def tree(recs: DataFrame, *, levels: int, fanout: int = 16) -> list[DataFrame]:
-    """Levels 0 (leaves) to ``levels`` (one root a file, as long as a file has no more than fanout ** levels records)."""
-    out = [leaves(recs)]
-    for _ in range(levels):
-        out.append(parents(out[-1], fanout))
-    return out
+def _sha(values: Column) -> Column:
+    return F.sha2(F.concat_ws(",", values), 256)
+
 
+def _above(level: Column, fanout: int) -> Column:
+    """The nodes above: ordered hashes of up to ``fanout`` neighbours hashed together, contents and ranges apart."""
+    up = F.array_distinct(F.transform(level, lambda x: F.floor(x["node"] / fanout)))
 
-def compare(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Nodes of one level that differ or that one side lacks."""
-    x, y = a.select("file", "node", F.col("hash").alias("ha")), b.select("file", "node", F.col("hash").alias("hb"))
-    return x.join(y, ["file", "node"], "full").filter(~F.col("ha").eqNullSafe(F.col("hb"))).select("file", "node")
+    def hashed(kids: Column, what: str) -> Column:
+        return _sha(F.transform(kids, lambda x: F.concat_ws("=", (x["node"] % fanout).cast("string"), x[what]))).alias(what)
 
+    def node(p: Column) -> Column:
+        kids = F.filter(level, lambda x: F.floor(x["node"] / fanout) == p)
+        return F.struct(p.alias("node"), hashed(kids, "contents"), hashed(kids, "ranges"))
 
-def audit(left: list[DataFrame], right: list[DataFrame], fanout: int = 16) -> DataFrame:
-    """(file, place) of the records that differ: roots first, then only the children of differing nodes."""
-    bad = compare(left[-1], right[-1])
-    for a, b in zip(left[-2::-1], right[-2::-1], strict=True):
-        kids = bad.select("file", F.explode(F.sequence(F.col("node") * fanout, F.col("node") * fanout + fanout - 1)).alias("node"))
-        bad = compare(a.join(kids, ["file", "node"], "left_semi"), b.join(kids, ["file", "node"], "left_semi"))
-    return bad.select("file", F.col("node").cast("int").alias("place"))
+    return F.transform(up, node)
+
+
+def trees(recs: DataFrame, *, per_file: int = 512, fanout: int = 16) -> DataFrame:
+    """A row each file: its levels l0 (slots) to the one that holds the root, arrays of (node, contents, ranges)."""
+    kept = F.array_sort(F.collect_list(F.struct("page_id", "digest", "length", "n", "offset")))
+    slots = recs.groupBy("fk", "shelf", "slot").agg(kept.alias("recs"))
+    contents = _sha(F.transform("recs", lambda r: F.concat_ws(":", F.coalesce(r["page_id"].cast("string"), F.lit("")), r["digest"], r["length"].cast("string"), r["n"].cast("string"))))
+    ranges = _sha(F.transform("recs", lambda r: F.concat_ws(":", r["offset"].cast("string"), (r["length"] * r["n"]).cast("string"))))
+    out = slots.select("fk", "shelf", F.struct(F.col("slot").cast("bigint").alias("node"), contents.alias("contents"), ranges.alias("ranges")).alias("leaf")).groupBy("fk", "shelf").agg(F.array_sort(F.collect_list("leaf")).alias("l0"))
+    for k in range(depth(per_file, fanout)):
+        out = out.withColumn(f"l{k + 1}", _above(F.col(f"l{k}"), fanout))
+    return out
+
+
+def audit(left: DataFrame, right: DataFrame, *, per_file: int = 512, fanout: int = 16) -> DataFrame:
+    """(fk, shelf, slot, contents, ranges) of the slots that differ, and in what: roots first, then only the children of
+    differing nodes."""
+    levels = depth(per_file, fanout)
+    names = [f"l{k}" for k in range(levels + 1)]
+    both = left.select("fk", "shelf", *(F.col(c).alias(f"a_{c}") for c in names)).join(right.select("fk", "shelf", *(F.col(c).alias(f"b_{c}") for c in names)), ["fk", "shelf"], "full")
+
+    def differing(what: str, level: str, above: Column | None) -> Column:
+        a, b = (F.coalesce(F.col(f"{side}_{level}"), F.array().cast(left.schema[level].dataType)) for side in "ab")
+        of = [F.map_from_entries(F.transform(x, lambda n: F.struct(n["node"], n[what]))) for x in (a, b)]
+        nodes = F.array_union(F.transform(a, lambda n: n["node"]), F.transform(b, lambda n: n["node"]))
+        if above is not None:
+            nodes = F.filter(nodes, lambda n: F.array_contains(above, F.floor(n / fanout)))
+        return F.filter(nodes, lambda n: ~F.try_element_at(of[0], n).eqNullSafe(F.try_element_at(of[1], n)))
+
+    roots = names[-1]
+    both = both.filter(~F.col(f"a_{roots}").eqNullSafe(F.col(f"b_{roots}")))
+    for what in ("contents", "ranges"):
+        both = both.withColumn(what, differing(what, roots, None))
+        for c in reversed(names[:-1]):
+            both = both.withColumn(what, differing(what, c, F.col(what)))
+    bad = both.select("fk", "shelf", F.explode(F.array_union("contents", "ranges")).alias("slot"), "contents", "ranges")
+    return bad.select("fk", "shelf", "slot", F.array_contains("contents", F.col("slot")).alias("contents"), F.array_contains("ranges", F.col("slot")).alias("ranges"))
 
 
 def verdicts(left: DataFrame, right: DataFrame, *, per_file: int = 512, fanout: int = 16, surplus: bool = False) -> DataFrame:
-    """page_id, file, place, record_offset, record_length, record_sha256 and damaged of every record of ``left``, audited against ``right``.
+    """page_id, warc_file, shelf, place, record_offset, record_length, record_sha256, damaged and moved of every record of
+    ``left``, audited against ``right``.
 
-    surplus: also, as damaged, the records of ``right`` at places that ``left`` lacks.
+    surplus: also, as damaged, the records of ``right`` that ``left`` lacks, at their places there, beyond those that stand for
+    a damaged one of the same id.
     """
-    levels = depth(per_file, fanout)
-    a, b = (common.written(records(x, per_file=per_file), "records") for x in (left, right))
-    bad = audit(tree(a, levels=levels, fanout=fanout), tree(b, levels=levels, fanout=fanout), fanout)
-    bad = common.written(bad, "places") if surplus else bad
-    got = a.join(bad.withColumn("damaged", F.lit(True)), ["file", "place"], "left")
+    found = [common.written(digests(x, per_file), "digests") for x in (left, right)]
+    big = shelves(per_file, *found)
+    big = None if big.isEmpty() else common.written(big, "shelves")
+    a, b = (common.written(placed(x, big, per_file), "records") for x in found)
+    for x in found:
+        common.discard(x)
+    bad = common.written(audit(*(trees(x, per_file=per_file, fanout=fanout) for x in (a, b)), per_file=per_file, fanout=fanout), "slots")
+    at, key = ["fk", "shelf", "slot"], ["page_id", "digest"]
+    theirs = b.join(bad, at, "left_semi").select(*at, F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), F.col("n").alias("r_n"), F.col("offset").alias("r_offset"))
+    slots = a.join(bad.select(*at, F.lit(True).alias("bad")), at, "left")
+    same = [slots[c] == theirs[c] for c in at] + [slots["page_id"].eqNullSafe(theirs["r_id"]), slots["digest"] == theirs["r_digest"]]
+    cond = same[0]
+    for c in same[1:]:
+        cond = cond & c
+    mine = slots.join(theirs, cond, "left").select(*(slots[c] for c in a.columns), "bad", "r_n", "r_offset")
+    held = F.when(F.col("bad").isNull(), F.col("n")).otherwise(F.coalesce("r_n", F.lit(0)))
+    one = _each(mine.withColumn("held", held))
+    moved = F.coalesce((F.col("copy") < F.col("held")) & (F.col("offset") - F.col("copy") * F.col("length") != F.col("r_offset")), F.lit(False))
+    got = one.select("page_id", "fk", "shelf", "place", "offset", "length", "digest", (F.col("copy") >= F.col("held")).alias("damaged"), moved.alias("moved"))
     if surplus:
-        extra = bad.join(a.select("file", "place"), ["file", "place"], "left_anti")
-        got = got.unionByName(b.join(extra, ["file", "place"]).withColumn("damaged", F.lit(True)))
-    return got.select("page_id", F.col("file").alias("warc_file"), "place", F.col("offset").alias("record_offset"), F.col("length").alias("record_length"), F.col("digest").alias("record_sha256"), F.coalesce("damaged", F.lit(False)).alias("damaged"))
+        both = a.join(bad.filter("contents"), at, "left_semi").select(*at, *key, "length", F.col("n").alias("x"), F.lit(0).cast("bigint").alias("y"), F.lit(None).cast("bigint").alias("place"), F.lit(None).cast("bigint").alias("offset"))
+        both = both.unionByName(b.join(bad.filter("contents"), at, "left_semi").select(*at, *key, "length", F.lit(0).cast("bigint").alias("x"), F.col("n").alias("y"), "place", "offset"))
+        net = both.groupBy(*at, *key, "length").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.max("place").alias("place"), F.max("offset").alias("offset"))
+        of_id = Window.partitionBy(*at, "page_id")
+        over = F.greatest(F.col("y") - F.col("x"), F.lit(0))
+        net = net.withColumn("missing", F.sum(F.greatest(F.col("x") - F.col("y"), F.lit(0))).over(of_id)).withColumn("before", F.coalesce(F.sum(over).over(of_id.orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        extra = net.withColumn("n", F.least(over, F.col("before") + over - F.col("missing"))).filter("n > 0")
+        # Of equal records the last ones are the surplus.
+        extra = extra.withColumn("place", F.col("place") + F.col("y") - F.col("n")).withColumn("offset", F.col("offset") + (F.col("y") - F.col("n")) * F.col("length"))
+        got = got.unionByName(_each(extra).select("page_id", "fk", "shelf", "place", "offset", "length", "digest", F.lit(True).alias("damaged"), F.lit(False).alias("moved")))
+    file = F.when(F.col("fk") != NO_FILE, F.col("fk"))
+    return got.select("page_id", file.alias("warc_file"), "shelf", "place", F.col("offset").alias("record_offset"), F.col("length").alias("record_length"), F.col("digest").alias("record_sha256"), "damaged", "moved")

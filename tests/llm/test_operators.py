@@ -444,8 +444,8 @@ def brute_components(texts, ids, n=4, percent=85):
     return [(ids[i], len(sets[i]), least.get(find(i))) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize("block", [128, 6])
-def test_ngram_join(spark, docs_of, block):
+@pytest.mark.parametrize("block,long", [(128, 1024), (6, 1024), (4, 5)])
+def test_ngram_join(spark, docs_of, block, long):
     rng = random.Random(block)
     base = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(3, 90))] for _ in range(12)]
     texts = list(ODD)
@@ -457,37 +457,84 @@ def test_ngram_join(spark, docs_of, block):
             texts.append(" ".join(w))
     ids = [None if i == 20 else 7000 - i for i in range(len(texts))]
     key = lambda r: tuple((x is None, x) for x in r)
-    got = sorted((tuple(r) for r in ngramjoin.jaccard_components(docs_of(texts, ids=ids, parts=3), block=block).collect()), key=key)
+    got = sorted((tuple(r) for r in ngramjoin.jaccard_components(docs_of(texts, ids=ids, parts=3), block=block, long=long).collect()), key=key)
     assert got == sorted(brute_components(texts, ids), key=key)
     assert ngramjoin.jaccard_components(docs_of([])).count() == 0
 
 
+@pytest.mark.parametrize("percent", [85, 60, 40])
+def test_ngram_join_of_one_template(spark, docs_of, percent):
+    """Texts of one template with a few varying words: rare hashes are shared by many that don't link, whose lists are split."""
+    rng = random.Random(percent)
+    frame = [f"t{i}" for i in range(60)]
+    texts = []
+    for _ in range(150):
+        w = list(frame)
+        for k in range(5, 60, 9):
+            w[k] = f"v{rng.randrange(6)}"
+        texts.append(" ".join(w))
+    ids = list(range(len(texts)))
+    got = sorted(tuple(r) for r in ngramjoin.jaccard_components(docs_of(texts, ids=ids), block=8, long=10, percent=percent).collect())
+    want = sorted(brute_components(texts, ids, percent=percent))
+    assert got == want and len({c for *_, c in want}) > (1 if percent > 60 else 0)
+
+
 # ---------------------------------------------------------------- 9
 
 
+def warc_pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("File", F.lit(9)).withColumn("fk", F.lit("x"))
+
+
+def warc_found(left, right, **kw):
+    return [(r.page_id, r.warc_file, r.place) for r in warc.verdicts(left, right, per_file=64, fanout=4, surplus=True, **kw).filter("damaged").collect()]
+
+
 def test_warc_audit(spark):
-    pages = spark.createDataFrame([(i, f"http://x/{i}", "<p>" * (i % 7)) for i in range(300)] + [(300, None, None), (None, "u", "h")], "page_id bigint, url string, html string").withColumn("file", F.lit(9))
+    pages = warc_pages(spark, [(i, f"http://x/{i}", "<p>" * (i % 7)) for i in range(300)] + [(300, None, None), (None, "u", "h"), (None, "v", "h")])
     broken = pages.withColumn("html", F.when(F.col("page_id").isin(3, 77, 299), F.regexp_replace("html", "<p>", "<q>")).otherwise(F.col("html")))
-    bad = {r.page_id for r in warc.verdicts(pages, broken, per_file=64, fanout=4).filter("damaged").collect()}
-    assert bad == {3, 299}  # page 77 is empty, so nothing changed
-    assert warc.verdicts(pages, pages, per_file=64, fanout=4).filter("damaged").count() == 0
-    gone = warc.verdicts(pages, pages.filter("page_id <> 10"), per_file=64, fanout=4).filter("damaged").select("page_id", "warc_file").collect()
-    assert {r.warc_file for r in gone} == {0} and 10 in {r.page_id for r in gone}
+    assert {p for p, *_ in warc_found(pages, broken)} == {3, 299}  # page 77 is empty, so nothing changed
+    assert warc_found(pages, pages) == [] and warc.verdicts(pages, pages).count() == 303
+    hurt = pages.withColumn("html", F.when(F.col("url") == "v", F.lit("?")).otherwise(F.col("html")))
+    assert [(p, f) for p, f, _ in warc_found(pages, hurt)] == [(None, None)] * 2  # the one lost, the other surplus
     assert warc.verdicts(pages.limit(0), pages).count() == 0 and warc.verdicts(pages, pages.limit(0)).filter("not damaged").count() == 0
     one = pages.filter("page_id = 1").select(warc.record(F.col("url"), F.col("html"), F.col("page_id"))).first()[0]
     head, _, body = bytes(one).partition(b"\r\n\r\n")
     assert head.startswith(b"WARC/1.1\r\n") and b"Content-Length: 3" in head and body == b"<p>\r\n\r\n"
 
 
-def test_warc_audit_reports_surplus_records(spark):
-    """Appended at a file's end, and in a file of their own; a missing record stays reported beside them."""
-    pages = spark.createDataFrame([(i, f"http://x/{i}", "<p>") for i in range(60)], "page_id bigint, url string, html string")
-    more = pages.filter("page_id <> 59").unionByName(spark.createDataFrame([(i, "http://y", "<b>") for i in (62, 63, 700)], pages.schema))
-    got = warc.verdicts(pages, more, per_file=64, fanout=4, surplus=True).collect()
-    assert {(r.page_id, r.warc_file, r.place) for r in got if r.damaged} == {(59, 0, 59), (63, 0, 60), (700, 10, 0)}
-    assert len(got) == 62 and len({(r.warc_file, r.place) for r in got}) == 62
-    alone = warc.verdicts(pages.limit(0), pages, per_file=64, fanout=4, surplus=True)
-    assert alone.filter("damaged").count() == alone.count() == 60
+def test_warc_audit_locates_one_record(spark):
+    """Longer, shorter, missing and surplus records: each found alone, what lies behind is moved and nothing else."""
+    pages = warc_pages(spark, [(i, f"http://x/{i}", "<p>" * 5) for i in range(100)])
+    size = {r.page_id: r.length for r in warc.records(pages, per_file=64).collect()}
+    for change, at, gone in (
+        (F.concat("html", F.lit("x")), 3, False), (F.lit(""), 3, False), (F.expr("substring(html, 1, 7)"), 63, False), (F.col("html"), 3, True),
+    ):
+        other = pages.filter(F.col("page_id") != at) if gone else pages.withColumn("html", F.when(F.col("page_id") == at, change).otherwise(F.col("html")))
+        got = warc.verdicts(pages, other, per_file=64, fanout=4, surplus=True).collect()
+        assert [r.page_id for r in got if r.damaged] == [at]
+        assert sorted(r.page_id for r in got if r.moved) == [i for i in range(at + 1, 64)]
+        assert all(r.record_length == size[r.page_id] for r in got) and len(got) == 100
+    more = pages.unionByName(warc_pages(spark, [(5, "http://y", "<b>"), (130, "http://y", "<b>")]))
+    assert sorted(warc_found(pages, more))[1] == (130, 2, 0) and [p for p, *_ in sorted(warc_found(pages, more))] == [5, 130]
+    assert len(warc_found(pages.limit(0), pages)) == 100
+
+
+def test_warc_audit_of_repeated_ids(spark):
+    """Equal records and ids of many records, more than a file holds, in files of their own."""
+    rows = [(7, "u", f"text {i}") for i in range(300)] + [(None, "u", f"text {i}") for i in range(200)] + [(8, "same", "same")] * 50 + [(i, "u", "x") for i in range(9, 30)]
+    pages = warc_pages(spark, rows)
+    recs = warc.records(pages, per_file=64).collect()
+    assert len(recs) == len(rows) and max(Counter((r.file, r.shelf) for r in recs).values()) <= 50 + 21 + 64
+    by = {}
+    for r in sorted(recs, key=lambda r: r.place):
+        f = by.setdefault((r.file, r.shelf), [0, 0])
+        assert (r.place, r.offset) == tuple(f)
+        f[0], f[1] = f[0] + 1, f[1] + r.length
+    less = warc_pages(spark, [r for r in rows if r[2] != "text 5"])
+    assert Counter(p for p, *_ in warc_found(pages, less)) == {7: 1, None: 1}
+    fewer = warc_pages(spark, rows[:500] + rows[510:])
+    assert Counter(p for p, *_ in warc_found(pages, fewer)) == {8: 10} and Counter(p for p, *_ in warc_found(fewer, pages)) == {8: 10}
 
 
 # ---------------------------------------------------------------- 10
