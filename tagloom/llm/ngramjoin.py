@@ -13,9 +13,11 @@ A text's set holds the distinct ``n``-word shingles of its lower-cased words; tw
    pairs, and only a spanning forest of the links leaves the task. Pairs are never listed.
 4. What may still be missing lies between different components so far: in prefix hashes whose documents (the posting
    list) belong to several. Documents that such lists connect and that fit one block are finished by one product. Of
-   larger ones, each distinct list is a group of its own; a list beyond ``LONG`` documents is split by the second and
-   third hash that partners must share (the k-th lies among the size - least overlap + k rarest, for any percent above
-   100 (k - 1) / k), and what is long still is solved by pairs of blocks, which leaves no link out.
+   larger ones, each distinct list is a group of its own. Size-derived bound, second use: what two documents hold before
+   the first hash that they share isn't shared, so of two that hold much before it (heavy) none links there; only light
+   ones are held against all. A list of more than ``LONG`` squared such pairs is split by the second and third hash that
+   partners must share (the k-th lies among the size - least overlap + k rarest, for any percent above 100 (k - 1) / k),
+   and what is long still is solved by pairs of blocks, which leaves no link out.
 5. Components of the forests give each class, and so each document, its component.
 
 Tables that several steps read are written to the shared folder, so a lost executor repeats its tasks only.
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -39,7 +41,7 @@ from .common import U64
 
 #: Documents of one block, and bytes of its dense slabs of incidences.
 BLOCK_DOCS, SLAB = 128, 4096
-#: Groups that a document joins by the minima of its prefix; documents of a posting list that is split no further.
+#: Groups that a document joins by the minima of its prefix; a list of so many documents squared is split no further.
 KEYS, LONG = 2, 1024
 _MULT = U64(0x9E3779B97F4A7C15)
 
@@ -281,10 +283,11 @@ def forest(link: np.ndarray, rows: np.ndarray, n: int) -> list[tuple[int, int]]:
 def _solve(percent: int):
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
-        rid = t["rid"].to_numpy()
-        if len(rid) < 2:
+        rid, rows = t["rid"].to_numpy(), np.flatnonzero(t["side"].to_numpy() == 0)
+        if len(rid) < 2 or not len(rows):
             return
-        found = forest(block_links([np.frombuffer(x, U64) for x in t["shared"].to_pylist()], t["size"].to_numpy(), percent), np.arange(len(rid)), len(rid))
+        found = forest(block_links([np.frombuffer(x, U64) for x in t["shared"].to_pylist()], t["size"].to_numpy(), percent, rows), rows, len(rid))
+        found = [(a, b) for a, b in found if rid[a] != rid[b]]
         if found:
             a, b = (rid[np.array(x)] for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
@@ -293,8 +296,9 @@ def _solve(percent: int):
 
 
 def _links(groups: DataFrame, held: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Forests of the groups (x, y, rid): sets are joined to the rows of their documents and dealt by group."""
-    rows = groups.join(held.select("rid", "size", "shared"), "rid").select("x", "y", "rid", "size", "shared")
+    """Forests of the groups (x, y, rid, side), those of side 0 against all: sets are joined to the rows of their documents and
+    dealt by group."""
+    rows = groups.join(held.select("rid", "size", "shared"), "rid").select("x", "y", "rid", "side", "size", "shared")
     # Dealt by both columns, so that a large group's blocks go to different tasks.
     got = rows.repartition(parts, "x", "y").groupBy("x", "y").applyInArrow(_solve(percent), "a bigint, b bigint")
     out = common.written(got, "forest")
@@ -303,20 +307,30 @@ def _links(groups: DataFrame, held: DataFrame, percent: int, parts: int) -> Data
 
 
 def _blocks(groups: DataFrame, block: int) -> DataFrame:
-    """Groups (k, rid) with their number n, as pairs of blocks (x, y): every two documents of a group meet."""
-    blocks = F.ceil(F.col("n") / (block / 2)).cast("bigint")
-    own = F.pmod(F.xxhash64(F.lit("in"), "k", "rid"), blocks)
-    small = groups.filter(F.col("n") <= block).select(F.col("k").alias("x"), F.lit(-1).cast("bigint").alias("y"), "rid")
-    large = groups.filter(F.col("n") > block).select("k", "rid", own.alias("i"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("j"))
-    return small.unionByName(large.select(F.col("k").alias("x"), (F.least("i", "j") * (1 << 31) + F.greatest("i", "j")).alias("y"), "rid"))
+    """Lists (k, rid, heavy) of n documents, light of them light, as groups of (x, y, rid, side): of large ones, each block of
+    light documents meets each block of all."""
+    zero = F.lit(0).cast("bigint")
+    small = groups.filter(F.col("n") <= block).select(F.col("k").alias("x"), F.lit(-1).cast("bigint").alias("y"), "rid", F.col("heavy").cast("int").alias("side"))
+    large = groups.filter(F.col("n") > block).withColumn("rows", F.ceil(F.col("light") / (block / 2)).cast("bigint")).withColumn("cols", F.ceil(F.col("n") / (block / 2)).cast("bigint"))
+
+    def own(name: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(name), "k", "rid"), F.col(name))
+
+    every = F.explode(F.sequence(zero, F.col("rows") - 1)).alias("i")
+    give = large.select("k", "rid", every, own("cols").alias("j"), F.lit(1).alias("side"))
+    ask = large.filter("not heavy").select("k", "rid", own("rows").alias("i"), F.explode(F.sequence(zero, F.col("cols") - 1)).alias("j"), F.lit(0).alias("side"))
+    return small.unionByName(give.unionByName(ask).select(F.col("k").alias("x"), (F.col("i") * (1 << 31) + F.col("j")).alias("y"), "rid", "side"))
 
 
 def _mixed(lists: DataFrame) -> DataFrame:
-    """Of lists (k, rid, pos, root): those whose documents belong to several components, with their number n and, of lists
-    that hold the same documents, the one whose hash is the rarest: the first that any two of them share there."""
-    of = lists.groupBy("k").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("rid", "pos")).alias("m"), F.sum(F.xxhash64("rid") % (1 << 40)).alias("u"), F.sum(F.xxhash64(F.lit(1), "rid") % (1 << 40)).alias("v"))
-    of = of.filter("lo <> hi").select("k", "n", "u", "v", F.col("m.rid").alias("m"), F.col("m.pos").alias("first"))
-    return of.groupBy("n", "m", "u", "v").agg(F.min_by("k", F.struct("first", "k")).alias("k")).select("k", "n", "m")
+    """Of lists (k, rid, pos, root, heavy): those whose documents belong to several components and aren't all heavy, with the
+    numbers of documents and of light ones, and, of lists that hold the same documents, the one whose hash is the rarest: the
+    first that any two of them share there."""
+    light = F.sum((~F.col("heavy")).cast("bigint")).alias("light")
+    of = lists.groupBy("k").agg(F.count("*").alias("n"), light, F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("rid", "pos")).alias("m"), F.sum(F.xxhash64("rid") % (1 << 40)).alias("u"), F.sum(F.xxhash64(F.lit(1), "rid") % (1 << 40)).alias("v"))
+    of = of.filter("lo <> hi").select("k", "n", "light", "u", "v", F.col("m.rid").alias("m"), F.col("m.pos").alias("first"))
+    one = of.groupBy("n", "m", "u", "v").agg(F.min_by(F.struct("k", "light"), F.struct("first", "k")).alias("one"))
+    return one.select("one.k", "n", "one.light", "m").filter("light > 0")
 
 
 def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, block: int = BLOCK_DOCS, long: int = LONG) -> DataFrame:
@@ -330,8 +344,8 @@ def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, block:
 
     classes = common.written(every.filter("live").groupBy("size", "sig_a", "sig_b").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("least")), "classes")
     # Of each class one document goes on, if one of its prefix hashes is another class's too.
-    lone = every.filter("live").select("rid", "quota", "prefix").join(classes.select("rid"), "rid", "left_semi")
-    at = lone.select("rid", F.posexplode("prefix").alias("pos", "h"), "quota").filter("pos < quota").select("rid", "pos", "h")
+    lone = every.filter("live").select("rid", "size", (F.col("size") - F.col("n_shared")).alias("own"), "quota", "prefix").join(classes.select("rid"), "rid", "left_semi")
+    at = lone.select("rid", "size", "own", F.posexplode("prefix").alias("pos", "h"), "quota").filter("pos < quota").select("rid", "size", "own", "pos", "h")
     several = at.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     at = common.written(at.join(several, "h"), "prefixes")
     held = every.filter("live")
@@ -340,11 +354,16 @@ def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, block:
     minima = at.groupBy("rid").agg(*(F.min(F.xxhash64(F.lit(i), "h")).alias(f"k{i}") for i in range(KEYS)))
     keys = minima.select("rid", F.explode(F.array(*(F.col(f"k{i}") for i in range(KEYS)))).alias("k"))
     near = keys.groupBy("k").agg(F.ceil(F.count("*") / block).cast("bigint").alias("blocks"), F.count("*").alias("n")).filter("n > 1")
-    near = keys.join(near, "k").select(F.col("k").alias("x"), F.pmod(F.xxhash64(F.lit("near"), "rid", "k"), F.col("blocks")).alias("y"), "rid")
+    near = keys.join(near, "k").select(F.col("k").alias("x"), F.pmod(F.xxhash64(F.lit("near"), "rid", "k"), F.col("blocks")).alias("y"), "rid", F.lit(0).alias("side"))
     forests = _links(near, held, percent, parts)
     so_far = components(forests)
 
-    placed = at.join(so_far.select(F.col("v").alias("rid"), "root"), "rid", "left").select("rid", "pos", F.col("h").alias("k"), F.coalesce("root", "rid").alias("root"))
+    def heavy(level: int) -> Column:
+        before = F.col("own") + F.col("pos") - (level - 1)  # of a document, before the level-th shared hash, and not shared
+        return (2 * percent * before > (100 - percent) * (F.col("size") - before)).alias("heavy")
+
+    placed = at.join(so_far.select(F.col("v").alias("rid"), "root"), "rid", "left")
+    placed = placed.select("rid", "size", "own", "pos", F.col("h").alias("k"), F.coalesce("root", "rid").alias("root"), heavy(1))
     lists = common.written(_mixed(placed), "lists")
     if not lists.isEmpty():
         placed = common.written(placed.join(lists, "k"), "placed")
@@ -353,20 +372,22 @@ def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, block:
         sizes = family.join(every.select("rid", "n_shared"), "rid").groupBy("family").agg(F.count("*").alias("docs"), F.sum("n_shared").alias("w"))
         sizes = sizes.select("family", ((F.col("docs") <= block) & (F.col("w") <= block << 13)).alias("fits"))
         family = common.written(family.join(sizes, "family"), "families")
-        fits = family.filter("fits").select(F.col("family").alias("x"), F.lit(-2).cast("bigint").alias("y"), "rid")
+        fits = family.filter("fits").select(F.col("family").alias("x"), F.lit(-2).cast("bigint").alias("y"), "rid", F.lit(0).alias("side"))
         rows = placed.join(family.filter("not fits").select("rid"), "rid")
         groups, level, whole = [fits], 1, every.select("rid", "quota", "prefix")
         while True:
             level += 1
             last = level > 3 or percent * level <= 100 * (level - 1)
-            groups.append(_blocks(rows if last else rows.filter(F.col("n") <= long), block))
-            rows = rows.filter(F.col("n") > long)
+            short = F.col("n") * F.col("light") <= long * long
+            groups.append(_blocks(rows if last else rows.filter(short), block))
+            rows = rows.filter(~short)
             if last or rows.isEmpty():
                 break
             # The next hash that partners share lies behind this one, among the quota + level - 1 rarest.
             after = F.expr(f"slice(prefix, pos + 2, greatest(int(quota) + {level - 1} - pos - 1, 0))")
-            deeper = rows.join(whole, "rid").select("k", "rid", "root", "pos", F.posexplode(after).alias("step", "h"))
-            deeper = deeper.select(F.xxhash64("k", "h").alias("k"), "rid", "root", (F.col("pos") + F.col("step") + 1).cast("int").alias("pos"))
+            deeper = rows.join(whole, "rid").select("k", "rid", "size", "own", "root", "pos", F.posexplode(after).alias("step", "h"))
+            deeper = deeper.select(F.xxhash64("k", "h").alias("k"), "rid", "size", "own", "root", (F.col("pos") + F.col("step") + 1).cast("int").alias("pos"))
+            deeper = deeper.select("*", heavy(level))
             rows = common.written(deeper.join(_mixed(deeper), "k"), "deeper")
         more = groups[0]
         for g in groups[1:]:

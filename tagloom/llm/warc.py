@@ -99,55 +99,41 @@ def _sha(values: Column) -> Column:
     return F.sha2(F.concat_ws(",", values), 256)
 
 
-def _above(level: Column, fanout: int) -> Column:
-    """The nodes above: ordered hashes of up to ``fanout`` neighbours hashed together, contents and ranges apart."""
-    up = F.array_distinct(F.transform(level, lambda x: F.floor(x["node"] / fanout)))
+def _above(level: DataFrame, fanout: int) -> DataFrame:
+    """The nodes above, each holding its up to ``fanout`` kids in order: their hashes hashed together, contents and ranges apart."""
+    kids = [c for c in ("node", "contents", "ranges", "kids") if c in level.columns]
+    up = level.groupBy("fk", "shelf", F.floor(F.col("node") / fanout).alias("up")).agg(F.array_sort(F.collect_list(F.struct(*kids))).alias("kids"))
 
-    def hashed(kids: Column, what: str) -> Column:
-        return _sha(F.transform(kids, lambda x: F.concat_ws("=", (x["node"] % fanout).cast("string"), x[what]))).alias(what)
+    def hashed(what: str) -> Column:
+        return _sha(F.transform("kids", lambda x: F.concat_ws("=", (x["node"] % fanout).cast("string"), x[what]))).alias(what)
 
-    def node(p: Column) -> Column:
-        kids = F.filter(level, lambda x: F.floor(x["node"] / fanout) == p)
-        return F.struct(p.alias("node"), hashed(kids, "contents"), hashed(kids, "ranges"))
-
-    return F.transform(up, node)
+    return up.select("fk", "shelf", F.col("up").alias("node"), hashed("contents"), hashed("ranges"), "kids")
 
 
 def trees(recs: DataFrame, *, per_file: int = 512, fanout: int = 16) -> DataFrame:
-    """A row each file: its levels l0 (slots) to the one that holds the root, arrays of (node, contents, ranges)."""
+    """A row each file: its root (node, contents, ranges, kids), which holds the nodes below it, down to the slots.
+
+    Every level is one aggregation over rows that are dealt by file already.
+    """
     kept = F.array_sort(F.collect_list(F.struct("page_id", "digest", "length", "n", "offset")))
-    slots = recs.groupBy("fk", "shelf", "slot").agg(kept.alias("recs"))
+    slots = recs.groupBy("fk", "shelf", F.col("slot").cast("bigint").alias("node")).agg(kept.alias("recs"))
     contents = _sha(F.transform("recs", lambda r: F.concat_ws(":", F.coalesce(r["page_id"].cast("string"), F.lit("")), r["digest"], r["length"].cast("string"), r["n"].cast("string"))))
     ranges = _sha(F.transform("recs", lambda r: F.concat_ws(":", r["offset"].cast("string"), (r["length"] * r["n"]).cast("string"))))
-    out = slots.select("fk", "shelf", F.struct(F.col("slot").cast("bigint").alias("node"), contents.alias("contents"), ranges.alias("ranges")).alias("leaf")).groupBy("fk", "shelf").agg(F.array_sort(F.collect_list("leaf")).alias("l0"))
-    for k in range(depth(per_file, fanout)):
-        out = out.withColumn(f"l{k + 1}", _above(F.col(f"l{k}"), fanout))
+    out = slots.select("fk", "shelf", "node", contents.alias("contents"), ranges.alias("ranges"))
+    for _ in range(max(1, depth(per_file, fanout))):
+        out = _above(out, fanout)
     return out
 
 
 def audit(left: DataFrame, right: DataFrame, *, per_file: int = 512, fanout: int = 16) -> DataFrame:
-    """(fk, shelf, slot, contents, ranges) of the slots that differ, and in what: roots first, then only the children of
-    differing nodes."""
-    levels = depth(per_file, fanout)
-    names = [f"l{k}" for k in range(levels + 1)]
-    both = left.select("fk", "shelf", *(F.col(c).alias(f"a_{c}") for c in names)).join(right.select("fk", "shelf", *(F.col(c).alias(f"b_{c}") for c in names)), ["fk", "shelf"], "full")
-
-    def differing(what: str, level: str, above: Column | None) -> Column:
-        a, b = (F.coalesce(F.col(f"{side}_{level}"), F.array().cast(left.schema[level].dataType)) for side in "ab")
-        of = [F.map_from_entries(F.transform(x, lambda n: F.struct(n["node"], n[what]))) for x in (a, b)]
-        nodes = F.array_union(F.transform(a, lambda n: n["node"]), F.transform(b, lambda n: n["node"]))
-        if above is not None:
-            nodes = F.filter(nodes, lambda n: F.array_contains(above, F.floor(n / fanout)))
-        return F.filter(nodes, lambda n: ~F.try_element_at(of[0], n).eqNullSafe(F.try_element_at(of[1], n)))
-
-    roots = names[-1]
-    both = both.filter(~F.col(f"a_{roots}").eqNullSafe(F.col(f"b_{roots}")))
-    for what in ("contents", "ranges"):
-        both = both.withColumn(what, differing(what, roots, None))
-        for c in reversed(names[:-1]):
-            both = both.withColumn(what, differing(what, c, F.col(what)))
-    bad = both.select("fk", "shelf", F.explode(F.array_union("contents", "ranges")).alias("slot"), "contents", "ranges")
-    return bad.select("fk", "shelf", "slot", F.array_contains("contents", F.col("slot")).alias("contents"), F.array_contains("ranges", F.col("slot")).alias("ranges"))
+    """(fk, shelf, slot, contents, ranges) of the slots that differ, and in what: roots first, then only the kids of
+    differing nodes, at most ``fanout`` a side."""
+    a, b = (x.select("fk", "shelf", F.struct("node", "contents", "ranges", "kids").alias(name)) for x, name in ((left, "a"), (right, "b")))
+    both, differ = a.join(b, ["fk", "shelf"], "full"), F.expr("not (a.contents <=> b.contents and a.ranges <=> b.ranges)")
+    for _ in range(max(1, depth(per_file, fanout))):
+        kids = F.expr("transform(array_union(transform(coalesce(a.kids, array()), x -> x.node), transform(coalesce(b.kids, array()), x -> x.node)), n -> struct(get(filter(a.kids, x -> x.node = n), 0) as a, get(filter(b.kids, x -> x.node = n), 0) as b))")
+        both = both.filter(differ).select("fk", "shelf", F.explode(kids).alias("kid")).select("fk", "shelf", "kid.a", "kid.b")
+    return both.filter(differ).selectExpr("fk", "shelf", "coalesce(a.node, b.node) as slot", "not (a.contents <=> b.contents) as contents", "not (a.ranges <=> b.ranges) as ranges")
 
 
 def verdicts(left: DataFrame, right: DataFrame, *, per_file: int = 512, fanout: int = 16, surplus: bool = False) -> DataFrame:
