@@ -12,10 +12,11 @@ A text's set holds the distinct ``n``-word shingles of its lower-cased words; tw
    random. Of a block the overlap counts are accumulated by products of incidence slabs, size-derived bounds discard
    pairs, and only a spanning forest of the links leaves the task. Pairs are never listed.
 4. What may still be missing lies between different components so far: in prefix hashes whose documents (the posting
-   list) belong to several. Documents that such lists connect and that fit one block are finished by one product. Of
-   larger ones, each distinct list is a group of its own. Size-derived bound, second use: what two documents hold before
-   the first hash that they share isn't shared, so of two that hold much before it (heavy) none links there; only light
-   ones are held against all. A list of more than ``LONG`` squared such pairs is split by the second and third hash that
+   list) belong to several. Documents that such lists connect (a family) are one group if they fit a block, or if fewer
+   pairs come of holding those outside the family's largest component against all than of the lists. Of other families,
+   each distinct list is a group of its own. Size-derived bound, second use: what two documents hold before
+   the first hash that they share isn't shared, so of two that hold much before it (heavy) none links there. Only the
+   light ones are held against all, or only those outside the list's largest component, if they are fewer. A list of more than ``LONG`` squared such pairs is split by the second and third hash that
    partners must share (the k-th lies among the size - least overlap + k rarest, for any percent above 100 (k - 1) / k),
    and what is long still is solved by pairs of blocks, which leaves no link out.
 5. Components of the forests give each class, and so each document, its component.
@@ -142,21 +143,24 @@ def shared_only(rows: DataFrame) -> DataFrame:
         order = np.argsort(np.array(where), kind="stable")  # chunks in order, whatever order they arrived in
         names = np.array(where)[order]
         h = np.concatenate([hs[i] for i in order])
-        src = np.repeat(np.arange(len(order)), [len(hs[i]) for i in order])
+        src = np.repeat(np.arange(len(order), dtype=np.int32), [len(hs[i]) for i in order])
         doc = np.concatenate([docs[i] for i in order])
         del hs, docs
         by = np.argsort(h, kind="stable")
         h, src, doc = h[by], src[by], doc[by]
         _, length = common.runs(h)
-        df = np.repeat(length, length)
+        df = np.repeat(np.minimum(length, 2**32 - 1).astype(np.uint32), length)
         keep = df > 1
         h, src, doc, df = h[keep], src[keep], doc[keep], df[keep]
+        del by, keep, length
         by = np.argsort(src, kind="stable")
         h, src, doc, df = h[by], src[by], doc[by], df[by]
         start, length = common.runs(src)
         for i in range(0, len(start), 64):
             some = [(s, s + m) for s, m in zip(start[i : i + 64], length[i : i + 64], strict=True)]
-            yield out([int(names[src[s]]) for s, _ in some], 0, [np.array([len(x := common.pack_sorted(h[s:e]))], "<u4").tobytes() + x + common.pack(doc[s:e], np.minimum(df[s:e], 2**32 - 1).astype(np.uint32)) for s, e in some])
+            yield out([int(names[src[s]]) for s, _ in some], 0, [np.array([len(x := common.pack_sorted(h[s:e]))], "<u4").tobytes() + x + common.pack(doc[s:e], df[s:e]) for s, e in some])
+        del h, src, doc, df
+        common.trim()
 
     return rows.mapInArrow(run, "chunk bigint, kind int, data binary")
 
@@ -307,30 +311,32 @@ def _links(groups: DataFrame, held: DataFrame, percent: int, parts: int) -> Data
 
 
 def _blocks(groups: DataFrame, block: int) -> DataFrame:
-    """Lists (k, rid, heavy) of n documents, light of them light, as groups of (x, y, rid, side): of large ones, each block of
-    light documents meets each block of all."""
+    """Lists (k, rid, asks) of n documents, of which ``few`` ask, as groups of (x, y, rid, side): of large ones, each block of
+    those that ask meets each block of all."""
     zero = F.lit(0).cast("bigint")
-    small = groups.filter(F.col("n") <= block).select(F.col("k").alias("x"), F.lit(-1).cast("bigint").alias("y"), "rid", F.col("heavy").cast("int").alias("side"))
-    large = groups.filter(F.col("n") > block).withColumn("rows", F.ceil(F.col("light") / (block / 2)).cast("bigint")).withColumn("cols", F.ceil(F.col("n") / (block / 2)).cast("bigint"))
+    small = groups.filter(F.col("n") <= block).select(F.col("k").alias("x"), F.lit(-1).cast("bigint").alias("y"), "rid", (~F.col("asks")).cast("int").alias("side"))
+    large = groups.filter(F.col("n") > block).withColumn("rows", F.ceil(F.col("few") / block).cast("bigint")).withColumn("cols", F.ceil(F.col("n") / block).cast("bigint"))
 
     def own(name: str) -> Column:
         return F.pmod(F.xxhash64(F.lit(name), "k", "rid"), F.col(name))
 
     every = F.explode(F.sequence(zero, F.col("rows") - 1)).alias("i")
     give = large.select("k", "rid", every, own("cols").alias("j"), F.lit(1).alias("side"))
-    ask = large.filter("not heavy").select("k", "rid", own("rows").alias("i"), F.explode(F.sequence(zero, F.col("cols") - 1)).alias("j"), F.lit(0).alias("side"))
+    ask = large.filter("asks").select("k", "rid", own("rows").alias("i"), F.explode(F.sequence(zero, F.col("cols") - 1)).alias("j"), F.lit(0).alias("side"))
     return small.unionByName(give.unionByName(ask).select(F.col("k").alias("x"), (F.col("i") * (1 << 31) + F.col("j")).alias("y"), "rid", "side"))
 
 
 def _mixed(lists: DataFrame) -> DataFrame:
-    """Of lists (k, rid, pos, root, heavy): those whose documents belong to several components and aren't all heavy, with the
-    numbers of documents and of light ones, and, of lists that hold the same documents, the one whose hash is the rarest: the
-    first that any two of them share there."""
+    """Of lists (k, rid, pos, root, heavy), those that may add links between components: lists of several components and not of
+    heavy documents alone; of lists that hold the same documents, the one whose hash is the rarest: the first that any two
+    of them share there. A missing link has a light document and one outside the list's main component; the fewer ask.
+    """
     light = F.sum((~F.col("heavy")).cast("bigint")).alias("light")
-    of = lists.groupBy("k").agg(F.count("*").alias("n"), light, F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct("rid", "pos")).alias("m"), F.sum(F.xxhash64("rid") % (1 << 40)).alias("u"), F.sum(F.xxhash64(F.lit(1), "rid") % (1 << 40)).alias("v"))
-    of = of.filter("lo <> hi").select("k", "n", "light", "u", "v", F.col("m.rid").alias("m"), F.col("m.pos").alias("first"))
-    one = of.groupBy("n", "m", "u", "v").agg(F.min_by(F.struct("k", "light"), F.struct("first", "k")).alias("one"))
-    return one.select("one.k", "n", "one.light", "m").filter("light > 0")
+    of = lists.groupBy("k", "root").agg(F.count("*").alias("n"), light, F.min(F.struct("rid", "pos")).alias("m"), F.sum(F.xxhash64("rid") % (1 << 40)).alias("u"), F.sum(F.xxhash64(F.lit(1), "rid") % (1 << 40)).alias("v"))
+    of = of.groupBy("k").agg(F.sum("n").alias("n"), F.sum("light").alias("light"), F.max(F.struct("n", "root")).alias("main"), F.min("m").alias("m"), F.sum("u").alias("u"), F.sum("v").alias("v")).filter("main.n < n")
+    one = of.groupBy("n", F.col("m.rid").alias("m"), "u", "v").agg(F.min_by(F.struct("k", "light", "main"), F.struct("m.pos", "k")).alias("one")).filter("one.light > 0")
+    outer = F.col("n") - F.col("one.main.n")
+    return one.select("one.k", "n", "m", F.least("one.light", outer).alias("few"), F.when(outer <= F.col("one.light"), F.col("one.main.root")).alias("main"))
 
 
 def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, block: int = BLOCK_DOCS, long: int = LONG) -> DataFrame:
@@ -366,19 +372,25 @@ def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, block:
     placed = placed.select("rid", "size", "own", "pos", F.col("h").alias("k"), F.coalesce("root", "rid").alias("root"), heavy(1))
     lists = common.written(_mixed(placed), "lists")
     if not lists.isEmpty():
-        placed = common.written(placed.join(lists, "k"), "placed")
+        # Those outside of the main component ask, or, where none is named, the light ones.
+        asks = F.expr("coalesce(root <> main, not heavy)")
+        placed = common.written(placed.join(lists, "k").withColumn("asks", asks), "placed")
         family = components(placed.filter("rid <> m").select(F.col("m").alias("a"), F.col("rid").alias("b")))
         family = family.select(F.col("v").alias("rid"), F.col("root").alias("family"))
-        sizes = family.join(every.select("rid", "n_shared"), "rid").groupBy("family").agg(F.count("*").alias("docs"), F.sum("n_shared").alias("w"))
-        sizes = sizes.select("family", ((F.col("docs") <= block) & (F.col("w") <= block << 13)).alias("fits"))
-        family = common.written(family.join(sizes, "family"), "families")
-        fits = family.filter("fits").select(F.col("family").alias("x"), F.lit(-2).cast("bigint").alias("y"), "rid", F.lit(0).alias("side"))
-        rows = placed.join(family.filter("not fits").select("rid"), "rid")
-        groups, level, whole = [fits], 1, every.select("rid", "quota", "prefix")
+        of = placed.select("rid", "root").distinct().join(family, "rid").join(every.select("rid", "n_shared"), "rid")
+        sizes = of.groupBy("family", "root").agg(F.count("*").alias("n"), F.sum("n_shared").alias("w")).groupBy("family").agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "root")).alias("main"))
+        # A family is one group if it fits a block, or if its outer documents against all are fewer pairs than those of its lists.
+        by_list = lists.join(family, lists.m == family.rid).groupBy("family").agg(F.sum(F.col("n") * F.col("few")).alias("pairs"))
+        fits, outer = (F.col("n") <= block) & (F.col("w") <= block << 13), F.col("n") - F.col("main.n")
+        sizes = sizes.join(by_list, "family").select("family", "n", outer.alias("few"), F.col("main.root").alias("main"), fits.alias("fits"), (fits | (F.col("n") * outer <= F.col("pairs"))).alias("whole"))
+        family = common.written(of.drop("n_shared").join(sizes, "family"), "families")
+        as_one = family.filter("whole").select(F.col("family").alias("k"), "rid", (F.col("fits") | (F.col("root") != F.col("main"))).alias("asks"), "few", F.when(F.col("fits"), 0).otherwise(F.greatest(F.col("n"), F.lit(block + 1))).alias("n"))
+        rows = placed.join(family.filter("not whole").select("rid"), "rid")
+        groups, level, whole = [_blocks(as_one, block)], 1, every.select("rid", "quota", "prefix")
         while True:
             level += 1
             last = level > 3 or percent * level <= 100 * (level - 1)
-            short = F.col("n") * F.col("light") <= long * long
+            short = F.col("n") * F.col("few") <= long * long
             groups.append(_blocks(rows if last else rows.filter(short), block))
             rows = rows.filter(~short)
             if last or rows.isEmpty():
@@ -388,7 +400,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 4, percent: int = 85, block:
             deeper = rows.join(whole, "rid").select("k", "rid", "size", "own", "root", "pos", F.posexplode(after).alias("step", "h"))
             deeper = deeper.select(F.xxhash64("k", "h").alias("k"), "rid", "size", "own", "root", (F.col("pos") + F.col("step") + 1).cast("int").alias("pos"))
             deeper = deeper.select("*", heavy(level))
-            rows = common.written(deeper.join(_mixed(deeper), "k"), "deeper")
+            rows = common.written(deeper.join(_mixed(deeper), "k").withColumn("asks", asks), "deeper")
         more = groups[0]
         for g in groups[1:]:
             more = more.unionByName(g)
