@@ -5,8 +5,9 @@ a letter into a word break; other characters belong to words. A window is ``wind
 item with fewer words, but not none, is one window. Windows are matched as whole words, and each match is traced to
 the characters of the original text that it covers.
 
-The automata are broadcast in blocks of at most ``block_bytes`` of windows, whatever the size of the benchmark: one
-block is built once per worker; more blocks are built in turn for each batch of texts, so memory stays bounded.
+Items whose windows take at most ``block_bytes`` are broadcast as texts, and each worker builds their automaton once. More
+items are dealt by hash into as many blocks as that bound asks for: one scan of the documents for each block, with its
+automaton, whose hits are merged by row. So neither the driver nor a worker holds more than a block's items at a time.
 
 Defined results: a null or empty text has no words and no hits; a null or empty item has no windows; an item without
 an id marks words but is not counted or listed; items with equal texts are all listed; repeated documents give
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -42,31 +44,17 @@ def windows_of(text: str | None, window: int) -> set[str]:
     return {(b" " + b" ".join(w[i : i + window]) + b" ").decode("latin-1") for i in range(max(1, len(w) - window + 1))} if w else set()
 
 
-def blocks_of(items: Iterator, window: int, block_bytes: int) -> Iterator[list[tuple[str | None, list[str]]]]:
-    """The windows of the items in blocks: lists of (item id as text, windows)."""
-    block, size = [], 0
-    for item, text in items:
-        found = sorted(windows_of(text, window))
-        if not found:
-            continue
-        block.append((None if item is None else str(item), found))
-        size += sum(map(len, found))
-        if size >= block_bytes:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-def automaton(block: list[tuple[str | None, list[str]]]):
-    """Each window leads to (its words, the places in ``ids`` of the items that have it); a place of -1 stands for no id."""
+def automaton(items: list[tuple[str | None, str | None]], window: int):
+    """Of (item id as text, text): the automaton and the ids. Each window leads to (its words, its length, the places in ids of
+    the items that have it); a place of -1 stands for no id. None without windows."""
     import ahocorasick
 
     by: dict[str, list[int]] = {}
     ids: list[str] = []
-    for item, found in block:
+    for item, text in items:
+        found = windows_of(text, window)
         place = -1
-        if item is not None:
+        if found and item is not None:
             place = len(ids)
             ids.append(item)
         for w in found:
@@ -75,7 +63,7 @@ def automaton(block: list[tuple[str | None, list[str]]]):
     for w, places in by.items():
         a.add_word(w, (w.count(" ") - 1, len(w), places))
     a.make_automaton()
-    return a, ids
+    return (a, ids) if by else (None, ids)
 
 
 def scan(joined: str, n: int, a, ids: list[str], hit: np.ndarray, items: set[str]) -> None:
@@ -96,43 +84,87 @@ def spans_of(text: str, hit: np.ndarray) -> list[dict]:
     return [{"start": at[i][0], "stop": at[j - 1][1]} for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, block_bytes: int = 64 << 20, text: str = "text", item_text: str = "text", item_id: str = "item_id", carry: tuple[str, ...] = ()) -> DataFrame:
+def hits_of(texts: list[str | None], a, ids: list[str]) -> list[tuple[np.ndarray, set[str]]]:
+    """Of each text: which words are hit, and the items found."""
+    out = []
+    for t in texts:
+        w = words_of(t)
+        hit, items = np.zeros(len(w), bool), set()
+        if w and a is not None:
+            scan((b" " + b" ".join(w) + b" ").decode("latin-1"), len(w), a, ids, hit, items)
+        out.append((hit, items))
+    return out
+
+
+_RESULT = pa.schema([
+    ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())),
+    ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("contaminated", pa.bool_()),
+])
+
+
+def _results(ids: pa.Array, texts: list[str | None], got: list[tuple[np.ndarray, set[str]]], kept: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+    n_hit = [int(h.sum()) for h, _ in got]
+    out = [
+        ids, pa.array([len(h) for h, _ in got], pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(f) for _, f in got], pa.int64()), pa.array([sorted(f) for _, f in got], pa.list_(pa.string())),
+        pa.array([spans_of(t, h) if k else [] for t, (h, _), k in zip(texts, got, n_hit, strict=True)], _RESULT.field("spans").type), pa.array([k > 0 for k in n_hit]),
+    ]
+    return pa.RecordBatch.from_arrays(out + kept, names=_RESULT.names + names)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = 10, block_bytes: int = 16 << 20, text: str = "text", item_text: str = "text", item_id: str = "item_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """What each document has of the items' windows, with the spans of the original text; ``carry``: columns kept."""
     spark = docs.sparkSession
     common.ship(spark)
-    sent = [spark.sparkContext.broadcast(b) for b in blocks_of(items.select(item_id, item_text).toLocalIterator(), window, block_bytes)]
-    kept = [f"kept_{c}" for c in carry]
+    names = [f"kept_{c}" for c in carry]
     frame = docs.select("doc_id", docs[text].cast("string").alias("__text"), *(docs[c].alias(f"kept_{c}") for c in carry if c != text))
-    schema = frame.sparkSession.createDataFrame([], SCHEMA).schema
+    schema = spark.createDataFrame([], SCHEMA).schema
     for c in carry:
         schema = schema.add(f"kept_{c}", frame.schema[common.sent(c, text)].dataType, True)
-    arrow_fields = pa.schema([
-        ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())),
-        ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), ("contaminated", pa.bool_()),
-    ])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = automaton(sent[0].value) if len(sent) == 1 else None
+    items = items.select(items[item_id].cast("string").alias("item"), items[item_text].cast("string").alias("words"))
+    # A window takes at most as many words as the item has from its first one on.
+    size = items.agg(F.sum(F.octet_length("words") * window)).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+
+    def sent(rows: DataFrame):
+        return spark.sparkContext.broadcast([(r.item, r.words) for r in rows.collect()])  # a block: block_bytes / window of text
+
+    if blocks == 1:
+        one = sent(items)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            a, ids = automaton(one.value, window)
+            for b in common.chunks(batches, "__text", common.SMALL_CHUNK):
+                texts = common.column(b, "__text").to_pylist()
+                yield _results(common.column(b, "doc_id"), texts, hits_of(texts, a, ids), [common.column(b, common.sent(c, text)) for c in carry], names)
+
+        return frame.mapInArrow(run, schema)
+
+    frame = common.written(frame.withColumn("__row", F.monotonically_increasing_id()), "documents")
+    found = None
+    for i in range(blocks):
+        block = sent(items.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == i))
+
+        def some(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            a, ids = automaton(block.value, window)
+            for b in common.chunks(batches, "__text", common.SMALL_CHUNK):
+                got = hits_of(common.column(b, "__text").to_pylist(), a, ids)
+                at = [k for k, (h, _) in enumerate(got) if h.any()]
+                yield pa.RecordBatch.from_arrays(
+                    [common.column(b, "__row").take(pa.array(at, pa.int64())), pa.array([np.packbits(got[k][0]).tobytes() for k in at], pa.binary()), pa.array([sorted(got[k][1]) for k in at], pa.list_(pa.string()))], names=["__row", "__hit", "__items"]
+                )
+
+        hits = common.written(frame.select("__row", "__text").mapInArrow(some, "__row bigint, __hit binary, __items array<string>"), "hits")
+        block.unpersist()
+        found = hits if found is None else found.unionByName(hits)
+    gathered = found.groupBy("__row").agg(F.collect_list("__hit").alias("__hits"), F.array_distinct(F.flatten(F.collect_list("__items"))).alias("__items"))  # a row a block at most
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.chunks(batches, "__text", common.SMALL_CHUNK):
-            texts = common.column(b, "__text").to_pylist()
-            normal = []
-            for t in texts:
-                w = words_of(t)
-                normal.append((len(w), (b" " + b" ".join(w) + b" ").decode("latin-1") if w else ""))
-            hits = [np.zeros(n, bool) for n, _ in normal]
-            found: list[set[str]] = [set() for _ in normal]
-            for s in sent:
-                a, ids = one or automaton(s.value)
-                for i, (n, joined) in enumerate(normal):
-                    if n:
-                        scan(joined, n, a, ids, hits[i], found[i])
-            n_hit = [int(h.sum()) for h in hits]
-            out = [
-                common.column(b, "doc_id"), pa.array([n for n, _ in normal], pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(f) for f in found], pa.int64()),
-                pa.array([sorted(f) for f in found], pa.list_(pa.string())),
-                pa.array([spans_of(t, h) if k else [] for t, h, k in zip(texts, hits, n_hit, strict=True)], arrow_fields.field("spans").type), pa.array([k > 0 for k in n_hit]),
-            ]
-            names = arrow_fields.names + kept
-            yield pa.RecordBatch.from_arrays(out + [common.column(b, common.sent(c, text)) for c in carry], names=names)
-
-    return frame.mapInArrow(run, schema)
+            texts, got = common.column(b, "__text").to_pylist(), []
+            for t, parts, items in zip(texts, common.column(b, "__hits").to_pylist(), common.column(b, "__items").to_pylist(), strict=True):
+                n = len(words_of(t))
+                packed = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in parts]) if parts else np.zeros((n + 7) // 8, np.uint8)
+                got.append((np.unpackbits(packed)[:n].astype(bool), set(items or [])))
+            yield _results(common.column(b, "doc_id"), texts, got, [common.column(b, common.sent(c, text)) for c in carry], names)
+
+    return frame.join(gathered, "__row", "left").mapInArrow(merge, schema)

@@ -32,6 +32,8 @@ from . import common
 @dataclass(frozen=True)
 class Settings:
     per_lang: int = 400
+    #: Texts of more bytes are left out of the sample, which so has a bound in bytes, too.
+    longest: int = 1 << 16
     words_per_doc: int = 400
     buckets: int = 1 << 17
     grams: tuple[int, ...] = (2, 3, 4)
@@ -210,9 +212,9 @@ def fit(texts: list[str], langs: list[str], s: Settings) -> Model | None:
     return Model(names, weight, trans - trans.max(), s)
 
 
-def sample(docs: DataFrame, learn: Column, per_lang: int) -> tuple[list[str], list[str]]:
+def sample(docs: DataFrame, learn: Column, per_lang: int, longest: int) -> tuple[list[str], list[str]]:
     """Of each language about ``per_lang`` documents, never more: those whose hash falls below the share that gives twice as many."""
-    rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.filter(learn & F.col("lang").isNotNull() & (F.octet_length(F.col("text").cast("string")) <= longest))
     counts = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], []
@@ -231,7 +233,7 @@ def sample(docs: DataFrame, learn: Column, per_lang: int) -> tuple[list[str], li
 
 
 def learn(docs: DataFrame, who: Column, settings: Settings = Settings()) -> Model | None:
-    return fit(*sample(docs, who, settings.per_lang), settings)
+    return fit(*sample(docs, who, settings.per_lang, settings.longest), settings)
 
 
 def predict(docs: DataFrame, model: Model | None, *, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -10,8 +10,8 @@ toxic window, so that length doesn't dilute; training takes, of each text, the w
 Learning sees at most ``per_class`` labelled texts of each label, chosen by a hash of their ids (a documented bound, as
 allowed for fitting a classifier); whole texts are used. Scoring covers every whole text.
 
-Defined results: null and empty texts, and texts without words, score the share of label 1 in the sample scaled by the
-softmax bias alone; labels that are null, that disagree between rows of one document, or whose document doesn't exist
+Defined results: null and empty texts, and texts without words, score by the softmax bias alone; of documents of one id
+the least text teaches; labels that are null, that disagree between rows of one document, or whose document doesn't exist
 teach nothing; without texts of both labels every score is 0; repeated rows are kept; an empty table gives none;
 columns named in ``carry`` are kept.
 """
@@ -32,6 +32,8 @@ from . import common
 @dataclass(frozen=True)
 class Settings:
     per_class: int = 2000
+    #: Texts of more bytes are left out of the sample, which so has a bound in bytes, too.
+    longest: int = 1 << 16
     buckets: int = 1 << 17
     dim: int = 8
     sizes: tuple[int, ...] = (3, 4, 5)
@@ -162,7 +164,7 @@ def fit(texts: list[str], labels: list[int], s: Settings) -> Model | None:
     return Model((emb @ (soft[1] - soft[0])).astype(np.float32), float(bias[1] - bias[0]), s.sizes, s.window)
 
 
-def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int, label: str) -> tuple[list[str], list[int]]:
+def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int, longest: int, label: str) -> tuple[list[str], list[int]]:
     """Texts and labels to learn from: of each label the ``per_class`` documents that come first by a hash of their ids.
 
     Two bounded sorts choose the ids and one scan fetches the texts; no more than 2 * per_class ids are sent out.
@@ -174,14 +176,14 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, per_class: int, la
     if not ids:
         return [], []
     small = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id bigint, __y int")
-    rows = docs.select("doc_id", docs["text"].cast("string").alias("text")).join(F.broadcast(small), "doc_id").filter("text is not null").dropDuplicates(["doc_id"]).collect()
+    rows = docs.select("doc_id", docs["text"].cast("string").alias("text")).join(F.broadcast(small), "doc_id").filter(F.octet_length("text") <= longest).groupBy("doc_id", "__y").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
     return [r.text for r in rows], [r["__y"] for r in rows]
 
 
 def learn(docs: DataFrame, labels: DataFrame, who: Column, *, label: str = "toxic", settings: Settings = Settings()) -> Model | None:
     """A model from the labelled documents for which ``who`` (of doc_id) holds."""
-    return fit(*sample(docs, labels, who, settings.per_class, label), settings)
+    return fit(*sample(docs, labels, who, settings.per_class, settings.longest, label), settings)
 
 
 def score(docs: DataFrame, model: Model | None, *, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -41,7 +41,7 @@ def brute_hits(texts, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("block", [64 << 20, 40])
+@pytest.mark.parametrize("block", [64 << 20, 700])
 def test_decontaminate(spark, docs_of, block):
     rng = random.Random(3)
     words = ["Alpha", "beta", "gamma3", "délta", "x"]
