@@ -246,7 +246,7 @@ def ssim(a: np.ndarray, b: np.ndarray, window: int = 7) -> float:
 
 
 def orb_ratio(a: np.ndarray, b: np.ndarray) -> float | None:
-    """Share of ORB key points that match; None where OpenCV isn't installed or a picture has no key points."""
+    """Matches both ways by the fewer ORB key points, 0 if a picture has none; None where OpenCV isn't installed."""
     try:
         import cv2
     except ImportError:
@@ -254,9 +254,9 @@ def orb_ratio(a: np.ndarray, b: np.ndarray) -> float | None:
     orb = cv2.ORB_create()
     (_, x), (_, y) = (orb.detectAndCompute(grey(z).astype(np.uint8), None) for z in (a, b))
     if x is None or y is None:
-        return None
+        return 0.0
     found = cv2.BFMatcher(cv2.NORM_HAMMING, crossCheck=True).match(x, y)
-    return sum(m.distance < 64 for m in found) / max(1, min(len(x), len(y)))
+    return len(found) / max(1, min(len(x), len(y)))
 
 
 def refine(a: np.ndarray | None, b: np.ndarray | None, *, least_ssim: float = 0.9, least_orb: float = 0.15) -> tuple[float | None, float | None, bool, str] | None:

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """spark.checkpoint.dir, or a temporary folder where that is unset and all run in one process; an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         d = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = d.get() if d.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="tagloom-shared-")
         spark.sparkContext.setCheckpointDir(found)

@@ -19,7 +19,10 @@ def _tagged(catalog: Catalog, relations: dict[str, DataFrame], todo: DataFrame,
     contents = listing.contents(listing.batch_order(todo))
     tagged = materialised(tagging.tag(contents, make), "tagged")
     items = tagged.filter("tags is not null").select("file_id", "tags", F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(signature).alias("tagger_sig"), F.lit(time.time()).alias("tagged_at"))
-    return maintenance.write_batch(relations["files"], relations["tags"], relations["file_tags"], relations["fts_files"], items, k=top_k), tagged
+    out = maintenance.write_batch(relations["files"], relations["tags"], relations["file_tags"], relations["fts_files"], items, k=top_k)
+    # What could not be tagged loses its mark: its contents are new, its tags are not, and the next run tries again.
+    failed = tagged.filter("tags is null").select(F.col("file_id").alias("id"))
+    return {**out, "files": maintenance.mark_retag(out["files"], failed)}, tagged
 
 
 def scan(catalog: Catalog, roots: Sequence[str], signature: str, **how) -> DataFrame:
@@ -33,6 +36,7 @@ def scan(catalog: Catalog, roots: Sequence[str], signature: str, **how) -> DataF
 
 def run(catalog: Catalog, roots: Sequence[str], make: Callable[[], tagging.Tagger], signature: str, *, top_k: int = 128, **how) -> dict[str, int]:
     """Indexes the roots into a new version and returns its counters."""
+    base = catalog.number()
     found = scan(catalog, roots, signature, **how)
     counts = {k: v or 0 for k, v in maintenance.counters(found).first().asDict().items()}
     rel = catalog.relations()
@@ -40,14 +44,14 @@ def run(catalog: Catalog, roots: Sequence[str], make: Callable[[], tagging.Tagge
     rel["files"] = materialised(maintenance.upsert_files(rel["files"], here.select("path", "size", "mtime", "sha256")), "files")
     todo = here.filter("needs_tagging").select("path", "size").join(rel["files"].select("path", F.col("id").alias("file_id")), "path")
     out, tagged = _tagged(catalog, rel, todo, make, signature, top_k)
-    catalog.publish({"files": rel["files"], **out})
+    catalog.publish({"files": rel["files"], **out}, base=base)
     done = tagged.agg(F.count("tags").alias("tagged"), F.count("error").alias("failed")).first()
     return {**counts, "tagged": done.tagged, "failed": done.failed}
 
 
 def refresh(catalog: Catalog, root: str, make: Callable[[], tagging.Tagger], signature: str, *, recursive: bool = True, hard_delete: bool = False, top_k: int = 128) -> dict[str, int]:
     """One folder anew: tags what is new or untagged, and marks or deletes what is gone."""
-    root = listing.resolved(root)
+    root, base = listing.resolved(root), catalog.number()
     found = materialised(within(scan(catalog, [root], signature), root, recursive=recursive), "refresh")
     rel = catalog.relations()
     stored = within(rel["files"].filter("is_present = 1"), root, recursive=recursive)
@@ -60,5 +64,5 @@ def refresh(catalog: Catalog, root: str, make: Callable[[], tagging.Tagger], sig
         rel["files"], rel["fts_files"] = maintenance.soft_delete(rel["files"], rel["fts_files"], gone, time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime()))
     todo = here.filter("needs_tagging").select("path", "size").join(rel["files"].select("path", F.col("id").alias("file_id")), "path")
     out, tagged = _tagged(catalog, rel, todo, make, signature, top_k)
-    catalog.publish({**{k: rel[k] for k in ("files", "file_tags", "signatures", "fts_files", "tags")}, **out})
+    catalog.publish({**{k: rel[k] for k in ("files", "file_tags", "signatures", "fts_files", "tags")}, **out}, base=base)
     return {"queued": tagged.count(), "tagged": tagged.filter("tags is not null").count(), "missing": gone.count()}
