@@ -17,8 +17,8 @@ from tagloom.streaming import watch
 
 @pytest.fixture(scope="module")
 def small(spark):
-    tags = spark.createDataFrame([(1, "1girl", 0), (2, "<character>", 4), (3, "low_score", 0), (4, "under_score", 0)], schema.TAGS)
-    links = spark.createDataFrame([(10, 1, 0.9), (11, 1, 0.5), (10, 2, 0.3), (11, 3, 0.1), (12, 1, 1.0), (11, 4, 0.6)], schema.FILE_TAGS)
+    tags = spark.createDataFrame([(1, "plum", 0), (2, "<mark>", 4), (3, "faint", 0), (4, "over_ripe", 0)], schema.TAGS)
+    links = spark.createDataFrame([(10, 1, 0.8), (11, 1, 0.6), (10, 2, 0.35), (11, 3, 0.15), (12, 1, 0.95), (11, 4, 0.7)], schema.FILE_TAGS)
     files = schema.conformed(spark.createDataFrame([(10, "/a/A.png", 100, 200.0, 1), (11, "/a/b/B.png", 200, 100.0, 1), (12, "/a/C.png", 300, 50.0, 0), (13, "/z/D.jpg", None, 100.0, 1)], "id long, path string, size long, mtime double, is_present int"), "files")
     return files, tags, links
 
@@ -26,17 +26,17 @@ def small(spark):
 def test_stats(small):
     files, tags, links = small
     rows = {r.name: (r.files, round(r.avg_score, 3), r.max_score) for r in stats.tag_stats(tags, links, files, thresholds=thr.for_stats([(0, 0.4)])).collect()}
-    assert rows == {"1girl": (2, 0.7, 0.9), "<character>": (1, 0.3, 0.3), "under_score": (1, 0.6, 0.6)}
-    assert [r.name for r in stats.tag_stats(tags, links, files, contains="R_").collect()] == ["under_score"]
+    assert rows == {"plum": (2, 0.7, 0.8), "<mark>": (1, 0.35, 0.35), "over_ripe": (1, 0.7, 0.7)}
+    assert [r.name for r in stats.tag_stats(tags, links, files, contains="R_").collect()] == ["over_ripe"]
     assert stats.tag_stats(tags, links, files, limit=1).count() == 1
 
 
 def test_search_pages(small):
     files, tags, links = small
     rows = search.search(files, links, tags, "").collect()
-    assert [r.id for r in rows] == [10, 11, 13] and [t.name for t in rows[0].tags] == ["1girl", "<character>"] and rows[2].tags == []
+    assert [r.id for r in rows] == [10, 11, 13] and [t.name for t in rows[0].tags] == ["plum", "<mark>"] and rows[2].tags == []
     assert [r.id for p in search.pages(files, links, tags, "", chunk=2) for r in p] == [10, 11, 13]
-    assert [r.relevance for r in search.search(files, links, tags, "1girl", order="relevance").collect()] == [0.9, 0.5]
+    assert [r.relevance for r in search.search(files, links, tags, "plum", order="relevance").collect()] == [0.8, 0.6]
     with pytest.raises(ValueError):
         search.search(files, links, tags, "", order_by="1; DROP")
     assert [r.id for r in search.within(files, "/a", recursive=False).orderBy("id").collect()] == [10, 12]
@@ -45,11 +45,11 @@ def test_search_pages(small):
 
 def test_documents(small):
     files, tags, links = small
-    assert {r.file_id: r.text for r in documents.rebuild(files, links, tags, k=2).collect()} == {10: "1girl <character>", 11: "under_score 1girl"}
+    assert {r.file_id: r.text for r in documents.rebuild(files, links, tags, k=2).collect()} == {10: "plum <mark>", 11: "over_ripe plum"}
     assert documents.rebuild(files, links, tags, k=0).count() == 0
     docs = documents.rebuild(files, links, tags)
-    assert [r.file_id for r in documents.phrase(docs, "UNDER score").collect()] == [11]
-    assert documents.phrase(docs, "score under").count() == 0 and documents.phrase(docs, "!!").count() == 0
+    assert [r.file_id for r in documents.phrase(docs, "OVER ripe").collect()] == [11]
+    assert documents.phrase(docs, "ripe over").count() == 0 and documents.phrase(docs, "!!").count() == 0
 
 
 def test_upserts_and_deletes(spark, small):
@@ -61,7 +61,7 @@ def test_upserts_and_deletes(spark, small):
     assert [r.size for r in maintenance.upsert_files(files, twice).filter("path = '/n'").collect()] == [2]
     items = spark.createDataFrame([(10, [("new", 0.7, 4), (" new ", 0.8, 4)], 5, None, None, 9.0), (11, [], None, 7, "s", None)], "file_id long, tags array<struct<name:string,score:double,category:int>>, width int, height int, tagger_sig string, tagged_at double")
     out = maintenance.write_batch(files, tags, links, documents.rebuild(files, links, tags), items)
-    assert sorted((r.file_id, r.tag_id, r.score) for r in out["file_tags"].collect()) == [(10, 5, 0.8), (12, 1, 1.0)]
+    assert sorted((r.file_id, r.tag_id, r.score) for r in out["file_tags"].collect()) == [(10, 5, 0.8), (12, 1, 0.95)]
     assert {r.file_id: r.text for r in out["fts_files"].collect()} == {10: "new"}
     meta = {r.id: (r.width, r.height, r.tagger_sig, r.last_tagged_at) for r in out["files"].collect()}
     assert meta[10] == (5, None, None, 9.0) and meta[11] == (None, 7, "s", None)
