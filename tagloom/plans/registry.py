@@ -302,9 +302,11 @@ def _(c, spark, sf):
     return duplicates.edges(_dup_files(c), limit=10, ratio=1e-9, count=2, bits=8, pair_cap=1500).select("a", "b")
 
 
-@query("q_dup_cosine", """ SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id % 50 = y.vec_id % 50 AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding, y.embedding) >= 0.2""")
+@query("q_dup_cosine", """ SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON list_transform(x.embedding[1:4], lambda v: v >= 0) = list_transform(y.embedding[1:4], lambda v: v >= 0) AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding, y.embedding) >= 0.2""")
 def _(c, spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", (F.col("vec_id") % 50).alias("phash"), F.lit(1).alias("size"))
+    # The signs of a vector's first components are its hash: vectors that point the same way there are candidates.
+    signs = sum(F.when(F.get("embedding", F.lit(i)) >= 0, 1 << i).otherwise(0) for i in range(4))
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", signs.cast("bigint").alias("phash"), F.lit(1).alias("size"))
     return duplicates.edges(e, limit=64, least_cosine=0.2, count=1, bits=16).select("a", "b")
 
 
