@@ -1,7 +1,7 @@
 """Image arrays: decoding, grey levels, resampling, perceptual hashes and similarity, in NumPy.
 
-Images come as uint8 arrays (height, width, 3) in RGB order. ``decode`` reads PNG (8 and 16 bits, all colour types,
-with or without interlacing off) from bytes itself; other formats go through Pillow where it is installed. Spark's
+Images come as uint8 arrays (height, width, 3) in RGB order. ``decode`` reads PNG from bytes itself (``png``); other
+formats go through Pillow where it is installed, JPEG at a reduced scale where that suffices. Spark's
 ``image`` source decodes what the JVM can and gives BGR bytes (``from_row``). What can't be read is None.
 """
 
@@ -17,13 +17,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tagloom.functions import png
+
 MAX_SIDE = 4096
 
 
 def decode(data: bytes, *, hard_pixels: int | None = None, max_side: int = MAX_SIDE) -> np.ndarray | None:
     """RGB of an image file: alpha over white, no side above ``max_side``; None if unreadable or above ``hard_pixels``."""
     try:
-        got = _png(bytes(data), hard_pixels) if bytes(data[:8]) == b"\x89PNG\r\n\x1a\n" else _pillow(bytes(data), hard_pixels)
+        got = _png(bytes(data), hard_pixels) if bytes(data[:8]) == png.MAGIC else _pillow(bytes(data), hard_pixels, max_side)
     except Exception:  # noqa: BLE001  whatever is wrong with a file, it is unreadable
         return None
     if got is None:
@@ -35,12 +37,15 @@ def decode(data: bytes, *, hard_pixels: int | None = None, max_side: int = MAX_S
     return got
 
 
-def _pillow(data: bytes, hard_pixels: int | None) -> np.ndarray | None:
-    from PIL import Image, ImageOps
+def _pillow(data: bytes, hard_pixels: int | None, max_side: int) -> np.ndarray | None:
+    from PIL import Image, ImageFile, ImageOps
 
+    ImageFile.LOAD_TRUNCATED_IMAGES = True
     im = Image.open(io.BytesIO(data))
     if hard_pixels is not None and im.width * im.height > hard_pixels:
         return None
+    if im.format == "JPEG":
+        im.draft("RGB", (max_side, max_side))
     im = ImageOps.exif_transpose(im).convert("RGBA")
     return over_white(np.asarray(im))
 
@@ -51,62 +56,58 @@ def over_white(rgba: np.ndarray) -> np.ndarray:
 
 
 def _png(data: bytes, hard_pixels: int | None) -> np.ndarray | None:
-    at, body, palette, alpha, head = 8, [], None, None, None
-    while at + 8 <= len(data):
-        size, kind = struct.unpack(">I4s", data[at : at + 8])
-        chunk = data[at + 8 : at + 8 + size]
-        at += size + 12
-        if kind == b"IHDR":
-            head = struct.unpack(">IIBBBBB", chunk)
-        elif kind == b"PLTE":
-            palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
-        elif kind == b"tRNS":
-            alpha = np.frombuffer(chunk, np.uint8)
-        elif kind == b"IDAT":
-            body.append(chunk)
-        elif kind == b"IEND":
-            break
-    w, h, depth, color, _, _, lace = head
-    if lace or depth not in (8, 16) or (hard_pixels is not None and w * h > hard_pixels):
+    w, h = png.size(data)
+    if hard_pixels is not None and w * h > hard_pixels:
         return None
-    n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
-    step = n * depth // 8
-    raw = np.frombuffer(zlib.decompressobj().decompress(b"".join(body)), np.uint8)
-    rows = raw[: h * (w * step + 1)].reshape(h, w * step + 1)
-    out = np.zeros((h, w * step), np.uint8)
-    above = np.zeros(w * step, np.int64)
-    for y in range(h):
-        line, kind = rows[y, 1:].astype(np.int64), rows[y, 0]
-        if kind == 2:
-            line = (line + above) & 255
-        elif kind == 1:
-            line = np.cumsum(line.reshape(-1, step), 0).reshape(-1) & 255
-        elif kind in (3, 4):
-            for x in range(0, len(line), step):
-                left = line[x - step : x] if x else np.zeros(step, np.int64)
-                up = above[x : x + step]
-                if kind == 3:
-                    guess = (left + up) >> 1
-                else:
-                    corner = above[x - step : x] if x else np.zeros(step, np.int64)
-                    p = left + up - corner
-                    pa, pb, pc = abs(p - left), abs(p - up), abs(p - corner)
-                    guess = np.where((pa <= pb) & (pa <= pc), left, np.where(pb <= pc, up, corner))
-                line[x : x + step] = (line[x : x + step] + guess) & 255
-        out[y] = line
-        above = line
-    px = out.reshape(h, w, n, depth // 8)[..., 0]
-    if color == 3:
-        rgb = palette[px[..., 0]]
-        if alpha is None:
-            return rgb
-        full = np.full(256, 255, np.uint8)
-        full[: len(alpha)] = alpha
-        return over_white(np.concatenate([rgb, full[px[..., 0]][..., None]], -1))
-    if color in (0, 4):
-        rgb = np.repeat(px[..., :1], 3, -1)
-        return rgb if color == 0 else over_white(np.concatenate([rgb, px[..., 1:]], -1))
-    return px.copy() if color == 2 else over_white(px)
+    rgba = png.decode(data)
+    return rgba[..., :3].copy() if (rgba[..., 3] == 255).all() else over_white(rgba)
+
+
+def dimensions(data: bytes | None) -> tuple[int, int] | None:
+    """(width, height) by the header of a PNG, GIF, BMP, JPEG or WebP file, without decoding; None for anything else."""
+    d = bytes(data or b"")
+    try:
+        if d.startswith(png.MAGIC):
+            return png.size(d)
+        if d[:4] == b"GIF8":
+            return struct.unpack_from("<HH", d, 6)
+        if d[:2] == b"BM":
+            w, h = struct.unpack_from("<ii", d, 18)
+            return w, abs(h)
+        if d[:4] == b"RIFF" and d[8:12] == b"WEBP":
+            return _webp(d)
+        if d[:2] == b"\xff\xd8":
+            return _jpeg(d)
+    except (struct.error, IndexError):
+        pass
+    return None
+
+
+def _webp(d: bytes) -> tuple[int, int] | None:
+    if d[12:16] == b"VP8X":
+        return int.from_bytes(d[24:27], "little") + 1, int.from_bytes(d[27:30], "little") + 1
+    if d[12:16] == b"VP8L":
+        (v,) = struct.unpack_from("<I", d, 21)
+        return (v & 0x3FFF) + 1, (v >> 14 & 0x3FFF) + 1
+    w, h = struct.unpack_from("<HH", d, 26)
+    return w & 0x3FFF, h & 0x3FFF
+
+
+def _jpeg(d: bytes) -> tuple[int, int] | None:
+    """The frame header's size; segments before it are stepped over."""
+    at = 2
+    while at + 9 <= len(d):
+        if d[at] != 0xFF:
+            return None
+        kind = d[at + 1]
+        if kind == 0xFF:
+            at += 1
+        elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            h, w = struct.unpack_from(">HH", d, at + 5)
+            return w, h
+        else:
+            at += 2 + (0 if 0xD0 <= kind <= 0xD8 or kind == 1 else struct.unpack_from(">H", d, at + 2)[0])
+    return None
 
 
 def encode_png(rgb: np.ndarray) -> bytes:
