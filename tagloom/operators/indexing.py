@@ -18,7 +18,7 @@ from tagloom.sources.catalog import Catalog
 def _tagged(catalog: Catalog, relations: dict[str, DataFrame], todo: DataFrame, make: Callable[[], tagging.Tagger], signature: str, top_k: int) -> tuple[dict[str, DataFrame], DataFrame]:
     contents = listing.contents(listing.batch_order(todo))
     tagged = materialised(tagging.tag(contents, make), "tagged")
-    items = tagged.filter("tags is not null").select("file_id", "tags", F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(signature).alias("tagger_sig"), F.lit(time.time()).alias("tagged_at"))
+    items = tagged.filter("tags is not null").select("file_id", "tags", "width", "height", F.lit(signature).alias("tagger_sig"), F.lit(time.time()).alias("tagged_at"))
     out = maintenance.write_batch(relations["files"], relations["tags"], relations["file_tags"], relations["fts_files"], items, k=top_k)
     # What could not be tagged loses its mark: its contents are new, its tags are not, and the next run tries again.
     failed = tagged.filter("tags is null").select(F.col("file_id").alias("id"))

@@ -141,9 +141,9 @@ def _(c, spark, sf):
     return search.within(c.files, "/lib/1-URGENT").select("id", "path")
 
 
-@query("q_shown_tags", f", page AS (SELECT id FROM files WHERE is_present = 1 ORDER BY id LIMIT 300) SELECT p.id, coalesce(string_agg(l.name, ' ' ORDER BY l.score DESC, l.name) FILTER (WHERE l.score >= {_FALL}), '') AS shown FROM page p LEFT JOIN links l ON l.file_id = p.id GROUP BY 1")
+@query("q_shown_tags", f", page AS (SELECT id FROM files WHERE is_present = 1) SELECT p.id, coalesce(string_agg(l.name, ' ' ORDER BY l.score DESC, l.name) FILTER (WHERE l.score >= {_FALL}), '') AS shown FROM page p LEFT JOIN links l ON l.file_id = p.id GROUP BY 1")
 def _(c, spark, sf):
-    page = search.search(c.files, c.file_tags, c.tags, "", order_by="f.id ASC", limit=300)
+    page = search.enriched(c.files.filter("is_present = 1").select("id"), c.file_tags, c.tags)
     return page.select("id", F.array_join(F.transform(search.shown_tags(F.col("tags")), lambda t: t["name"]), " ").alias("shown"))
 
 
@@ -153,9 +153,9 @@ def _(c, spark, sf):
     return search.by_path(c.files, first.path if first else "").select("id", "path")
 
 
-@query("q_bulk_lookup", "SELECT f.id, f.path, EXISTS (SELECT 1 FROM file_tags t WHERE t.file_id = f.id) AS has_tags FROM files f WHERE f.id % 17 = 0")
+@query("q_bulk_lookup", "SELECT f.id, f.path, EXISTS (SELECT 1 FROM file_tags t WHERE t.file_id = f.id) AS has_tags FROM files f")
 def _(c, spark, sf):
-    return search.by_paths(c.files, c.file_tags, c.files.filter("id % 17 = 0").select("path")).select("id", "path", "has_tags")
+    return search.by_paths(c.files, c.file_tags, c.files.select("path")).select("id", "path", "has_tags")
 
 
 @query("q_stored_thresholds", f"SELECT f.id FROM files f WHERE {_HAS} l.name = 'small_ring' AND l.score >= CASE l.category WHEN 0 THEN 0.35 WHEN 3 THEN 0.25 WHEN 4 THEN 0.6 ELSE 0.0 END) AND f.is_present = 1")
@@ -164,9 +164,9 @@ def _(c, spark, sf):
     return search.with_stored(c.files, c.file_tags, c.tags, "small_ring", stored).select("id")
 
 
-@query("q_copied_tags", ", page AS (SELECT id FROM files WHERE is_present = 1 ORDER BY id LIMIT 300) SELECT p.id, count(l.name) FILTER (WHERE l.score >= 0.1) AS n FROM page p LEFT JOIN links l ON l.file_id = p.id GROUP BY 1")
+@query("q_copied_tags", ", page AS (SELECT id FROM files WHERE is_present = 1) SELECT p.id, count(l.name) FILTER (WHERE l.score >= 0.1) AS n FROM page p LEFT JOIN links l ON l.file_id = p.id GROUP BY 1")
 def _(c, spark, sf):
-    page = search.search(c.files, c.file_tags, c.tags, "", order_by="f.id ASC", limit=300)
+    page = search.enriched(c.files.filter("is_present = 1").select("id"), c.file_tags, c.tags)
     return page.select("id", F.size(search.shown_tags(F.col("tags"), floor=0.1)).cast("bigint").alias("n"))
 
 
@@ -420,12 +420,16 @@ def _(c, spark, sf):
     return tagging.capped(_predictions(spark, sf, c), thresholds={0: 0.5, 4: 0.4}, caps={0: 1, 1: 2}, base_cap=3)
 
 
-@query("q_tags_series", _PRED + _LABELS + """, passed AS (SELECT * FROM pred WHERE score >= CASE category WHEN 0 THEN 0.4 WHEN 4 THEN 0.8 WHEN 3 THEN 0.8 ELSE 0.0 END),
-carried AS (SELECT p.file_id, unnest(l.ips) AS name, p.score, 3 AS category FROM passed p JOIN labels l ON l.name = p.name WHERE p.category = 4),
-every AS (SELECT file_id, name, score, category FROM passed UNION ALL SELECT file_id, name, score, category FROM carried),
-best AS (SELECT file_id, name, max(score) AS score, arg_max(category, score * 100 + category) AS category FROM every GROUP BY 1, 2)
-SELECT file_id, name, score, category FROM best WHERE score >= CASE category WHEN 0 THEN 0.4 WHEN 4 THEN 0.8 WHEN 3 THEN 0.8 ELSE 0.0 END
-QUALIFY row_number() OVER (PARTITION BY file_id, category ORDER BY score DESC, name) <= CASE category WHEN 0 THEN 128 WHEN 4 THEN 10 WHEN 3 THEN 10 ELSE 1000000 END""")
+_SERIES_LIMIT = "greatest(0.1, CASE category WHEN 0 THEN 0.4 WHEN 4 THEN 0.8 WHEN 3 THEN 0.8 ELSE 0.0 END)"
+_SERIES_CAP = "CASE category WHEN 4 THEN 10 WHEN 3 THEN 10 ELSE 128 END"
+
+
+@query("q_tags_series", _PRED + _LABELS + f""", passed AS (SELECT * FROM pred WHERE score >= {_SERIES_LIMIT} QUALIFY row_number() OVER (PARTITION BY file_id, category ORDER BY score DESC, position) <= {_SERIES_CAP}),
+carried AS (SELECT p.file_id, unnest(l.ips) AS name, p.score FROM passed p JOIN labels l ON l.name = p.name WHERE p.category = 4),
+ips AS (SELECT c.file_id, c.name, greatest(max(c.score), max(coalesce(r.score, 0))) AS score, 3 AS category FROM carried c LEFT JOIN pred r ON r.file_id = c.file_id AND r.name = c.name GROUP BY 1, 2),
+best AS (SELECT file_id, name, max(score) AS score, arg_max(category, score * 100 + category) AS category FROM passed p WHERE NOT EXISTS (SELECT 1 FROM ips i WHERE i.file_id = p.file_id AND i.name = p.name) GROUP BY 1, 2 UNION ALL SELECT * FROM ips),
+few AS (SELECT * FROM best WHERE score >= {_SERIES_LIMIT} QUALIFY row_number() OVER (PARTITION BY file_id, category ORDER BY score DESC, name) <= {_SERIES_CAP})
+SELECT file_id, name, score, category FROM few QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY score DESC, name) <= 128""")
 def _(c, spark, sf):
     return tagging.with_series(_predictions(spark, sf, c), _labels(c))
 
@@ -536,9 +540,9 @@ def _(c, spark, sf):
     return maintenance.retag_all(c.files, "sig-a", force=False)[1]
 
 
-@query("q_retag_scan", "SELECT id, path, TRUE AS needs_tagging FROM files WHERE is_present = 1 AND id % 13 = 0 AND id > 0")
+@query("q_retag_scan", "SELECT id, path, TRUE AS needs_tagging FROM files WHERE is_present = 1 AND id > 0")
 def _(c, spark, sf):
-    ids = c.files.filter("id % 13 = 0").select("id")
+    ids = c.files.select("id")
     return maintenance.retag_scan(c.files, ids.union(ids).union(ids.select(-F.col("id"))))
 
 
@@ -611,9 +615,9 @@ def _(c, spark, sf):
     return c.files.select("id", F.array_join(scalar.string_list(text), "|").alias("items"))
 
 
-@query("q_export_targets", ", t AS (SELECT id, path, 'f' || (id % 100) || '.png' AS base FROM files WHERE id % 3 = 0) SELECT id, '/out/' || CASE WHEN n = 1 THEN base ELSE replace(base, '.png', '_' || n || '.png') END AS target FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM t)")
+@query("q_export_targets", ", t AS (SELECT id, path, 'f' || (id % 100) || '.png' AS base FROM files) SELECT id, '/out/' || CASE WHEN n = 1 THEN base ELSE replace(base, '.png', '_' || n || '.png') END AS target FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY id) AS n FROM t)")
 def _(c, spark, sf):
-    same = c.files.filter("id % 3 = 0").select("id", F.concat(F.lpad(F.col("id").cast("string"), 12, "0"), F.lit("/f"), (F.col("id") % 100).cast("string"), F.lit(".png")).alias("path"))
+    same = c.files.select("id", F.concat(F.lpad(F.col("id").cast("string"), 12, "0"), F.lit("/f"), (F.col("id") % 100).cast("string"), F.lit(".png")).alias("path"))
     return export.destinations(same, "/out").select("id", "target")
 
 
@@ -644,7 +648,7 @@ def _(c, spark, sf):
     return load_metrics(rows)[0].withColumn("seconds", F.round("seconds", 4))
 
 
-@query("q_dummy_tagging")
+@query("q_dummy_tagging", "SELECT id AS file_id, 'dummy' AS name, CAST(0.9 AS DOUBLE) AS score, 0 AS category FROM files")
 def _(c, spark, sf):
     """The tagger protocol over every file: the fixed tag of the dummy, merged as links."""
     rows = c.files.select(F.col("id").alias("file_id"), F.col("path").cast("binary").alias("content"))
@@ -652,6 +656,25 @@ def _(c, spark, sf):
     return tagged.select("file_id", F.posexplode("tags").alias("position", "t")).select("file_id", "t.name", "t.score", "t.category")
 
 
+@query("q_image_dhash", "SELECT page_id AS file_id, CAST(page_id * 7919 + 13 AS BIGINT) AS dhash_u64 FROM pages", head=False)
+def _(c, spark, sf):
+    """dHash of a PNG of 9 x 8 pixels whose levels rise where a number made of the page's id has a bit, and fall elsewhere."""
+    from tagloom.functions import images
+
+    def draw(frames):
+        import numpy as np
+        import pandas as pd
+
+        for f in frames:
+            number = f["file_id"].to_numpy() * 7919 + 13
+            rise = (number[:, None] >> np.arange(63, -1, -1)) & 1
+            levels = 128 + np.pad(np.cumsum(np.where(rise, 10, -10).reshape(-1, 8, 8), 2), ((0, 0), (0, 0), (1, 0)))
+            yield pd.DataFrame({"file_id": f["file_id"], "content": [images.encode_png(x.astype(np.uint8)) for x in levels]})
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("file_id"))
+    return images.signatures(pages.mapInPandas(draw, "file_id bigint, content binary")).select("file_id", "dhash_u64")
+
+
 @query("q_image_signatures")
 def _(c, spark, sf):
     """pHash and dHash of a small PNG made of each page's id."""

@@ -43,7 +43,7 @@ def take_in(catalog: Catalog, batch: DataFrame, make: Callable[[], tagging.Tagge
     files = materialised(maintenance.upsert_files(old["files"], batch.select("path", "size", "mtime", "sha256")), "files")
     work = batch.join(files.select("path", F.col("id").alias("file_id")), "path")
     tagged = materialised(tagging.tag(work, make), "tagged").filter("tags is not null")
-    items = tagged.select("file_id", "tags", F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(signature).alias("tagger_sig"), F.lit(now).alias("tagged_at"))
+    items = tagged.select("file_id", "tags", "width", "height", F.lit(signature).alias("tagger_sig"), F.lit(now).alias("tagged_at"))
     out = maintenance.write_batch(files, old["tags"], old["file_tags"], old["fts_files"], items, k=top_k)
     made = images.signatures(work.select("file_id", "content"))
     catalog.publish({**out, "signatures": maintenance.upsert_signatures(old["signatures"], made)}, base=base)

@@ -132,7 +132,94 @@ def test_tagging(spark):
 
     images_ = spark.createDataFrame([(i, bytearray(c)) for i, c in enumerate([b"a", b"bad", b"poison", b"c"])], "file_id long, content binary").coalesce(1)
     done = {r.file_id: (r.tags is not None, r.error) for r in tagging.tag(images_, Fragile).collect()}
-    assert done == {0: (True, None), 1: (False, "poison"), 2: (False, "poison"), 3: (True, None)}
+    assert done == {0: (True, None), 1: (False, "unreadable"), 2: (False, "poison"), 3: (True, None)}
+
+
+def test_series_in_numpy_and_spark_agree(spark):
+    rng = np.random.default_rng(3)
+    names = [labels.Label(f"t{i:02d}", int(rng.integers(0, 6)), None, tuple(f"t{j:02d}" if j < 40 else f"new{j}" for j in rng.integers(0, 50, 2))) for i in range(40)] + [labels.Label("placeholder_9", 5)]
+    scores = rng.integers(0, 128, (30, 41)) / 128
+    rows = [(i, j, x.name, float(s), x.category) for i, r in enumerate(scores) for j, (x, s) in enumerate(zip(names, r, strict=True))]
+    df = spark.createDataFrame(rows, "file_id long, position int, name string, score double, category int")
+    for how in ({}, {"thresholds": {4: 0.3, 0: 0.6}, "caps": {4: 2, 3: 3}, "top_k": 9}):
+        got = sorted((r.file_id, r.name, r.score, r.category) for r in tagging.with_series(df, labels.frame(spark, names), **how).collect())
+        want = sorted((i, n, s, c) for i, row in enumerate(tagging.series_post_process(scores, names, **how)) for n, s, c in row)
+        assert got == want and got
+
+
+class FakeSession:
+    """Scores of each picture: its mean level, scaled, for every label in turn."""
+
+    def __init__(self, width, *outputs, shape=("n", 3, 8, 8)):
+        out = lambda n, w: type("O", (), {"name": n, "shape": ["n", w], "type": "tensor(float)"})
+        self.outputs, self.inputs, self.width, self.seen = [out(n, w) for n, w in outputs], [type("I", (), {"name": "x", "shape": list(shape), "type": "tensor(float)"})], width, None
+        self.get_outputs, self.get_inputs = lambda: self.outputs, lambda: self.inputs
+
+    def run(self, names, feed):
+        self.seen = feed["x"].shape
+        return [np.tile(np.linspace(0.9375, 0.5625, self.width), (len(feed["x"]), 1))]
+
+
+def test_taggers_by_name(tmp_path, monkeypatch):
+    (tmp_path / "m.onnx").write_bytes(b"")
+    (tmp_path / "selected_tags.csv").write_text('name,category,ips\nhero,4,"[""Saga""]"\nplain,0,\nodd,0,\n')
+    model = str(tmp_path / "m.onnx")
+    made = FakeSession(3, ("features", 9), ("prediction", 3))
+    tried = []
+
+    def open_(path, providers):
+        tried.append([p for p, _ in providers] if isinstance(providers[0], tuple) else providers)
+        if tried[-1] == [labels.CUDA]:
+            raise RuntimeError("no device")
+        return made
+
+    monkeypatch.setattr("onnxruntime.InferenceSession", open_)
+    monkeypatch.setattr("onnxruntime.get_available_providers", lambda: [labels.CPU])
+    tagger = tagging.resolve("onnx", model, side=8)()
+    assert tagger.kind == "series" and tagger.output == "prediction" and tagger.failed == ["CUDAExecutionProvider: no device"] and tried[-2:] == [[labels.CUDA], [labels.CPU]]
+    picture = images.encode_png(np.full((20, 10, 3), 200, np.uint8))
+    ready = tagger.prepare([picture, b"nothing"])
+    assert ready[0].shape == (3, 8, 8) and ready[1] is None
+    assert tagger.infer(ready[:1]) == [[("Saga", 0.9375, 3), ("hero", 0.9375, 4), ("plain", 0.75, 0), ("odd", 0.5625, 0)]]
+    square = tagging.resolve("onnx", model, kind="square", device="cpu", side=8)()
+    assert square.infer(square.prepare([picture])) == [[("hero", 0.9375, 4), ("plain", 0.75, 0), ("odd", 0.5625, 0)]] and made.seen == (1, 3, 8, 8)
+    made.outputs = FakeSession(3, ("scores", 4)).outputs
+    with pytest.raises(ValueError):
+        square = tagging.resolve("onnx", model, kind="square", side=8)()
+    with pytest.raises(ValueError):
+        tagging.resolve("unknown", model)
+    with pytest.raises(FileNotFoundError):
+        tagging.resolve("onnx", str(tmp_path / "none" / "m.onnx"))
+
+
+def test_providers_and_outputs(tmp_path):
+    gpu, cpu, rt = labels.CUDA, labels.CPU, labels.TENSORRT
+    assert labels.attempts([gpu], [cpu]).attempts == [[cpu]] and "falling back to " + cpu in labels.attempts([gpu], [cpu]).warnings[0]
+    assert labels.attempts(None, [cpu]).attempts == [[gpu], [cpu]] and labels.attempts(None, [cpu]).infos and not labels.attempts(None, [gpu]).infos
+    assert labels.attempts([rt, gpu, cpu], [rt, gpu, cpu]).attempts == [[rt, gpu, cpu], [gpu], [cpu]]
+    assert labels.attempts([rt, gpu, cpu], [gpu, cpu]).attempts == [[gpu], [cpu]] and labels.attempts([rt, gpu, cpu], [cpu]).attempts == [[cpu]]
+    assert [labels.wanted(d) for d in ("CPU", "auto", None, "tensorrt")] == [[cpu], None, None, [rt, gpu, cpu]]
+    assert labels.provider_options() == {} and labels.provider_options(engine_cache="/c", half=True, gpu_memory_mb=2) == {rt: {"trt_engine_cache_enable": "True", "trt_engine_cache_path": "/c", "trt_fp16_enable": "True"}, gpu: {"gpu_mem_limit": "2097152"}}
+    assert labels.prediction_output([("a", 5), ("prediction", 13461)], 4) == ("prediction", 13461, "series")
+    assert labels.prediction_output([("a", 5), ("prediction", 4)], 5) == ("a", 5, "square") and labels.prediction_output([("a", 5), ("logits", 13461)]) == ("logits", 13461, "series")
+    assert labels.prediction_output([("a", 5), ("b", 4)], 4) == ("b", 4, "square") and labels.prediction_output([("a", None)]) == ("a", None, "square")
+    (tmp_path / "m.onnx").write_bytes(b"")
+    told = labels.inspect(str(tmp_path / "m.onnx"), open_=lambda p: FakeSession(1, ("out", 1)))
+    assert not told["ok"] and told["width"] == 1 and told["errors"] == ["no label file was found"]
+    (tmp_path / "tags.csv").write_text("a,0\nb,4\n")
+    told = labels.inspect(str(tmp_path / "m.onnx"), open_=lambda p: FakeSession(2, ("x", 7), ("prediction", 2)))
+    assert told["ok"] and (told["output"], told["kind"], told["categories"]) == ("prediction", "series", {0: 1, 4: 1})
+
+
+def test_phash_by_definition():
+    rng = np.random.default_rng(4)
+    g = rng.integers(0, 256, (32, 32))
+    at = np.arange(32)
+    scale = lambda k: np.sqrt((1 if k == 0 else 2) / 32)
+    wave = lambda k: scale(k) * np.cos(np.pi * (2 * at + 1) * k / 64)
+    low = np.array([[(g * np.outer(wave(u), wave(v))).sum() for v in range(8)] for u in range(8)]).reshape(-1)
+    bits = "".join("1" if x > low[1:].mean() else "0" for x in low)
+    assert images.phash(np.repeat(g[..., None], 3, -1).astype(np.uint8)) & (2**64 - 1) == int(bits, 2)
 
 
 def test_images(spark):
@@ -160,7 +247,7 @@ def test_images(spark):
 
 def test_labels():
     got = labels.parse('﻿# note\nid,tag_id,name,category,count,ips\n1,10,alice,4,5,"[""Series"", "" ""]"\n2,11,,0,3,\n')
-    assert [(x.name, x.category, x.count, x.ips) for x in got] == [("alice", 4, 5, ("Series",)), ("placeholder_1", 5, 3, ())] or got[1].name == "placeholder_1" and got[1].category == 5
+    assert [(x.name, x.category, x.ips) for x in got] == [("alice", 4, ("Series",)), ("placeholder_1", 5, ())] and got[0].count == 5
     assert [x.name for x in labels.parse("a\nb")] == ["a", "b"]
     assert [(x.name, x.category) for x in labels.parse("1,x\ny,character")] == [("x", 0), ("y", 4)]
     assert [(x.name, x.category, x.count) for x in labels.parse("7,z,3,9")] == [("z", 3, 9)]
@@ -218,11 +305,12 @@ def test_index_run_refresh_and_watch(spark, tmp_path):
     draw(lib / "c.png", 3)
     got = indexing.refresh(cat, str(lib), tagging.DummyTagger, "sig")
     assert got == {"queued": 1, "tagged": 1, "missing": 1}
+    assert {(r.width, r.height) for r in cat.read("files").filter("is_present = 1").collect()} == {(16, 16)}
     assert sorted((r.path.rsplit("/", 1)[1], r.is_present) for r in cat.read("files").collect()) == [("a.png", 0), ("b.png", 1), ("c.png", 1)]
     draw(lib / "d.png", 4)
     query = watch.watch(cat, str(lib), str(tmp_path / "ck"), tagging.DummyTagger, "sig", once=True)
     query.awaitTermination(120)
-    assert cat.read("files").filter("is_present = 1").count() == 3 and cat.read("signatures").count() == 3
+    assert cat.read("files").filter("is_present = 1 and width = 16 and height = 16").count() == 3 and cat.read("signatures").count() == 3
     assert cat.reset() and cat.read("files").count() == 0
 
 
