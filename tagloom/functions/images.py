@@ -318,6 +318,13 @@ def thumbnail_key(path: str, size: int, mtime: float, side: int, mode: str = "RG
     return hashlib.sha1(f"{path}|{size}|{mtime:.6f}|{side}x{side}|{mode}|{kind}".encode()).hexdigest()
 
 
+def thumbnail_key_column(side: int, mode: str = "RGB", kind: str = "png"):
+    """``thumbnail_key`` of the columns path, size and mtime."""
+    from pyspark.sql import functions as F
+
+    return F.sha1(F.format_string(f"%s|%d|%.6f|{side}x{side}|{mode}|{kind}", "path", "size", "mtime"))
+
+
 def thumbnails(contents: DataFrame, side: int = 256) -> DataFrame:
     """file_id and a PNG no side of which exceeds ``side``."""
 

@@ -31,22 +31,36 @@ def materialised(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialised`` made, once nothing that is still to run reads them."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/tagloom-" in folder:
+                path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, root) of every id of ``edges`` (a, b); root is the least id of its component.
 
     A round lowers each label to the least among its neighbours and then to that label's own label, so chains shrink
-    by more than half. It stops when nothing changes; more than ``rounds`` rounds raise rather than give part results.
+    by more than half. A round's tables go once the next one's are
+    written. It stops when nothing changes; more than ``rounds`` rounds raise rather than give part results.
     """
     e = edges.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).filter("a <> b")
     both = materialised(e.union(e.select("b", "a")).distinct(), "edges")
-    label = materialised(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")), "labels")
+    old = materialised(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")), "labels")
     for _ in range(rounds):
-        near = both.join(label, both.b == label.id).groupBy("a").agg(F.min("root").alias("m"))
-        low = label.join(near, label.id == near.a).select("id", F.col("root").alias("old"), F.least("root", "m").alias("root"))
+        near = both.join(old, both.b == old.id).groupBy("a").agg(F.min("root").alias("m"))
+        low = old.join(near, old.id == near.a).select("id", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         low = materialised(low, "labels")
         up = low.select(F.col("id").alias("u"), F.col("root").alias("up"))
         label = materialised(low.join(up, low.root == up.u, "left").select("id", "old", F.least("root", F.coalesce("up", "root")).alias("root")), "labels")
-        if label.filter("old <> root").isEmpty():
+        done = label.filter("old <> root").isEmpty()
+        discard(old, low)
+        if done:
+            discard(both)
             return label.select("id", "root")
-        label = label.select("id", "root")
+        old = label.select("id", "root")
     raise RuntimeError("labels still change")

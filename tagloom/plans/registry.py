@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tagloom.functions import scalar
 from tagloom.functions import thresholds as thr
@@ -319,12 +320,11 @@ def _(c, spark, sf):
     return components(duplicates.edges(_dup_files(c), limit=4))
 
 
-@query("q_components_chain", "SELECT id, (id // 40) * 40 AS root FROM (SELECT o_orderkey AS id FROM orders WHERE o_orderkey BETWEEN 40 AND 39 + 40 * (SELECT max(o_orderkey) // 40 - 1 FROM orders)) WHERE (SELECT count(*) FROM orders) = (SELECT max(o_orderkey) FROM orders) - (SELECT min(o_orderkey) FROM orders) + 1", head=False)
+@query("q_components_chain", "SELECT id, root FROM (SELECT o_orderkey AS id, min(o_orderkey) OVER w AS root, count(*) OVER w AS n FROM (SELECT DISTINCT o_orderkey FROM orders) WINDOW w AS (PARTITION BY o_orderkey // 40)) WHERE n > 1", head=False)
 def _(c, spark, sf):
-    ids = c.files.select("id")
-    low, high, n = ids.agg(F.min("id"), F.max("id"), F.count("*")).first()
-    edges = ids.filter((F.col("id") >= 40) & (F.col("id") <= 39 + 40 * (high // 40 - 1)) & (F.col("id") % 40 != 39)).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    return components(edges if n == high - low + 1 else edges.limit(0))
+    """Chains of the orders of each forty keys: every order is linked to the next of them."""
+    following = F.lead("id").over(Window.partitionBy(F.floor(F.col("id") / 40)).orderBy("id"))
+    return components(c.files.select("id").distinct().select(F.col("id").alias("a"), following.alias("b")).filter("b is not null"))
 
 
 _CLUSTERS = _PAIRS + _LINKED + """, best AS (SELECT id, min(hamming) AS best_hamming FROM (SELECT a AS id, hamming FROM pairs WHERE hamming <= 4 UNION ALL SELECT b, hamming FROM pairs WHERE hamming <= 4) GROUP BY 1),

@@ -32,3 +32,20 @@ def conformed(df: DataFrame, name: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in RELATIONS[name]))
+
+
+def migrated(df: DataFrame, name: str, version: int) -> DataFrame:
+    """A relation of an older catalog as it is now.
+
+    Up to version 1 files had no tagger signature and time, up to 2 no presence: all were there. Up to 3 a document's
+    file could be held as ``rowid``. A version above ours is refused.
+    """
+    from pyspark.sql import functions as F
+
+    if version > VERSION:
+        raise ValueError(f"the catalog's version {version} is newer than {VERSION}")
+    if version < 3 and name == "files":
+        df = df.withColumn("is_present", F.coalesce(F.col("is_present"), F.lit(1)) if "is_present" in df.columns else F.lit(1))
+    if version < 4 and name == "fts_files" and "file_id" not in df.columns:
+        df = df.withColumnRenamed("rowid", "file_id")
+    return conformed(df, name)

@@ -10,7 +10,7 @@ from tagloom.functions import images, scalar
 from tagloom.functions import thresholds as thr
 from tagloom.operators import documents, duplicates, indexing, maintenance, metrics, search, stats, tagging
 from tagloom.sinks import export
-from tagloom.sources import config, labels, listing, schema
+from tagloom.sources import cache, config, labels, listing, schema
 from tagloom.sources.catalog import Catalog, Conflict
 from tagloom.streaming import watch
 
@@ -355,6 +355,58 @@ def test_writers_of_a_catalog(spark, tmp_path):
     assert one.number() == 3 and one.reset() and one.number() == 0 and one.read("tags").count() == 0
 
 
+def test_older_catalogs_are_migrated(spark, tmp_path):
+    cat = Catalog(spark, str(tmp_path / "cat"))
+    spark.createDataFrame([(1, "/a", 5)], "id long, path string, size long").write.parquet(str(tmp_path / "cat" / "old" / "files"))
+    spark.createDataFrame([(1, "plum")], "rowid int, text string").write.parquet(str(tmp_path / "cat" / "old" / "fts"))
+    pointer = lambda n, v: cat._create(f"{cat.path}/versions/{n:012d}", '{"version": "old", "schema": %d, "relations": {"files": "old/files", "fts_files": "old/fts"}}' % v)
+    assert pointer(1, 1)
+    row = cat.read("files").first()
+    assert (row.is_present, row.tagger_sig, row.size) == (1, None, 5) and cat.read("fts_files").first().file_id == 1
+    assert cat.migrate() and not cat.migrate() and cat.number() == 2
+    assert cat.read("files").first().is_present == 1 and cat.read("files").schema == schema.FILES and cat.read("fts_files").first().text == "plum"
+    assert pointer(3, 9)
+    with pytest.raises(ValueError):
+        cat.read("files")
+
+
+def test_caches_make_each_thing_once(spark, tmp_path):
+    draw(tmp_path / "lib" / "a.png", 1)
+    draw(tmp_path / "lib" / "b.png", 2)
+    (tmp_path / "lib" / "c.png").write_bytes(b"no picture")
+    found = listing.images(spark, [str(tmp_path / "lib")])
+    log = tmp_path / "log"
+
+    def prepare(batch):
+        with open(log, "a") as f:
+            f.write("x" * len(batch))
+        return [None if (a := images.decode(x)) is None else images.centre_crop(a, 8) for x in batch]
+
+    where = str(tmp_path / "inputs")
+    got = {r.path[-5:]: r.input for r in cache.inputs(found, where, prepare, 8).collect()}
+    want = images.centre_crop(images.decode((tmp_path / "lib" / "a.png").read_bytes()), 8)
+    assert (np.frombuffer(got["a.png"], "<f4").reshape(3, 8, 8) == want).all() and got["c.png"] is None and got["b.png"] != got["a.png"]
+    assert len(log.read_text()) == 3
+    draw(tmp_path / "lib" / "b.png", 3)
+    os.utime(tmp_path / "lib" / "b.png", (5, 5))
+    again = {r.path[-5:]: r.input for r in cache.inputs(listing.images(spark, [str(tmp_path / "lib")]), where, prepare, 8).collect()}
+    assert again["a.png"] == got["a.png"] and again["b.png"] != got["b.png"] and len(log.read_text()) == 5
+    small = cache.thumbnails(found, str(tmp_path / "thumbs"), 4).collect()
+    assert sorted(images.dimensions(r.png) or (0, 0) for r in small) == [(0, 0), (4, 4), (4, 4)]
+    one = next(r for r in small if r.path.endswith("a.png"))
+    assert one.key == images.thumbnail_key(one.path, one.size, one.mtime, 4)
+
+
+def test_components_leave_no_tables_behind(spark, tmp_path):
+    from tagloom.operators.components import components, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    edges = spark.range(1, 200).selectExpr("id as a", "id + 1 as b")
+    assert components(edges).select("root").distinct().count() == 1
+    assert len(set(os.listdir(folder)) - before) == 1
+
+
 def test_exports(spark, tmp_path):
     rows = spark.createDataFrame([(0, "tag", 2, 0.7, 0.9)], "category int, name string, files long, avg_score double, max_score double")
     path = export.write_csv(export.stats_rows(rows), str(tmp_path / "x.txt"))
