@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from tagloom.functions import scalar
 from tagloom.operators.components import components, materialised
+from tagloom.operators.ordering import running
 
 # File formats by how much a keeper prefers them; others 0.
 FORMAT_RANK = {"png": 4, "apng": 4, "webp": 3, "tiff": 2, "tif": 2, "bmp": 1, "gif": 1, "jpg": 0, "jpeg": 0, "jpe": 0}
@@ -110,22 +111,18 @@ def _rank() -> Column:
     return F.coalesce(F.element_at(ranks, scalar.suffix(F.col("path"))), F.lit(0))
 
 
-def keeper_order() -> list[Column]:
-    """What a keeper is chosen by."""
-    return [F.coalesce("size", F.lit(0)).desc(), _resolution().desc(), _rank().desc(), scalar.suffix(F.col("path")).asc(), scalar.base_name(F.col("path")).asc(), F.col("id").asc()]
-
-
 def arrange(members: DataFrame) -> DataFrame:
     """members (cluster, id, path, size, width, height, best_hamming) with is_keeper, position and group, both from 1.
 
+    The keeper is the largest, then that of most pixels, of the preferred format, of the least suffix, name and id.
     Members: keeper, then size, resolution and format falling, lower-case name, id. Clusters: largest member falling,
     lower-case path of the first member, cluster. Clusters of one are dropped.
     """
-    by = Window.partitionBy("cluster")
-    rows = members.withColumn("__n", F.count("*").over(by)).filter("__n > 1").drop("__n")
-    rows = rows.withColumn("is_keeper", (F.row_number().over(by.orderBy(*keeper_order())) == 1).cast("int"))
-    shown = by.orderBy(F.desc("is_keeper"), F.coalesce("size", F.lit(0)).desc(), _resolution().desc(), _rank().desc(), F.lower(scalar.base_name(F.col("path"))), F.col("id"))
-    rows = rows.withColumn("position", F.row_number().over(shown))
+    best = F.struct(-F.coalesce("size", F.lit(0)), -_resolution(), -_rank(), scalar.suffix(F.col("path")), scalar.base_name(F.col("path")), "id")
+    kept = members.groupBy(F.col("cluster").alias("__c")).agg(F.count("*").alias("__n"), F.min_by("id", best).alias("__keeper")).filter("__n > 1")
+    rows = members.join(kept, F.col("cluster") == F.col("__c")).withColumn("is_keeper", (F.col("id") == F.col("__keeper")).cast("int")).drop("__c", "__n", "__keeper")
+    shown = [F.desc("is_keeper"), F.coalesce("size", F.lit(0)).desc(), _resolution().desc(), _rank().desc(), F.lower(scalar.base_name(F.col("path"))).asc(), F.col("id").asc()]
+    rows = running(rows, shown, {"position": F.lit(1)}, ["cluster"]).withColumn("position", F.col("position").cast("int"))
     heads = rows.groupBy("cluster").agg(F.max(F.coalesce("size", F.lit(0))).alias("most"), F.min(F.when(F.col("position") == 1, F.lower("path"))).alias("head"))
     return ranked(rows, heads)
 

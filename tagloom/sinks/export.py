@@ -10,9 +10,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tagloom.functions import scalar
+from tagloom.operators.ordering import running
 
 # Headers of the exports.
 STATS_HEADERS = ("Category", "Tag", "Files", "AvgScore", "MaxScore")
@@ -53,7 +53,8 @@ def write_csv_folder(rows: DataFrame, path: str) -> None:
 def destinations(files: DataFrame, folder: str) -> DataFrame:
     """id, path, target: the file's name in the folder; later files of the same name get _2, _3, ... before the suffix."""
     name = scalar.base_name(F.col("path"))
-    n = F.row_number().over(Window.partitionBy(name).orderBy("path", "id"))
+    files = running(files.select("id", "path", name.alias("__name")), [F.col("path").asc(), F.col("id").asc()], {"__n": F.lit(1)}, ["__name"])
+    name, n = F.col("__name"), F.col("__n")
     stem, ext = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 2)
     return files.select("id", "path", F.concat(F.lit(folder.rstrip("/") + "/"), F.when(n == 1, name).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), ext))).alias("target"))
 

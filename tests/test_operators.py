@@ -407,6 +407,20 @@ def test_components_leave_no_tables_behind(spark, tmp_path):
     assert len(set(os.listdir(folder)) - before) == 1
 
 
+def test_running_sums_of_a_large_group(spark):
+    from tagloom.operators.ordering import running
+
+    rows = spark.range(3000).selectExpr("case when id % 3 = 0 then null when id % 50 = 0 then 'few' else 'many' end as g", "id * 7919 % 3000 as v")
+    got = running(rows, [F.desc("v")], {"n": F.lit(1), "s": F.col("v")}, ["g"]).collect()
+    seen = {}
+    for r in sorted(got, key=lambda r: -r.v):
+        n, s = seen.get(r.g, (0, 0))
+        seen[r.g] = n + 1, s + r.v
+        assert (r.n, r.s) == seen[r.g]
+    assert len(got) == 3000 and len(seen) == 3
+    assert running(rows.limit(0), [F.col("v")], {"n": F.lit(1)}).count() == 0
+
+
 def test_exports(spark, tmp_path):
     rows = spark.createDataFrame([(0, "tag", 2, 0.7, 0.9)], "category int, name string, files long, avg_score double, max_score double")
     path = export.write_csv(export.stats_rows(rows), str(tmp_path / "x.txt"))
