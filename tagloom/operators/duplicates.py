@@ -61,25 +61,51 @@ def passes_cosine(a: Column, b: Column, least: float | None) -> Column:
     return F.coalesce(~comparable | (cosine(a, b) >= least), F.lit(True))
 
 
-def candidates(files: DataFrame, *, count: int = 4, bits: int = 16, pair_cap: int | None = None, carry: tuple[str, ...] = ("phash", "size")) -> DataFrame:
+def candidates(files: DataFrame, *, count: int = 4, bits: int = 16, pair_cap: int | None = None, limit: int | None = None, carry: tuple[str, ...] = ("phash", "size")) -> DataFrame:
     """Pairs that share a band, each once: columns a_<name>, b_<name> with a_id < b_id.
 
     A pair is made only in the lowest band that it shares, so no distinct is needed. ``pair_cap`` leaves out buckets
     that would make more pairs, as the interface offers; None compares all.
+
+    With ``limit`` only pairs within that Hamming distance count. Then the other bits of a band's bucket are cut into
+    limit + 1 parts, of which such a pair shares at least one whole, and buckets are by band and part: with bands of 16 bits
+    a limit of 4 leaves 1 of 150 pairs to compare and a limit of 8 leaves 1 of 4, for limit + 1 rows each.
     """
-    rows = files.filter("phash is not null").select("id", *(c for c in carry if c != "id"), F.posexplode(bands(F.col("phash"), count, bits)).alias("band", "key"))
+    names = ["id", *(c for c in carry if c != "id")]
+    mask = (1 << bits) - 1
+    rows = files.filter("phash is not null").select(*names, F.col("phash").alias("__h"), F.posexplode(bands(F.col("phash"), count, bits)).alias("band", "key"))
     if pair_cap is not None:
         n = rows.groupBy("band", "key").count().filter(F.col("count") * (F.col("count") - 1) / 2 <= pair_cap).select("band", "key")
         rows = rows.join(n, ["band", "key"], "left_semi")
-    names = ["id", *(c for c in carry if c != "id")]
-    a = rows.select("band", "key", *(F.col(c).alias(f"a_{c}") for c in names))
-    b = rows.select("band", "key", *(F.col(c).alias(f"b_{c}") for c in names))
-    pairs = a.join(b, ["band", "key"]).filter("a_id < b_id")
-    if pair_cap is None and "phash" in names:
-        x, y = bands(F.col("a_phash"), count, bits), bands(F.col("b_phash"), count, bits)
-        first = reduce(lambda acc, i: F.when(x[i] == y[i], F.lit(i)).otherwise(acc), range(count - 1, -1, -1), F.lit(-1))
-        return pairs.filter(F.col("band") == first).drop("band", "key")
-    return pairs.drop("band", "key").dropDuplicates(["a_id", "b_id"])
+    on, rest = ["band", "key"], 64 - bits
+    refined = limit is not None and pair_cap is None and rest // (limit + 1) >= 5
+    cuts = [(bits + rest * i // (limit + 1), bits + rest * (i + 1) // (limit + 1)) for i in range(limit + 1)] if refined else []
+
+    def part(turned: Column, cut: tuple[int, int]) -> Column:
+        return F.shiftrightunsigned(turned, cut[0]).bitwiseAND(F.lit((1 << (cut[1] - cut[0])) - 1).cast("bigint"))
+
+    if refined:  # turned so that the band's bits are the lowest
+        turns = F.array(*(F.shiftrightunsigned("__h", b * bits).bitwiseOR(F.shiftleft("__h", 64 - b * bits)) for b in range(count)))
+        rows = rows.withColumn("__turned", F.element_at(turns, F.col("band") + 1))
+        rows = rows.select("*", F.posexplode(F.array(*(part(F.col("__turned"), c) for c in cuts))).alias("part", "value"))
+        on += ["part", "value"]
+    extra = ["__h", *(["__turned"] if refined else [])]
+    a = rows.select(*on, *(F.col(c).alias(f"a_{c}") for c in [*names, *extra]))
+    b = rows.select(*on, *(F.col(c).alias(f"b_{c}") for c in [*names, *extra]))
+    pairs = a.join(b, on).filter("a_id < b_id")
+    if limit is not None:
+        pairs = pairs.filter(hamming(F.col("a___h"), F.col("b___h")) <= limit)
+    out = [f"{side}_{c}" for side in "ab" for c in names]
+    if pair_cap is not None:
+        return pairs.select(*out).dropDuplicates(["a_id", "b_id"])
+    differ = F.col("a___h").bitwiseXOR(F.col("b___h"))
+    whole = F.lit(mask if mask < 1 << 63 else -1).cast("bigint")
+    first = reduce(lambda acc, i: F.when(F.shiftrightunsigned(differ, i * bits).bitwiseAND(whole) == 0, F.lit(i)).otherwise(acc), range(count - 1, -1, -1), F.lit(-1))
+    pairs = pairs.filter(F.col("band") == first)
+    if refined:
+        turned = F.col("a___turned").bitwiseXOR(F.col("b___turned"))
+        pairs = pairs.filter(F.col("part") == reduce(lambda acc, i: F.when(part(turned, cuts[i]) == 0, F.lit(i)).otherwise(acc), range(limit, -1, -1), F.lit(-1)))
+    return pairs.select(*out)
 
 
 def edges(files: DataFrame, *, limit: int = 8, ratio: float | None = None, least_cosine: float | None = None, **how) -> DataFrame:
@@ -93,12 +119,12 @@ def edges(files: DataFrame, *, limit: int = 8, ratio: float | None = None, least
     if not (ratio and ratio > 0) and least_cosine is None and limit >= 0:
         heads = files.filter("phash is not null").groupBy("phash").agg(F.min("id").alias("head"))
         same = files.join(heads, "phash").filter(F.col("id") != F.col("head")).select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(0).alias("hamming"))
-        pairs = candidates(heads.select(F.col("head").alias("id"), "phash"), carry=("phash",), **how)
+        pairs = candidates(heads.select(F.col("head").alias("id"), "phash"), carry=("phash",), limit=limit, **how)
         return pairs.filter(near <= limit).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), near.alias("hamming")).union(same)
     keep = (near <= limit) & passes_size(F.col("a_size"), F.col("b_size"), ratio)
     if least_cosine is not None:
         keep = keep & passes_cosine(F.col("a_embedding"), F.col("b_embedding"), least_cosine)
-    pairs = candidates(files, carry=carry, **how)
+    pairs = candidates(files, carry=carry, limit=limit if limit >= 0 else None, **how)
     return pairs.filter(keep).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), near.alias("hamming"))
 
 
@@ -171,13 +197,14 @@ def without(clustered: DataFrame, removed: DataFrame) -> DataFrame:
     return arrange(left.select("cluster", "id", "path", "size", "width", "height", "best_hamming"))
 
 
-def match_clusters(matches: DataFrame) -> DataFrame:
-    """cluster (least id), members (ids in order) and matches of pairs (a, b, is_duplicate) that are duplicates."""
+def match_clusters(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of pairs (a, b, is_duplicate) the duplicates' clusters: members (cluster, its least id; id) and matches (cluster, a, b).
+
+    Rows, not lists: a cluster has no bound.
+    """
     yes = materialised(matches.filter("is_duplicate").select("a", "b"), "matches")
     root = components(yes)
-    who = root.groupBy(F.col("root").alias("cluster")).agg(F.array_sort(F.collect_set("id")).alias("members"))
-    pairs = yes.join(root, yes.a == root.id).groupBy(F.col("root").alias("cluster")).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("matches"))
-    return who.join(pairs, "cluster", "left").withColumn("matches", F.coalesce("matches", F.array().cast("array<struct<a:bigint,b:bigint>>")))
+    return root.select(F.col("root").alias("cluster"), "id"), yes.join(root, yes.a == root.id).select(F.col("root").alias("cluster"), "a", "b")
 
 
 def parse_hash(c: Column) -> Column:

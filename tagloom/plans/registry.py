@@ -387,7 +387,9 @@ def _(c, spark, sf):
 @query("q_match_clusters", ", e AS (SELECT id - id % 10 AS a, id AS b FROM files WHERE id % 10 IN (1, 2, 3)) SELECT a AS cluster, CAST(count(DISTINCT b) + 1 AS INTEGER) AS members, CAST(count(*) AS INTEGER) AS matches FROM e GROUP BY 1")
 def _(c, spark, sf):
     m = c.files.filter("id % 10 in (1, 2, 3, 7)").select((F.col("id") - F.col("id") % 10).alias("a"), F.col("id").alias("b"), (F.col("id") % 10 != 7).alias("is_duplicate"))
-    return duplicates.match_clusters(m).select("cluster", F.size("members").alias("members"), F.size("matches").alias("matches"))
+    members, matches = duplicates.match_clusters(m)
+    count = lambda rows, name: rows.groupBy("cluster").agg(F.count("*").cast("int").alias(name))
+    return count(members, "members").join(count(matches, "matches"), "cluster")
 
 
 @query("q_parse_hash", "SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey * 1000003 WHEN 1 THEN o_orderkey WHEN 2 THEN o_orderkey + 10 END AS hash FROM orders", head=False)

@@ -84,6 +84,22 @@ def test_clusters(spark):
     assert sorted((r.a, r.b) for r in duplicates.edges(emb, least_cosine=0.9).collect()) == [(1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
 
 
+@pytest.mark.parametrize("limit,count,bits", [(0, 4, 16), (4, 4, 16), (8, 4, 16), (20, 4, 16), (3, 2, 20), (5, 8, 8)])
+def test_edges_against_brute_force(spark, limit, count, bits):
+    """Every pair that shares a band within the limit, once: hashes a few flipped bits apart, of all signs, and copies."""
+    rng = np.random.default_rng(limit)
+    base = rng.integers(-(2**63), 2**63, 12)
+    hashes = [int(h) ^ sum(1 << int(b) for b in set(rng.integers(0, 63, rng.integers(0, 9)).tolist())) for h in np.repeat(base, 12)]
+    files = spark.createDataFrame([(i, h, 100) for i, h in enumerate(hashes)], "id long, phash long, size long")
+    m = 2**64 - 1
+    band = lambda h: [(h & m) >> b * bits & (1 << bits) - 1 for b in range(count)]
+    want = sorted((i, j, d) for i, x in enumerate(hashes) for j, y in enumerate(hashes) if i < j and (d := ((x ^ y) & m).bit_count()) <= limit and any(p == q for p, q in zip(band(x), band(y), strict=True)))
+    got = duplicates.edges(files, limit=limit, count=count, bits=bits, ratio=0.5)
+    assert sorted(tuple(r) for r in got.collect()) == want and want
+    capped = duplicates.edges(files, limit=limit, count=count, bits=bits, ratio=0.5, pair_cap=10**9)
+    assert sorted(tuple(r) for r in capped.collect()) == want
+
+
 def test_parse_hash(spark):
     texts = ["123", "ff", "0xFFFFFFFFFFFFFFFF", "18446744073709551615", "9223372036854775808", "zz", "", None, "11112222333344445555666"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(duplicates.parse_hash(F.col("t"))).collect()]
@@ -104,7 +120,9 @@ def test_hash_columns(spark):
 
 def test_match_clusters(spark):
     m = spark.createDataFrame([(1, 2, True), (2, 3, True), (4, 5, True), (3, 5, False)], "a long, b long, is_duplicate boolean")
-    assert {r.cluster: r.members for r in duplicates.match_clusters(m).collect()} == {1: [1, 2, 3], 4: [4, 5]}
+    members, matches = duplicates.match_clusters(m)
+    assert sorted(tuple(r) for r in members.collect()) == [(1, 1), (1, 2), (1, 3), (4, 4), (4, 5)]
+    assert sorted(tuple(r) for r in matches.collect()) == [(1, 1, 2), (1, 2, 3), (4, 4, 5)]
 
 
 def test_tagging(spark):
