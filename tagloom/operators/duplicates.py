@@ -61,15 +61,16 @@ def passes_cosine(a: Column, b: Column, least: float | None) -> Column:
     return F.coalesce(~comparable | (cosine(a, b) >= least), F.lit(True))
 
 
-def candidates(files: DataFrame, *, count: int = 4, bits: int = 16, pair_cap: int | None = None, limit: int | None = None, carry: tuple[str, ...] = ("phash", "size")) -> DataFrame:
+def candidates(files: DataFrame, *, count: int = 4, bits: int = 16, pair_cap: int | None = None, limit: int | None = None, split: int = 1024, carry: tuple[str, ...] = ("phash", "size")) -> DataFrame:
     """Pairs that share a band, each once: columns a_<name>, b_<name> with a_id < b_id.
 
     A pair is made only in the lowest band that it shares, so no distinct is needed. ``pair_cap`` leaves out buckets
     that would make more pairs, as the interface offers; None compares all.
 
-    With ``limit`` only pairs within that Hamming distance count. Then the other bits of a band's bucket are cut into
-    limit + 1 parts, of which such a pair shares at least one whole, and buckets are by band and part: with bands of 16 bits
-    a limit of 4 leaves 1 of 150 pairs to compare and a limit of 8 leaves 1 of 4, for limit + 1 rows each.
+    With ``limit`` only pairs within that Hamming distance count. Then buckets of more than ``split`` rows are split: the
+    other bits are cut into limit + 1 parts, of which such a pair shares at least one whole, and rows meet by band and part.
+    With bands of 16 bits a limit of 4 leaves 1 of 150 pairs to compare and a limit of 8 leaves 1 of 4, for limit + 1 rows
+    each; in small buckets the pairs are cheaper than the rows. The result is the same for any ``split``.
     """
     names = ["id", *(c for c in carry if c != "id")]
     mask = (1 << bits) - 1
@@ -87,7 +88,11 @@ def candidates(files: DataFrame, *, count: int = 4, bits: int = 16, pair_cap: in
     if refined:  # turned so that the band's bits are the lowest
         turns = F.array(*(F.shiftrightunsigned("__h", b * bits).bitwiseOR(F.shiftleft("__h", 64 - b * bits)) for b in range(count)))
         rows = rows.withColumn("__turned", F.element_at(turns, F.col("band") + 1))
-        rows = rows.select("*", F.posexplode(F.array(*(part(F.col("__turned"), c) for c in cuts))).alias("part", "value"))
+        large = rows.groupBy("band", "key").count().filter(F.col("count") > split).select("band", "key", F.lit(True).alias("__large"))
+        parts = F.array(*(F.struct(F.lit(i).alias("part"), part(F.col("__turned"), c).alias("value")) for i, c in enumerate(cuts)))
+        whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("bigint").alias("value")))
+        rows = rows.join(large, ["band", "key"], "left").select(*rows.columns, F.explode(F.when(F.col("__large"), parts).otherwise(whole)).alias("__p"))
+        rows = rows.select("*", "__p.part", "__p.value").drop("__p")
         on += ["part", "value"]
     extra = ["__h", *(["__turned"] if refined else [])]
     a = rows.select(*on, *(F.col(c).alias(f"a_{c}") for c in [*names, *extra]))
@@ -104,7 +109,7 @@ def candidates(files: DataFrame, *, count: int = 4, bits: int = 16, pair_cap: in
     pairs = pairs.filter(F.col("band") == first)
     if refined:
         turned = F.col("a___turned").bitwiseXOR(F.col("b___turned"))
-        pairs = pairs.filter(F.col("part") == reduce(lambda acc, i: F.when(part(turned, cuts[i]) == 0, F.lit(i)).otherwise(acc), range(limit, -1, -1), F.lit(-1)))
+        pairs = pairs.filter((F.col("part") < 0) | (F.col("part") == reduce(lambda acc, i: F.when(part(turned, cuts[i]) == 0, F.lit(i)).otherwise(acc), range(limit, -1, -1), F.lit(-1))))
     return pairs.select(*out)
 
 

@@ -96,6 +96,8 @@ def test_edges_against_brute_force(spark, limit, count, bits):
     want = sorted((i, j, d) for i, x in enumerate(hashes) for j, y in enumerate(hashes) if i < j and (d := ((x ^ y) & m).bit_count()) <= limit and any(p == q for p, q in zip(band(x), band(y), strict=True)))
     got = duplicates.edges(files, limit=limit, count=count, bits=bits, ratio=0.5)
     assert sorted(tuple(r) for r in got.collect()) == want and want
+    for split in (0, 7):
+        assert sorted(tuple(r) for r in duplicates.edges(files, limit=limit, count=count, bits=bits, ratio=0.5, split=split).collect()) == want
     capped = duplicates.edges(files, limit=limit, count=count, bits=bits, ratio=0.5, pair_cap=10**9)
     assert sorted(tuple(r) for r in capped.collect()) == want
 
