@@ -89,6 +89,8 @@ def candidates(files: DataFrame, *, count: int = 4, bits: int = 16, pair_cap: in
         turns = F.array(*(F.shiftrightunsigned("__h", b * bits).bitwiseOR(F.shiftleft("__h", 64 - b * bits)) for b in range(count)))
         rows = rows.withColumn("__turned", F.element_at(turns, F.col("band") + 1))
         large = rows.groupBy("band", "key").count().filter(F.col("count") > split).select("band", "key", F.lit(True).alias("__large"))
+        if count << bits <= 1 << 20:  # there are no more buckets than that, some 16 bytes each
+            large = F.broadcast(large)
         parts = F.array(*(F.struct(F.lit(i).alias("part"), part(F.col("__turned"), c).alias("value")) for i, c in enumerate(cuts)))
         whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("bigint").alias("value")))
         rows = rows.join(large, ["band", "key"], "left").select(*rows.columns, F.explode(F.when(F.col("__large"), parts).otherwise(whole)).alias("__p"))
