@@ -91,6 +91,28 @@ o AS (SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_
 SELECT query_id, rank, vec_id, score FROM o WHERE rank <= 10
 """
 
+#: Offsets a day before and after a wall time tell whether a change lies between; each is then tried at the time that it gives.
+OP13 = r"""
+WITH t AS (SELECT row_number() OVER () AS r, stamp_id, source, zone, trim(raw, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM stamps),
+x AS (SELECT *, regexp_full_match(t, '[0-9]{10}|[0-9]{13}') AS epoch, regexp_extract(t, '^(20\d\d-\d\d-\d\d|20\d{6}|\d\d\.\d\d\.20\d\d|\d\d (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) 20\d\d|\d\d/\d\d/20\d\d)'
+  || '(?:[T ](\d\d):([0-5]\d)(?::([0-5]\d))?(?: ?([AP]M))?(?: ?(Z|[+-](?:0\d|1[0-4]):?[0-5]\d))?)?$', ['d', 'h', 'm', 's', 'half', 'off']) AS g FROM t),
+f AS (SELECT * EXCLUDE (g), CASE WHEN g.d LIKE '%-%' THEN g.d WHEN g.d LIKE '%.%' OR g.d LIKE '%/%' THEN g.d[7:10] || '-' || g.d[4:5] || '-' || g.d[1:2]
+    WHEN g.d LIKE '% %' THEN g.d[8:11] || '-' || lpad(CAST((instr('JanFebMarAprMayJunJulAugSepOctNovDec', g.d[4:6]) + 2) // 3 AS VARCHAR), 2, '0') || '-' || g.d[1:2]
+    ELSE g.d[1:4] || '-' || g.d[5:6] || '-' || g.d[7:8] END AS first, CASE WHEN g.d LIKE '%/%' THEN g.d[7:10] || '-' || g.d[1:2] || '-' || g.d[4:5] END AS second,
+  CASE WHEN g.h = '' THEN 0 WHEN g.half <> '' AND try_cast(g.h AS INT) BETWEEN 1 AND 12 THEN try_cast(g.h AS INT) % 12 + CASE g.half WHEN 'PM' THEN 12 ELSE 0 END WHEN g.half = '' AND try_cast(g.h AS INT) < 24 THEN try_cast(g.h AS INT) END * 3600
+    + CASE g.m WHEN '' THEN 0 ELSE try_cast(g.m AS INT) END * 60 + CASE g.s WHEN '' THEN 0 ELSE try_cast(g.s AS INT) END AS secs,
+  CASE WHEN g.off = '' THEN NULL WHEN g.off = 'Z' THEN 0 ELSE (try_cast(g.off[2:3] AS INT) * 3600 + try_cast(g.off[-2:] AS INT) * 60) * CASE g.off[1:1] WHEN '-' THEN -1 ELSE 1 END END AS off FROM x),
+d AS (SELECT *, secs * CAST(1000000 AS BIGINT) + epoch_us(CAST(try_cast(first AS DATE) AS TIMESTAMP)) AS df, secs * CAST(1000000 AS BIGINT) + epoch_us(CAST(try_cast(second AS DATE) AS TIMESTAMP)) AS mf FROM f WHERE off IS NOT NULL OR zone IN (SELECT name FROM pg_timezone_names())),
+v AS (SELECT source, sum(CAST(mf IS NULL AS INT)) AS nd, sum(CAST(df IS NULL AS INT)) AS nm FROM d WHERE second IS NOT NULL AND (df IS NULL) <> (mf IS NULL) GROUP BY source),
+w AS (SELECT d.*, df <> mf AS either, CASE WHEN df IS NULL OR (mf IS NOT NULL AND nm > nd) THEN mf ELSE df END AS wall, coalesce(nm <> nd, false) AS told FROM d LEFT JOIN v ON d.source IS NOT DISTINCT FROM v.source WHERE df IS NOT NULL OR mf IS NOT NULL),
+o AS (SELECT *, epoch_us(timezone(zone, timezone('UTC', make_timestamp(wall - 86400000000)))) - wall + 86400000000 AS before, epoch_us(timezone(zone, timezone('UTC', make_timestamp(wall + 86400000000)))) - wall - 86400000000 AS after FROM w WHERE off IS NULL),
+c AS (SELECT r, before, after, epoch_us(timezone(zone, timezone('UTC', make_timestamp(wall - before)))) = wall AS early, epoch_us(timezone(zone, timezone('UTC', make_timestamp(wall - after)))) = wall AS late FROM o)
+SELECT t.stamp_id, CAST(CASE WHEN x.epoch THEN CAST(t.t AS BIGINT) * CASE length(t.t) WHEN 10 THEN 1000000 ELSE 1000 END WHEN w.off IS NOT NULL THEN wall - w.off * CAST(1000000 AS BIGINT) WHEN early AND NOT late THEN wall - before ELSE wall - after END AS BIGINT) AS utc_us,
+  CASE WHEN x.epoch THEN 'epoch' WHEN w.r IS NULL THEN 'bad' WHEN coalesce(either, false) THEN CASE WHEN told THEN 'votes' ELSE 'default' END ELSE 'plain' END AS rule,
+  coalesce(either, false) OR coalesce(before <> after AND early = late, false) AS ambiguous
+FROM t JOIN x USING (r) LEFT JOIN w USING (r) LEFT JOIN c USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op3_shard": op3(), "op8_ngram_join": OP8, "op9_warc_fixity": OP9, "op10_knn": OP10}
+    return {"op1_decontaminate": OP1, "op3_shard": op3(), "op8_ngram_join": OP8, "op9_warc_fixity": OP9, "op10_knn": OP10, "op13_timestamps": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, hpylm, knn, langid, ngramjoin, shard, tokenfiles, toxicity, warc
+from . import bpe, common, decontaminate, hpylm, knn, langid, ngramjoin, shard, stamps, tokenfiles, toxicity, warc
 
 #: Shards of production, by name.
 SHARDS = [f"shard-{i:03d}" for i in range(256)]
@@ -73,6 +73,10 @@ def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op13_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stamps.normalise(common.table(spark, sf_dir, "stamps"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,5 +84,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_shard, op4_hpylm, op5_token_files, op6_byte_bpe, op7_language, op8_ngram_join, op9_warc_fixity, op10_knn, pipeline)
+    f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_shard, op4_hpylm, op5_token_files, op6_byte_bpe, op7_language, op8_ngram_join, op9_warc_fixity, op10_knn, op13_timestamps, pipeline)
 }
