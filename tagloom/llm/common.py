@@ -113,8 +113,8 @@ def steady(df: DataFrame, what: str) -> DataFrame:
 # ---------------------------------------------------------------- tokens
 
 
-def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the texts after lower-casing A-Z.
+def tokens(text: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of the texts, by default after lower-casing A-Z.
 
     Returns (codes, offsets, dictionary): the words of text i are dictionary[codes[offsets[i]:offsets[i+1]]].
     Null and empty texts have none.
@@ -122,7 +122,7 @@ def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
     text = pc.fill_null(text, "")
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(text))
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
     flat = parts.flatten()
     off = parts.offsets.to_numpy().astype(np.int64)
     off = off - off[0]
