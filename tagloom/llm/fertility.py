@@ -6,8 +6,8 @@ of a chunk once; a word of more than SLICE code points is encoded in slices of t
 From the counts follow three measures a vocabulary: code points of words a token, share of byte fallback, and entropy as a
 share of the most that so many tokens can have.
 
-``bands`` takes quartiles of each measure over all documents that pass the base rules, by language and by script, each cut
-by length (powers of four of the tokens, as entropy falls with length). A band reaches ``reach`` times the distance between
+``bands`` takes quartiles of each measure over all documents that pass the base rules, by language and by script; of
+entropy, which falls with length, also by powers of four of the tokens. A band reaches ``reach`` times the distance between
 the quartiles to both sides of the median, that distance counting as WIDTH at least. A text is judged by its language's
 band, by its script's where the language is null or has fewer than ``least`` such documents, and by none where the script
 has fewer, too. ``judge`` joins bands, one row a group, and gives the verdict with the first measure that failed.
@@ -38,7 +38,7 @@ SLICE = 2048
 #: Words whose tokens are counted at once: bounds the memory that a long text takes.
 BLOCK = 1 << 18
 #: Measures of a vocabulary, with the width of the bins that quartiles are taken over and the least distance of quartiles.
-MEASURES = {"chars_per_token": (0.02, 0.1), "byte_share": (0.002, 0.01), "entropy_share": (0.005, 0.01)}
+MEASURES = {"chars_per_token": (0.02, 0.1), "byte_share": (0.002, 0.02), "entropy_share": (0.005, 0.01)}
 #: Where blocks of letters of a script begin and end, by code point.
 SCRIPTS = {
     "Latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x1E00, 0x1EFF)],
@@ -246,19 +246,20 @@ def _measures(names: list[str]) -> dict[str, Column]:
     return out
 
 
-def _groups(first: str) -> list[Column]:
-    """The keys of a text's bands: by language, null if that is null, and by script."""
+def _groups(first: str) -> dict[str, Column]:
+    """The keys of a text's bands; those of its language are null if that is. Entropy is held against the sized ones."""
     size = F.floor(F.log2(F.greatest(F.col(f"{first}_tokens"), F.lit(1)).cast("double")) / 2).cast("string")
-    return [F.concat(F.lit("lang "), F.col("lang"), F.lit(" "), size), F.concat(F.lit("script "), F.col("script"), F.lit(" "), size)]
+    plain = {k: F.concat(F.lit(f"{k} "), F.col(k)) for k in ("lang", "script")}
+    return plain | {f"{k}_sized": F.concat(v, F.lit(" "), size) for k, v in plain.items()}
 
 
-def bands(measured: DataFrame, names: list[str], *, reach: float = 4.0, least: int = 200) -> DataFrame:
+def bands(measured: DataFrame, names: list[str], *, reach: float = 4.0, least: int = 50) -> DataFrame:
     """``band`` (group), and for each measure ``<measure>_low`` and ``_high``, of groups of ``least`` documents or more.
 
     Quartiles are exact over bins: each task keeps a count a bin, so the largest group is as small behind the shuffle as any.
     """
     values = _measures(names)
-    frame = measured.filter(~base_failed()).select(F.explode(F.array_compact(F.array(*_groups(names[0])))).alias("band"), *(v.alias(m) for m, v in values.items()))
+    frame = measured.filter(~base_failed()).select(F.explode(F.array_compact(F.array(*_groups(names[0]).values()))).alias("band"), *(v.alias(m) for m, v in values.items()))
     wide = {m: MEASURES[m.split("_", 1)[1]] for m in values}
     quartiles = [F.expr(f"percentile(round({m} / {wide[m][0]}) * {wide[m][0]}, array(0.25, 0.5, 0.75))").alias(m) for m in values]
     got = frame.groupBy("band").agg(F.count(F.lit(1)).alias("n_docs"), *quartiles).filter(F.col("n_docs") >= least)
@@ -273,18 +274,20 @@ def bands(measured: DataFrame, names: list[str], *, reach: float = 4.0, least: i
 def judge(measured: DataFrame, found: DataFrame, names: list[str]) -> DataFrame:
     """``measured`` with base_failed, the measures, kept, and ``failed``: the first measure outside its band, null if none is."""
     values = _measures(names)
-    by_lang, by_script = _groups(names[0])
-    rows = measured.withColumns(values | {"base_failed": base_failed(), "__lang": by_lang, "__script": by_script})
-    limits = [c for c in found.columns if c not in ("band", "n_docs")]
-    for side in ("lang", "script"):
-        rows = rows.join(found.select(F.col("band").alias(f"__{side}"), F.struct(*limits).alias(f"__of_{side}")), f"__{side}", "left")
-    limit = F.coalesce("__of_lang", "__of_script")
-    failed = F.coalesce(*(F.when((F.col(m) < limit[f"{m}_low"]) | (F.col(m) > limit[f"{m}_high"]), F.lit(m)) for m in values))
-    rows = rows.withColumn("failed", F.when(~F.col("base_failed"), failed))
-    return rows.withColumn("kept", ~F.col("base_failed") & F.col("failed").isNull()).drop("__lang", "__script", "__of_lang", "__of_script")
-
-
-def rules(docs: DataFrame, *, vocabularies: dict[str, str], pattern: str, reach: float = 4.0, least: int = 200, carry: tuple[str, ...] = ()) -> DataFrame:
+    groups = _groups(names[0])
+    rows = measured.withColumns(values | {"base_failed": base_failed()} | {f"__{k}": v for k, v in groups.items()})
+    limits = F.struct(*(c for c in found.columns if c not in ("band", "n_docs")))
+    for k in groups:
+        rows = rows.join(found.select(F.col("band").alias(f"__{k}"), limits.alias(f"__of_{k}")), f"__{k}", "left")
+    inside = []
+    for m in values:
+        own = F.coalesce(*(F.col(f"__of_{k}") for k in groups if k.endswith("_sized") == m.endswith("entropy_share")))
+        inside.append(F.when((F.col(m) < own[f"{m}_low"]) | (F.col(m) > own[f"{m}_high"]), F.lit(m)))
+    rows = rows.withColumn("failed", F.when(~F.col("base_failed"), F.coalesce(*inside)))
+    return rows.withColumn("kept", ~F.col("base_failed") & F.col("failed").isNull()).drop(*(f"__{x}{k}" for k in groups for x in ("", "of_")))
+
+
+def rules(docs: DataFrame, *, vocabularies: dict[str, str], pattern: str, reach: float = 4.0, least: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
     """Measures of all texts, bands from all of them, and each one's verdict."""
     measured = common.written(measure(docs, vocabularies=vocabularies, pattern=pattern, carry=carry), "fertility")
     names = list(vocabularies)
