@@ -2,8 +2,8 @@
 
 ``scan`` turns each text into a small tuple inside mapPartitions. Slashed dates that only one order allows vote for it in
 their source; reduceByKey counts the votes, adding up within each task first, so that a source of any size is a few numbers
-behind the shuffle. Verdicts, one a source, are broadcast if there are ``most_sources`` of them at most; beyond that they are
-joined, each verdict dealt to SALTS tasks, so that a large source spreads. Each row is then finished on its own: the order
+behind the shuffle. Sources are counted first, and their verdicts, one each at most, broadcast if there are ``most_sources`` of
+them at most; beyond that they are joined, each verdict dealt to SALTS tasks, so that a large source spreads. Each row is then finished on its own: the order
 that won, and a bisection over the changes of its zone, which each worker finds once a zone.
 
 Defined results: null, empty and impossible texts are ``bad`` and have no time; so is a time without an offset whose zone is
@@ -270,10 +270,11 @@ def normalise(stamps: DataFrame, *, most_sources: int = MOST_SOURCES, carry: tup
     frame = stamps.select(F.col("stamp_id").cast("bigint"), F.col("source").cast("string"), F.col("zone").cast("string"), F.col("raw").cast("string"), *(F.col(c).alias(f"kept_{c}") for c in carry))
     kept = frame.schema.fields[4:]
     narrow = T.StructType([*frame.schema.fields[:3], *kept, T.StructField("kind", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("wall", "other", "offset"))])
+    few = frame.select("source").distinct().count() <= most_sources
     parsed = common.written(spark.createDataFrame(frame.rdd.mapPartitions(scan), narrow, verifySchema=False), "stamps")
     rows = parsed.rdd
     counted = votes(rows, common.shuffle_partitions(spark)).filter(lambda v: ne(*v[1])).mapValues(lambda v: v[0] > v[1])
-    if counted.count() <= most_sources:
+    if few:
         told = spark.sparkContext.broadcast(counted.collectAsMap())
         done = rows.mapPartitions(lambda part: (finish(r, told.value.get(r[1])) for r in part))
     else:
