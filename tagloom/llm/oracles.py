@@ -114,5 +114,31 @@ FROM t JOIN x USING (r) LEFT JOIN w USING (r) LEFT JOIN c USING (r)
 """
 
 
+def op12() -> str:
+    """crc32 by its table, byte by byte; near words by the words that they become when a code point is taken out or masked."""
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(str(i))
+    return f"""
+WITH RECURSIVE o AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS w FROM documents),
+r AS (SELECT doc_id, w, count(*) AS n FROM o WHERE length(w) >= 6 GROUP BY doc_id, w),
+tab AS (SELECT [{", ".join(table)}] AS t),
+b AS (SELECT w, n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) - 64 AS BIGINT)] END)) AS bytes FROM r),
+h AS (SELECT w, n, xor(list_reduce(bytes, lambda a, x: xor(t[CAST((xor(a, x) & 255) + 1 AS INT)], a >> 8), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM b, tab),
+s AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS z FROM (SELECT word, n, unnest(range(1, CAST(length(word) AS BIGINT) + 1)) AS i FROM v)),
+p AS (SELECT x.word, y.word AS near, y.n AS near_n FROM d x JOIN d y ON x.i = y.i AND x.a = y.a AND x.z = y.z AND x.word <> y.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.a || d.z = v.word
+  UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.a || d.z = v.word),
+m AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * v.n THEN near END AS form, CASE WHEN near_n >= 5 * v.n THEN near_n END AS form_n FROM v LEFT JOIN m USING (word)),
+c AS (SELECT word, word AS at FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM f JOIN c USING (word) JOIN f e ON e.word = c.at WHERE e.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1, "op3_shard": op3(), "op8_ngram_join": OP8, "op9_warc_fixity": OP9, "op10_knn": OP10, "op13_timestamps": OP13}
+    return {"op1_decontaminate": OP1, "op3_shard": op3(), "op8_ngram_join": OP8, "op9_warc_fixity": OP9, "op10_knn": OP10, "op12_spelling": op12(), "op13_timestamps": OP13}

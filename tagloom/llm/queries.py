@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, decontaminate, fertility, hpylm, knn, langid, ngramjoin, shard, stamps, tokenfiles, toxicity, warc
+from . import bpe, common, decontaminate, fertility, hpylm, knn, langid, ngramjoin, shard, spelling, stamps, tokenfiles, toxicity, warc
 
 #: Shards of production, by name.
 SHARDS = [f"shard-{i:03d}" for i in range(256)]
@@ -80,6 +80,10 @@ def op11_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.rules(common.table(spark, sf_dir, "documents"), vocabularies=vocabularies, pattern=known.PATTERN)
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(common.table(spark, sf_dir, "documents"))
+
+
 def op13_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stamps.normalise(common.table(spark, sf_dir, "stamps"))
 
@@ -91,5 +95,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_shard, op4_hpylm, op5_token_files, op6_byte_bpe, op7_language, op8_ngram_join, op9_warc_fixity, op10_knn, op11_fertility, op13_timestamps, pipeline)
+    f.__name__: f for f in (op1_decontaminate, op2_toxicity, op3_shard, op4_hpylm, op5_token_files, op6_byte_bpe, op7_language, op8_ngram_join, op9_warc_fixity, op10_knn, op11_fertility, op12_spelling, op13_timestamps, pipeline)
 }
