@@ -291,4 +291,6 @@ def rules(docs: DataFrame, *, vocabularies: dict[str, str], pattern: str, reach:
     """Measures of all texts, bands from all of them, and each one's verdict."""
     measured = common.written(measure(docs, vocabularies=vocabularies, pattern=pattern, carry=carry), "fertility")
     names = list(vocabularies)
-    return judge(measured, bands(measured, names, reach=reach, least=least), names)
+    # Written, so that Spark knows their size and broadcasts them while that is small: a hot language then needs no shuffle.
+    found = common.written(bands(measured, names, reach=reach, least=least), "bands")
+    return judge(measured, found, names)
