@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from tagloom.functions import scalar
 from tagloom.functions import thresholds as thr
-from tagloom.operators import documents, duplicates, maintenance, metrics, search, stats, tagging
+from tagloom.operators import cosine, documents, duplicates, maintenance, metrics, search, stats, tagging
 from tagloom.operators.components import components
 from tagloom.plans import compile as plan
 from tagloom.plans.fixtures import SQL, Relations, catalog
@@ -303,16 +303,15 @@ def _(c, spark, sf):
     return duplicates.edges(_dup_files(c), limit=10, ratio=1e-9, count=2, bits=8, pair_cap=1500).select("a", "b")
 
 
-@query("q_dup_cosine", """ SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON list_transform(x.embedding[1:4], lambda v: v >= 0) = list_transform(y.embedding[1:4], lambda v: v >= 0) AND x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding, y.embedding) >= 0.2""")
+@query("q_dup_cosine", """ SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id AND len(x.embedding) = len(y.embedding) WHERE list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) >= 0.2""")
 def _(c, spark, sf):
-    # The signs of a vector's first components are its hash: vectors that point the same way there are candidates.
-    signs = sum(F.when(F.get("embedding", F.lit(i)) >= 0, 1 << i).otherwise(0) for i in range(4))
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding", signs.cast("bigint").alias("phash"), F.lit(1).alias("size"))
-    return duplicates.edges(e, limit=64, least_cosine=0.2, count=1, bits=16).select("a", "b")
+    return cosine.similar(spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding"), 0.2).select("a", "b")
 
 
+#: The closure of links: every file with the least id that it reaches.
 _LINKED = """, e AS (SELECT a, b FROM pairs WHERE hamming <= 4), both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-root AS (SELECT v AS id, min(r) AS root FROM (SELECT a AS v, least(a, min(b)) AS r FROM both_ways GROUP BY a) GROUP BY 1)"""
+reach AS (SELECT a AS id, a AS other FROM both_ways UNION SELECT r.id, w.b FROM reach r JOIN both_ways w ON w.a = r.other),
+root AS (SELECT id, min(other) AS root FROM reach GROUP BY id)"""
 
 
 @query("q_dup_components", _PAIRS + _LINKED + " SELECT id, root FROM root")
