@@ -8,61 +8,57 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.operators import maintenance, tagging
+from tagloom.operators import batches, maintenance, tagging
 from tagloom.operators.components import materialised
 from tagloom.operators.search import within
-from tagloom.sources import listing
+from tagloom.sources import layout, listing
 from tagloom.sources.catalog import Catalog
 
 
-def _tagged(catalog: Catalog, relations: dict[str, DataFrame], todo: DataFrame, make: Callable[[], tagging.Tagger], signature: str, top_k: int) -> tuple[dict[str, DataFrame], DataFrame]:
-    contents = listing.contents(listing.batch_order(todo))
-    tagged = materialised(tagging.tag(contents, make), "tagged")
-    items = tagged.filter("tags is not null").select("file_id", "tags", "width", "height", F.lit(signature).alias("tagger_sig"), F.lit(time.time()).alias("tagged_at"))
-    out = maintenance.write_batch(relations["files"], relations["tags"], relations["file_tags"], relations["fts_files"], items, k=top_k)
-    # What could not be tagged loses its mark: its contents are new, its tags are not, and the next run tries again.
-    failed = tagged.filter("tags is null").select(F.col("file_id").alias("id"))
-    return {**out, "files": maintenance.mark_retag(out["files"], failed)}, tagged
+def _tagged(todo: DataFrame, make: Callable[[], tagging.Tagger]) -> DataFrame:
+    """path, tags, error, width, height of files to tag (path, size)."""
+    numbered = materialised(listing.batch_order(todo).withColumn("file_id", F.monotonically_increasing_id()), "todo")
+    tagged = tagging.tag(listing.contents(numbered), make)
+    return materialised(numbered.select("file_id", "path").join(tagged, "file_id").drop("file_id"), "tagged")
 
 
-def scan(catalog: Catalog, roots: Sequence[str], signature: str, **how) -> DataFrame:
-    """What changed below the roots: see ``maintenance.changes``. Only new and touched files are read and hashed."""
-    files = catalog.read("files")
+def scan(catalog: Catalog, roots: Sequence[str], signature: str, *, files: DataFrame | None = None, links: DataFrame | None = None, **how) -> DataFrame:
+    """What changed below the roots: see ``maintenance.changes``. Only new and touched files are read and hashed.
+
+    files and links: the stored ones to compare with, all by default.
+    """
+    files = catalog.read("files") if files is None else files
+    links = catalog.read("file_tags") if links is None else links
     found = materialised(listing.images(catalog.spark, roots, **how).dropDuplicates(["path"]), "listing")
     hashes = listing.contents(maintenance.to_hash(found, files)).select("path", "sha256")
     known = found.join(hashes, "path", "left").join(files.select("path", F.col("sha256").alias("old")), "path", "left").select("path", "size", "mtime", F.coalesce("sha256", "old").alias("sha256"))
-    return materialised(maintenance.changes(known, files, catalog.read("file_tags"), signature), "changes")
+    return materialised(maintenance.changes(known, files, links, signature), "changes")
 
 
 def run(catalog: Catalog, roots: Sequence[str], make: Callable[[], tagging.Tagger], signature: str, *, top_k: int = 128, **how) -> dict[str, int]:
     """Indexes the roots into a new version and returns its counters."""
-    base = catalog.number()
     found = scan(catalog, roots, signature, **how)
     counts = {k: v or 0 for k, v in maintenance.counters(found).first().asDict().items()}
-    rel = catalog.relations()
     here = found.filter("not is_missing")
-    rel["files"] = materialised(maintenance.upsert_files(rel["files"], here.select("path", "size", "mtime", "sha256")), "files")
-    todo = here.filter("needs_tagging").select("path", "size").join(rel["files"].select("path", F.col("id").alias("file_id")), "path")
-    out, tagged = _tagged(catalog, rel, todo, make, signature, top_k)
-    catalog.publish({"files": rel["files"], **out}, base=base)
+    tagged = _tagged(here.filter("needs_tagging").select("path", "size"), make)
+    batches.store(catalog, batches.Batch(here.select("path", "size", "mtime", "sha256"), tagged, signature, time.time()), top_k=top_k)
     done = tagged.agg(F.count("tags").alias("tagged"), F.count("error").alias("failed")).first()
     return {**counts, "tagged": done.tagged, "failed": done.failed}
 
 
 def refresh(catalog: Catalog, root: str, make: Callable[[], tagging.Tagger], signature: str, *, recursive: bool = True, hard_delete: bool = False, top_k: int = 128) -> dict[str, int]:
-    """One folder anew: tags what is new or untagged, and marks or deletes what is gone."""
-    root, base = listing.resolved(root), catalog.number()
-    found = materialised(within(scan(catalog, [root], signature), root, recursive=recursive), "refresh")
-    rel = catalog.relations()
-    stored = within(rel["files"].filter("is_present = 1"), root, recursive=recursive)
-    gone = materialised(maintenance.missing(stored, found.filter("not is_missing")).select(F.col("id").alias("file_id")), "gone")
+    """One folder anew: tags what is new or untagged, and marks or deletes what is gone.
+
+    Of the stored files only the ranges of paths below the folder are read and rewritten, of the links only those files'.
+    """
+    root = listing.resolved(root)
+    files = catalog.read("files", catalog.between("files", *layout.below(root)))
+    stored = within(files.filter("is_present = 1"), root, recursive=recursive)
+    links = catalog.read("file_tags", catalog.touched("file_tags", stored.select(F.col("id").alias("file_id"))))
+    found = materialised(within(scan(catalog, [root], signature, files=files, links=links), root, recursive=recursive), "refresh")
+    gone = materialised(maintenance.missing(stored, found.filter("not is_missing")).select("path", F.col("id").alias("file_id")), "gone")
     here = found.filter("not is_missing")
-    rel["files"] = materialised(maintenance.upsert_files(rel["files"], here.select("path", "size", "mtime", "sha256")), "files")
-    if hard_delete:
-        rel = maintenance.hard_delete(rel, gone)
-    else:
-        rel["files"], rel["fts_files"] = maintenance.soft_delete(rel["files"], rel["fts_files"], gone, time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime()))
-    todo = here.filter("needs_tagging").select("path", "size").join(rel["files"].select("path", F.col("id").alias("file_id")), "path")
-    out, tagged = _tagged(catalog, rel, todo, make, signature, top_k)
-    catalog.publish({**{k: rel[k] for k in ("files", "file_tags", "signatures", "fts_files", "tags")}, **out}, base=base)
+    tagged = _tagged(here.filter("needs_tagging").select("path", "size"), make)
+    batch = batches.Batch(here.select("path", "size", "mtime", "sha256"), tagged, signature, time.time(), gone=gone)
+    batches.store(catalog, batch, hard=hard_delete, when=time.strftime("%Y-%m-%d %H:%M:%S", time.gmtime()), top_k=top_k)
     return {"queued": tagged.count(), "tagged": tagged.filter("tags is not null").count(), "missing": gone.count()}

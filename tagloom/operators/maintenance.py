@@ -42,10 +42,11 @@ def top_id(rows: DataFrame) -> int:
     return rows.agg(F.max("id")).first()[0] or 0
 
 
-def upsert_files(files: DataFrame, incoming: DataFrame, *, revive: bool = True) -> DataFrame:
+def upsert_files(files: DataFrame, incoming: DataFrame, *, revive: bool = True, top: int | None = None) -> DataFrame:
     """Files after upserts by path (``incoming`` may lack columns; of equal paths the greatest ``seq`` counts).
 
-    By default a row that is met is present again and no longer deleted.
+    By default a row that is met is present again and no longer deleted. ``top`` is the greatest id so far, if ``files`` are
+    not all there are.
     """
     new = incoming
     if "seq" not in new.columns:
@@ -62,7 +63,7 @@ def upsert_files(files: DataFrame, incoming: DataFrame, *, revive: bool = True)
         F.col("o.id").alias("id"), F.col("o.path").alias("path"), *(F.col(f"n.{c}").alias(c) for c in OVERWRITTEN), *(F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in KEPT), F.col("o.created_at").alias("created_at")
     )
     fresh = met.filter("o.id is null").select("n.*").withColumn("is_present", F.coalesce("is_present", F.lit(1))).withColumn("created_at", F.coalesce("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")))
-    fresh = numbered(fresh, "path", top_id(files))
+    fresh = numbered(fresh, "path", top_id(files) if top is None else top)
     rest = files.join(new.select("path"), "path", "left_anti")
     names = FILES.names
     return rest.select(*names).unionByName(both.select(*names)).unionByName(fresh.select(*names))
@@ -96,13 +97,16 @@ def update_meta(files: DataFrame, meta: DataFrame, *, coalesce: Sequence[str] =
     return out.unionByName(unknown.select(*((F.col(c) if c in unknown.columns else F.lit(None).cast(FILES[c].dataType)).alias(c) for c in files.columns)))
 
 
-def upsert_tags(tags: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Tags after upserts by trimmed name: category overwritten, ids stable, the greatest ``seq`` counting among equals."""
+def upsert_tags(tags: DataFrame, incoming: DataFrame, *, top: int | None = None) -> DataFrame:
+    """Tags after upserts by trimmed name: category overwritten, ids stable, the greatest ``seq`` counting among equals.
+
+    ``top`` is the greatest id so far, if ``tags`` are not all there are.
+    """
     new = incoming if "seq" in incoming.columns else incoming.withColumn("seq", F.lit(0))
     new = last(new.select(F.trim("name").alias("name"), "category", "seq").filter("name <> ''"), ["name"]).drop("seq")
     met = new.alias("n").join(tags.alias("o"), "name", "left").select("name", F.col("n.category").alias("category"), F.col("o.id").alias("old"))
     kept = met.filter("old is not null").select(F.col("old").alias("id"), "name", "category")
-    fresh = numbered(met.filter("old is null").select("name", "category"), "name", top_id(tags)).select("id", "name", "category")
+    fresh = numbered(met.filter("old is null").select("name", "category"), "name", top_id(tags) if top is None else top).select("id", "name", "category")
     return tags.join(new.select("name"), "name", "left_anti").select("id", "name", "category").unionByName(kept).unionByName(fresh)
 
 
@@ -115,7 +119,7 @@ def upsert_signatures(signatures: DataFrame, incoming: DataFrame) -> DataFrame:
     return signatures.join(incoming.select("file_id"), "file_id", "left_anti").unionByName(incoming.select(*signatures.columns))
 
 
-def write_batch(files: DataFrame, tags: DataFrame, file_tags: DataFrame, documents: DataFrame, items: DataFrame, *, overwrite_meta: bool = True, k: int = 128) -> dict[str, DataFrame]:
+def write_batch(files: DataFrame, tags: DataFrame, file_tags: DataFrame, documents: DataFrame, items: DataFrame, *, overwrite_meta: bool = True, k: int = 128, top_tag: int | None = None) -> dict[str, DataFrame]:
     """The relations after a batch of tagged items (file_id, tags array<struct<name,score,category>>, width, height, tagger_sig, tagged_at).
 
     New names become tags, links of every item's file are replaced (an empty list deletes), metadata is updated (the
@@ -125,7 +129,7 @@ def write_batch(files: DataFrame, tags: DataFrame, file_tags: DataFrame, documen
         raise ValueError("a file occurs twice in the batch")
     flat = items.select("file_id", F.posexplode("tags").alias("position", "t")).select("file_id", "position", F.trim("t.name").alias("name"), F.col("t.score").alias("score"), F.col("t.category").alias("category")).filter("name <> ''")
     staged = flat.groupBy("name").agg(F.max("category").alias("category"))
-    tags2 = upsert_tags(tags, staged)
+    tags2 = upsert_tags(tags, staged, top=top_tag)
     best = flat.groupBy("file_id", "name").agg(F.max("score").alias("score"))
     links = best.join(tags2.select(F.col("id").alias("tag_id"), "name"), "name")
     ids = items.select("file_id")

@@ -20,7 +20,9 @@ FILE_TAGS = _of(file_id=_L, tag_id=_L, score=_D)
 THRESHOLDS = _of(category=_S, threshold=_D)
 DOCUMENTS = _of(file_id=_L, text=_S)
 SIGNATURES = _of(file_id=_L, phash_u64=_L, dhash_u64=_L)
-RELATIONS = {"files": FILES, "tags": TAGS, "file_tags": FILE_TAGS, "tagger_thresholds": THRESHOLDS, "fts_files": DOCUMENTS, "signatures": SIGNATURES}
+#: The text index: a row for each term and document, with the term's places in it.
+POSTINGS = _of(term=_S, file_id=_L, positions=T.ArrayType(_I))
+RELATIONS = {"files": FILES, "tags": TAGS, "file_tags": FILE_TAGS, "tagger_thresholds": THRESHOLDS, "fts_files": DOCUMENTS, "signatures": SIGNATURES, "postings": POSTINGS}
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:

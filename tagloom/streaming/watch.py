@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tagloom.functions import images, scalar
 from tagloom.operators import documents as docs
-from tagloom.operators import maintenance, tagging
+from tagloom.operators import batches, tagging
 from tagloom.operators.components import materialised
 from tagloom.sources.catalog import Catalog
 from tagloom.sources.listing import suffixes
@@ -34,19 +34,18 @@ def arrivals(spark: SparkSession, folder: str, *, extensions: Iterable[str] | No
 
 
 def take_in(catalog: Catalog, batch: DataFrame, make: Callable[[], tagging.Tagger], signature: str, *, top_k: int = 128) -> None:
-    """Decodes, tags and stores a batch of images: files, tags, links, documents and signatures in one version."""
-    batch = materialised(batch.dropDuplicates(["path"]).withColumn("sha256", F.sha2("content", 256)), "arrivals")
+    """Decodes, tags and stores a batch of images: files, tags, links, documents and signatures in one version.
+
+    Only the parts of the catalog that the batch touches are rewritten. What can't be tagged is stored without a tagger's
+    mark, so that the next scan tries it again; another writer's version in between is merged into.
+    """
+    batch = materialised(batch.dropDuplicates(["path"]).withColumn("sha256", F.sha2("content", 256)).withColumn("file_id", F.monotonically_increasing_id()), "arrivals")
     if batch.isEmpty():
         return
-    now = time.time()
-    base, old = catalog.number(), catalog.relations()
-    files = materialised(maintenance.upsert_files(old["files"], batch.select("path", "size", "mtime", "sha256")), "files")
-    work = batch.join(files.select("path", F.col("id").alias("file_id")), "path")
-    tagged = materialised(tagging.tag(work, make), "tagged").filter("tags is not null")
-    items = tagged.select("file_id", "tags", "width", "height", F.lit(signature).alias("tagger_sig"), F.lit(now).alias("tagged_at"))
-    out = maintenance.write_batch(files, old["tags"], old["file_tags"], old["fts_files"], items, k=top_k)
-    made = images.signatures(work.select("file_id", "content"))
-    catalog.publish({**out, "signatures": maintenance.upsert_signatures(old["signatures"], made)}, base=base)
+    named = batch.select("file_id", "path")
+    tagged = materialised(named.join(tagging.tag(batch, make), "file_id").drop("file_id"), "tagged")
+    made = materialised(named.join(images.signatures(batch), "file_id").drop("file_id"), "signatures")
+    batches.store(catalog, batches.Batch(batch.select("path", "size", "mtime", "sha256"), tagged, signature, time.time(), made), top_k=top_k)
 
 
 def watch(catalog: Catalog, folder: str, checkpoint: str, make: Callable[[], tagging.Tagger], signature: str, *, once: bool = False, interval: str = "10 seconds", **how) -> StreamingQuery:
