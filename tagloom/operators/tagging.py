@@ -60,7 +60,7 @@ def with_series(predictions: DataFrame, labels: DataFrame, *, thresholds: Mappin
     predictions: key, name, score, category and, if there is one, position, which breaks ties. labels: name, category, ips
     (the series of a character). Of each file and category the best that pass are candidates; the series of candidate
     characters take the highest of their own score and those characters' scores, and the copyright category. Labels
-    without a name (category 5 placeholders) are dropped. Of a file the best ``top_k`` stay, by score falling, then name.
+    that are marked as placeholders (of rows without a name, category 5) are dropped. Of a file the best ``top_k`` stay, by score falling, then name.
 
     Rows are shuffled once, by file: every step after that works within a file.
     """
@@ -84,7 +84,10 @@ def with_series(predictions: DataFrame, labels: DataFrame, *, thresholds: Mappin
     parts = rows.select(key, F.explode(F.concat(itself, series)).alias("p")).groupBy(key, F.col("p.name").alias("name")).agg(F.max("p.carried").alias("carried"), F.max("p.own").alias("own"), F.max("p.hit").alias("hit"))
     parts = parts.filter("carried is not null or hit is not null")
     best = parts.select(key, "name", F.when(F.col("carried").isNotNull(), F.greatest("carried", "own")).otherwise(F.col("hit.score")).alias("score"), F.when(F.col("carried").isNotNull(), F.lit(COPYRIGHT)).otherwise(F.col("hit.category")).alias("category"))
-    best = best.filter((F.trim("name") != "") & ~((F.col("category") == META) & F.col("name").startswith("placeholder")) & (F.col("score") >= limit(F.col("category"))))
+    best = best.filter((F.trim("name") != "") & (F.col("score") >= limit(F.col("category"))))
+    if "placeholder" in labels.columns:
+        hidden = labels.filter("placeholder").select(F.col("name").alias("__hidden")).distinct()
+        best = best.join(hidden, (F.col("name") == F.col("__hidden")) & (F.col("category") == META), "left_anti")
     order = [F.desc("score"), "name"]
     best = best.withColumn("__n", F.row_number().over(Window.partitionBy(key, "category").orderBy(*order))).filter(F.col("__n") <= cap(F.col("category")))
     return best.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("__n") <= top_k).drop("__n")
@@ -129,6 +132,7 @@ def series_post_process(logits: np.ndarray, labels: Sequence[Label], *, threshol
     kinds = np.array([x.category for x in labels])
     limit = {int(c): max(floor, float(thresholds.get(int(c), 0.0))) for c in {*kinds.tolist(), COPYRIGHT}}
     at = {x.name: i for i, x in enumerate(labels)}
+    hidden = {x.name for x in labels if x.placeholder}
     out = []
     for row in np.atleast_2d(sigmoid_if_needed(logits)):
         found: dict[str, tuple[float, int]] = {}
@@ -143,7 +147,7 @@ def series_post_process(logits: np.ndarray, labels: Sequence[Label], *, threshol
         kept: list[tuple[str, float, int]] = []
         used: dict[int, int] = {}
         for name, (score, c) in sorted(found.items(), key=lambda x: (-x[1][0], x[0])):
-            if score < limit[c] or not name.strip() or (c == META and name.startswith("placeholder")) or len(kept) >= top_k or used.get(c, 0) >= min(caps.get(c, top_k), top_k):
+            if score < limit[c] or not name.strip() or (c == META and name in hidden) or len(kept) >= top_k or used.get(c, 0) >= min(caps.get(c, top_k), top_k):
                 continue
             used[c] = used.get(c, 0) + 1
             kept.append((name, score, c))
