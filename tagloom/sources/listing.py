@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.functions.scalar import IMAGE_SUFFIXES
+from tagloom.operators.components import materialised
 
 SCHEMA = "path string, size bigint, mtime double"
 
@@ -28,40 +30,72 @@ def inside(path: str, folders: Sequence[str]) -> bool:
     return any(path == f or path.startswith(f.rstrip("/") + "/") for f in folders)
 
 
+def entries(folder: str, excluded: Sequence[str], kinds: tuple[str, ...]) -> tuple[list[str], list[tuple[str, int, float]]]:
+    """(folders below one folder that are entered, its image files as path, size, mtime): nothing whose name starts with a
+    dot, nothing excluded, no links to folders. A folder or file that goes or can't be read meanwhile is left out."""
+    subs: list[str] = []
+    files: list[tuple[str, int, float]] = []
+    try:
+        with os.scandir(folder) as it:
+            for e in it:
+                if e.name.startswith(".") or inside(e.path, excluded):
+                    continue
+                try:
+                    if e.is_dir(follow_symlinks=False):
+                        subs.append(e.path)
+                    elif e.name.lower().endswith(kinds) and e.is_file():
+                        st = e.stat()
+                        files.append((e.path, st.st_size, st.st_mtime))
+                except OSError:
+                    continue
+    except OSError:
+        return [], []
+    return sorted(subs), sorted(files)
+
+
 def walk(root: str, excluded: Sequence[str], kinds: tuple[str, ...]) -> Iterator[str]:
-    """Image files below a folder: no component below it may start with a dot, nothing excluded is entered."""
-    for folder, subs, names in os.walk(root):
-        subs[:] = sorted(s for s in subs if not s.startswith(".") and not inside(os.path.join(folder, s), excluded))
-        for n in sorted(names):
-            full = os.path.join(folder, n)
-            if not n.startswith(".") and n.lower().endswith(kinds) and not inside(full, excluded) and os.path.isfile(full):
-                yield full
+    """Image files below a folder, one folder after the other."""
+    left = [root]
+    while left:
+        subs, files = entries(left.pop(), excluded, kinds)
+        yield from (f[0] for f in files)
+        left += reversed(subs)
 
 
-def images(spark: SparkSession, roots: Sequence[str], *, excluded: Sequence[str] = (), extensions: Iterable[str] | None = None) -> DataFrame:
+def images(spark: SparkSession, roots: Sequence[str], *, excluded: Sequence[str] = (), extensions: Iterable[str] | None = None, tasks: int = 200, levels: int = 1000) -> DataFrame:
     """path, size, mtime of the images below existing roots; a file below several roots comes as often.
 
-    The driver lists the folders of one level; executors walk each below. Folders must be visible to both.
+    Level by level: the folders that were found are dealt to ``tasks`` tasks anew, each lists its own, and what they find
+    is written before the next level, until no folder is left. So one deep or wide folder takes part in as many tasks as
+    any, and neither the driver nor a task holds more than a share of one level. Folders must be visible to all executors.
     """
     kinds, out = suffixes(extensions), [resolved(e) for e in excluded]
-    tops: list[tuple[str, bool]] = []
-    for r in map(resolved, roots):
-        if not os.path.isdir(r) or inside(r, out):
-            continue
-        tops.append((r, False))
-        with os.scandir(r) as it:
-            tops += [(e.path, True) for e in it if e.is_dir() and not e.name.startswith(".") and not inside(e.path, out)]
+    tops = [r for r in map(resolved, roots) if os.path.isdir(r) and not inside(r, out)]
     if not tops:
         return spark.createDataFrame([], SCHEMA)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        of = lambda: pd.DataFrame(rows, columns=["path", "size", "mtime", "deeper"]).astype({"path": object, "size": "Int64", "mtime": "Float64", "deeper": bool})
         for f in frames:
-            for top, deep in zip(f["top"], f["deep"], strict=True):
-                found = walk(top, out, kinds) if deep else (p for e in sorted(os.listdir(top)) if not e.startswith(".") and e.lower().endswith(kinds) and os.path.isfile(p := os.path.join(top, e)) and not inside(p, out))
-                rows = [(p, s.st_size, s.st_mtime) for p in found for s in [os.stat(p)]]
-                yield pd.DataFrame(rows, columns=["path", "size", "mtime"]).astype({"path": object, "size": "int64", "mtime": "float64"})
-
-    return spark.createDataFrame(tops, "top string, deep boolean").repartition(min(len(tops), 200)).mapInPandas(run, SCHEMA)
+            for folder in f["path"]:
+                subs, files = entries(folder, out, kinds)
+                rows += [(p, None, None, True) for p in subs] + [(*x, False) for x in files]
+                if len(rows) >= 10_000:
+                    yield of()
+                    rows = []
+        yield of()
+
+    found: list[DataFrame] = []
+    level = spark.createDataFrame([(r,) for r in tops], "path string")
+    for _ in range(levels):
+        dealt = level.repartition(tasks) if found else level.repartition(min(len(tops), tasks))
+        here = materialised(dealt.mapInPandas(run, f"{SCHEMA}, deeper boolean"), "listing")
+        found.append(here.filter("not deeper").select("path", "size", "mtime"))
+        level = here.filter("deeper").select("path")
+        if level.isEmpty():
+            return reduce(DataFrame.union, found)
+    raise RuntimeError("folders are nested too deep")
 
 
 def remote_images(spark: SparkSession, root: str, extensions: Iterable[str] | None = None) -> DataFrame:
