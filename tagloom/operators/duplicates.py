@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tagloom.functions import scalar
 from tagloom.operators.components import components, materialised
-from tagloom.operators.ordering import running
+from tagloom.operators.ordering import preceding, running
 
 # File formats by how much a keeper prefers them; others 0.
 FORMAT_RANK = {"png": 4, "apng": 4, "webp": 3, "tiff": 2, "tif": 2, "bmp": 1, "gif": 1, "jpg": 0, "jpeg": 0, "jpe": 0}
@@ -135,6 +135,44 @@ def edges(files: DataFrame, *, limit: int = 8, ratio: float | None = None, least
     return pairs.filter(keep).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), near.alias("hamming"))
 
 
+def forest(files: DataFrame, *, limit: int = 8, ratio: float, **how) -> DataFrame:
+    """Some of the edges that ``edges`` gives with a size ratio: enough for the same clusters and the same least distance of
+    every file, and no more than a few a file and neighbouring hash, where a group of copies would make all pairs.
+
+    Within a group of one hash, or of two that are near, sizes in order need only meet the next: if two sizes are within the
+    ratio, so is all between them. A file without a size passes with every other, so one such file stands for its group.
+    """
+    rows = files.filter("phash is not null").select("id", "phash", F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("bigint").alias("size"))
+    rows = materialised(rows, "sized")
+    heads = rows.groupBy("phash").agg(F.min("id").alias("id"), F.min(F.when(F.col("size") == 0, F.col("id"))).alias("blank"))
+    heads = materialised(heads, "heads")
+    close = (F.least("size", "o.size") / F.greatest("size", "o.size")) >= F.lit(float(ratio))
+
+    def linked(found: DataFrame, to: Column, distance: Column) -> DataFrame:
+        return found.select(F.least("id", to).alias("a"), F.greatest("id", to).alias("b"), distance.cast("int").alias("hamming"))
+
+    # Equal hashes: all with the first file without a size, if there is one, else each size with the next smaller one.
+    of = rows.join(heads.select("phash", "blank"), "phash")
+    out = linked(of.filter("blank is not null and id <> blank"), F.col("blank"), F.lit(0))
+    before = preceding(of.filter("blank is null").drop("blank"), ["size", "id"], {"o": F.struct("id", "size")}, ["phash"])
+    out = out.unionByName(linked(before.filter("o is not null").filter(close), F.col("o.id"), F.lit(0)))
+    if limit < 1:
+        return out
+    # Hashes that differ: every file with the nearest sizes of the other hash, to both sides.
+    pairs = candidates(heads.select("id", "phash"), carry=("phash",), limit=limit, **how)
+    pairs = materialised(pairs.select(F.col("a_phash").alias("p"), F.col("b_phash").alias("q"), hamming(F.col("a_phash"), F.col("b_phash")).alias("d")).filter(F.col("d") <= limit), "hashes")
+    sides = pairs.select("p", "q", "d", F.col("p").alias("phash"), F.col("q").alias("other")).union(pairs.select("p", "q", "d", F.col("q").alias("phash"), F.col("p").alias("other")))
+    met = rows.join(sides, "phash").join(heads.select(F.col("phash").alias("other"), F.col("id").alias("head"), F.col("blank").alias("other_blank")), "other")
+    met = materialised(met, "met")
+    out = out.unionByName(linked(met.filter("size = 0 or other_blank is not null"), F.coalesce("other_blank", "head"), F.col("d")))
+    sized = met.filter("size > 0").select("id", "size", "p", "q", "d", (F.col("phash") == F.col("p")).alias("first"), (-F.col("size")).alias("falling"))
+    last = {"x": F.when(F.col("first"), F.struct("id", "size")), "y": F.when(~F.col("first"), F.struct("id", "size"))}
+    for order in (["size", "id"], ["falling", "id"]):
+        near = preceding(sized, order, last, ["p", "q"]).withColumn("o", F.when(F.col("first"), F.col("y")).otherwise(F.col("x")))
+        out = out.unionByName(linked(near.filter("o is not null").filter(close), F.col("o.id"), F.col("d")))
+    return out.distinct()
+
+
 def _resolution() -> Column:
     return F.coalesce(F.col("width") * F.col("height"), F.lit(0)).cast("bigint")
 
@@ -177,7 +215,9 @@ def ranked(rows: DataFrame, heads: DataFrame) -> DataFrame:
 
 def clusters(files: DataFrame, *, limit: int = 8, ratio: float | None = None, least_cosine: float | None = None, **how) -> DataFrame:
     """group, position, cluster (its least id), id, path, size, width, height, is_keeper, best_hamming of clustered files."""
-    found = materialised(edges(files, limit=limit, ratio=ratio, least_cosine=least_cosine, **how), "pairs")
+    linear = bool(ratio and ratio > 0) and least_cosine is None and limit >= 0 and how.get("pair_cap") is None
+    links = forest(files, limit=limit, ratio=ratio, **how) if linear else edges(files, limit=limit, ratio=ratio, least_cosine=least_cosine, **how)
+    found = materialised(links, "pairs")
     root = components(found)
     best = found.select("a", "hamming").union(found.select("b", "hamming")).groupBy(F.col("a").alias("id")).agg(F.min("hamming").alias("best_hamming"))
     members = files.join(root, "id").join(best, "id", "left").withColumnRenamed("root", "cluster")

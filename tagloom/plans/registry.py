@@ -5,6 +5,7 @@ Counterparts never come from our own compiler, so that an error in it can't canc
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,13 @@ from pyspark.sql.window import Window
 
 from tagloom.functions import scalar
 from tagloom.functions import thresholds as thr
-from tagloom.operators import cosine, documents, duplicates, maintenance, metrics, search, stats, tagging
-from tagloom.operators.components import components
+from tagloom.operators import batches, cosine, documents, duplicates, maintenance, metrics, search, stats, tagging, textindex
+from tagloom.operators.components import components, shared_dir
 from tagloom.plans import compile as plan
 from tagloom.plans.fixtures import SQL, Relations, catalog
 from tagloom.sinks import export
+from tagloom.sources import labels
+from tagloom.sources.catalog import Catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -343,6 +346,11 @@ def _(c, spark, sf):
     return _clusters(c).select("group", "position", "cluster", "id", "is_keeper", "best_hamming")
 
 
+@query("q_dup_clusters_ratio", _CLUSTERS.replace("hamming <= 4", "hamming <= 4 AND (sa <= 0 OR sb <= 0 OR least(sa, sb) / greatest(sa, sb) >= 0.5)") + ' SELECT grp AS "group", CAST(position AS INTEGER) AS position, cluster, id, is_keeper, best_hamming FROM p JOIN g USING (cluster)')
+def _(c, spark, sf):
+    return duplicates.clusters(_dup_files(c), limit=4, ratio=0.5).select("group", "position", "cluster", "id", "is_keeper", "best_hamming")
+
+
 @query("q_dup_export", _CLUSTERS + ' SELECT grp AS "group", id AS file_id, path, size, width, height, is_keeper AS keeper, best_hamming AS hamming FROM p JOIN g USING (cluster)')
 def _(c, spark, sf):
     return export.cluster_rows(_clusters(c))
@@ -398,6 +406,22 @@ def _(c, spark, sf):
     return c.files.select("id", duplicates.parse_hash(text).alias("hash"))
 
 
+# ---------------------------------------------------------------- label files
+
+#: A label file of each brand: its parts by key, in every form that a row may have.
+_ROW = """CASE p_partkey % 7 WHEN 0 THEN p_name || ',' || (p_partkey % 6) || ',' || p_size WHEN 1 THEN p_name || ',Character,' || p_size || '.9' WHEN 2 THEN p_partkey || ',' || p_name || ',3,' || p_size
+  WHEN 3 THEN '7,' || p_partkey || ',' || p_name || ',meta,x,"[""' || p_brand || '"", "" ""]"' WHEN 4 THEN '# ' || p_name WHEN 5 THEN p_partkey || ', ,5' ELSE ' ' || p_name || ' ' END"""
+
+
+@query("q_label_tables", f""", r AS (SELECT p_brand AS path, p_partkey AS k, p_name AS n, p_size AS size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS position FROM part WHERE p_partkey % 7 <> 4)
+SELECT path, CAST(position AS INTEGER) AS position, CASE WHEN k % 7 = 5 THEN 'placeholder_' || k ELSE n END AS name, CAST(CASE k % 7 WHEN 0 THEN k % 6 WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 5 WHEN 5 THEN 5 ELSE 0 END AS INTEGER) AS category,
+  CAST(CASE WHEN k % 7 IN (0, 1, 2) THEN size ELSE 0 END AS BIGINT) AS count, CASE WHEN k % 7 = 3 THEN path ELSE '' END AS series, k % 7 = 5 AS placeholder FROM r""")
+def _(c, spark, sf):
+    lines = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_brand").alias("path"), "p_partkey", F.expr(_ROW).alias("line"))
+    files = lines.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    return labels.tables(files).select("path", "position", "name", "category", "count", F.array_join("ips", ",").alias("series"), "placeholder")
+
+
 # ---------------------------------------------------------------- tag post-processing
 
 _PRED = ", pred AS (SELECT l_orderkey AS file_id, CAST(l_linenumber AS INTEGER) AS position, name, l_quantity / 50.0 AS score, category FROM lineitem JOIN part_tag ON p_partkey = l_partkey JOIN tags ON id = tag_id WHERE l_linenumber <= 7 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY tag_id, l_quantity DESC) = 1)"
@@ -512,6 +536,69 @@ def _(c, spark, sf):
     return _batch(c)["files"].select("id", "width", "height", "tagger_sig", "last_tagged_at")
 
 
+#: Folders of stored catalogs, by application and data, so that queries on one catalog store it once.
+_FOLDERS: dict[tuple[str, str, str], str] = {}
+
+
+def _kept(spark: SparkSession, sf: str, kind: str, make: Callable[[], Catalog]) -> Catalog:
+    key = (spark.sparkContext.applicationId, sf, kind)
+    cat = Catalog(spark, _FOLDERS[key], parts=32) if key in _FOLDERS else None
+    if cat is None or not cat.number():
+        cat = make()
+        _FOLDERS[key] = cat.path
+    return cat
+
+
+def _stored(c: Relations, spark: SparkSession) -> Catalog:
+    """The derived relations in a catalog folder, cut into parts, with a text index."""
+    cat = Catalog(spark, f"{shared_dir(spark)}/tagloom-catalog-{uuid.uuid4().hex}", parts=32)
+    made = documents.rebuild(c.files, c.file_tags, c.tags)
+    cat.publish({"files": c.files, "tags": c.tags, "file_tags": c.file_tags, "signatures": c.signatures, "fts_files": made, "postings": textindex.postings(made)})
+    return cat
+
+
+def _after_batch(c: Relations, spark: SparkSession) -> Catalog:
+    """A stored catalog after the batch of ``_batch``, which goes to the parts that it touches."""
+    cat = _stored(c, spark)
+    flat = plan.links(c.file_tags, c.tags).filter("file_id % 8 = 0")
+    lists = flat.groupBy("file_id").agg(F.collect_list(F.when(F.col("file_id") % 16 != 0, F.struct(F.concat("name", F.lit("_v2")).alias("name"), "score", "category"))).alias("tags"))
+    tagged = lists.join(c.files, F.col("file_id") == F.col("id")).select("path", F.filter("tags", lambda t: t.isNotNull()).alias("tags"), F.lit(None).cast("int").alias("width"), F.lit(5).alias("height"))
+    seen = c.files.join(lists, F.col("file_id") == F.col("id"), "left_semi").select("path", "size", "mtime", "sha256")
+    batches.store(cat, batches.Batch(seen, tagged, "sig-n", 2000.0), top_k=2)
+    return cat
+
+
+@query("q_batch_links", _ITEMS_SQL + " SELECT file_id, tag_id, score FROM file_tags WHERE file_id % 8 <> 0 UNION ALL SELECT l.file_id, f.id, l.score FROM links2 l JOIN fresh f USING (name)")
+def _(c, spark, sf):
+    return _kept(spark, sf, "batch", lambda: _after_batch(c, spark)).read("file_tags")
+
+
+@query("q_batch_files", "SELECT id, path, size, is_present, width, CASE WHEN t THEN 5 ELSE height END AS height, CASE WHEN t THEN 'sig-n' ELSE tagger_sig END AS tagger_sig, CAST(CASE WHEN t THEN 2000.0 ELSE last_tagged_at END AS DOUBLE) AS last_tagged_at FROM (SELECT * EXCLUDE (is_present), CASE WHEN t THEN 1 ELSE is_present END AS is_present FROM (SELECT *, id % 8 = 0 AND EXISTS (SELECT 1 FROM file_tags x WHERE x.file_id = id) AS t FROM files))")
+def _(c, spark, sf):
+    return _kept(spark, sf, "batch", lambda: _after_batch(c, spark)).read("files").select("id", "path", "size", "is_present", "width", "height", "tagger_sig", "last_tagged_at")
+
+
+_WORDS = ", w AS (SELECT file_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM docs), p AS (SELECT file_id, i - 1 AS position, w[i] AS term FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w))"
+
+
+@query("q_text_phrase", _docs_sql(16) + _WORDS + " SELECT DISTINCT a.file_id FROM p a JOIN p b ON a.file_id = b.file_id AND b.position = a.position + 1 WHERE a.term = 'ring' AND b.term = 'blue'")
+def _(c, spark, sf):
+    return textindex.search(_kept(spark, sf, "stored", lambda: _stored(c, spark)), [textindex.Phrase("Ring, blue")])
+
+
+@query("q_text_all", _docs_sql(16) + _WORDS + " SELECT file_id FROM p GROUP BY 1 HAVING bool_or(term LIKE 'bo%') AND bool_or(term = 'small')")
+def _(c, spark, sf):
+    return textindex.search(_kept(spark, sf, "stored", lambda: _stored(c, spark)), [textindex.Prefix("Bo"), textindex.Phrase("small")])
+
+
+@query("q_text_after_batch", _docs_sql(16) + _ITEMS_SQL + """, docs2 AS (SELECT file_id, text FROM docs WHERE file_id % 8 <> 0 UNION ALL SELECT file_id, string_agg(name, ' ' ORDER BY r) FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY score DESC, name) AS r FROM links2) WHERE r <= 2 GROUP BY 1),
+w AS (SELECT file_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM docs2), p AS (SELECT file_id, i - 1 AS position, w[i] AS term FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM w))
+SELECT term, file_id, string_agg(CAST(position AS VARCHAR), ',' ORDER BY position) AS positions FROM p GROUP BY 1, 2""")
+def _(c, spark, sf):
+    """The postings as deltas left them."""
+    return _kept(spark, sf, "batch", lambda: _after_batch(c, spark)).read("postings").select("term", "file_id", F.array_join(F.transform("positions", lambda x: x.cast("string")), ",").alias("positions"))
+
+
 @query("q_soft_delete", "SELECT id, CASE WHEN id % 9 = 0 THEN 0 ELSE is_present END AS is_present, CASE WHEN id % 9 = 0 THEN '2024-06-01 00:00:00' ELSE deleted_at END AS deleted_at FROM files")
 def _(c, spark, sf):
     ids = c.files.filter("id % 9 = 0").select(F.col("id").alias("file_id"))

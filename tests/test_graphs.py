@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tagloom.operators import cosine
+from tagloom.operators import cosine, duplicates
 from tagloom.operators.components import components
 
 
@@ -86,3 +87,27 @@ def test_cells_that_lie_apart_never_meet():
     assert meets == [(2, 0, [(0, 1)]), (2, 1, [(1, 3)]), (2, 2, [(2, 1)])]
     _, meets = cosine.plan([(2, 0, 10, 0.1), (2, 1, 25, 0.8), (2, 2, 5, 0.1)], pivots, 0.5, 10)
     assert meets == [(2, 0, [(0, 1), (1, 3)]), (2, 1, [(1, 3), (2, 1)]), (2, 2, [(2, 1)])]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_a_forest_has_the_clusters_and_distances_of_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    hashes = [0b1, 0b11, 0b111, 0b1111 << 20, (0b1111 << 20) | 1, 1 << 40, (1 << 40) | (1 << 63) - 1 & 0xF0]
+    rows = [(i, rng.choice(hashes), rng.choice([None, 0, 100, 150, 240, 1000, 1900, 9000, rng.randrange(1, 20_000)])) for i in range(140)]
+    df = spark.createDataFrame(rows, "id bigint, phash bigint, size bigint").repartition(5)
+    for ratio in (0.5, 0.9):
+        some, every = duplicates.forest(df, limit=4, ratio=ratio), duplicates.edges(df, limit=4, ratio=ratio)
+        sets = [{(r.a, r.b, r.hamming) for r in e.collect()} for e in (some, every)]
+        assert sets[0] <= sets[1] and len(sets[0]) < len(sets[1])
+        assert brute_roots([e[:2] for e in sets[0]]) == brute_roots([e[:2] for e in sets[1]])
+        best = [{}, {}]
+        for b, found in zip(best, sets, strict=True):
+            for x, y, d in found:
+                b[x], b[y] = min(d, b.get(x, 99)), min(d, b.get(y, 99))
+        assert best[0] == best[1]
+
+
+def test_ten_thousand_copies_make_a_forest(spark):
+    df = spark.range(10_000).select("id", F.lit(7).cast("bigint").alias("phash"), (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) + 1).alias("size"))
+    found = duplicates.forest(df, limit=8, ratio=0.5)
+    assert 9_900 < found.count() < 10_000

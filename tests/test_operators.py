@@ -267,12 +267,59 @@ def test_images(spark):
 
 def test_labels():
     got = labels.parse('﻿# note\nid,tag_id,name,category,count,ips\n1,10,alice,4,5,"[""Series"", "" ""]"\n2,11,,0,3,\n')
-    assert [(x.name, x.category, x.ips) for x in got] == [("alice", 4, ("Series",)), ("placeholder_1", 5, ())] and got[0].count == 5
+    assert [(x.name, x.category, x.ips) for x in got] == [("alice", 4, ("Series",)), ("placeholder_11", 5, ())] and got[0].count == 5
     assert [x.name for x in labels.parse("a\nb")] == ["a", "b"]
     assert [(x.name, x.category) for x in labels.parse("1,x\ny,character")] == [("x", 0), ("y", 4)]
     assert [(x.name, x.category, x.count) for x in labels.parse("7,z,3,9")] == [("z", 3, 9)]
-    assert [x.name for x in labels.reordered(labels.parse("a\nb"), {"b": 0, "a": 2})] == ["b", "placeholder_1", "a"]
-    assert labels.discover("/nowhere/model.onnx") is None
+    assert [(x.name, x.placeholder) for x in labels.reordered(labels.parse("a\nb"), {"b": 0, "a": 2})] == [("b", False), ("placeholder_1", True), ("a", False)]
+
+
+@pytest.mark.parametrize(
+    ("row", "want"),
+    [
+        ("foo,0,10", ("foo", 0, 10, ())),
+        ("foo,general,10", ("foo", 0, 10, ())),
+        ("foo,4,12.7,\"[\"\"S\"\"]\"", ("foo", 4, 12, ("S",))),
+        ("5,foo,character", ("foo", 4, 0, ())),
+        ("5,6,foo", ("foo", 0, 0, ())),
+        ("5,6,foo,3,9,\"\"\"One\"\"\"", ("foo", 3, 9, ("One",))),
+        ("5,6", ("6", 0, 0, ())),
+        ("5", ("5", 0, 0, ())),
+        (" foo , 2.9 , x ", ("foo", 0, 0, ())),
+        ("foo,77", ("foo", 77, 0, ())),
+        ("name", ("name", 0, 0, ())),
+        ("tag_name,post_count", ("tag_name", 0, 0, ())),
+    ],
+)
+def test_label_rows_without_a_header(row, want):
+    """A row is read by its first cells: a name, or one or two numbers before it."""
+    got = labels.parse(f"# note\n\n{row}\n , ,\n")
+    assert [(x.name, x.category, x.count, x.ips) for x in got] == [want] and not got[0].placeholder
+
+
+def test_label_headers_and_placeholders():
+    assert [(x.name, x.category, x.count) for x in labels.parse("Category,TAG,count\n4,foo,1\nname,tagid\nbar,9")] == [("foo", 4, 1), ("bar", 0, 0)]
+    assert [(x.name, x.placeholder, x.category) for x in labels.parse("tag_id,name\n8,\nx,\n3,placeholder_8")] == [("placeholder_8", True, 5), ("placeholder_1", True, 5), ("placeholder_8", False, 0)]
+    assert [(x.name, x.placeholder) for x in labels.parse("7,8,,5\n9,,5\nx,,1")] == [("placeholder_7", True), ("placeholder_9", True), ("x", False)]
+    assert labels.parse("") == [] == labels.parse("name,count\n")
+
+
+def test_label_files_are_found(tmp_path):
+    model = str(tmp_path / "m.onnx")
+    (tmp_path / "accounts.csv").write_text("1,x")
+    assert labels.discover(model) is None and labels.discover(None) is None and labels.discover("/nowhere/model.onnx") is None
+    for name in ("selected_tags_z.csv", "selected_tags_b.csv", "m.csv", "selected_tags_v3c.csv", "selected_tags_v3.csv", "selected_tags.csv"):
+        (tmp_path / name).write_text("x")
+        want = "selected_tags_b.csv" if name.startswith("selected_tags_b") else name
+        assert labels.discover(model) == str(tmp_path / want)
+    assert labels.discover(model, str(tmp_path / "accounts.csv")).endswith("accounts.csv") and labels.discover(model, "/nowhere.csv") is None
+
+
+def test_real_tags_named_like_placeholders_stay(spark):
+    rows = [labels.Label("placeholder_art", 5), labels.Label("placeholder_1", 5, 0, (), True), labels.Label("x", 0)]
+    df = spark.createDataFrame([(1, i, x.name, 0.9 - i / 100, x.category) for i, x in enumerate(rows)], "file_id long, position int, name string, score double, category int")
+    assert sorted(r.name for r in tagging.with_series(df, labels.frame(spark, rows)).collect()) == ["placeholder_art", "x"]
+    assert [n for n, _, _ in tagging.series_post_process(np.array([[0.9, 0.89, 0.88]]), rows)[0]] == ["placeholder_art", "x"]
 
 
 def test_thresholds_and_scalars(spark):
@@ -313,6 +360,24 @@ def test_listing(spark, tmp_path):
     assert listing.uncached(found, listing.cache_key(found, 448).filter("path like '%a.png'"), 448).count() == found.count() - 1
 
 
+def test_listing_deals_folders_anew_at_each_level(spark, tmp_path):
+    """One top folder with many folders is listed by all tasks; what is listed is what walking finds."""
+    for i in range(120):
+        folder = tmp_path / "top" / f"{i:03d}"
+        folder.mkdir(parents=True)
+        (folder / "x.png").write_bytes(b"x" * i)
+    deep = tmp_path / "top" / "a" / "b" / "c" / "d"
+    deep.mkdir(parents=True)
+    (deep / "y.JPG").write_bytes(b"y")
+    os.symlink(tmp_path / "top", tmp_path / "top" / "loop")
+    found = listing.images(spark, [str(tmp_path / "top")], tasks=8)
+    got = {r.path: r.size for r in found.collect()}
+    root = os.path.realpath(tmp_path / "top")
+    assert sorted(got) == sorted(listing.walk(root, [], listing.suffixes(None))) and len(got) == 121 and got[f"{root}/007/x.png"] == 7
+    assert len(found.inputFiles()) >= 8
+    assert listing.entries(str(tmp_path / "gone"), [], (".png",)) == ([], [])
+
+
 def test_index_run_refresh_and_watch(spark, tmp_path):
     lib, cat = tmp_path / "lib", Catalog(spark, str(tmp_path / "cat"))
     draw(lib / "a.png", 1)
