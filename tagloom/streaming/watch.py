@@ -1,7 +1,7 @@
 """Watching folders: new images flow into the catalog batch by batch.
 
-The file source notices files once and remembers them in its checkpoint, so a file in work isn't taken again; a batch
-that is repeated after a failure has the same paths and upserts the same rows.
+The file source notices files once and remembers them in its checkpoint; what is in work, and what failed and has to wait,
+is state by path (see ``intake``).
 """
 
 from __future__ import annotations
@@ -13,13 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tagloom.functions import images, scalar
-from tagloom.operators import documents as docs
+from tagloom.functions import images
 from tagloom.operators import batches, tagging
 from tagloom.operators.components import materialised
 from tagloom.sources.catalog import Catalog
 from tagloom.sources.listing import suffixes
-
+from tagloom.streaming import intake
 
 # Fixed value: the schema of Spark's binary file source.
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
@@ -48,17 +47,25 @@ def take_in(catalog: Catalog, batch: DataFrame, make: Callable[[], tagging.Tagge
     batches.store(catalog, batches.Batch(batch.select("path", "size", "mtime", "sha256"), tagged, signature, time.time(), made), top_k=top_k)
 
 
-def watch(catalog: Catalog, folder: str, checkpoint: str, make: Callable[[], tagging.Tagger], signature: str, *, once: bool = False, interval: str = "10 seconds", **how) -> StreamingQuery:
-    """Starts the intake; ``once`` takes what is there and stops."""
-    stream = arrivals(catalog.spark, folder, **how)
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: take_in(catalog, df, make, signature))
-    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
-    return writer.start()
+def store(catalog: Catalog, batch: DataFrame, signature: str, *, top_k: int = 128) -> None:
+    """Stores a micro-batch of ``intake.tried``. A batch that is repeated after a failure upserts the same rows."""
+    rows = materialised(batch, "tried")
+    if rows.isEmpty():
+        return
+    made = rows.filter("phash_u64 is not null").select("path", "phash_u64", "dhash_u64")
+    found = batches.Batch(rows.select("path", "size", "mtime", "sha256"), rows.select("path", "tags", "width", "height"), signature, time.time(), made)
+    batches.store(catalog, found, top_k=top_k)
 
 
-def latest(stream: DataFrame, *, key: str = "path", at: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """A stream with each key's repeats within the watermark dropped: what is in flight isn't taken twice."""
-    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
+def watch(catalog: Catalog, folder: str, checkpoint: str, make: Callable[[], tagging.Tagger], signature: str, *, once: bool = False, interval: str = "10 seconds", tries: int = 5, wait: float = 60.0, top_k: int = 128, **how) -> StreamingQuery:
+    """Starts the intake; ``once`` takes what is there and stops, and what failed waits in the checkpoint for the next start.
+
+    A file that can't be tagged is tried ``tries`` times, first after ``wait`` seconds, then after twice as long each time.
+    """
+    stream = intake.tried(arrivals(catalog.spark, folder, **how), make, tries=tries, wait=wait)
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode("append").foreachBatch(lambda df, _: store(catalog, df, signature, top_k=top_k))
+    writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)
+    return writer.start()
 
 
-__all__ = ["arrivals", "docs", "latest", "scalar", "take_in", "watch"]
+__all__ = ["arrivals", "store", "take_in", "watch"]
