@@ -7,7 +7,7 @@ for each leaf, and the boolean expression is evaluated over a left join with fil
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,20 +46,31 @@ def truth(tree: Expr, flag: Mapping[Expr, Column]) -> Column:
     return flag[tree]
 
 
-def matching(files: DataFrame, file_tags: DataFrame, tags: DataFrame, query: str | Expr | None, thresholds: Mapping | None = None) -> DataFrame:
-    """Present files that the query matches."""
+def relevant(terms: Sequence[str], thresholds: Mapping | None) -> Column:
+    """Whether a link counts for relevance: it has one of the names and reaches its category's threshold."""
+    return F.col("name").isin(list(dict.fromkeys(terms))) & (F.col("score") >= thr.by_category(F.col("category"), thr.for_relevance(thresholds)))
+
+
+def matching(files: DataFrame, file_tags: DataFrame, tags: DataFrame, query: str | Expr | None, thresholds: Mapping | None = None, relevance: Column | None = None) -> DataFrame:
+    """Present files that the query matches; with ``relevance``, a test of links, also ``relevance``: the sum of scores of the
+    links that pass, from the same pass over them."""
     tree = parse(query) if isinstance(query, str) else query
     present = files.filter("is_present = 1")
-    if tree is None:
+    if tree is None and relevance is None:
         return present
-    found = leaves(tree)
+    found = [] if tree is None else leaves(tree)
     tests = {leaf: leaf_test(leaf, thresholds) for leaf in found}
-    rows = links(file_tags, tags) if any(not isinstance(x, Score) for x in found) else file_tags
-    rows = rows.filter(reduce(lambda a, b: a | b, tests.values()))
+    wide = relevance is not None or any(not isinstance(x, Score) for x in found)
+    rows = links(file_tags, tags) if wide else file_tags
+    rows = rows.filter(reduce(lambda a, b: a | b, [*tests.values(), *([relevance] if relevance is not None else [])]))
     names = {leaf: f"__flag{i}" for i, leaf in enumerate(found)}
-    flags = rows.groupBy(F.col("file_id").alias("__file")).agg(*(F.bool_or(tests[leaf]).alias(n) for leaf, n in names.items()))
+    sums = [] if relevance is None else [F.sum(F.when(relevance, F.col("score"))).alias("__sum")]
+    flags = rows.groupBy(F.col("file_id").alias("__file")).agg(*(F.bool_or(tests[leaf]).alias(n) for leaf, n in names.items()), *sums)
     joined = present.join(flags, present.id == flags["__file"], "left")
-    return joined.filter(truth(tree, {leaf: F.coalesce(F.col(n), F.lit(False)) for leaf, n in names.items()})).select(*(present[c] for c in present.columns))
+    if tree is not None:
+        joined = joined.filter(truth(tree, {leaf: F.coalesce(F.col(n), F.lit(False)) for leaf, n in names.items()}))
+    own = [present[c] for c in present.columns]
+    return joined.select(*own) if relevance is None else joined.select(*own, F.coalesce("__sum", F.lit(0.0)).alias("relevance"))
 
 
 def matching_by_joins(files: DataFrame, file_tags: DataFrame, tags: DataFrame, query: str | Expr | None, thresholds: Mapping | None = None) -> DataFrame:

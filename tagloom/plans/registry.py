@@ -273,6 +273,26 @@ def _(c, spark, sf):
     return documents.update(documents.rebuild(c.files, c.file_tags, c.tags), few, 3)
 
 
+@query("q_completion_table", """, n AS (SELECT name, p_size AS count FROM (SELECT replace(p_name, ' ', '_') AS name, max(p_size) AS p_size FROM part GROUP BY 1)), x AS (SELECT name, count, lower(name)[1:k] AS prefix FROM (SELECT *, unnest(range(0, length(name) + 1)) AS k FROM n))
+SELECT prefix, CAST(rank AS INTEGER) AS rank, name, CAST(count AS BIGINT) AS count FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY count DESC, lower(name), name) AS rank FROM x) WHERE rank <= 50""")
+def _(c, spark, sf):
+    names = spark.read.parquet(f"{sf}/part.parquet").groupBy(F.regexp_replace("p_name", " ", "_").alias("name")).agg(F.max("p_size").cast("bigint").alias("count"))
+    return stats.completion_table(names)
+
+
+@query("q_stats_moved", """, gone AS (SELECT * FROM files WHERE is_present = 1 AND id % 5 = 0), kept AS (SELECT l.*, f.id % 7 = 0 AND id % 5 <> 0 AS twice FROM links l JOIN files f ON f.id = l.file_id WHERE f.is_present = 1 AND f.id % 5 <> 0),
+now AS (SELECT category, name, CASE WHEN twice THEN score / 2 ELSE score END AS score FROM kept)
+SELECT category, name, count(*) AS files, round(avg(score), 9) AS avg_score, max(score) AS max_score FROM now GROUP BY 1, 2""")
+def _(c, spark, sf):
+    """Sums of all tags after a fifth of the files went and a seventh of the rest has half of its scores."""
+    before = stats.tag_sums(c.file_tags, c.files)
+    here = c.file_tags.join(c.files.filter("is_present = 1").select(F.col("id").alias("file_id")), "file_id", "left_semi")
+    now = here.filter("file_id % 5 <> 0").withColumn("score", F.expr("if(file_id % 7 = 0, score / 2, score)"))
+    changed = "file_id % 5 = 0 or file_id % 7 = 0"
+    after = stats.moved_sums(before, here.filter(changed), now.filter(changed), lambda tags: now.join(tags, "tag_id", "left_semi"))
+    return stats.stats_of_sums(c.tags, after).withColumn("avg_score", F.round("avg_score", 9))
+
+
 # ---------------------------------------------------------------- near duplicates
 
 _PAIRS = """, s AS (SELECT f.id, f.size, g.phash_u64 AS p FROM files f JOIN signatures g ON g.file_id = f.id WHERE f.is_present = 1),

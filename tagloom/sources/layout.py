@@ -40,6 +40,8 @@ LAYOUTS = {
     "file_tags": Layout("hash", ("file_id",)),
     "fts_files": Layout("hash", ("file_id",)),
     "signatures": Layout("hash", ("file_id",)),
+    "completions": Layout("hash", ("prefix",)),
+    "tag_sums": Layout("hash", ("tag_id",)),
     "postings": Layout("range", ("term", "file_id")),
 }
 

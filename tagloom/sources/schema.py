@@ -22,7 +22,10 @@ DOCUMENTS = _of(file_id=_L, text=_S)
 SIGNATURES = _of(file_id=_L, phash_u64=_L, dhash_u64=_L)
 #: The text index: a row for each term and document, with the term's places in it.
 POSTINGS = _of(term=_S, file_id=_L, positions=T.ArrayType(_I))
-RELATIONS = {"files": FILES, "tags": TAGS, "file_tags": FILE_TAGS, "tagger_thresholds": THRESHOLDS, "fts_files": DOCUMENTS, "signatures": SIGNATURES, "postings": POSTINGS}
+#: The best completions of each prefix; sums of each tag over present files.
+COMPLETIONS = _of(prefix=_S, rank=_I, name=_S, count=_L)
+TAG_SUMS = _of(tag_id=_L, files=_L, total=T.DecimalType(38, 15), top=_D, n_top=_L)
+RELATIONS = {"files": FILES, "tags": TAGS, "file_tags": FILE_TAGS, "tagger_thresholds": THRESHOLDS, "fts_files": DOCUMENTS, "signatures": SIGNATURES, "postings": POSTINGS, "completions": COMPLETIONS, "tag_sums": TAG_SUMS}
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
