@@ -113,8 +113,8 @@ def steady(df: DataFrame, what: str) -> DataFrame:
 # ---------------------------------------------------------------- tokens
 
 
-def tokens(text: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the texts, by default after lower-casing A-Z.
+def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of the texts after lower-casing A-Z.
 
     Returns (codes, offsets, dictionary): the words of text i are dictionary[codes[offsets[i]:offsets[i+1]]].
     Null and empty texts have none.
@@ -122,7 +122,7 @@ def tokens(text: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
     text = pc.fill_null(text, "")
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(text))
     flat = parts.flatten()
     off = parts.offsets.to_numpy().astype(np.int64)
     off = off - off[0]
@@ -137,6 +137,19 @@ def tokens(text: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
     return codes, off, words
 
 
+def words_as_written(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """As ``tokens``, but with the case of letters as it is."""
+    if isinstance(text, pa.ChunkedArray):
+        text = text.combine_chunks()
+    parts = pc.ascii_split_whitespace(pc.fill_null(text, ""))
+    off = parts.offsets.to_numpy().astype(np.int64)
+    enc = parts.flatten().dictionary_encode()
+    codes = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    full = pc.binary_length(enc.dictionary).to_numpy(zero_copy_only=False) > 0 if len(enc.dictionary) else np.zeros(0, bool)
+    keep = full[codes]
+    return codes[keep], np.concatenate([[0], np.cumsum(keep)])[off - off[0]], enc.dictionary
+
+
 def hash_words(words: pa.Array, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each word."""
     import xxhash

@@ -214,7 +214,7 @@ def measure(docs: DataFrame, *, vocabularies: dict[str, str], pattern: str, carr
         known = {name: vocabulary(path, pattern) for name, path in vocabularies.items()}
         for b in common.chunks(batches, "__text", common.SMALL_CHUNK):
             text = pc.fill_null(common.column(b, "__text"), "")
-            codes, off, dictionary = common.tokens(text, lower=False)
+            codes, off, dictionary = common.words_as_written(text)
             words = dictionary.to_pylist()
             chars = pc.utf8_length(dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
             doc = np.repeat(np.arange(b.num_rows), np.diff(off))

@@ -93,7 +93,7 @@ def crcs(first: np.ndarray, second: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 def counted(ids: pa.Array, text: pa.Array, least: int) -> tuple[list[str], list[int]]:
     """The words of a chunk of at least ``least`` code points and their counts, one in ONE_IN runs shortened by the contract's rule."""
-    codes, off, dictionary = common.tokens(runs_only(text), lower=False)
+    codes, off, dictionary = common.words_as_written(runs_only(text))
     size = pc.utf8_length(dictionary).to_numpy(zero_copy_only=False)
     doc = np.repeat(np.arange(len(text)), np.diff(off))
     keep = size[codes] >= least

@@ -8,6 +8,7 @@ import statistics
 from collections import Counter
 
 import public_tokenizers as known
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -66,10 +67,7 @@ def test_counts_against_brute_force(spark, docs_of, encoders, block, monkeypatch
     monkeypatch.setattr(fertility, "BLOCK", block)
     rows = texts()
     # In this process: the workers wouldn't see another BLOCK.
-    codes_of = fertility.common.tokens
-    import pyarrow as pa
-
-    codes, off, words = codes_of(pa.array(rows), lower=False)
+    codes, off, words = fertility.common.words_as_written(pa.array(rows))
     for name, (encode, fell) in encoders.items():
         tokens, bytes_, bits = fertility.token_counts(fertility.Vocabulary(VOCABULARIES[name], known.PATTERN), words.to_pylist(), codes, off)
         for i, text in enumerate(rows):
