@@ -214,7 +214,7 @@ def test_taggers_by_name(tmp_path, monkeypatch):
 
 def test_providers_and_outputs(tmp_path):
     gpu, cpu, rt = labels.CUDA, labels.CPU, labels.TENSORRT
-    assert labels.attempts([gpu], [cpu]).attempts == [[cpu]] and "falling back to " + cpu in labels.attempts([gpu], [cpu]).warnings[0]
+    assert labels.attempts([gpu], [cpu]).attempts == [[cpu]] and f"{cpu} takes over" in labels.attempts([gpu], [cpu]).warnings[0]
     assert labels.attempts(None, [cpu]).attempts == [[gpu], [cpu]] and labels.attempts(None, [cpu]).infos and not labels.attempts(None, [gpu]).infos
     assert labels.attempts([rt, gpu, cpu], [rt, gpu, cpu]).attempts == [[rt, gpu, cpu], [gpu], [cpu]]
     assert labels.attempts([rt, gpu, cpu], [gpu, cpu]).attempts == [[gpu], [cpu]] and labels.attempts([rt, gpu, cpu], [cpu]).attempts == [[cpu]]
