@@ -143,6 +143,13 @@ def write_batch(files: DataFrame, tags: DataFrame, file_tags: DataFrame, documen
     }
 
 
+def batch_totals(items: DataFrame) -> DataFrame:
+    """files, links and tags of a batch as it is staged: its files, the (file, name) pairs of trimmed names, distinct names."""
+    names = items.select("file_id", F.explode_outer("tags").alias("t")).select("file_id", F.nullif(F.trim("t.name"), F.lit("")).alias("name"))
+    pairs = names.groupBy("file_id", "name").agg(F.lit(1).alias("one"))
+    return pairs.agg(F.countDistinct("file_id").alias("files"), F.count("name").alias("links"), F.countDistinct("name").alias("tags"))
+
+
 def soft_delete(files: DataFrame, documents: DataFrame, ids: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
     """Files and documents after files (file_id) went missing: not present, marked with the time, without documents."""
     gone = ids.select(F.col("file_id").alias("__id")).distinct()

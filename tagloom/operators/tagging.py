@@ -303,5 +303,6 @@ def tag(images: DataFrame, make: Callable[[], Tagger], *, batch: int = 32, colum
 
 
 def failures(tagged: DataFrame) -> DataFrame:
-    """error, count and a sample file of each kind of failure."""
-    return tagged.filter("error is not null").groupBy("error").agg(F.count("*").alias("count"), F.min("file_id").alias("sample"))
+    """error, count and a sample of each kind of failure: the least path, or file where rows have no path."""
+    sample = "path" if "path" in tagged.columns else "file_id"
+    return tagged.filter("error is not null").groupBy("error").agg(F.count("*").alias("count"), F.min(sample).alias("sample"))

@@ -756,6 +756,58 @@ def _(c, spark, sf):
     return load_metrics(rows)[0].withColumn("seconds", F.round("seconds", 4))
 
 
+@query("q_slowest", "SELECT '/x/' || event_id || '.png' AS path, event_type AS route, value AS seconds FROM events ORDER BY value DESC, '/x/' || event_id || '.png' LIMIT 20", head=False)
+def _(c, spark, sf):
+    from tagloom.sources.listing import load_metrics
+
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(F.concat(F.lit("/x/"), F.col("event_id").cast("string"), F.lit(".png")).alias("path"), F.col("event_type").alias("route"), F.col("value").alias("seconds"))
+    return load_metrics(rows)[2].select("path", "route", "seconds")
+
+
+@query("q_tag_text", ", t AS (SELECT file_id, string_agg(name || ' (' || printf('%.2f', score) || ')', ', ' ORDER BY score DESC, name) AS scored, string_agg(name, ', ' ORDER BY score DESC, name) AS names FROM links GROUP BY 1) SELECT * FROM t")
+def _(c, spark, sf):
+    by = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "name", "score")))
+    rows = plan.links(c.file_tags, c.tags).groupBy("file_id").agg(by.alias("tags"))
+    return rows.select("file_id", scalar.tag_text(F.col("tags")).alias("scored"), scalar.tag_text(F.col("tags"), scores=False).alias("names"))
+
+
+@query("q_hidden_paths", "SELECT id, path FROM (SELECT id, CASE id % 4 WHEN 0 THEN 'a/.b/c' || id || '.png' WHEN 1 THEN '.c' || id WHEN 2 THEN 'a.b/c.' || id ELSE 'a/b..c/d' || id END AS path FROM files) WHERE NOT (path LIKE '.%' OR path LIKE '%/.%')")
+def _(c, spark, sf):
+    k, text = F.col("id"), F.col("id").cast("string")
+    path = F.when(k % 4 == 0, F.concat(F.lit("a/.b/c"), text, F.lit(".png"))).when(k % 4 == 1, F.concat(F.lit(".c"), text)).when(k % 4 == 2, F.concat(F.lit("a.b/c."), text)).otherwise(F.concat(F.lit("a/b..c/d"), text))
+    return c.files.select("id", path.alias("path")).filter(~scalar.hidden(F.col("path")))
+
+
+@query("q_batch_order", "SELECT id, row_number() OVER (ORDER BY regexp_extract(path, '^(.*)/[^/]*$', 1), size, id) AS place FROM files")
+def _(c, spark, sf):
+    """The place of each file in the order of inference; equal sizes of a folder in the order of ids."""
+    from tagloom.operators.ordering import running
+    from tagloom.sources.listing import batch_order
+
+    rows = batch_order(c.files.select("id", "path", "size")).withColumn("__d", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
+    return running(rows, [F.col("__d").asc(), F.col("size").asc(), F.col("id").asc()], {"place": F.lit(1)}).select("id", "place")
+
+
+@query("q_tags_unbatched", _PRED + """, hit AS (SELECT * FROM pred WHERE score >= greatest(0.1, CASE category WHEN 0 THEN 0.5 WHEN 4 THEN 0.4 ELSE 0.0 END))
+SELECT file_id, position, name, score, category FROM hit QUALIFY row_number() OVER (PARTITION BY file_id, category ORDER BY score DESC, position) <= CASE category WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 1000 END""")
+def _(c, spark, sf):
+    """Post-processing without an overall cap: a full sort, and caps by category alone."""
+    return tagging.capped(_predictions(spark, sf, c), thresholds={0: 0.5, 4: 0.4}, caps={0: 1, 1: 2}, top_k=None, base_cap=None)
+
+
+@query("q_failures", "SELECT CASE id % 7 WHEN 0 THEN 'unreadable' ELSE 'no memory' END AS error, count(*) AS count, min(path) AS sample FROM files WHERE id % 7 IN (0, 3) GROUP BY 1")
+def _(c, spark, sf):
+    k = F.col("id") % 7
+    return tagging.failures(c.files.select("path", F.when(k == 0, "unreadable").when(k == 3, "no memory").alias("error")))
+
+
+@query("q_batch_totals", _ITEMS_SQL + " SELECT (SELECT count(DISTINCT file_id) FROM links WHERE file_id % 8 = 0) AS files, (SELECT count(*) FROM links2) AS links, (SELECT count(DISTINCT name) FROM links2) AS tags")
+def _(c, spark, sf):
+    flat = plan.links(c.file_tags, c.tags).filter("file_id % 8 = 0")
+    lists = flat.groupBy("file_id").agg(F.collect_list(F.when(F.col("file_id") % 16 != 0, F.struct(F.concat("name", F.lit("_v2")).alias("name"), "score", "category"))).alias("tags"))
+    return maintenance.batch_totals(lists.select("file_id", F.filter("tags", lambda t: t.isNotNull()).alias("tags")))
+
+
 @query("q_dummy_tagging", "SELECT id AS file_id, 'dummy' AS name, CAST(0.9 AS DOUBLE) AS score, 0 AS category FROM files")
 def _(c, spark, sf):
     """The tagger protocol over every file: the fixed tag of the dummy, merged as links."""

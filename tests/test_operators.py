@@ -226,7 +226,7 @@ def test_providers_and_outputs(tmp_path):
     (tmp_path / "m.onnx").write_bytes(b"")
     told = labels.inspect(str(tmp_path / "m.onnx"), open_=lambda p: FakeSession(1, ("out", 1)))
     assert not told["ok"] and told["width"] == 1 and told["errors"] == ["no label file was found"]
-    (tmp_path / "tags.csv").write_text("a,0\nb,4\n")
+    (tmp_path / "selected_tags.csv").write_text("a,0\nb,4\n")
     told = labels.inspect(str(tmp_path / "m.onnx"), open_=lambda p: FakeSession(2, ("x", 7), ("prediction", 2)))
     assert told["ok"] and (told["output"], told["kind"], told["categories"]) == ("prediction", "series", {0: 1, 4: 1})
 
