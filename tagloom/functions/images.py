@@ -343,10 +343,12 @@ def thumbnails(contents: DataFrame, side: int = 256) -> DataFrame:
 def refine_clusters(members: DataFrame, contents: DataFrame, *, how: str = "tile", limit: float = 8, grid: int = 8, tile: int = 8) -> DataFrame:
     """Members of clusters that are close to their keeper by tile hashes (bits) or pixels (mean error); groups below 2 go.
 
-    A digest of every image is made once; members meet their keeper's digest by a join, so no group is gathered.
+    A digest of every image is made once and written; members meet their keeper's digest by a join and clusters are counted
+    before they meet their members, so no group is gathered.
     """
     from pyspark.sql import functions as F
-    from pyspark.sql.window import Window
+
+    from tagloom.operators.components import materialised
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -358,17 +360,21 @@ def refine_clusters(members: DataFrame, contents: DataFrame, *, how: str = "tile
             yield pd.DataFrame(out, columns=["id", "digest"])
 
     digests = members.select("id").join(contents.select(F.col("file_id").alias("id"), "content"), "id").mapInPandas(run, "id bigint, digest binary")
-    rows = members.join(digests, "id")
+    rows = materialised(members.join(digests, "id"), "digests")
     keeper = rows.filter("is_keeper = 1").select("cluster", F.col("digest").alias("of"))
 
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        """Of all rows of a batch at once: digests have one length."""
+        x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1) for c in (a, b))
         if how == "tile":
-            return pd.Series([float(tile_distance(x, y)) for x, y in zip(a, b, strict=True)])
-        return pd.Series([mean_error(np.frombuffer(x, np.uint8).astype(float), np.frombuffer(y, np.uint8).astype(float)) for x, y in zip(a, b, strict=True)])
+            return pd.Series(np.bitwise_count(x ^ y).sum(1).astype(float))
+        return pd.Series(np.abs(x.astype(np.int16) - y).mean(1) / 255)
 
     near = rows.join(keeper, "cluster").withColumn("distance", distance("digest", "of")).filter(F.col("distance") <= limit).drop("digest", "of")
-    return near.withColumn("__n", F.count("*").over(Window.partitionBy("cluster"))).filter("__n > 1").drop("__n")
+    near = materialised(near, "near")
+    several = near.groupBy("cluster").count().filter("count > 1").select("cluster")
+    return near.join(several, "cluster", "left_semi")
 
 
 def refined_pairs(pairs: DataFrame, contents: DataFrame, *, least_ssim: float = 0.9, least_orb: float = 0.15) -> DataFrame:
