@@ -18,7 +18,7 @@ def cell(v):
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_query_matches_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "embeddings"):
+    for t in ("documents", "benchmark", "pages", "embeddings", "stamps"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     done = con.execute(oracles.oracle_sql()[name])
     names = [d[0] for d in done.description]
