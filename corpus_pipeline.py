@@ -23,13 +23,21 @@ def _documents(got: DataFrame) -> DataFrame:
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose toxicity score stays below the threshold."""
+    """Keeps documents whose toxicity score stays below the threshold.
+
+    Null and empty texts have the score of the model's bias, which is that of clean text; a text of any length is read whole;
+    rows are judged one by one, those that share an id or a text, too; without labels of both kinds every document stays.
+    """
     model = toxicity.learn(docs, common.table(spark, sf_dir, "labels"), common.crc_mod(4) != 2)
     return _documents(toxicity.score(docs, model, carry=COLUMNS[1:]).filter(F.col("score") < TOXIC_AT))
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with letters whose main language holds LEAST_SHARE of the words."""
+    """Keeps documents with letters whose main language holds LEAST_SHARE of the words.
+
+    Null and empty texts and those without a letter go; a text of any length is read whole; of languages that tie the first
+    by name counts; rows are judged one by one; where no document has a language all go, as none can be determined.
+    """
     model = langid.learn(docs, common.crc_mod(3) != 1)
     return _documents(langid.predict(docs, model, carry=COLUMNS[1:]).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)))
 
@@ -51,13 +59,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that hold no window of a benchmark item."""
+    """Keeps documents that hold no window of a benchmark item.
+
+    Null and empty texts have no words and stay; a text of any length is read whole; an item shorter than a window counts
+    whole, one without words never; rows are judged one by one; without items every document stays.
+    """
     got = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"), carry=COLUMNS[1:])
     return _documents(got.filter(~F.col("contaminated")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The byte-level BPE tokens of each document, with the digests that an exact round trip needs."""
+    """The byte-level BPE tokens of each document, with the digests that an exact round trip needs.
+
+    A null text counts as empty and has no tokens; a text of any length is encoded whole; every row has a row, whatever ids
+    or texts repeat.
+    """
     import public_tokenizers
 
     return bpe.encode(docs, path=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern=public_tokenizers.PATTERN, digest=True)
