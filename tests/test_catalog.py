@@ -223,3 +223,17 @@ def test_ids_are_never_given_twice(spark, tmp_path):
     batches.store(cat, batches.Batch(none.seen, none.tagged, "s", time.time(), None, gone), hard=True)
     batches.store(cat, batch_of(spark, [("/c", [("z", 0.5, 0)])]))
     assert cat.read("files").filter("path = '/c'").first().id == last.id + 1 and sorted(r.id for r in cat.read("tags").collect()) == [1, 2, 3]
+
+
+def test_vacuum_keeps_what_is_referred_to(spark, tmp_path):
+    cat = Catalog(spark, str(tmp_path / "cat"), parts=2)
+    tags = lambda *names: spark.createDataFrame([(i, n, 0) for i, n in enumerate(names)], schema.TAGS)
+    first = cat.publish({"tags": tags("a", "b"), "tagger_thresholds": spark.createDataFrame([("general", 0.5)], schema.THRESHOLDS)})
+    second = cat.publish({"tags": tags("a", "c")})
+    third = cat.publish({"tags": tags("d")})
+    assert cat.vacuum() == [] == cat.vacuum(keep=3, older_than=0)  # too young; all three are kept
+    assert cat.vacuum(keep=1, older_than=0) == [second]  # the first still holds the thresholds
+    assert cat.number() == 3 and [r.name for r in cat.read("tags").collect()] == ["d"] and cat.read("tagger_thresholds").count() == 1
+    cat.reset()
+    fourth = cat.publish({"tags": tags("e")})
+    assert cat.vacuum(keep=1, older_than=0) == [] and {first, third, fourth} <= {p.name for p in (tmp_path / "cat").iterdir()}
