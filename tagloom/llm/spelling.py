@@ -10,7 +10,8 @@ differ, so that neither automaton finds a pair twice, and what the forward one f
 
 A half that over ``most`` rows share is halved anew: its words meet by that half and one half of the rest, exact at its
 start or at its end, until no group is larger or a single code point is left, which bounds a group by the alphabet's square.
-So no task holds more than a batch of rows and a group, whatever the words.
+So no task holds more than a batch of rows and a group, whatever the words; rows come by length, and a batch ends where they
+would become twice as long.
 
 ``forms`` gives each word its form, the neighbour of largest count if that is ``times`` the word's own or more, and the root
 that following forms leads to, by pointer doubling over written tables: counts grow by that factor, so rounds are few.
@@ -347,17 +348,19 @@ def neighbours(words: DataFrame, *, least_length: int = LEAST_LENGTH, most: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, last = 0, None
+        size, last, least = 0, None, 0
         for b in batches:
             key = common.column(b, "key").to_numpy(zero_copy_only=False)
             weight = common.column(b, "length").to_numpy(zero_copy_only=False).astype(np.int64) + 1
             begins, lens = common.runs(key)
             kept = 0
             for at, many in zip(begins.tolist(), lens.tolist(), strict=True):
-                if size >= cells and key[at] != last:
+                # Words of a batch are rows of one matrix, so that one of them must not be much longer than the others.
+                if size and key[at] != last and (size >= cells or weight[at] > 2 * least):
                     held.append(b.slice(kept, at - kept))
                     yield found(held)
                     held, size, kept = [], 0, at
+                least = least if size else int(weight[at])
                 size, last = size + int(weight[at : at + many].sum()), key[at]
             held.append(b.slice(kept))
         if held:

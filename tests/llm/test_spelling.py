@@ -155,6 +155,17 @@ def test_a_hot_half_is_dealt_anew(spark):
         assert got == sorted((a, b, words.index(b) + 1) for a in words for b in words if a != b and apart(a, b))
 
 
+def test_very_long_words_beside_short_ones(spark):
+    """A word of 20,000 code points doesn't widen the rows of short ones."""
+    rng = random.Random(6)
+    words = sorted({"".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(20_000)})
+    long = "z" * 20_000
+    words += [long, long + "z", long[:-1] + "q", "q" + long[1:], long[:9000] + "q" + long[9001:]]
+    df = spark.createDataFrame([(w, 5) for w in words], "word string, n bigint").repartition(2)
+    got = [(r.word, r.near) for r in spelling.neighbours(df).filter("length(word) > 100").collect()]
+    assert sorted(got) == sorted((a, b) for a in words[-5:] for b in words[-5:] if a != b and apart(a, b)) and len(got) == 8
+
+
 def test_roots_of_long_chains(spark):
     links = spark.createDataFrame([(f"w{i}", f"w{i + 1}") for i in range(40)] + [("x", "w7"), ("y", "z")], "word string, form string")
     assert {r.word: r.root for r in spelling.roots(links).collect()} == {**{f"w{i}": "w40" for i in range(40)}, "x": "w40", "y": "z"}
