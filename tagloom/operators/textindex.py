@@ -38,8 +38,11 @@ Clause = Phrase | Prefix
 
 
 def postings(documents: DataFrame) -> DataFrame:
-    """term, file_id, positions (from 0, rising) of documents (file_id, text)."""
-    rows = documents.select("file_id", F.posexplode(words(F.col("text"))).alias("position", "term"))
+    """term, file_id, positions (from 0, rising) of documents (file_id, text).
+
+    Documents are dealt by their id before they fall into words, so that the words of one need no shuffle to meet.
+    """
+    rows = documents.select("file_id", "text").repartition("file_id").select("file_id", F.posexplode(words(F.col("text"))).alias("position", "term"))
     return rows.groupBy("term", "file_id").agg(F.array_sort(F.collect_list("position")).alias("positions"))
 
 
