@@ -78,6 +78,7 @@ def merged(catalog: Catalog, batch: Batch, *, hard: bool = False, when: str = ""
         before, after = old_documents.join(of, "file_id", "left_semi"), materialised(out["fts_files"], "documents")
         out["fts_files"] = after
         fresh, lost = textindex.delta(before, after.join(of, "file_id", "left_semi"))
+        fresh, lost = materialised(fresh, "fresh"), materialised(lost, "lost")
         old = _parts(catalog, only, "postings", fresh.select("term", "file_id").union(lost))
         out["postings"] = textindex.applied(old, fresh, lost)
     # An empty list touches nothing: that relation stays as it is.
