@@ -531,3 +531,22 @@ def test_empty_catalog(spark):
     assert search.search(files, links, tags, "a -b", order="relevance").count() == 0
     assert stats.tag_stats(tags, links, files).count() == 0 and documents.rebuild(files, links, tags).count() == 0
     assert duplicates.clusters(duplicates.listing(files, schema.empty(spark, "signatures"))).count() == 0
+
+
+def test_links_of_a_batch_are_dealt_to_as_many_tasks_as_they_need(spark, sf, tmp_path, monkeypatch):
+    """Whatever the number of shuffle partitions; a file with half of the rows changes neither links nor the size of tasks."""
+    from tagloom.plans import fixtures, registry
+
+    for t in ("part", "orders"):
+        os.symlink(f"{sf}/{t}.parquet", f"{tmp_path}/{t}.parquet")
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    one = rows.orderBy("l_orderkey", "l_partkey", "l_quantity").limit(1).withColumn("l_quantity", F.lit(None).cast("double"))
+    rows.unionByName(one.crossJoin(spark.range(rows.count())).drop("id")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = sorted(tuple(r) for r in fixtures.catalog(spark, str(tmp_path)).file_tags.collect())
+    links = fixtures.catalog(spark, str(tmp_path), 400).file_tags
+    assert sorted(tuple(r) for r in links.collect()) == want
+    sizes = [r["count"] for r in links.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 25 and max(sizes) < 800
+    monkeypatch.setattr(registry, "_LINKS_A_TASK", 400)
+    plain = registry.queries()["q_write_batch_documents"](spark, str(tmp_path))
+    assert plain.rdd.getNumPartitions() > 25
